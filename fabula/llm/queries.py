@@ -7,23 +7,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, near_dup
+from . import bpe, langid, line_dedup, media, near_dup, toxicity
+from .common import crc_fold
+
+#: A document is toxic from this score on.
+TOXIC = 0.7
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: count and hash of its token ids, and the hash of what they decode to."""
+    import public_tokenizers
+
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many of them were dropped, and the text of the rest."""
     out = line_dedup.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), "text")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the toxicity score of a model of the labels outside the held-out fold."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = crc_fold(F.col("doc_id"), 3) == 1
+    scores = toxicity.score(docs, toxicity.train(docs, labels, ~held_out))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the language by a model of the documents outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc_fold(F.col("doc_id"), 4) == 2
+    found = langid.predict(docs, langid.train(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its text as a film, and what reading the film back gives."""
+    return media.digests(media.encode(_table(spark, sf_dir, "documents")))
+
+
 #: Shingle sets, all pairs that share a shingle, and the reachable minimum.
 OP8_SQL = r"""
 WITH RECURSIVE words AS (
@@ -45,8 +77,12 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_bpe": op3_bpe,
         "op5_line_dedup": op5_line_dedup,
+        "op6_toxicity": op6_toxicity,
+        "op7_language_id": op7_language_id,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
+        "op10_media": op10_media,
     }
 
 
