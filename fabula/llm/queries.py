@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, media, near_dup, toxicity
+from . import bpe, langid, line_dedup, media, near_dup, pii, toxicity
 from .common import crc_fold
 
 #: A document is toxic from this score on.
@@ -51,6 +51,11 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its personal data, by fixed rules and by the span classifier."""
+    return pii.digests(pii.find(_table(spark, sf_dir, "documents")))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its text as a film, and what reading the film back gives."""
     return media.digests(media.encode(_table(spark, sf_dir, "documents")))
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_language_id": op7_language_id,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
+        "op9_pii": op9_pii,
         "op10_media": op10_media,
     }
 
