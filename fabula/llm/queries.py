@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, media, near_dup, pii, toxicity
+from . import bpe, decontaminate, html_text, langid, line_dedup, media, near_dup, pii, ppm, toxicity
 from .common import crc_fold
 
 #: A document is toxic from this score on.
@@ -18,6 +18,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: its main text."""
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and benchmark item that it holds, as it is or with other numbers and names."""
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: count and hash of its token ids, and the hash of what they decode to."""
     import public_tokenizers
@@ -25,6 +35,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: log10 probabilities by word counts and by partial matching, learnt outside the held-out fold."""
+    return ppm.score(_table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 7) == 2)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many of them were dropped, and the text of the rest."""
     out = line_dedup.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -82,7 +97,10 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_text": op1_html_text,
+        "op2_decontamination": op2_decontamination,
         "op3_bpe": op3_bpe,
+        "op4_lm_score": op4_lm_score,
         "op5_line_dedup": op5_line_dedup,
         "op6_toxicity": op6_toxicity,
         "op7_language_id": op7_language_id,
