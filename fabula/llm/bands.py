@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, fold_hashes
 from .graph import components
 
-#: Sets that share a band's key are compared within blocks of so many, and each with the key's first set.
+#: Of the sets that share a band's key, so many are compared with each other at once, all others with the first one.
 BLOCK = 8
+#: Members of a key's largest component that all other sets of the key are compared with.
+PROBES = 8
 
 
 def levels(m: int, most: int, percent: int) -> list[tuple[int, float]]:
@@ -66,44 +68,63 @@ def _sized(pairs: DataFrame, percent: int) -> DataFrame:
     return fits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _split(ranked: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, id, n, block, rn, c): members, with their component, of the keys with more than a block that hold several components."""
+    large = ranked.where("block = 1").select("key").distinct()
+    labelled = ranked.join(large, "key", "left_semi").join(found, "id", "left").select("key", "id", "n", "block", "rn", F.coalesce("component", "id").alias("c"))
+    several = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    return scratch.save(labelled.join(several, "key", "left_semi"), "split-keys")
+
+
+def _probes(left: DataFrame) -> DataFrame:
+    """Pairs of each member outside its key's largest component with PROBES members of that."""
+    top = left.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("top"))
+    marked = left.join(top, "key")
+    order = Window.partitionBy("key").orderBy("rn", "id")
+    inside = marked.where("c = top").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.row_number().over(order).alias("k")).where(F.col("k") <= PROBES)
+    return marked.where("c <> top").select("key", F.col("id").alias("a"), F.col("n").alias("na")).join(inside, "key").select("a", "na", "b", "nb")
+
+
+def _apart(left: DataFrame, percent: int) -> DataFrame:
+    """All pairs of members of a key that are in different components and blocks."""
+    x, y = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "block", "c"))) for s in "xy")
+    pairs = x.join(y, "key").where(f"c_x < c_y and block_x + block_y > 0 and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
+    return pairs.select(F.col("id_x").alias("a"), F.col("n_x").alias("na"), F.col("id_y").alias("b"), F.col("n_y").alias("nb"))
+
+
 def links(bands: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
     """(id, component) of all ids that some confirmed link joins to another.
 
     bands: (key, id, n), n the set's size, rows may repeat; confirm: (a, b) candidates to the
     true links among them, as (u, v).
 
-    Within a key, sets are put in a random order of that key's own; all pairs
-    of a block of BLOCK sets are candidates, and each set with the first one.
-    That is in proportion to the rows and links large groups of copies into
-    one component. Keys with more sets than a block are looked at again once
-    components are known: only pairs of sets that are still in different
-    components could add anything, and all of those are checked, so no link
-    between components is lost."""
+    Sets stand in one random order. In each key all pairs of the first BLOCK
+    sets are candidates, and each further set with the first one. That is in
+    proportion to the rows, and as the order is one for all keys, copies are
+    compared with one head in all their bands. Keys with more sets than a block
+    are looked at again once components are known: first, sets outside a key's
+    largest component are compared with PROBES sets of it; then all pairs of
+    sets that are still in different components are checked. Pairs within a
+    component add nothing, so no link between components is lost."""
     rank = Window.partitionBy("key").orderBy("at")
     whole = rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = (
-        bands.select("key", "id", "n", F.xxhash64("id", "key").alias("at"))
+        bands.select("key", "id", "n", F.xxhash64("id").alias("at"))
         .select("key", "id", "n", F.dense_rank().over(rank).alias("rn"), F.min("id").over(whole).alias("low"), F.max("id").over(whole).alias("high"), F.first("id").over(whole).alias("head"), F.first("n").over(whole).alias("head_n"))
         .where("low < high")
-        .select("key", "id", "n", "head", "head_n", F.expr(f"int((rn - 1) div {BLOCK})").alias("block"))
+        .select("key", "id", "n", "head", "head_n", "rn", F.expr(f"int((rn - 1) div {BLOCK})").alias("block"))
     )
     ranked = scratch.save(ranked, "shared-bands").distinct()
-    blocks = ranked.groupBy("key", "block").agg(F.collect_list(F.struct("id", "n")).alias("m"))
-    within = blocks.where("size(m) > 1").selectExpr("inline(flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x.id as a, x.n as na, y.id as b, y.n as nb)))))")
+    firsts = ranked.where("block = 0").groupBy("key").agg(F.collect_list(F.struct("id", "n")).alias("m"))
+    within = firsts.where("size(m) > 1").selectExpr("inline(flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x.id as a, x.n as na, y.id as b, y.n as nb)))))")
     heads = ranked.where("block > 0").select(F.col("head").alias("a"), F.col("head_n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
     edges = scratch.save(confirm(_sized(within.unionAll(heads), percent)), "links")
     found = scratch.save(components(edges, scratch), "components")
-
-    large = ranked.where("block = 1").select("key").distinct()
-    labelled = ranked.join(large, "key", "left_semi").join(found, "id", "left").select("key", "id", "n", "block", F.coalesce("component", "id").alias("c"))
-    split = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    left = scratch.save(labelled.join(split, "key", "left_semi"), "split-keys")
-    if left.isEmpty():
-        return found
-    x, y = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "block", "c"))) for s in "xy")
-    apart = x.join(y, "key").where(f"c_x < c_y and block_x <> block_y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
-    apart = apart.select(F.col("id_x").alias("a"), F.col("n_x").alias("na"), F.col("id_y").alias("b"), F.col("n_y").alias("nb"))
-    more = scratch.save(confirm(_sized(apart, percent)), "links")
-    if more.isEmpty():
-        return found
-    return scratch.save(components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionAll(more), scratch), "components")
+    for pairs in (_probes, lambda left: _apart(left, percent)):
+        left = _split(ranked, found, scratch)
+        if left.isEmpty():
+            break
+        more = scratch.save(confirm(_sized(pairs(left), percent)), "links")
+        if not more.isEmpty():
+            found = scratch.save(components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionAll(more), scratch), "components")
+    return found

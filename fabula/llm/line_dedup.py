@@ -29,10 +29,10 @@ from .bands import band_keys, links
 from .common import ROW_BITS, SPACE, Scratch, as_long, mix, powers, span_hashes, text_bytes, text_chunks
 
 WIDTH = 8  # characters of a shingle
-M = 24  # buckets
-BANDS = 8  # of 3 registers; a pair at 0.8 is missed with a chance of 0.003, at 0.9 of 0.00003
+M = 48  # buckets
+BANDS = 12  # of 4 registers; a pair at 0.8 is missed with a chance of 0.002, at 0.9 of 0.00001
 MIN_WORDS = 5
-EMPTY = np.uint64((1 << 42) - 1)
+EMPTY = np.uint64((1 << 41) - 1)
 _STEP = 0xA0761D6478BD642F
 _STEP_INV = pow(_STEP, -1, 1 << 64)
 
@@ -94,10 +94,10 @@ class Lines:
 def signatures(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(registers of n x M, distinct shingles of each), from one sort."""
     bucket = ((hashes >> np.uint64(40)) * np.uint64(M)) >> np.uint64(24)
-    keys = np.sort((owner.astype(np.uint64) << np.uint64(64 - ROW_BITS)) | (bucket << np.uint64(42)) | (hashes & EMPTY))
+    keys = np.sort((owner.astype(np.uint64) << np.uint64(64 - ROW_BITS)) | (bucket << np.uint64(41)) | (hashes & EMPTY))
     keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
     line = (keys >> np.uint64(64 - ROW_BITS)).astype(np.int64)
-    slot = line * M + ((keys >> np.uint64(42)) & np.uint64(31)).astype(np.int64)
+    slot = line * M + ((keys >> np.uint64(41)) & np.uint64(63)).astype(np.int64)
     first = np.r_[True, slot[1:] != slot[:-1]] if len(slot) else np.zeros(0, bool)
     regs = np.full(n * M, EMPTY, np.uint64)
     regs[slot[first]] = keys[first] & EMPTY
