@@ -34,8 +34,8 @@ def narrators(legend: DataFrame) -> DataFrame:
 def _attributes() -> tuple[Column, Column]:
     """(names, attribute tokens) of a legend name "A / B (x, y)"."""
     attrs = F.regexp_extract("name", r"\(([^()]*)\)\s*$", 1)
-    names = F.filter(F.transform(F.split(F.regexp_replace("name", r"\([^()]*\)\s*$", ""), "/"), F.trim), lambda x: x != "")
-    return names, F.filter(F.transform(F.split(attrs, ","), F.trim), lambda x: x != "")
+    names = F.filter(F.transform(F.split(F.regexp_replace("name", r"\([^()]*\)\s*$", ""), "/"), lambda x: F.trim(x)), lambda x: x != "")
+    return names, F.filter(F.transform(F.split(attrs, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def characters(legend: DataFrame) -> DataFrame:
