@@ -20,8 +20,8 @@ from .graph import components
 
 #: Of the sets that share a band's key, so many are compared with each other at once, all others with the first one.
 BLOCK = 8
-#: Members of a key's largest component that all other sets of the key are compared with.
-PROBES = 8
+#: Of each shared rare element, so many before it are looked at, so that a pair seldom stands at two of them.
+BEFORE = 32
 
 
 def levels(m: int, most: int, percent: int) -> list[tuple[int, float]]:
@@ -69,43 +69,51 @@ def _sized(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _split(ranked: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, id, n, block, rn, c): members, with their component, of the keys with more than a block that hold several components."""
+    """(id, c): members, with their component, of the keys with more than a block that hold several components."""
     large = ranked.where("block = 1").select("key").distinct()
-    labelled = ranked.join(large, "key", "left_semi").join(found, "id", "left").select("key", "id", "n", "block", "rn", F.coalesce("component", "id").alias("c"))
+    labelled = ranked.join(large, "key", "left_semi").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     several = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    return scratch.save(labelled.join(several, "key", "left_semi"), "split-keys")
-
-
-def _probes(left: DataFrame) -> DataFrame:
-    """Pairs of each member outside its key's largest component with PROBES members of that."""
-    top = left.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("top"))
-    marked = left.join(top, "key")
-    order = Window.partitionBy("key").orderBy("rn", "id")
-    inside = marked.where("c = top").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.row_number().over(order).alias("k")).where(F.col("k") <= PROBES)
-    return marked.where("c <> top").select("key", F.col("id").alias("a"), F.col("n").alias("na")).join(inside, "key").select("a", "na", "b", "nb")
-
-
-def _apart(left: DataFrame, percent: int) -> DataFrame:
-    """All pairs of members of a key that are in different components and blocks."""
-    x, y = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "block", "c"))) for s in "xy")
-    pairs = x.join(y, "key").where(f"c_x < c_y and block_x + block_y > 0 and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
-    return pairs.select(F.col("id_x").alias("a"), F.col("n_x").alias("na"), F.col("id_y").alias("b"), F.col("n_y").alias("nb"))
-
-
-def links(bands: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+    return scratch.save(labelled.join(several, "key", "left_semi").select("id", "c").distinct(), "split-keys")
+
+
+def _rare(left: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs of members of ``left`` in different components that share one of their rarest elements.
+
+    Elements stand in one order, the rarest among these sets first. Two sets of
+    the similarity share an element among the first n(1-s)+1 of each, and as
+    many elements must follow their first common one as the similarity asks
+    for; so no link is missed, and a passage that many sets share gives no pair
+    unless it makes up most of them. A pair is left out
+    where one of the elements just before is common too: it stands there."""
+    elements = scratch.save(sets(left.select("id")), "elements")
+    held = elements.groupBy("x").agg(F.count("*").alias("f"))
+    one = Window.partitionBy("id", "t")
+    placed = elements.join(held, "x").select("id", "t", "x", "f", F.count("*").over(one).alias("n"), F.row_number().over(one.orderBy("f", "x")).alias("i"))
+    keys = placed.where(f"f > 1 and 100 * (i - 1) <= {100 - percent} * n").join(left, "id")
+    several = keys.groupBy("x").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("x")
+    before = one.orderBy("i").rowsBetween(-BEFORE, -1)
+    keys = keys.join(several, "x", "left_semi").select("x", "id", "n", "i", "c", F.collect_list("x").over(before).alias("before"))
+    keys = scratch.save(keys, "rare-keys")
+    a, b = (keys.select("x", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "i", "c", "before"))) for s in "ab")
+    fits = f"c_a < c_b and {100 + percent} * (1 + least(n_a - i_a, n_b - i_b)) >= {percent} * (n_a + n_b)"
+    pairs = a.join(b, "x").where(f"{fits} and not arrays_overlap(before_a, before_b)")
+    return pairs.select(F.col("id_a").alias("a"), F.col("n_a").alias("na"), F.col("id_b").alias("b"), F.col("n_b").alias("nb"))
+
+
+def links(bands: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
     """(id, component) of all ids that some confirmed link joins to another.
 
     bands: (key, id, n), n the set's size, rows may repeat; confirm: (a, b) candidates to the
-    true links among them, as (u, v).
+    true links among them, as (u, v); sets: (id) to the elements of those sets, (id, t, x) without
+    repeats, t telling apart sets of one id.
 
     Sets stand in one random order. In each key all pairs of the first BLOCK
     sets are candidates, and each further set with the first one. That is in
     proportion to the rows, and as the order is one for all keys, copies are
-    compared with one head in all their bands. Keys with more sets than a block
-    are looked at again once components are known: first, sets outside a key's
-    largest component are compared with PROBES sets of it; then all pairs of
-    sets that are still in different components are checked. Pairs within a
-    component add nothing, so no link between components is lost."""
+    compared with one head in all their bands. Sets of the keys with more than
+    a block that are in several components are matched again by their rarest
+    elements, which misses no link between components. Pairs within a component
+    add nothing."""
     rank = Window.partitionBy("key").orderBy("at")
     whole = rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = (
@@ -120,11 +128,8 @@ def links(bands: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent:
     heads = ranked.where("block > 0").select(F.col("head").alias("a"), F.col("head_n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
     edges = scratch.save(confirm(_sized(within.unionAll(heads), percent)), "links")
     found = scratch.save(components(edges, scratch), "components")
-    for pairs in (_probes, lambda left: _apart(left, percent)):
-        left = _split(ranked, found, scratch)
-        if left.isEmpty():
-            break
-        more = scratch.save(confirm(_sized(pairs(left), percent)), "links")
-        if not more.isEmpty():
-            found = scratch.save(components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionAll(more), scratch), "components")
-    return found
+    left = _split(ranked, found, scratch)
+    if left.isEmpty():
+        return found
+    more = scratch.save(confirm(_sized(_rare(left, sets, percent, scratch), percent)), "links")
+    return scratch.save(components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionAll(more), scratch), "components")

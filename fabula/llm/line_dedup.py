@@ -185,6 +185,17 @@ def _confirmed(percent: int):
     return run
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, t, x): the shingles of each line; equal lines are one set, so t is 0."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, 512):
+            batch = whole.slice(k, 512)
+            sets = _sets(batch.column("text"))
+            x = np.concatenate([np.zeros(0, np.uint64), *sets])
+            ids = np.repeat(batch.column("h").to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.zeros(len(x), np.int64)), pa.array(as_long(x))], ["id", "t", "x"])
+
+
 def _wanted(texts: DataFrame, first: DataFrame) -> DataFrame:
     """(h, text) of the lines in ``first`` (h, doc_id, line)."""
     by_doc = first.groupBy("doc_id").agg(F.collect_list(F.struct("h", "line")).alias("wanted")).select(F.col("doc_id").alias("id"), "wanted")
@@ -208,7 +219,11 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORD
         both = pairs.join(wanted.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
         return both.mapInArrow(_confirmed(percent), "u long, v long")
 
-    linked = links(bands, confirm, percent, scratch)
+    def sets(ids: DataFrame) -> DataFrame:
+        places = first.join(ids.select(F.col("id").alias("h")), "h", "left_semi").select("h", "place.doc_id", "place.line")
+        return _wanted(texts, places).dropDuplicates(["h"]).mapInArrow(_elements, "id long, t long, x long")
+
+    linked = links(bands, confirm, sets, percent, scratch)
     known = first.join(linked.select(F.col("id").alias("h"), "component"), "h", "left").where("copies > 1 or component is not null")
     known = scratch.save(known.select("h", "place", F.coalesce("component", "h").alias("c")), "repeated")
     keeper = known.groupBy("c").agg(F.min("place").alias("keep"))

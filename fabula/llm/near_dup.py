@@ -152,6 +152,17 @@ def _confirmed(width: int, percent: int):
     return run
 
 
+def _elements(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tags = batch.column("id").to_numpy(), batch.column("t").to_numpy()
+            for first, _, data, offs in text_chunks(batch.column("text")):
+                h, rows = distinct_per_row(*shingles(*word_hashes(data, offs), width))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first + rows]), pa.array(tags[first + rows]), pa.array(as_long(h))], ["id", "t", "x"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -172,7 +183,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         both = likely.join(wanted.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return both.mapInArrow(_confirmed(width, percent), "u long, v long")
 
-    found = links(bands_of(reps, percent), confirm, percent, scratch)
+    def sets(ids: DataFrame) -> DataFrame:
+        rows = texts.join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
+        return rows.select("id", F.xxhash64("text").alias("t"), "text").mapInArrow(_elements(width), "id long, t long, x long")
+
+    found = links(bands_of(reps, percent), confirm, sets, percent, scratch)
     labels = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("c"))
     twice = _same_id(filled, labels, scratch)
     out = sketches.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "s1", "s2", "n").join(twice, ["s1", "s2", "n"], "left")
