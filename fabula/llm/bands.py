@@ -76,15 +76,13 @@ def _split(ranked: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(labelled.join(several, "key", "left_semi").select("id", "c").distinct(), "split-keys")
 
 
-def _rare(left: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs of members of ``left`` in different components that share one of their rarest elements.
-
-    Elements stand in one order, the rarest among these sets first. Two sets of
-    the similarity share an element among the first n(1-s)+1 of each, and as
-    many elements must follow their first common one as the similarity asks
-    for; so no link is missed, and a passage that many sets share gives no pair
-    unless it makes up most of them. A pair is left out
-    where one of the elements just before is common too: it stands there."""
+def _rare_keys(left: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+    """(x, id, n, i, c, before): each set's rarest elements that some set of another component has among its own.
+
+    Elements stand in one order, the rarest among these sets first; i is an
+    element's place in its set, ``before`` the last ones before it. Two sets of
+    the similarity share an element among the first n(1-s)+1 of each, so a
+    passage that many sets share gives no key unless it makes up most of them."""
     elements = scratch.save(sets(left.select("id")), "elements")
     held = elements.groupBy("x").agg(F.count("*").alias("f"))
     one = Window.partitionBy("id", "t")
@@ -93,7 +91,22 @@ def _rare(left: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int,
     several = keys.groupBy("x").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("x")
     before = one.orderBy("i").rowsBetween(-BEFORE, -1)
     keys = keys.join(several, "x", "left_semi").select("x", "id", "n", "i", "c", F.collect_list("x").over(before).alias("before"))
-    keys = scratch.save(keys, "rare-keys")
+    return scratch.save(keys, "rare-keys")
+
+
+def _neighbours(keys: DataFrame) -> DataFrame:
+    """Of each element, each set and the next one in a random order, if their components differ."""
+    order = Window.partitionBy("x").orderBy(F.xxhash64("id"), "n")
+    pairs = keys.select("id", "n", "c", *(F.lead(v).over(order).alias(f"{v}_b") for v in ("id", "n", "c"))).where("c <> c_b")
+    return pairs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("id_b").alias("b"), F.col("n_b").alias("nb"))
+
+
+def _all(keys: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of different components that share an element, and have after it as many as the similarity asks for.
+
+    The bound holds at a pair's first common element, so no link is missed. A
+    pair is left out where one of the elements just before is common too: it
+    stands there."""
     a, b = (keys.select("x", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "i", "c", "before"))) for s in "ab")
     fits = f"c_a < c_b and {100 + percent} * (1 + least(n_a - i_a, n_b - i_b)) >= {percent} * (n_a + n_b)"
     pairs = a.join(b, "x").where(f"{fits} and not arrays_overlap(before_a, before_b)")
@@ -112,8 +125,9 @@ def links(bands: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: Cal
     proportion to the rows, and as the order is one for all keys, copies are
     compared with one head in all their bands. Sets of the keys with more than
     a block that are in several components are matched again by their rarest
-    elements, which misses no link between components. Pairs within a component
-    add nothing."""
+    elements: first neighbours, which joins most of a group of near copies, then
+    all pairs of different components, which misses no link between those.
+    Pairs within a component add nothing."""
     rank = Window.partitionBy("key").orderBy("at")
     whole = rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = (
@@ -131,5 +145,9 @@ def links(bands: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: Cal
     left = _split(ranked, found, scratch)
     if left.isEmpty():
         return found
-    more = scratch.save(confirm(_sized(_rare(left, sets, percent, scratch), percent)), "links")
-    return scratch.save(components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionAll(more), scratch), "components")
+    keys = _rare_keys(left, sets, percent, scratch)
+    for pairs in (_neighbours, lambda keys: _all(keys, percent)):
+        more = scratch.save(confirm(_sized(pairs(keys), percent)), "links")
+        found = scratch.save(components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionAll(more), scratch), "components")
+        keys = keys.drop("c").join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    return found
