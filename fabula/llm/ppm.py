@@ -9,14 +9,17 @@ shorter context (method D), where the bytes that the longer one knows are
 excluded from the total. Below order 0 all bytes left are alike.
 
 Only a word's first HEAD symbols look across the blank. Those are counted and
-scored where texts are read; the rest of a word depends on the word alone and
-is scored once for each distinct word of the corpus. Word counts of the whole
-corpus are gathered by one shuffle; trie branches are summed over all training
-words and texts, and those with a share of at least BRANCH_SHARE of all bytes
-make the shared trie (a branch below it counts as an escape), so that its size
-has a bound that doesn't depend on the data. Words with a share of
-FREQUENT_SHARE of all tokens are shared too and summed where texts are read;
-all others are joined by hash.
+asked where texts are read; the rest of a word depends on the word alone and
+is asked once for each distinct word of the corpus. Word counts of the whole
+corpus are gathered by one shuffle, and so are the trie's branches, of which
+none is dropped, with the (context, symbol) pairs that are asked for. Contexts
+of ROOT bytes or more that end alike are one shard: a chance and all its
+escapes lie in one shard and in the shorter contexts, which all tasks hold
+(their number has a bound that doesn't depend on the data). So each distinct
+pair is scored exactly once, in its shard. The CACHED pairs that are asked most
+are shared with all tasks and summed where texts are read, as are words with a
+share of FREQUENT_SHARE of all tokens; all other pairs and words are joined by
+hash.
 
 Words are told apart by 64-bit hashes. Defined results: null and empty texts
 hold their end only; ids can be null, rows can repeat; without training rows
@@ -43,8 +46,12 @@ ORDER = 6
 TAIL = 3
 #: Symbols at a word's beginning whose contexts can look across the blank.
 HEAD = ORDER - 1
-#: The trie keeps branches with this share of all bytes of an order; 2e6 an order at most.
-BRANCH_SHARE = 5e-7
+#: Contexts of fewer bytes are shared with all tasks; the others are told apart in shards by their last ROOT bytes.
+ROOT = 3
+#: Branches and asked pairs of a shard's task, about.
+SHARD_ROWS = 1_000_000
+#: Answers that are shared with all tasks, those asked most; all others are joined.
+CACHED = 500_000
 #: Words with this share of all tokens are shared with all tasks; 5e5 at most.
 FREQUENT_SHARE = 2e-6
 BLANK, END = 0x20, 0x0A  # neither is in a word
@@ -135,35 +142,47 @@ def _contexts(stream: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple
     return which, keys, word, inside
 
 
-def _counted(order: int, packed: np.ndarray, symbol: np.ndarray, times: np.ndarray | None) -> pa.RecordBatch:
-    branch, back = np.unique((packed << np.uint64(8)) | symbol, return_inverse=True)
-    n = np.bincount(back, weights=times, minlength=len(branch))
-    return pa.RecordBatch.from_arrays([pa.array(as_long((branch >> np.uint64(8)) | _TAG[order])), pa.array((branch & np.uint64(255)).astype(np.int32)), pa.array(n.astype(np.int64))], ["context", "symbol", "n"])
+def _counted(order: int | np.ndarray, packed: np.ndarray, symbol: np.ndarray, n: np.ndarray, asked: np.ndarray) -> pa.RecordBatch:
+    branch, back = np.unique(pairs(packed, order, symbol), return_inverse=True)
+    sums = [np.bincount(back, weights=w, minlength=len(branch)).astype(np.int64) for w in (n, asked)]
+    return pa.RecordBatch.from_arrays([pa.array(as_long(branch >> np.uint64(8))), pa.array((branch & np.uint64(255)).astype(np.int32)), *map(pa.array, sums)], ["context", "symbol", "n", "asked"])
+
+
+def pairs(packed: np.ndarray, order: int | np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """One key of each context and symbol."""
+    return ((packed | TAGS[order]) << np.uint64(8)) | symbol
 
 
 def _word_branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(context, symbol, n): the trie's branches within the words of a batch, each as often as they occur in training texts."""
+    """(context, symbol, n, asked): the trie's branches within the words of a batch, each as often as they occur in training texts; asked: by so many words."""
     for batch in batches:
-        batch = batch.filter(pa.compute.greater(batch.column("n_train"), 0))
         for k in range(0, batch.num_rows, 1 << 15):
             part = batch.slice(k, 1 << 15)
             stream, starts, size = _stream(part.column("word"))
-            which, keys, word, _ = _contexts(stream, starts, size)
+            which, keys, word, inside = _contexts(stream, starts, size)
             times = part.column("n_train").to_numpy()
             for order, (at, packed) in enumerate(zip(which, keys, strict=True)):
-                yield _counted(order, packed, stream[1:][at], times[word[at]])
+                asked = (inside[at] >= HEAD) & (order == ORDER)
+                some = asked | (times[word[at]] > 0)
+                at = at[some]
+                yield _counted(order, packed[some], stream[1:][at], times[word[at]], asked[some])
 
 
 def _text_branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(context, symbol, n): the branches of contexts that look across a blank, and of texts' ends."""
+    """(context, symbol, n, asked): the branches of training texts' contexts that look across a blank, and of texts' ends; asked: by all texts."""
     for batch in batches:
-        for _, _, data, offs in text_chunks(batch.column("text"), 1 << 22):
+        train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
+        for first, stop, data, offs in text_chunks(batch.column("text"), 1 << 22):
             text = Text(data, offs)
+            learnt = train[first:stop][text.rows]
             for i in range(HEAD):
-                _, symbol, packed, count = text.heads(i)
+                which, symbol, packed, count = text.heads(i)
+                n = learnt[which]
                 for order in range(i + 2, min(ORDER, i + 1 + TAIL) + 1):
-                    some = count >= order
-                    yield _counted(order, packed[some] & np.uint64((1 << (8 * order)) - 1), symbol[some], None)
+                    some = (count >= order) & (n | (count == order))
+                    yield _counted(order, packed[some] & np.uint64((1 << (8 * order)) - 1), symbol[some], n[some], (count == order)[some])
+                some = count < i + 2  # shorter contexts count with their words
+                yield _counted(count[some], packed[some], symbol[some], np.zeros(some.sum()), np.ones(some.sum()))
 
 
 @dataclass
@@ -250,44 +269,96 @@ def shorter_by(keys: np.ndarray, k: np.ndarray) -> np.ndarray:
     return (keys & masks[k]) | tags[k]
 
 
-def word_scores(column: pa.Array, trie: Trie) -> np.ndarray:
-    """log10 of the chance of each word's symbols from number HEAD on, the blank after it included."""
+def word_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, word) of each word's symbols from number HEAD on, the blank after it included."""
     stream, starts, size = _stream(column)
     which, keys, word, inside = _contexts(stream, starts, size)
-    at = np.flatnonzero(inside >= HEAD)
     packed = np.zeros(len(word), np.uint64)
     packed[which[ORDER]] = keys[ORDER]
-    return np.bincount(word[at], weights=chances(trie, packed[at], np.full(len(at), ORDER), stream[1:][at]), minlength=len(size))
-
-
-def chances(trie: Trie, packed: np.ndarray, order: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """log10 of the chance of each symbol after its context; equal ones are scored once."""
-    _, one, back = np.unique((packed << np.uint64(8)) | symbol | (order.astype(np.uint64) << np.uint64(56)), return_index=True, return_inverse=True)
-    return trie.log_chance(packed[one] | TAGS[order[one]], order[one], symbol[one].astype(np.int64))[back]
+    at = np.flatnonzero(inside >= HEAD)
+    return pairs(packed[at], ORDER, stream[1:][at]), word[at]
 
 
-def head_scores(text: Text, trie: Trie) -> np.ndarray:
-    """By text: log10 of the chance of its words' first symbols and of its end."""
-    out = np.zeros(int(text.rows[-1]) + 1)
+def head_pairs(text: Text) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, text) of the words' first symbols and of each text's end."""
+    out, rows = [], []
     for i in range(HEAD):
         which, symbol, packed, count = text.heads(i)
-        out += np.bincount(text.rows[which], weights=chances(trie, packed, count, symbol), minlength=len(out))
-    return out
-
-
-def train_trie(words: DataFrame, texts: DataFrame, ends: int) -> Trie:
-    """The trie of ``words`` (word, n_train) and the training ``texts`` (text), of which there are ``ends``."""
-    spark, kinds = words.sparkSession, "context long, symbol int, n long"
-    branches = words.select("word", "n_train").mapInArrow(_word_branches, kinds).unionAll(texts.select("text").mapInArrow(_text_branches, kinds)).groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+        out.append(pairs(packed, count, symbol))
+        rows.append(text.rows[which])
+    return np.concatenate(out), np.concatenate(rows)
+
+
+def counted_per_row(keys: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[pa.Array, pa.Array]:
+    """(keys, times), one list of each for every row."""
+    put = np.lexsort((keys, rows))
+    keys, rows = keys[put], rows[put]
+    new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])]) if len(keys) else np.zeros(0, np.int64)
+    times = np.diff(np.r_[new, len(keys)])
+    cuts = pa.array(np.r_[0, np.cumsum(np.bincount(rows[new], minlength=n_rows))].astype(np.int32))
+    return pa.ListArray.from_arrays(cuts, pa.array(as_long(keys[new]))), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32)))
+
+
+def answered(keys: np.ndarray, rows: np.ndarray, n_rows: int, known: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """By row: the sum of the known chances, and (keys, times) of the pairs that aren't among them."""
+    if not len(known):
+        return np.zeros(n_rows), *counted_per_row(keys, rows, n_rows)
+    one, back = np.unique(keys, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, one), len(known) - 1)
+    hit = known[at] == one
+    total = np.bincount(rows, weights=np.where(hit, chance[at], 0.0)[back], minlength=n_rows)
+    rest = ~hit[back]
+    return total, *counted_per_row(keys[rest], rows[rest], n_rows)
+
+
+def _full_trie(context: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> Trie:
+    keys, inverse = np.unique(context, return_inverse=True)
+    return Trie.build(context, symbol, n, keys, np.bincount(inverse, weights=n, minlength=len(keys)))
+
+
+def answers(words: DataFrame, texts: DataFrame, ends: int, scratch: Scratch) -> DataFrame:
+    """(q, asked, p): the log10 chance of every pair that ``words`` (word, n_train) or ``texts`` (text, train) ask for; ``ends`` texts are for training."""
+    spark, kinds = words.sparkSession, "context long, symbol int, n long, asked long"
+    branches = words.select("word", "n_train").mapInArrow(_word_branches, kinds).unionAll(texts.select("text", "train").mapInArrow(_text_branches, kinds))
     if ends:
-        branches = branches.unionAll(spark.createDataFrame([(int(_TAG[0]), END, ends), (int(_TAG[1]) | BLANK, END, ends)], kinds))
-    kept = Scratch(spark).save(branches, "branches")
-    least = BRANCH_SHARE * (kept.where(F.shiftright("context", 52) == 1).agg(F.sum("n")).first()[0] or 0)
-    # a total is needed only of contexts with a branch that is kept
-    totals = kept.groupBy("context").agg(F.sum("n").alias("n"), F.max("n").alias("top")).where(F.col("top") >= least).select("context", "n").toPandas()
-    found = kept.where(F.col("n") >= least).toPandas()
-    as_key = lambda x: x.to_numpy(np.int64).view(np.uint64)
-    return Trie.build(as_key(found["context"]), found["symbol"].to_numpy(np.int64), found["n"].to_numpy(np.int64), as_key(totals["context"]), totals["n"].to_numpy(np.int64))
+        branches = branches.unionAll(spark.createDataFrame([(int(_TAG[0]), END, ends, 0), (int(_TAG[1]) | BLANK, END, ends, 0)], kinds))
+    every = scratch.save(branches.groupBy("context", "symbol").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")), "branches")
+    short = every.where((F.shiftright("context", 52) <= ROOT) & (F.col("n") > 0)).toPandas()
+    root = spark.sparkContext.broadcast((short["context"].to_numpy(np.int64).view(np.uint64), short["symbol"].to_numpy(np.int64), short["n"].to_numpy(np.int64)))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), schema=pa.schema([("context", pa.int64()), ("symbol", pa.int32()), ("n", pa.int64()), ("asked", pa.int64())]))
+        if not table.num_rows:
+            return
+        context, symbol, n, asked = (table.column(c).to_numpy() for c in ("context", "symbol", "n", "asked"))
+        context, symbol = np.ascontiguousarray(context).view(np.uint64), symbol.astype(np.int64)
+        mine = (n > 0) & (context >> np.uint64(52) > ROOT)
+        trie = _full_trie(*(np.concatenate(x) for x in zip(root.value, (context[mine], symbol[mine], n[mine]), strict=True)))
+        for k in range(0, len(context), 1 << 18):
+            some = np.flatnonzero(asked[k : k + (1 << 18)]) + k
+            order = (context[some] >> np.uint64(52)).astype(np.int64) - 1
+            p = trie.log_chance(context[some], order, symbol[some])
+            yield pa.RecordBatch.from_arrays([pa.array(as_long((context[some] << np.uint64(8)) | symbol[some].astype(np.uint64))), pa.array(asked[some]), pa.array(p)], ["q", "asked", "p"])
+
+    deep = every.where((F.shiftright("context", 52) > ROOT) | (F.col("asked") > 0))
+    shards = max(1, -(-every.count() // SHARD_ROWS))
+    found = scratch.save(deep.repartition(shards, F.expr(f"context & {(1 << (8 * ROOT)) - 1}")).mapInArrow(scored, "q long, asked long, p double"), "answers")
+    scratch.drop(every)
+    return found
+
+
+def most_asked(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted pairs, their chances) of at most CACHED answers."""
+    least, held = 1, 0
+    for r in sorted(found.groupBy("asked").count().collect(), key=lambda r: -r["asked"]):
+        held += r["count"]
+        if held > CACHED:
+            least = r["asked"] + 1
+            break
+    some = found.where(F.col("asked") >= least).select("q", "p").toPandas()
+    q = some["q"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(q)
+    return q[order], some["p"].to_numpy(np.float64)[order]
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -302,8 +373,9 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     ends = rows.where("train").count()
     sums = words.agg(F.sum("n"), F.sum("n_train"), F.count(F.when(F.col("n_train") > 0, 1))).first()
     every, n_train, v = (sums[0] or 0), (sums[1] or 0) + ends, (sums[2] or 0) + (ends > 0)
-    trie = train_trie(words, rows.where("train"), ends)
-    shared = spark.sparkContext.broadcast(trie)
+    chances = answers(words, rows.select("text", "train"), ends, scratch)
+    cached = spark.sparkContext.broadcast(most_asked(chances))
+    asks = chances.select(F.col("q").alias("ask"), "p")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,9 +383,17 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                 part = batch.slice(k, 1 << 15)
                 c = part.column("n_train").to_numpy()
                 base = np.log10((c + 1) / (n_train + v + 1))
-                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("n"), pa.array((c > 0).astype(np.int32)), pa.array(base), pa.array(word_scores(part.column("word"), shared.value))], ["h", "n", "known", "base", "ppm"])
+                ppm, ask, ask_times = answered(*word_pairs(part.column("word")), part.num_rows, *cached.value)
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("n"), pa.array((c > 0).astype(np.int32)), pa.array(base), pa.array(ppm), ask, ask_times], ["h", "n", "known", "base", "ppm", "ask", "ask_times"])
+
+    def joined(rows: DataFrame, key: str) -> DataFrame:
+        """(key, p): the summed chances of the pairs that each row still asks for."""
+        each = rows.select(key, F.explode(F.arrays_zip("ask", "ask_times")).alias("x")).select(key, F.col("x.ask").alias("ask"), F.col("x.ask_times").alias("times"))
+        return each.join(asks, "ask").select(key, (F.col("times") * F.col("p")).alias("p"))
 
-    table = scratch.save(words.select("h", "word", "n", "n_train").mapInArrow(scored, "h long, n long, known int, base double, ppm double"), "word-scores")
+    partly = scratch.save(words.select("h", "word", "n", "n_train").mapInArrow(scored, "h long, n long, known int, base double, ppm double, ask array<long>, ask_times array<int>"), "word-parts")
+    whole = joined(partly, "h").groupBy("h").agg(F.sum("p").alias("p"))
+    table = scratch.save(partly.join(whole, "h", "left").select("h", "n", "known", "base", (F.col("ppm") + F.coalesce("p", F.lit(0.0))).alias("ppm")), "word-scores")
     often = table.where(F.col("n") >= FREQUENT_SHARE * max(every, 1)).orderBy("h").toPandas()
     order = np.argsort(often["h"].to_numpy(np.int64).view(np.uint64))
     frequent = spark.sparkContext.broadcast((often["h"].to_numpy(np.int64).view(np.uint64)[order], often[["known", "base", "ppm"]].to_numpy(np.float64)[order]))
@@ -330,26 +410,23 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                 h = span_hashes(LOWER_VALUES[data], *text.words) if len(of) else np.zeros(0, np.uint64)
                 at = look.find(h) if look else np.full(len(h), -1)
                 hit = at >= 0
-                parts = [np.bincount(of[hit], weights=values[at[hit], j], minlength=k) + more for j, more in enumerate((*end, head_scores(text, shared.value)))]
-                rest, owner = h[~hit], of[~hit]
-                put = np.lexsort((rest, owner))
-                rest, owner = rest[put], owner[put]
-                new = np.flatnonzero(np.r_[True, (rest[1:] != rest[:-1]) | (owner[1:] != owner[:-1])]) if len(rest) else np.zeros(0, np.int64)
-                times = np.diff(np.r_[new, len(rest)])
-                cuts = np.r_[0, np.cumsum(np.bincount(owner[new], minlength=k))].astype(np.int32)
+                heads, ask, ask_times = answered(*head_pairs(text), k, *cached.value)
+                parts = [np.bincount(of[hit], weights=values[at[hit], j], minlength=k) + more for j, more in enumerate((*end, heads))]
+                rest, times = counted_per_row(h[~hit], of[~hit], k)
                 ids = [batch.column(c).slice(first, k) for c in ("uid", "doc_id", "held_out")]
                 n = np.bincount(of, minlength=k) + 1
                 yield pa.RecordBatch.from_arrays(
-                    [*ids, pa.array(n.astype(np.int64)), pa.array(np.rint(parts[0]).astype(np.int64)), pa.array(parts[1]), pa.array(parts[2]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(as_long(rest[new]))), pa.ListArray.from_arrays(pa.array(cuts), pa.array(times.astype(np.int32)))],
-                    ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "ppm", "rest", "times"],
+                    [*ids, pa.array(n.astype(np.int64)), pa.array(np.rint(parts[0]).astype(np.int64)), pa.array(parts[1]), pa.array(parts[2]), rest, times, ask, ask_times],
+                    ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "ppm", "rest", "times", "ask", "ask_times"],
                 )
 
     texts = rows.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", (~F.col("train")).alias("held_out"), "text")
-    sums = scratch.save(texts.mapInArrow(summed, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, ppm double, rest array<long>, times array<int>"), "sums")
+    sums = scratch.save(texts.mapInArrow(summed, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, ppm double, rest array<long>, times array<int>, ask array<long>, ask_times array<int>"), "sums")
     each = sums.select("uid", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("uid", F.col("x.rest").alias("h"), F.col("x.times").alias("times"))
     found = each.join(table.select("h", F.col("known").alias("k"), F.col("base").alias("b"), F.col("ppm").alias("p")), "h")
-    more = found.groupBy("uid").agg(F.sum(F.col("times") * F.col("k")).alias("k"), F.sum(F.col("times") * F.col("b")).alias("b"), F.sum(F.col("times") * F.col("p")).alias("p"))
+    found = found.select("uid", *((F.col("times") * F.col(c)).alias(c) for c in "kbp")).unionAll(joined(sums, "uid").select("uid", F.lit(0).alias("k"), F.lit(0.0).alias("b"), "p"))
+    more = found.groupBy("uid").agg(*(F.sum(c).alias(c) for c in "kbp"))
     copies = sums.groupBy("uid").agg(F.count("*").alias("copies"))  # equal rows have one uid, under which all their words were added
-    out = sums.drop("rest", "times").join(more.join(copies, "uid"), "uid", "left")
+    out = sums.drop("rest", "times", "ask", "ask_times").join(more.join(copies, "uid"), "uid", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b) / F.col("copies"), F.lit(0.0))
     return out.select("doc_id", "held_out", "n_tokens", F.round(plus("known", "k")).cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), plus("base", "b").alias("base_score"), plus("ppm", "p").alias("score"))

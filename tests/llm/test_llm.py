@@ -134,3 +134,50 @@ def test_languages_and_toxic_words_are_learnt(spark):
     toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     seen = [(toxic[r["doc_id"]], r["predicted"]) for r in queries.op6_toxicity(spark, folder).collect() if r["doc_id"] in toxic and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
     assert sum(p for t, p in seen if t == 0) <= 2 and sum(p for t, p in seen if t) >= 0.7 * sum(t for t, _ in seen)
+
+
+def brute_scores(train, times, held):
+    """op4's model by its definition, one symbol after the other."""
+    def symbols(text):
+        words = text.lower().split()
+        for j, w in enumerate([*words, None]):
+            s = "\n" if w is None else w + " "
+            before = " " + "".join(x + " " for x in words[:j])
+            for i, c in enumerate(s):
+                past = before + s[:i]
+                yield past[-min(len(past), ppm.ORDER, i + 1 + ppm.TAIL) :] if i < ppm.HEAD else past[-ppm.ORDER :], c, i
+
+    count = {}
+    for text, n in zip(train, times, strict=True):
+        for past, c, _ in symbols(text):
+            for k in range(len(past) + 1):
+                of = count.setdefault(past[len(past) - k :], {})
+                of[c] = of.get(c, 0) + n
+
+    def chance(past, c):
+        p, out = 1.0, set()
+        for k in range(len(past), -1, -1):
+            of = count.get(past[len(past) - k :])
+            if of:
+                rest = sum(n for s, n in of.items() if s not in out) + sum(0.5 for s in of if s in out)
+                if c in of:
+                    return p * (of[c] - 0.5) / rest
+                p *= 0.5 * len(of) / rest
+                out = set(of)
+        return p / (ppm.SYMBOLS - len(count.get("", {})))
+
+    return [sum(np.log10(chance(past, c)) for past, c, _ in symbols(text)) for text in held]
+
+
+@pytest.mark.parametrize("cached", [500_000, 20])
+def test_lm_scores_are_those_of_the_whole_model(spark, monkeypatch, cached):
+    monkeypatch.setattr(ppm, "CACHED", cached, raising=False)
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(1, 12)))
+    rare = [" ".join(word() for _ in range(30)) for _ in range(3)]
+    train, times = ["common words fill the corpus " * 40, *rare], [4000, 1, 1, 1]  # over 4 MB, where counts of one and two were dropped
+    held = [rare[0], rare[1][5:60] + " " + word(), "", "common zq words", word()]
+    rows = spark.range(4000).select((F.col("id") * 2).alias("doc_id"), F.lit(train[0]).alias("text"))
+    rows = rows.unionAll(spark.createDataFrame([(10_000 + 2 * i, t) for i, t in enumerate(rare)] + [(2 * i + 1, t) for i, t in enumerate(held)], "doc_id long, text string"))
+    got = {x["doc_id"]: x["score"] for x in ppm.score(rows, F.col("doc_id") % 2 == 1).where("held_out").collect()}
+    assert [got[2 * i + 1] for i in range(len(held))] == pytest.approx(brute_scores(train, times, held), abs=1e-8)
