@@ -4,7 +4,10 @@ Signatures are ``m`` bucket registers of a set (a min-hash per bucket, or
 "empty"). A band is a run of registers; two sets are candidates where a whole
 band agrees. How many bands a set gets depends on its size: a set of few
 elements differs from a partner in fewer elements than it has bands, so that
-some band must agree (no link can be missed); a large set gets the most bands.
+some band must agree; a large set gets the most bands. The band that agrees may
+hold no element and give no key: small sets whose filled bands are so few that
+all of them could differ get their first elements in hash order as keys too
+(prefix filter), so that no link of small sets can be missed.
 """
 
 from __future__ import annotations
@@ -62,6 +65,36 @@ def band_keys(registers: np.ndarray, sizes: np.ndarray, empty: int, most: int, p
     return np.concatenate(rows_out), np.concatenate(keys_out)
 
 
+def few_filled(registers: np.ndarray, sizes: np.ndarray, empty: int, most: int, percent: int) -> np.ndarray:
+    """Which rows might differ from a partner in all their filled bands, at a level that promises a band that agrees."""
+    out = np.zeros(len(sizes), bool)
+    steps = levels(registers.shape[1], most, percent)
+    tops = np.array([top for _, top in steps])
+    larger = np.floor(sizes * 100 / percent)
+    own, more = np.searchsorted(tops, sizes), np.searchsorted(tops, larger)
+    for k, (n, top) in enumerate(steps[:-1]):
+        rows = np.flatnonzero(((own == k) | (more == k)) & (sizes > 0))
+        filled = (registers[rows].reshape(len(rows), n, registers.shape[1] // n) != empty).any(axis=2).sum(axis=1)
+        differ = (sizes[rows] + np.minimum(larger[rows], np.floor(top))) * (100 - percent) // (100 + percent)
+        out[rows] |= filled <= differ
+    return out
+
+
+def first_elements(hashes: np.ndarray, rows: np.ndarray, which: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the first n(1-s)+1 elements of each row in ``which`` (a mask); two sets of the similarity share one."""
+    some = which[rows]
+    hashes, rows = hashes[some], rows[some]
+    order = np.lexsort((hashes, rows))
+    hashes, rows = hashes[order], rows[order]
+    if len(rows):
+        once = np.r_[True, (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])]
+        hashes, rows = hashes[once], rows[once]
+    n = np.bincount(rows, minlength=len(which))
+    place = np.arange(len(rows)) - (np.cumsum(n) - n)[rows]
+    keep = 100 * place <= (100 - percent) * n[rows]
+    return rows[keep], fold_hashes([hashes[keep]], 64)
+
+
 def _sized(pairs: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b), a < b, whose set sizes allow the similarity."""
     fits = pairs.where(f"a <> b and 100 * least(na, nb) >= {percent} * greatest(na, nb)")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bands import band_keys, links
+from .bands import band_keys, few_filled, first_elements, links
 from .common import ROW_BITS, SPACE, Scratch, as_long, mix, powers, span_hashes, text_bytes, text_chunks
 
 WIDTH = 8  # characters of a shingle
@@ -121,10 +121,12 @@ def _lines(min_words: int, percent: int):
                 new.append(h[where])
                 n, keys = np.zeros(len(h), np.int64), [np.zeros(0, np.uint64)]
                 at = [np.zeros(0, np.int64)]
-                regs, n[where] = signatures(*lines.shingles(where), len(where))
-                r, k = band_keys(regs, n[where], EMPTY, BANDS, percent)
-                at.append(where[r])
-                keys.append(k)
+                hashes, owner = lines.shingles(where)
+                regs, n[where] = signatures(hashes, owner, len(where))
+                few = few_filled(regs, n[where], EMPTY, BANDS, percent)
+                for r, k in (band_keys(regs, n[where], EMPTY, BANDS, percent), first_elements(hashes, owner, few, percent)):
+                    at.append(where[r])
+                    keys.append(k)
                 at, keys = np.concatenate(at), np.concatenate(keys)
                 order = np.argsort(at, kind="stable")
                 ends = np.r_[0, np.cumsum(np.bincount(at, minlength=len(h)))].astype(np.int32)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bands import band_keys, links
+from .bands import band_keys, few_filled, first_elements, links
 from .common import Scratch, as_long, distinct_per_row, mix, shingles, text_bytes, text_chunks, word_hashes
 from .graph import components
 
@@ -71,8 +71,8 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (share - by_chance) / (1 - by_chance), count
 
 
-def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, s1, s2, regs): shingle count, two sums that stand for the set, registers."""
+def sketch(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, n, s1, s2, regs, firsts): shingle count, two sums that stand for the set, registers, keys that bands may lack."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,12 +86,14 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                     ends = np.cumsum(n)
                     sums.append(as_long(total[ends] - total[ends - n]))
                 regs = registers(h, rows, k)
+                at, keys = first_elements(h, rows, few_filled(regs, n, EMPTY, BANDS, percent), percent)
+                cuts = np.r_[0, np.cumsum(np.bincount(at, minlength=k))].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(first, k), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(np.arange(0, (k + 1) * 2 * M, 2 * M, dtype=np.int32)), pa.py_buffer(regs)])],
-                    ["id", "n", "s1", "s2", "regs"],
+                    [batch.column("id").slice(first, k), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(np.arange(0, (k + 1) * 2 * M, 2 * M, dtype=np.int32)), pa.py_buffer(regs)]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(as_long(keys)))],
+                    ["id", "n", "s1", "s2", "regs", "firsts"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, regs binary")
+    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, regs binary, firsts array<long>")
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -107,7 +109,8 @@ def bands_of(sketches: DataFrame, percent: int) -> DataFrame:
                 ids = batch.column("id").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(as_long(keys)), pa.array(ids[rows]), pa.array(n[rows].astype(np.int32))], ["key", "id", "n"])
 
-    return sketches.select("id", "n", "regs").mapInArrow(run, "key long, id long, n int")
+    more = sketches.select(F.explode("firsts").alias("key"), "id", F.col("n").cast("int").alias("n"))
+    return sketches.select("id", "n", "regs").mapInArrow(run, "key long, id long, n int").unionAll(more)
 
 
 def _near(percent: int):
@@ -170,7 +173,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     ``width``-word shingles; component_id is the smallest doc_id reachable."""
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sketches = scratch.save(sketch(texts, width), "sketches")
+    sketches = scratch.save(sketch(texts, width, percent), "sketches")
     filled = sketches.where("n > 0 and id is not null")
     classes = scratch.save(filled.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "classes")
     reps = scratch.save(filled.join(classes.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"]).dropDuplicates(["id", "s1", "s2"]), "representatives")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fabula.llm import bpe, decontaminate, html_text, langid, line_dedup, media, near_dup, pii, ppm, queries, toxicity
+from fabula.llm import bands, bpe, decontaminate, html_text, langid, line_dedup, media, near_dup, pii, ppm, queries, toxicity
 from fabula.llm.common import text_chunks
 
 KIND = "doc_id long, text string, id string, key int"
@@ -181,3 +181,33 @@ def test_lm_scores_are_those_of_the_whole_model(spark, monkeypatch, cached):
     rows = rows.unionAll(spark.createDataFrame([(10_000 + 2 * i, t) for i, t in enumerate(rare)] + [(2 * i + 1, t) for i, t in enumerate(held)], "doc_id long, text string"))
     got = {x["doc_id"]: x["score"] for x in ppm.score(rows, F.col("doc_id") % 2 == 1).where("held_out").collect()}
     assert [got[2 * i + 1] for i in range(len(held))] == pytest.approx(brute_scores(train, times, held), abs=1e-8)
+
+
+def test_no_link_of_small_sets_is_missed():
+    r = np.random.default_rng(5)
+    lost = 0
+    for m, most, of, empty in ((near_dup.M, near_dup.BANDS, near_dup.registers, near_dup.EMPTY), (line_dedup.M, line_dedup.BANDS, lambda h, rows, n: line_dedup.signatures(h, rows, n)[0], line_dedup.EMPTY)):
+        top = int(bands.levels(m, most, 80)[-2][1])
+        for a in range(1, top + 1):
+            for b in range(a, min(top, a * 5 // 4) + 1):
+                both = -(-4 * (a + b) // 9)
+                if both > a:
+                    continue
+                for _ in range(40 if a < 20 else 4):
+                    x = r.integers(0, 1 << 63, a + b - both).astype(np.uint64)
+                    h, rows, n = np.r_[x[:a], x[a - both :]], np.r_[np.zeros(a, np.int64), np.ones(b, np.int64)], np.array([a, b])
+                    regs = of(h, rows, 2)
+                    at, key = (np.concatenate(v) for v in zip(bands.band_keys(regs, n, empty, most, 80), bands.first_elements(h, rows, bands.few_filled(regs, n, empty, most, 80), 80), strict=True))
+                    lost += not len(np.intersect1d(key[at == 0], key[at == 1]))
+    assert lost == 0
+
+
+def test_short_near_duplicates_are_those_of_brute_force(spark):
+    r = random.Random(6)
+    rows = []
+    for i in range(400):  # 8 and 7 words: 4 and 3 of 5 shingles; 4 of 5 is the limit
+        words = [f"w{r.randrange(10**9)}" for _ in range(r.choice([8, 9, 13, 17]))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-1]))]
+    got = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in rows)}
+    assert got == {i: i - 1 if i % 2 and 5 * len(sets[i] & sets[i - 1]) >= 4 * len(sets[i] | sets[i - 1]) else i for i in sets}
