@@ -32,6 +32,8 @@ WIDTH = 8  # characters of a shingle
 M = 48  # buckets
 BANDS = 12  # of 4 registers; a pair at 0.8 is missed with a chance of 0.002, at 0.9 of 0.00001
 MIN_WORDS = 5
+#: Lines whose signatures one sort makes.
+MOST_ROWS = (1 << ROW_BITS) - 1
 EMPTY = np.uint64((1 << 41) - 1)
 _STEP = 0xA0761D6478BD642F
 _STEP_INV = pow(_STEP, -1, 1 << 64)
@@ -121,12 +123,14 @@ def _lines(min_words: int, percent: int):
                 new.append(h[where])
                 n, keys = np.zeros(len(h), np.int64), [np.zeros(0, np.uint64)]
                 at = [np.zeros(0, np.int64)]
-                hashes, owner = lines.shingles(where)
-                regs, n[where] = signatures(hashes, owner, len(where))
-                few = few_filled(regs, n[where], EMPTY, BANDS, percent)
-                for r, k in (band_keys(regs, n[where], EMPTY, BANDS, percent), first_elements(hashes, owner, few, percent)):
-                    at.append(where[r])
-                    keys.append(k)
+                for i in range(0, len(where), MOST_ROWS):  # one long text can hold more lines than a sort key can number
+                    some = where[i : i + MOST_ROWS]
+                    hashes, owner = lines.shingles(some)
+                    regs, n[some] = signatures(hashes, owner, len(some))
+                    few = few_filled(regs, n[some], EMPTY, BANDS, percent)
+                    for r, k in (band_keys(regs, n[some], EMPTY, BANDS, percent), first_elements(hashes, owner, few, percent)):
+                        at.append(some[r])
+                        keys.append(k)
                 at, keys = np.concatenate(at), np.concatenate(keys)
                 order = np.argsort(at, kind="stable")
                 ends = np.r_[0, np.cumsum(np.bincount(at, minlength=len(h)))].astype(np.int32)

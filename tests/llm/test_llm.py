@@ -211,3 +211,15 @@ def test_short_near_duplicates_are_those_of_brute_force(spark):
     got = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in rows)}
     assert got == {i: i - 1 if i % 2 and 5 * len(sets[i] & sets[i - 1]) >= 4 * len(sets[i] | sets[i - 1]) else i for i in sets}
+
+
+def test_a_text_of_very_many_lines_gets_all_its_keys():
+    count = (1 << 17) + 50
+    text = "\n".join(f"line {i * 7919 % 1_000_003} of a long text {i}" for i in range(count))
+    run = line_dedup._lines(line_dedup.MIN_WORDS, 80)
+    got = next(run(iter([pa.record_batch({"id": pa.array([1]), "text": pa.array([text])})])))
+    lines = text.split("\n")
+    sizes = [len({x[k : k + 8] for k in range(len(x) - 7)}) for x in lines]
+    assert got.num_rows == count and got.column("n").to_pylist() == sizes
+    last = next(run(iter([pa.record_batch({"id": pa.array([1]), "text": pa.array(["\n".join(lines[-40:])])})])))
+    assert got.column("keys").to_pylist()[-40:] == last.column("keys").to_pylist()
