@@ -1,10 +1,12 @@
 """Toxicity from a learnt lexicon, misspellings included.
 
 Training documents give the lexicon: words, and beginnings of words, that
-toxic documents use far oftener than others. Its words form a trie; the trie
-intersected with the Levenshtein automaton of distance 1 becomes one
-deterministic automaton, which all words of a text run through at once, so
-that misspelled terms are caught. Hits within quotation marks, or near a word
+toxic documents use far oftener than others. All its words form a trie; the
+trie intersected with the Levenshtein automaton of distance 1 becomes one
+deterministic automaton, made as far as words lead, which all words of a text
+run through at once, so that misspelled terms are caught. A misspelling weighs
+what the training documents with its term or a misspelling of it say, so that
+short terms, which many words are near to, weigh little. Hits within quotation marks, or near a word
 that reports speech, are summed apart from plain ones. A logistic regression
 on these sums gives the score.
 
@@ -34,9 +36,8 @@ TRAIN_DOCS = 6_000
 MIN_DOCS = 3
 MIN_WEIGHT = 2.0
 MAX_TERMS = 4_000
-#: Terms whose misspellings the automaton accepts: the weightiest, of this length or more.
-FUZZY_TERMS = 150
-FUZZY_LENGTH = 5
+#: The weight of a misspelling as a share of what its documents say.
+FUZZY_SHARE = 0.8
 PREFIXES = (4, 5, 6, 7, 8)
 FEATURES = 3
 #: Words on either side that can mark a hit as reported speech.
@@ -49,11 +50,11 @@ QUOTES = "\"«»„“”"
 class Automaton:
     """Words within Levenshtein distance 1 of a trie's terms, made deterministic by subsets.
 
-    States are sets of (trie node, errors); column 0 stands for characters of no term."""
+    States are sets of (trie node, errors), made when a word first leads to them; column 0 stands for characters of no term."""
 
     def __init__(self, terms: list[str]):
         nodes: list[dict[int, int]] = [{}]
-        ends: dict[int, int] = {}
+        self.ends: dict[int, int] = {}
         self.alphabet = np.array(sorted({ord(c) for t in terms for c in t}), np.uint32)
         symbol = {int(c): i + 1 for i, c in enumerate(self.alphabet)}
         for k, t in enumerate(terms):
@@ -64,43 +65,38 @@ class Automaton:
                     nodes.append({})
                     nodes[at][s] = len(nodes) - 1
                 at = nodes[at][s]
-            ends[at] = k
-
-        def closed(pairs: set[tuple[int, int]]) -> frozenset:
-            grown = pairs | {(c, 1) for n, e in pairs if e == 0 for c in nodes[n].values()}
-            return frozenset(p for p in grown if p[1] == 0 or (p[0], 0) not in grown)
-
-        def step(state: frozenset, s: int) -> frozenset:
-            out = set()
-            for n, e in state:
-                if s in nodes[n]:
-                    out.add((nodes[n][s], e))
-                if e == 0:
-                    out.add((n, 1))
-                    out.update((c, 1) for c in nodes[n].values())
-            return closed(out)
-
-        start = closed({(0, 0)})
-        index, order, rows = {frozenset(): 0, start: 1}, [frozenset(), start], []
-        for state in order:
-            used = {s for n, _ in state for s in nodes[n]}
-            other = step(state, 0) if state else frozenset()
-            row = []
-            for s in range(len(self.alphabet) + 1):
-                to = step(state, s) if s in used else other
-                if to not in index:
-                    index[to] = len(order)
-                    order.append(to)
-                row.append(index[to])
-            rows.append(row)
-        self.table = np.array(rows, np.int32)
-        self.term = np.full(len(order), -1, np.int32)
-        self.exact = np.zeros(len(order), bool)
-        for i, state in enumerate(order):
-            for e in (1, 0):
-                found = [ends[n] for n, x in state if x == e and n in ends]
-                if found:
-                    self.term[i], self.exact[i] = min(found), e == 0
+            self.ends[at] = k
+        self.nodes = nodes
+        self.index: dict[frozenset, int] = {}
+        self.states: list[frozenset] = []
+        self.found: list[list[int]] = []  # of each state, the terms it accepts
+        self.table = np.full((2, len(self.alphabet) + 1), -1, np.int32)
+        self._number(frozenset())
+        self._number(self._closed({(0, 0)}))
+        self.table[0] = 0
+
+    def _closed(self, pairs: set[tuple[int, int]]) -> frozenset:
+        grown = pairs | {(c, 1) for n, e in pairs if e == 0 for c in self.nodes[n].values()}
+        return frozenset(p for p in grown if p[1] == 0 or (p[0], 0) not in grown)
+
+    def _step(self, state: frozenset, s: int) -> frozenset:
+        out = set()
+        for n, e in state:
+            if s in self.nodes[n]:
+                out.add((self.nodes[n][s], e))
+            if e == 0:
+                out.add((n, 1))
+                out.update((c, 1) for c in self.nodes[n].values())
+        return self._closed(out)
+
+    def _number(self, state: frozenset) -> int:
+        if state not in self.index:
+            self.index[state] = len(self.states)
+            self.states.append(state)
+            self.found.append(sorted({self.ends[n] for n, _ in state if n in self.ends}))
+            if len(self.states) > len(self.table):
+                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+        return self.index[state]
 
     def run(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The state in which each word leaves the automaton; 0 accepts nothing."""
@@ -111,10 +107,20 @@ class Automaton:
         while len(live):
             go = (at < ends[live]) & (state[live] != 0)
             live, at = live[go], at[go]
-            state[live] = self.table[state[live], symbols[at]]
+            old, s = state[live], symbols[at]
+            new = np.flatnonzero(self.table[old, s] < 0)
+            for x, y in np.unique(np.c_[old[new], s[new]], axis=0).tolist():
+                to = self._number(self._step(self.states[x], y))
+                self.table[x, y] = to
+            state[live] = self.table[old, s]
             at = at + 1
         return state
 
+    def terms(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, term) of all terms that the words which left in these states are near to."""
+        lists = [self.found[x] for x in state.tolist()]
+        return np.repeat(np.arange(len(state)), [len(x) for x in lists]), np.array([t for x in lists for t in x], np.int64)
+
 
 @dataclass
 class Model:
@@ -137,7 +143,7 @@ def prefix_hashes(runs: Runs, which: np.ndarray, length: int) -> tuple[np.ndarra
 
 
 def hits(runs: Runs, m: Model, look: dict[str, Lookup]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word: its weight as a lexicon word, as one with a lexicon beginning, and as a misspelt one (one is set)."""
+    """For each word: its weight as a lexicon word, as one with a lexicon beginning, and as a misspelt one."""
     h = runs.hashes()
     _, first, back = np.unique(h, return_index=True, return_inverse=True)
     exact, stem, near = np.zeros(len(first)), np.zeros(len(first)), np.zeros(len(first))
@@ -150,11 +156,9 @@ def hits(runs: Runs, m: Model, look: dict[str, Lookup]) -> tuple[np.ndarray, np.
         stem[owner[ok]] = np.maximum(stem[owner[ok]], m.prefix_weights[at[ok]])
     stem[exact > 0] = 0
     if m.fuzzy is not None:
-        todo = np.flatnonzero((exact == 0) & (stem == 0) & (runs.ends[first] - runs.starts[first] >= FUZZY_LENGTH - 1))
-        state = m.fuzzy.run(runs.points, runs.starts[first[todo]], runs.ends[first[todo]])
-        term = m.fuzzy.term[state]
-        ok = term >= 0
-        near[todo[ok]] = m.fuzzy_weights[term[ok]]
+        todo = np.flatnonzero(exact == 0)
+        at, term = m.fuzzy.terms(m.fuzzy.run(runs.points, runs.starts[first[todo]], runs.ends[first[todo]]))
+        np.maximum.at(near, todo[at], m.fuzzy_weights[term])
     return exact[back], stem[back], near[back]
 
 
@@ -224,6 +228,32 @@ def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([pa.array(as_long(keys)), pa.array(np.full(len(keys), length, np.int32)), pa.array(n1), pa.array(n0), pa.array(text, pa.string())], ["h", "length", "n1", "n0", "term"])
 
 
+def _near_documents(automaton):
+    """Rows (term, n1, n0): in how many toxic and other documents of a chunk a term or a misspelling of it occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column("toxic").to_numpy()
+            for first, stop, data, offs in text_chunks(batch.column("text")):
+                runs = Runs(data, offs, "alnum")
+                if not len(runs.starts):
+                    continue
+                _, one, back = np.unique(runs.hashes(), return_index=True, return_inverse=True)
+                at, term = automaton.value.terms(automaton.value.run(runs.points, runs.starts[one], runs.ends[one]))
+                pairs = np.unique(back.astype(np.int64) << 20 | runs.rows)  # each word of each text once
+                word, row = pairs >> 20, pairs & ((1 << 20) - 1)
+                lo, hi = np.searchsorted(word, at), np.searchsorted(word, at, "right")
+                where = np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange((hi - lo).sum()) if len(at) else lo
+                hit = np.unique(np.repeat(term, hi - lo) << 20 | row[where])
+                y = toxic[first:stop][hit & ((1 << 20) - 1)]
+                found, inv = np.unique(hit >> 20, return_inverse=True)
+                n1 = np.bincount(inv, weights=y, minlength=len(found)).astype(np.int64)
+                n0 = np.bincount(inv, minlength=len(found)) - n1
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n1), pa.array(n0)], ["term", "n1", "n0"])
+
+    return run
+
+
 def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights of a logistic regression on rows of weight ``w``, the constant last, by Newton steps."""
     x = np.c_[x, np.ones(len(x))]
@@ -262,11 +292,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, train_docs: int =
         h = part["h"].to_numpy(np.uint64)
         setattr(m, "words" if name == "word" else "prefixes", h)
         setattr(m, f"{name}_weights", part["w"].to_numpy(np.float64))
-    stems = set(p["term"])
-    long = w[(w["term"].str.len() >= FUZZY_LENGTH) & (w["n0"] == 0) & (w["n1"] >= max(MIN_DOCS, 0.01 * n1))]
-    long = [(t, x) for t, x in zip(long["term"], long["w"], strict=True) if not any(t[:n] in stems for n in PREFIXES[1:] if n < len(t))][:FUZZY_TERMS]
-    if long:
-        m.fuzzy, m.fuzzy_weights = Automaton([t for t, _ in long]), np.array([x for _, x in long]) * 0.8
+    if len(w):
+        m.fuzzy = Automaton(list(w["term"]))
+        near = rows.select("text", "toxic").mapInArrow(_near_documents(docs.sparkSession.sparkContext.broadcast(m.fuzzy)), "term long, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+        near = near.withColumn("w", weight).toPandas().sort_values("term")
+        m.fuzzy_weights = FUZZY_SHARE * np.clip(near["w"].to_numpy(np.float64), 0, w["w"].to_numpy(np.float64))
     shared = docs.sparkSession.sparkContext.broadcast(m)
 
     def run(batches):

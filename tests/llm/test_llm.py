@@ -223,3 +223,18 @@ def test_a_text_of_very_many_lines_gets_all_its_keys():
     assert got.num_rows == count and got.column("n").to_pylist() == sizes
     last = next(run(iter([pa.record_batch({"id": pa.array([1]), "text": pa.array(["\n".join(lines[-40:])])})])))
     assert got.column("keys").to_pylist()[-40:] == last.column("keys").to_pylist()
+
+
+def test_misspellings_of_all_lexicon_words_are_found(spark):
+    terms = ["pathetic", "worthless", "disgusting", "stupid"]
+    plain = [f"the house number{i} stands near the river and the old bridge" for i in range(300)]
+    docs = [(i, f"{x} {terms[i % 4]}" if i < 100 else x) for i, x in enumerate(plain)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in docs], "doc_id long, toxic int")
+    m = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels, F.lit(True))
+    look = toxicity._lookups(m)
+    words = [v for t in terms for i in range(len(t)) for v in (t[:i] + t[i + 1 :], t[:i] + "q" + t[i + 1 :], t[:i] + "q" + t[i:])]
+    data = " ".join(words).encode()
+    near = toxicity.hits(toxicity.Runs(np.frombuffer(data, np.uint8), np.array([0, len(data)]), "alnum"), m, look)[2]
+    assert dict(zip(words, near > 0)) == dict.fromkeys(words, True)
+    far = b"the river pathetiqqc stqqpid house"
+    assert not toxicity.hits(toxicity.Runs(np.frombuffer(far, np.uint8), np.array([0, len(far)]), "alnum"), m, look)[2].any()
