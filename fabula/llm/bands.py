@@ -8,23 +8,42 @@ some band must agree; a large set gets the most bands. The band that agrees may
 hold no element and give no key: small sets whose filled bands are so few that
 all of them could differ get their first elements in hash order as keys too
 (prefix filter), so that no link of small sets can be missed.
+
+Candidates are made in steps, each followed by a union, after which only keys
+and elements go on that still hold several components:
+
+1. each set of a key with the key's first one (in proportion to the rows);
+2. all pairs of different components in keys of BLOCK sets at most;
+3. sets of larger keys are matched by their rarest elements instead (prefix
+   filter). Of those, only elements that sets of several components hold count,
+   as a link that is still missing joins two components. Each set is compared
+   with the element's set that has most such elements, again after a union, and
+   at last all pairs that the counts leave possible.
+
+So a passage that very many sets share, or a large group of near copies, is not
+compared pair by pair, and no pair of different components is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold_hashes
+from .common import Scratch, as_long, fold_hashes, in_bits, key_bits
 from .graph import components
 
-#: Of the sets that share a band's key, so many are compared with each other at once, all others with the first one.
+#: Of keys with so many sets at most, all pairs of different components are compared.
 BLOCK = 8
 #: Of each shared rare element, so many before it are looked at, so that a pair seldom stands at two of them.
 BEFORE = 32
+#: Times that each set is compared with the most promising one of each of its elements.
+HUB_ROUNDS = 2
+#: Keys that a task sorts at once.
+GATHERED = 1 << 21
 
 
 def levels(m: int, most: int, percent: int) -> list[tuple[int, float]]:
@@ -95,92 +114,183 @@ def first_elements(hashes: np.ndarray, rows: np.ndarray, which: np.ndarray, perc
     return rows[keep], fold_hashes([hashes[keep]], 64)
 
 
-def _sized(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b), a < b, whose set sizes allow the similarity."""
-    fits = pairs.where(f"a <> b and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return fits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = GATHERED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, their ids) of runs of rows (id, keys) of about ``most`` keys."""
+    keys, ids, size = [], [], 0
+    for batch in batches:
+        lists = batch.column("keys")
+        k = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        keys.append(k)
+        ids.append(np.repeat(batch.column("id").to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)))
+        size += len(k)
+        if size >= most:
+            yield np.concatenate(keys), np.concatenate(ids)
+            keys, ids, size = [], [], 0
+    if size:
+        yield np.concatenate(keys), np.concatenate(ids)
+
+
+def _ends(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, least id, greatest id) of each key, in the order of keys."""
+    order = np.argsort(keys, kind="stable")
+    keys, ids = keys[order], ids[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
+
+
+def _dealt(buckets: int):
+    """Rows (bucket, keys, ids): of each key at most two ids of each run, the least and the greatest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, ids in _gathered(batches):
+            key, low, high = _ends(keys, ids)
+            two = low != high
+            rows = np.repeat(np.arange(len(key)), 1 + two)
+            out = low[rows]
+            out[(np.cumsum(1 + two) - 1)[two]] = high[two]
+            bucket = ((key[rows] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)  # keys are in order, so buckets are too
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            ends = pa.array(np.r_[cuts, len(bucket)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.ListArray.from_arrays(ends, pa.array(as_long(key[rows]))), pa.ListArray.from_arrays(ends, pa.array(out))], ["bucket", "keys", "ids"])
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, head): the keys of several ids, with the least one."""
+    keys, ids = [], []
+    for batch in batches:
+        keys.append(batch.column("keys").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+        ids.append(batch.column("ids").flatten().to_numpy(zero_copy_only=False))
+    if keys:
+        key, low, high = _ends(np.concatenate(keys), np.concatenate(ids))
+        two = low != high
+        yield pa.RecordBatch.from_arrays([pa.array(as_long(key[two])), pa.array(low[two])], ["key", "head"])
+
+
+def members_of(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, id, head) of the keys that several ids have; head is the least of those.
+
+    Keys are dealt out in runs, with two ids of each at most from each run, so
+    that a key that very many sets have is small before the shuffle. Sets with a
+    shared key are found by a bit table of fixed size and then joined."""
+    spark = keyed.sparkSession
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.mapInArrow(_dealt(buckets), "bucket int, keys array<long>, ids array<long>")
+    heads = scratch.save(dealt.repartition("bucket").mapInArrow(_shared, "key long, head long"), "heads")
+    bits = spark.sparkContext.broadcast(key_bits(heads, "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, ids in _gathered(batches):
+            some = in_bits(bits.value, keys)
+            pairs = np.unique(np.stack([as_long(keys[some]), ids[some]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["key", "id"])
+
+    found = scratch.save(keyed.mapInArrow(run, "key long, id long").distinct().join(heads, "key"), "members")
+    scratch.drop(heads)
+    return found
+
+
+def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the component c of each id."""
+    return rows.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+
+
+def _several(rows: DataFrame, key: str) -> DataFrame:
+    """(key, sets) of the keys with rows of several components."""
+    return rows.groupBy(key).agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("sets")).where("low < high").select(key, "sets")
+
+
+def _blocks(labelled: DataFrame, split: DataFrame) -> DataFrame:
+    """Pairs of different components in small keys, but for those with the head."""
+    few = labelled.where("id <> head").join(split.where(f"sets between 3 and {BLOCK}"), "key")
+    lists = few.groupBy("key").agg(F.collect_list(F.struct("id", "c")).alias("m"))
+    pairs = lists.selectExpr("inline(flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x.id as a, x.c as ca, y.id as b, y.c as cb)))))")
+    return pairs.where("ca <> cb").select("a", "b")
+
+
+def _open_elements(elements: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(x, id, n, q, i, c): the rarest open elements of each set, those that sets of several components hold.
 
+    q: how many open ones a set has, i: an element's place among them, the rarest
+    first. A link has percent of a set's n elements in common, all of them open
+    ones; so sets of fewer have none, and partners share one of the first
+    q - percent * n / 100 + 1 elements of each."""
+    held = elements.groupBy("x").agg(F.count("*").alias("f"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("x", "f")
+    one = Window.partitionBy("id")
+    placed = elements.join(held, "x").select("id", "x", "n", "c", F.count("*").over(one).alias("q"), F.row_number().over(one.orderBy("f", "x")).alias("i"))
+    return scratch.save(placed.where(f"100 * q >= {percent} * n").select("x", "id", "n", "q", F.col("i").cast("int").alias("i"), "c"), "open-elements")
 
-def _split(ranked: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, c): members, with their component, of the keys with more than a block that hold several components."""
-    large = ranked.where("block = 1").select("key").distinct()
-    labelled = ranked.join(large, "key", "left_semi").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    several = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    return scratch.save(labelled.join(several, "key", "left_semi").select("id", "c").distinct(), "split-keys")
 
+def _prefixes(keys: DataFrame, percent: int) -> DataFrame:
+    return keys.where(f"100 * (q - i + 1) >= {percent} * n")
 
-def _rare_keys(left: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
-    """(x, id, n, i, c, before): each set's rarest elements that some set of another component has among its own.
 
-    Elements stand in one order, the rarest among these sets first; i is an
-    element's place in its set, ``before`` the last ones before it. Two sets of
-    the similarity share an element among the first n(1-s)+1 of each, so a
-    passage that many sets share gives no key unless it makes up most of them."""
-    elements = scratch.save(sets(left.select("id")), "elements")
-    held = elements.groupBy("x").agg(F.count("*").alias("f"))
-    one = Window.partitionBy("id", "t")
-    placed = elements.join(held, "x").select("id", "t", "x", "f", F.count("*").over(one).alias("n"), F.row_number().over(one.orderBy("f", "x")).alias("i"))
-    keys = placed.where(f"f > 1 and 100 * (i - 1) <= {100 - percent} * n").join(left, "id")
-    several = keys.groupBy("x").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("x")
-    before = one.orderBy("i").rowsBetween(-BEFORE, -1)
-    keys = keys.join(several, "x", "left_semi").select("x", "id", "n", "i", "c", F.collect_list("x").over(before).alias("before"))
-    return scratch.save(keys, "rare-keys")
+def _possible(percent: int, common: str) -> str:
+    """Whether so many common elements are enough for the similarity."""
+    return f"{100 + percent} * {common} >= {percent} * (n_a + n_b)"
 
 
-def _neighbours(keys: DataFrame) -> DataFrame:
-    """Of each element, each set and the next one in a random order, if their components differ."""
-    order = Window.partitionBy("x").orderBy(F.xxhash64("id"), "n")
-    pairs = keys.select("id", "n", "c", *(F.lead(v).over(order).alias(f"{v}_b") for v in ("id", "n", "c"))).where("c <> c_b")
-    return pairs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("id_b").alias("b"), F.col("n_b").alias("nb"))
+def _hubs(keys: DataFrame, percent: int, turn: int, scratch: Scratch) -> DataFrame:
+    """Of each element, each set with the one that has the fewest elements besides open ones."""
+    gap = F.expr(f"(n - q) * 4294967296 + (xxhash64(id, {turn}) & 4294967295)")
+    hub = scratch.save(keys.groupBy("x").agg(*(F.min_by(v, gap).alias(f"{v}_b") for v in ("id", "n", "q", "c"))), "hubs")
+    pairs = keys.join(hub, "x").where("c <> c_b").withColumnsRenamed({"n": "n_a", "q": "q_a"})
+    return pairs.where(_possible(percent, "least(q_a, q_b)")).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
 
 
-def _all(keys: DataFrame, percent: int) -> DataFrame:
+def _all(keys: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs of sets of different components that share an element, and have after it as many as the similarity asks for.
 
     The bound holds at a pair's first common element, so no link is missed. A
     pair is left out where one of the elements just before is common too: it
     stands there."""
-    a, b = (keys.select("x", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "i", "c", "before"))) for s in "ab")
-    fits = f"c_a < c_b and {100 + percent} * (1 + least(n_a - i_a, n_b - i_b)) >= {percent} * (n_a + n_b)"
+    split = scratch.save(_several(keys, "x").select("x"), "split-elements")
+    before = Window.partitionBy("id").orderBy("i").rowsBetween(-BEFORE, -1)
+    keys = keys.join(split, "x", "left_semi").withColumn("before", F.collect_list("x").over(before))
+    a, b = (keys.select("x", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "q", "i", "c", "before"))) for s in "ab")
+    fits = f"c_a < c_b and {_possible(percent, '(1 + least(q_a - i_a, q_b - i_b))')}"
     pairs = a.join(b, "x").where(f"{fits} and not arrays_overlap(before_a, before_b)")
-    return pairs.select(F.col("id_a").alias("a"), F.col("n_a").alias("na"), F.col("id_b").alias("b"), F.col("n_b").alias("nb"))
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
-def links(bands: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+def links(keyed: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
     """(id, component) of all ids that some confirmed link joins to another.
 
-    bands: (key, id, n), n the set's size, rows may repeat; confirm: (a, b) candidates to the
-    true links among them, as (u, v); sets: (id) to the elements of those sets, (id, t, x) without
-    repeats, t telling apart sets of one id.
-
-    Sets stand in one random order. In each key all pairs of the first BLOCK
-    sets are candidates, and each further set with the first one. That is in
-    proportion to the rows, and as the order is one for all keys, copies are
-    compared with one head in all their bands. Sets of the keys with more than
-    a block that are in several components are matched again by their rarest
-    elements: first neighbours, which joins most of a group of near copies, then
-    all pairs of different components, which misses no link between those.
-    Pairs within a component add nothing."""
-    rank = Window.partitionBy("key").orderBy("at")
-    whole = rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = (
-        bands.select("key", "id", "n", F.xxhash64("id").alias("at"))
-        .select("key", "id", "n", F.dense_rank().over(rank).alias("rn"), F.min("id").over(whole).alias("low"), F.max("id").over(whole).alias("high"), F.first("id").over(whole).alias("head"), F.first("n").over(whole).alias("head_n"))
-        .where("low < high")
-        .select("key", "id", "n", "head", "head_n", "rn", F.expr(f"int((rn - 1) div {BLOCK})").alias("block"))
-    )
-    ranked = scratch.save(ranked, "shared-bands").distinct()
-    firsts = ranked.where("block = 0").groupBy("key").agg(F.collect_list(F.struct("id", "n")).alias("m"))
-    within = firsts.where("size(m) > 1").selectExpr("inline(flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x.id as a, x.n as na, y.id as b, y.n as nb)))))")
-    heads = ranked.where("block > 0").select(F.col("head").alias("a"), F.col("head_n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    edges = scratch.save(confirm(_sized(within.unionAll(heads), percent)), "links")
-    found = scratch.save(components(edges, scratch), "components")
-    left = _split(ranked, found, scratch)
+    keyed: (id, keys), rows may repeat; confirm: distinct (a, b) candidates to
+    the true links among them, as (u, v); sets: (id) to the elements of those
+    sets, (id, n, x) without repeats, n the set's size."""
+    members = members_of(keyed, scratch)
+    found: DataFrame | None = None
+
+    def unite(pairs: DataFrame) -> None:
+        nonlocal found
+        edges = scratch.save(confirm(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "links")
+        if found is None or not edges.isEmpty():
+            old = found
+            found = components(edges if old is None else old.select(F.col("id").alias("u"), F.col("component").alias("v")).unionAll(edges), scratch)
+            if old is not None:
+                scratch.drop(old)
+        scratch.drop(edges)
+
+    unite(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
+    labelled = scratch.save(_labelled(members, found), "labelled")
+    split = scratch.save(_several(labelled, "key"), "split")
+    unite(_blocks(labelled, split))
+    large = labelled.select("key", "id").join(split.where(f"sets > {BLOCK}").select("key"), "key", "left_semi")
+    large = scratch.save(_labelled(large, found), "large-keys")
+    still = scratch.save(_several(large, "key").select("key"), "split")
+    left = scratch.save(large.join(still, "key", "left_semi").select("id").distinct(), "left")
+    for done in (members, labelled, split, large, still):
+        scratch.drop(done)
     if left.isEmpty():
         return found
-    keys = _rare_keys(left, sets, percent, scratch)
-    for pairs in (_neighbours, lambda keys: _all(keys, percent)):
-        more = scratch.save(confirm(_sized(pairs(keys), percent)), "links")
-        found = scratch.save(components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionAll(more), scratch), "components")
-        keys = keys.drop("c").join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    elements = scratch.save(sets(left), "elements")
+    keys = _open_elements(_labelled(elements, found), percent, scratch)
+    scratch.drop(elements)
+    for turn in range(HUB_ROUNDS + 1):
+        now = scratch.save(_labelled(_prefixes(keys, percent).drop("c"), found), "rare-elements")
+        unite(_hubs(now, percent, turn, scratch) if turn < HUB_ROUNDS else _all(now, percent, scratch))
+        scratch.drop(now)
+    scratch.drop(keys)
     return found

@@ -2,12 +2,11 @@
 
 Lineage is cut with tables written below ``spark.checkpoint.dir``, the folder
 that a cluster names for the driver and all executors. Only where a session
-has no such setting (tests, a laptop) is a folder of our own chosen.
+has no such setting (tests, a laptop) do they go below the warehouse.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -25,10 +24,7 @@ ROW_BITS = 17
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name for scratch tables, in the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/fabula-{uuid.uuid4().hex}"
 
 
@@ -54,6 +50,39 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of the tables that filter rows before a join: 4 MB whatever the data. Where they fill up, more rows reach the join.
+FILTER_BITS = 25
+
+
+def _bitmaps(places: DataFrame) -> DataFrame:
+    """(bucket, bits): the places p (1 to 2**FILTER_BITS) as bitmaps of 2**15 bits, 2**10 rows at most."""
+    return places.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is in ``ids``; a bit table drops most others before the shuffle."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)) + 1
+    table = _bitmaps(ids.select(place.alias("p"))).select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, int(bitmap_bit_position(_p) div 8) + 1, 1)")), 16, 10).cast("int")
+    near = rows.withColumn("_p", place).join(F.broadcast(table), F.bitmap_bucket_number("_p") == F.col("_bucket"))
+    near = near.where(byte.bitwiseAND(F.expr("shiftleft(1, int(bitmap_bit_position(_p) % 8))")) != 0).select(*rows.columns)
+    return near.join(ids.select(key), key, "left_semi")
+
+
+def key_bits(keys: DataFrame, key: str) -> np.ndarray:
+    """A bit table of 64-bit hashes by their first FILTER_BITS bits, of fixed size, for ``in_bits``."""
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in _bitmaps(keys.select((F.shiftrightunsigned(key, 64 - FILTER_BITS) + 1).alias("p"))).collect():
+        out[(r["bucket"] - 1) << 12 : r["bucket"] << 12] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def in_bits(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which uint64 keys may be in the table."""
+    place = keys >> np.uint64(64 - FILTER_BITS)
+    return (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds`` (a null id counts as '')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)

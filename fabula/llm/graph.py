@@ -11,11 +11,14 @@ from .common import Scratch
 MAX_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are hung on its smallest one."""
+def _large_star(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(each node's larger neighbours hung on its smallest one, the table of smallest ones).
+
+    The smallest neighbours are written first, so that both sides of the join
+    are dealt out for it and a hub's rows can be split among tasks."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), least
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -36,11 +39,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     for _ in range(MAX_ROUNDS):
-        after = scratch.save(_small_star(_large_star(now)), "edges")
+        hung, least = _large_star(now, scratch)
+        after = scratch.save(_small_star(hung), "edges")
         new = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(now)
+        scratch.drop(least)
         now = after
         if new == mark or new[0] == 0:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+            roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+            found = scratch.save(now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots), "components")
+            scratch.drop(now)
+            return found
         mark = new
     raise RuntimeError("components did not settle")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bands import band_keys, few_filled, first_elements, links
-from .common import ROW_BITS, SPACE, Scratch, as_long, mix, powers, span_hashes, text_bytes, text_chunks
+from .common import ROW_BITS, SPACE, Scratch, among, as_long, mix, powers, span_hashes, text_bytes, text_chunks
 
 WIDTH = 8  # characters of a shingle
 M = 48  # buckets
@@ -51,6 +51,7 @@ class Lines:
     def __init__(self, data: np.ndarray, offs: np.ndarray, min_words: int):
         lead = (data & 0xC0) != 0x80
         at = np.r_[0, np.cumsum(lead)]
+        self.bytes = np.r_[np.flatnonzero(lead), len(data)]  # where each code point begins
         self.points, offs = _points(data), at[offs]
         n = len(self.points)
         feed = self.points == 10
@@ -75,6 +76,14 @@ class Lines:
         self.number = (feeds[starts] - feeds[offs[rows]])[keep]
         self.starts, self.ends, self.rows = starts[keep], ends[keep], rows[keep]
         self.values = mix(self.points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        self.data = data
+
+    def texts(self, which: np.ndarray) -> pa.Array:
+        """The lines of ``which`` as they stand."""
+        a, b = self.bytes[self.starts[which]], self.bytes[self.ends[which]]
+        cuts = np.r_[0, np.cumsum(b - a)]
+        flat = self.data[np.arange(cuts[-1]) + np.repeat(a - cuts[:-1], b - a)]
+        return pa.Array.from_buffers(pa.large_string(), len(which), [None, pa.py_buffer(cuts), pa.py_buffer(flat)]).cast(pa.string())
 
     def hashes(self) -> np.ndarray:
         return span_hashes(self.values, self.starts, self.ends)
@@ -107,7 +116,7 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarra
 
 
 def _lines(min_words: int, percent: int):
-    """Rows (h, doc_id, line, n, keys); keys only where a task meets a line the first time."""
+    """Rows (h, doc_id, line, n, keys, text); the last three only where a task meets a line the first time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.zeros(0, np.uint64)
@@ -135,9 +144,12 @@ def _lines(min_words: int, percent: int):
                 order = np.argsort(at, kind="stable")
                 ends = np.r_[0, np.cumsum(np.bincount(at, minlength=len(h)))].astype(np.int32)
                 ids = batch.column("id").slice(first, stop - first).to_numpy(zero_copy_only=False)
+                places = np.full(len(h), -1)
+                places[where] = np.arange(len(where))
+                text = lines.texts(where).take(pa.array(places, mask=places < 0))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(as_long(h)), pa.array(ids[lines.rows].astype(np.int64)), pa.array(lines.number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(as_long(keys[order])))],
-                    ["h", "doc_id", "line", "n", "keys"],
+                    [pa.array(as_long(h)), pa.array(ids[lines.rows].astype(np.int64)), pa.array(lines.number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(as_long(keys[order]))), text],
+                    ["h", "doc_id", "line", "n", "keys", "text"],
                 )
             if new:
                 met = np.unique(np.concatenate([met[-(1 << 18) :], *new]))
@@ -145,18 +157,6 @@ def _lines(min_words: int, percent: int):
     return run
 
 
-def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, text) of the wanted lines of each text."""
-    for batch in batches:
-        h, out = [], []
-        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            lines = text.split("\n")
-            for w in wanted:
-                h.append(w["h"])
-                out.append(lines[w["line"]])
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(out, pa.string())], ["h", "text"])
-
-
 def line_set(data: np.ndarray) -> np.ndarray:
     """Sorted distinct shingle hashes of one line's bytes."""
     lines = Lines(data, np.array([0, len(data)]), 0)
@@ -177,14 +177,19 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
 
 
 def _confirmed(percent: int):
+    """The (u, v) of rows (a, b, ta, tb) whose shingle sets have the similarity."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
+                a = batch.column("a").to_numpy()
+                heads, back = np.unique(a, return_index=True)[1], np.unique(a, return_inverse=True)[1]  # many rows have one a
+                left = _sets(batch.column("ta").take(pa.array(heads)))
                 keep = []
-                for x, y in zip(_sets(batch.column("ta")), _sets(batch.column("tb")), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                for i, y in zip(back.tolist(), _sets(batch.column("tb")), strict=True):
+                    both = len(np.intersect1d(left[i], y, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(left[i]) + len(y) - both))
                 mask = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], ["u", "v"])
 
@@ -192,48 +197,46 @@ def _confirmed(percent: int):
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, t, x): the shingles of each line; equal lines are one set, so t is 0."""
+    """(id, n, x): the shingles of each line, and how many they are."""
     for whole in batches:
         for k in range(0, whole.num_rows, 512):
             batch = whole.slice(k, 512)
             sets = _sets(batch.column("text"))
-            x = np.concatenate([np.zeros(0, np.uint64), *sets])
-            ids = np.repeat(batch.column("h").to_numpy(), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.zeros(len(x), np.int64)), pa.array(as_long(x))], ["id", "t", "x"])
-
-
-def _wanted(texts: DataFrame, first: DataFrame) -> DataFrame:
-    """(h, text) of the lines in ``first`` (h, doc_id, line)."""
-    by_doc = first.groupBy("doc_id").agg(F.collect_list(F.struct("h", "line")).alias("wanted")).select(F.col("doc_id").alias("id"), "wanted")
-    return texts.join(by_doc, "id").select("text", "wanted").mapInArrow(_pick, "h long, text string")
+            x, size = np.concatenate([np.zeros(0, np.uint64), *sets]), [len(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("h").to_numpy(), size)), pa.array(np.repeat(np.array(size, np.int64), size)), pa.array(as_long(x))], ["id", "n", "x"])
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, lines): of each document the numbers, from 0, of the lines that are not kept."""
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
-    found = scratch.save(texts.mapInArrow(_lines(min_words, percent), "h long, doc_id long, line int, n int, keys array<long>"), "lines")
-    lines = found.select("h", "doc_id", "line")
-    bands = found.where("size(keys) > 0").select(F.explode("keys").alias("key"), F.col("h").alias("id"), "n")
-    first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.count("*").alias("copies"))
+    found = scratch.save(texts.mapInArrow(_lines(min_words, percent), "h long, doc_id long, line int, n int, keys array<long>, text string"), "lines")
+    lines = scratch.save(found.select("h", "doc_id", "line"), "places")
+    fresh = found.where("text is not null")
+
+    def text_of(hs: DataFrame) -> DataFrame:
+        """(h, n, text), a row for each line of ``hs``."""
+        return among(fresh.select("h", "n", "text"), hs, "h").dropDuplicates(["h"])
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
-        places = first.join(ids, "h", "left_semi").select("h", "place.doc_id", "place.line")
-        wanted = scratch.save(_wanted(texts, places).dropDuplicates(["h"]), "texts")
-        both = pairs.join(wanted.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
-        return both.mapInArrow(_confirmed(percent), "u long, v long")
+        ends = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
+        wanted = scratch.save(text_of(ends), "texts")
+        side = lambda s: wanted.select(F.col("h").alias(s), F.col("n").alias(f"n{s}"), F.col("text").alias(f"t{s}"))
+        both = pairs.join(side("b"), "b").join(side("a"), "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        return both.select("a", "b", "ta", "tb").mapInArrow(_confirmed(percent), "u long, v long")
 
     def sets(ids: DataFrame) -> DataFrame:
-        places = first.join(ids.select(F.col("id").alias("h")), "h", "left_semi").select("h", "place.doc_id", "place.line")
-        return _wanted(texts, places).dropDuplicates(["h"]).mapInArrow(_elements, "id long, t long, x long")
+        return text_of(ids.select(F.col("id").alias("h"))).select("h", "text").mapInArrow(_elements, "id long, n long, x long")
 
-    linked = links(bands, confirm, sets, percent, scratch)
+    linked = links(fresh.select(F.col("h").alias("id"), "keys"), confirm, sets, percent, scratch)
+    scratch.drop(found)
+    first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.count("*").alias("copies"))
     known = first.join(linked.select(F.col("id").alias("h"), "component"), "h", "left").where("copies > 1 or component is not null")
     known = scratch.save(known.select("h", "place", F.coalesce("component", "h").alias("c")), "repeated")
-    keeper = known.groupBy("c").agg(F.min("place").alias("keep"))
-    gone = lines.join(known.join(keeper, "c").select("h", "keep"), "h").where("struct(doc_id, line) <> keep")
+    keeper = scratch.save(known.groupBy("c").agg(F.min("place").alias("keep")), "keepers")
+    known = scratch.save(known.join(keeper, "c").select("h", "keep"), "kept-places")
+    gone = lines.join(known, "h").where("struct(doc_id, line) <> keep")
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 

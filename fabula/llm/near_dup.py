@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bands import band_keys, few_filled, first_elements, links
-from .common import Scratch, as_long, distinct_per_row, mix, shingles, text_bytes, text_chunks, word_hashes
+from .common import Scratch, among, as_long, distinct_per_row, mix, shingles, text_bytes, text_chunks, word_hashes
 from .graph import components
 
 M = 128  # buckets
@@ -72,7 +72,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def sketch(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, n, s1, s2, regs, firsts): shingle count, two sums that stand for the set, registers, keys that bands may lack."""
+    """Per row (uid, doc_id, text): uid, doc_id, shingle count n, s1 and s2, which stand for the set, registers and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,33 +86,22 @@ def sketch(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     ends = np.cumsum(n)
                     sums.append(as_long(total[ends] - total[ends - n]))
                 regs = registers(h, rows, k)
-                at, keys = first_elements(h, rows, few_filled(regs, n, EMPTY, BANDS, percent), percent)
+                few = few_filled(regs, n, EMPTY, BANDS, percent)
+                at, keys = (np.concatenate(x) for x in zip(band_keys(regs, n, EMPTY, BANDS, percent), first_elements(h, rows, few, percent), strict=True))
+                order = np.argsort(at, kind="stable")
                 cuts = np.r_[0, np.cumsum(np.bincount(at, minlength=k))].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(first, k), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(np.arange(0, (k + 1) * 2 * M, 2 * M, dtype=np.int32)), pa.py_buffer(regs)]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(as_long(keys)))],
-                    ["id", "n", "s1", "s2", "regs", "firsts"],
+                    [batch.column("uid").slice(first, k), batch.column("doc_id").slice(first, k), pa.array(n, pa.int64()), *map(pa.array, sums), pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(np.arange(0, (k + 1) * 2 * M, 2 * M, dtype=np.int32)), pa.py_buffer(regs)]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(as_long(keys[order])))],
+                    ["uid", "doc_id", "n", "s1", "s2", "regs", "keys"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, regs binary, firsts array<long>")
+    return docs.mapInArrow(run, "uid long, doc_id long, n long, s1 long, s2 long, regs binary, keys array<long>")
 
 
 def _regs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), M)
 
 
-def bands_of(sketches: DataFrame, percent: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                n = batch.column("n").to_numpy()
-                rows, keys = band_keys(_regs(batch.column("regs")), n, EMPTY, BANDS, percent)
-                ids = batch.column("id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(keys)), pa.array(ids[rows]), pa.array(n[rows].astype(np.int32))], ["key", "id", "n"])
-
-    more = sketches.select(F.explode("firsts").alias("key"), "id", F.col("n").cast("int").alias("n"))
-    return sketches.select("id", "n", "regs").mapInArrow(run, "key long, id long, n int").unionAll(more)
-
-
 def _near(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,23 +120,18 @@ def shingle_set(text: np.ndarray, width: int) -> np.ndarray:
 
 
 def _confirmed(width: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-
-        def get(i, data, offs, k):
-            if i not in known:
-                if len(known) >= 64:
-                    known.clear()
-                known[i] = shingle_set(data[offs[k] : offs[k + 1]], width)
-            return known[i]
+    """The (u, v) of rows (a, b, ta, tb) whose shingle sets have the similarity."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, np.zeros(0, np.uint64)  # rows come in the order of a
         for batch in batches:
-            known.clear()
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             (da, oa), (db, ob) = text_bytes(batch.column("ta")), text_bytes(batch.column("tb"))
             keep = np.zeros(len(a), bool)
             for k in range(len(a)):
-                x, y = get((0, a[k], int(oa[k + 1] - oa[k])), da, oa, k), shingle_set(db[ob[k] : ob[k + 1]], width)
+                if a[k] != last:
+                    last, x = a[k], shingle_set(da[oa[k] : oa[k + 1]], width)
+                y = shingle_set(db[ob[k] : ob[k + 1]], width)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep[k] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(v, np.int64)[keep]) for v in (a, b)], ["u", "v"])
@@ -156,12 +140,15 @@ def _confirmed(width: int, percent: int):
 
 
 def _elements(width: int):
+    """(id, n, x): the shingles of each set, and how many they are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags = batch.column("id").to_numpy(), batch.column("t").to_numpy()
-            for first, _, data, offs in text_chunks(batch.column("text")):
+            ids = batch.column("id").to_numpy()
+            for first, stop, data, offs in text_chunks(batch.column("text")):
                 h, rows = distinct_per_row(*shingles(*word_hashes(data, offs), width))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first + rows]), pa.array(tags[first + rows]), pa.array(as_long(h))], ["id", "t", "x"])
+                n = np.bincount(rows, minlength=stop - first)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first + rows]), pa.array(n[rows]), pa.array(as_long(h))], ["id", "n", "x"])
 
     return run
 
@@ -170,44 +157,63 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Links are 100 * intersection >= percent * union of the distinct
-    ``width``-word shingles; component_id is the smallest doc_id reachable."""
+    ``width``-word shingles; component_id is the smallest doc_id reachable.
+    What is linked are sets, told apart by a hash of their shingles (sid), so
+    that copies are one from the start and rows that share a doc_id are not
+    mistaken for each other; uid tells apart rows of unlike id or text."""
     scratch = Scratch(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sketches = scratch.save(sketch(texts, width, percent), "sketches")
-    filled = sketches.where("n > 0 and id is not null")
-    classes = scratch.save(filled.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = scratch.save(filled.join(classes.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"]).dropDuplicates(["id", "s1", "s2"]), "representatives")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text")
+    made = sketch(texts, width, percent)
+    sketches = scratch.save(made.select("uid", "doc_id", "n", F.xxhash64("s1", "s2", "n").alias("sid"), "regs", "keys"), "sketches")
+    filled = sketches.where("n > 0 and doc_id is not null")
+
+    def of(sids: DataFrame) -> DataFrame:
+        """(sid, n, uid, regs), a row for each set of ``sids``."""
+        return among(filled.select("sid", "n", "uid", "regs"), sids, "sid").dropDuplicates(["sid"])
+
+    def text_of(rows: DataFrame) -> DataFrame:
+        """(sid, text) of rows (sid, uid)."""
+        rows = rows.select("sid", "uid")
+        return among(texts.select("uid", "text"), rows, "uid").dropDuplicates(["uid"]).join(rows, "uid").select("sid", "text")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        side = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("regs").alias(f"r{s}"))
-        likely = scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near(percent), "a long, b long").distinct(), "likely")
-        ids = likely.select(F.col("a").alias("id")).unionAll(likely.select(F.col("b").alias("id"))).distinct()
-        wanted = scratch.save(texts.join(ids, "id", "left_semi"), "texts")
-        both = likely.join(wanted.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        pairs = scratch.save(pairs, "pairs")
+        rows = scratch.save(of(ends(pairs)), "sets")
+        side = lambda s: rows.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("regs").alias(f"r{s}"))
+        sized = pairs.join(side("b"), "b").join(side("a"), "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        likely = scratch.save(sized.mapInArrow(_near(percent), "a long, b long"), "likely")
+        found = scratch.save(text_of(rows.join(ends(likely), "sid", "left_semi")), "texts")
+        for done in (pairs, rows):
+            scratch.drop(done)
+        both = likely.join(found.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b").join(found.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a")
         return both.mapInArrow(_confirmed(width, percent), "u long, v long")
 
     def sets(ids: DataFrame) -> DataFrame:
-        rows = texts.join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
-        return rows.select("id", F.xxhash64("text").alias("t"), "text").mapInArrow(_elements(width), "id long, t long, x long")
-
-    found = links(bands_of(reps, percent), confirm, sets, percent, scratch)
-    labels = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("c"))
-    twice = _same_id(filled, labels, scratch)
-    out = sketches.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "s1", "s2", "n").join(twice, ["s1", "s2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
+        found = text_of(of(ids.select(F.col("id").alias("sid"))))
+        return found.select(F.col("sid").alias("id"), "text").mapInArrow(_elements(width), "id long, n long, x long")
+
+    found = links(filled.select(F.col("sid").alias("id"), "keys"), confirm, sets, percent, scratch)
+    found = _same_id(filled, found, scratch)
+    rows = sketches.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("id"))
+    rows = scratch.save(rows.join(found, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("c")), "rows")
+    least = scratch.save(rows.where("c is not null and doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("least")), "least")
+    scratch.drop(sketches)
+    out = rows.join(least, "c", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _same_id(filled: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """Labels of the classes, united where rows of unlike texts share a doc_id."""
-    shared = filled.groupBy("id").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).where("x < y").select("id")
-    shared = scratch.save(shared, "repeated-ids")
-    if shared.isEmpty():
-        return labels
-    rows = filled.join(shared, "id", "left_semi").join(labels, ["s1", "s2", "n"]).select("id", "c").distinct()
-    first = rows.groupBy("id").agg(F.min("c").alias("v"))
-    merged = scratch.save(components(rows.join(first, "id").select(F.col("c").alias("u"), "v"), scratch), "merged")
-    return labels.join(merged.select(F.col("id").alias("c"), "component"), "c", "left").select("s1", "s2", "n", F.coalesce("component", "c").alias("c"))
+def _same_id(filled: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """``found``, with the sets of rows that share a doc_id united."""
+    ids = scratch.save(filled.groupBy("doc_id").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("doc_id", "low"), "repeated-ids")
+    if ids.isEmpty():
+        return found
+    shared = filled.select("doc_id", "sid").join(ids, "doc_id").select(F.col("sid").alias("u"), F.col("low").alias("v"))
+    return components(shared.unionAll(found.select(F.col("id").alias("u"), F.col("component").alias("v"))), scratch)
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
