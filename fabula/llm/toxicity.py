@@ -1,14 +1,16 @@
 """Toxicity from a learnt lexicon, misspellings included.
 
 Training documents give the lexicon: words, and beginnings of words, that
-toxic documents use far oftener than others. All its words form a trie; the
-trie intersected with the Levenshtein automaton of distance 1 becomes one
-deterministic automaton, made as far as words lead, which all words of a text
-run through at once, so that misspelled terms are caught. A misspelling weighs
-what the training documents with its term or a misspelling of it say, so that
-short terms, which many words are near to, weigh little. Hits within quotation marks, or near a word
-that reports speech, are summed apart from plain ones. A logistic regression
-on these sums gives the score.
+toxic documents use far oftener than others. All of them form one trie, which is
+intersected with Levenshtein automata: a word of FUZZY_1 letters or more is met
+within distance 1, one of FUZZY_2 or more within distance 2, a beginning and a
+shorter word at distance 0 only. The product becomes one deterministic
+automaton, made as far as words lead, which all words of a text run through at
+once; it is the only way to a hit. A misspelling weighs what the training
+documents with its term or a misspelling of it say, so that short terms, which
+many words are near to, weigh little. Hits within quotation marks, or near a
+word that reports speech, are summed apart from plain ones. A logistic
+regression on these sums gives the score.
 
 Defined results: null and empty texts get the score of a text without hits;
 without toxic training rows every score is 0. Labels of documents that are
@@ -18,7 +20,6 @@ of a document the largest counts. Rows may repeat. Other columns are kept out.
 
 from __future__ import annotations
 
-
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,7 +36,9 @@ TRAIN_DOCS = 6_000
 #: A lexicon entry occurs in so many toxic documents at least, and so many times oftener (natural log) than elsewhere.
 MIN_DOCS = 3
 MIN_WEIGHT = 2.0
-MAX_TERMS = 4_000
+#: Letters of a lexicon word from which on it is met within distance 1, and within 2.
+FUZZY_1 = 4
+FUZZY_2 = 9
 #: The weight of a misspelling as a share of what its documents say.
 FUZZY_SHARE = 0.8
 PREFIXES = (4, 5, 6, 7, 8)
@@ -47,55 +50,97 @@ REPORTS = ("said", "says", "wrote", "called", "calls", "quote", "quoted", "word"
 QUOTES = "\"«»„“”"
 
 
+def errors_allowed(term: str) -> int:
+    """The Levenshtein distance within which a lexicon word is met."""
+    return (len(term) >= FUZZY_1) + (len(term) >= FUZZY_2)
+
+
 class Automaton:
-    """Words within Levenshtein distance 1 of a trie's terms, made deterministic by subsets.
+    """A trie of words and beginnings, run with Levenshtein automata and made deterministic by subsets.
 
-    States are sets of (trie node, errors), made when a word first leads to them; column 0 stands for characters of no term."""
+    States are sets of (trie node, errors) with the heaviest beginning that was
+    passed, made when a word first leads to them; column 0 stands for characters
+    of no term. ``exact``, ``stem`` and ``near`` have by state the weight of the
+    term that it accepts without errors, of the beginning, and with errors."""
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, words: list[str], beginnings: list[str], word_weights: np.ndarray, beginning_weights: np.ndarray):
         nodes: list[dict[int, int]] = [{}]
         self.ends: dict[int, int] = {}
-        self.alphabet = np.array(sorted({ord(c) for t in terms for c in t}), np.uint32)
+        self.begins: dict[int, int] = {}
+        self.slack: list[int] = [0]  # of each node, the most errors that a word below it allows
+        self.limit = [errors_allowed(w) for w in words]
+        self.words, self.word_weights, self.beginning_weights = words, word_weights, beginning_weights
+        self.near_weights = np.zeros(len(words))
+        self.alphabet = np.array(sorted({ord(c) for t in (*words, *beginnings) for c in t}), np.uint32)
         symbol = {int(c): i + 1 for i, c in enumerate(self.alphabet)}
-        for k, t in enumerate(terms):
-            at = 0
+        for k, t in enumerate((*words, *beginnings)):
+            at, more = 0, self.limit[k] if k < len(words) else 0
             for c in t:
+                self.slack[at] = max(self.slack[at], more)
                 s = symbol[ord(c)]
                 if s not in nodes[at]:
                     nodes.append({})
+                    self.slack.append(0)
                     nodes[at][s] = len(nodes) - 1
                 at = nodes[at][s]
-            self.ends[at] = k
+            self.slack[at] = max(self.slack[at], more)
+            if k < len(words):
+                self.ends[at] = k
+            else:
+                self.begins[at] = k - len(words)
         self.nodes = nodes
-        self.index: dict[frozenset, int] = {}
-        self.states: list[frozenset] = []
-        self.found: list[list[int]] = []  # of each state, the terms it accepts
+        self.index: dict[tuple[frozenset, int], int] = {}
+        self.states: list[tuple[frozenset, int]] = []
+        self.found: list[list[tuple[int, int]]] = []  # of each state, the (word, errors) that it accepts
         self.table = np.full((2, len(self.alphabet) + 1), -1, np.int32)
-        self._number(frozenset())
-        self._number(self._closed({(0, 0)}))
+        self.weights = np.zeros((2, 3))
+        self._number(frozenset(), -1)
+        self._number(self._closed({(0, 0)}), -1)
         self.table[0] = 0
 
-    def _closed(self, pairs: set[tuple[int, int]]) -> frozenset:
-        grown = pairs | {(c, 1) for n, e in pairs if e == 0 for c in self.nodes[n].values()}
-        return frozenset(p for p in grown if p[1] == 0 or (p[0], 0) not in grown)
+    def learn_misspellings(self, weights: np.ndarray) -> None:
+        """Set the weight of each word's misspellings."""
+        self.near_weights = weights
+        for k in range(len(self.states)):
+            self._weigh(k)
 
-    def _step(self, state: frozenset, s: int) -> frozenset:
-        out = set()
-        for n, e in state:
+    def _closed(self, pairs: set[tuple[int, int]]) -> frozenset:
+        """With letters of the term left out, and without what a pair of fewer errors holds already."""
+        todo, least = list(pairs), {}
+        while todo:
+            n, e = todo.pop()
+            if e <= self.slack[n] and e < least.get(n, 9):
+                least[n] = e
+                todo += [(c, e + 1) for c in self.nodes[n].values()]
+        return frozenset(least.items())
+
+    def _step(self, state: tuple[frozenset, int], s: int) -> tuple[frozenset, int]:
+        out, passed = set(), state[1]
+        for n, e in state[0]:
             if s in self.nodes[n]:
                 out.add((self.nodes[n][s], e))
-            if e == 0:
-                out.add((n, 1))
-                out.update((c, 1) for c in self.nodes[n].values())
-        return self._closed(out)
-
-    def _number(self, state: frozenset) -> int:
+            out.add((n, e + 1))
+            out.update((c, e + 1) for c in self.nodes[n].values())
+            if e == 0 and n in self.begins and (passed < 0 or self.beginning_weights[self.begins[n]] > self.beginning_weights[passed]):
+                passed = self.begins[n]
+        return self._closed(out), passed
+
+    def _weigh(self, k: int) -> None:
+        passed = self.states[k][1]
+        exact = max((self.word_weights[t] for t, e in self.found[k] if e == 0), default=0.0)
+        near = max((self.near_weights[t] for t, e in self.found[k] if e), default=0.0)
+        self.weights[k] = (exact, self.beginning_weights[passed] if passed >= 0 and not exact else 0.0, 0.0 if exact else near)
+
+    def _number(self, pairs: frozenset, passed: int) -> int:
+        state = (pairs, passed)
         if state not in self.index:
             self.index[state] = len(self.states)
             self.states.append(state)
-            self.found.append(sorted({self.ends[n] for n, _ in state if n in self.ends}))
+            self.found.append(sorted((self.ends[n], e) for n, e in pairs if n in self.ends and e <= self.limit[self.ends[n]]))
             if len(self.states) > len(self.table):
                 self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+                self.weights = np.concatenate([self.weights, np.zeros_like(self.weights)])
+            self._weigh(len(self.states) - 1)
         return self.index[state]
 
     def run(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -110,27 +155,22 @@ class Automaton:
             old, s = state[live], symbols[at]
             new = np.flatnonzero(self.table[old, s] < 0)
             for x, y in np.unique(np.c_[old[new], s[new]], axis=0).tolist():
-                to = self._number(self._step(self.states[x], y))
+                to = self._number(*self._step(self.states[x], y))
                 self.table[x, y] = to
             state[live] = self.table[old, s]
             at = at + 1
         return state
 
     def terms(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, term) of all terms that the words which left in these states are near to."""
-        lists = [self.found[x] for x in state.tolist()]
+        """(position, word) of all lexicon words that the words which left in these states are, or are near to."""
+        lists = [[t for t, _ in self.found[x]] for x in state.tolist()]
         return np.repeat(np.arange(len(state)), [len(x) for x in lists]), np.array([t for x in lists for t in x], np.int64)
 
 
 @dataclass
 class Model:
-    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted hashes
-    word_weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    prefixes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    prefix_weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    fuzzy: Automaton | None = None
-    fuzzy_weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    reports: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    lexicon: Automaton | None = None
+    reports: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted hashes
     theta: np.ndarray | None = None
 
 
@@ -142,24 +182,14 @@ def prefix_hashes(runs: Runs, which: np.ndarray, length: int) -> tuple[np.ndarra
     return h ^ np.uint64(0x517CC1B727220A95), longer
 
 
-def hits(runs: Runs, m: Model, look: dict[str, Lookup]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hits(runs: Runs, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each word: its weight as a lexicon word, as one with a lexicon beginning, and as a misspelt one."""
-    h = runs.hashes()
-    _, first, back = np.unique(h, return_index=True, return_inverse=True)
-    exact, stem, near = np.zeros(len(first)), np.zeros(len(first)), np.zeros(len(first))
-    at = look["words"].find(h[first])
-    exact[at >= 0] = m.word_weights[at[at >= 0]]
-    for n in PREFIXES:
-        p, owner = prefix_hashes(runs, first, n)
-        at = look["prefixes"].find(p)
-        ok = at >= 0
-        stem[owner[ok]] = np.maximum(stem[owner[ok]], m.prefix_weights[at[ok]])
-    stem[exact > 0] = 0
-    if m.fuzzy is not None:
-        todo = np.flatnonzero(exact == 0)
-        at, term = m.fuzzy.terms(m.fuzzy.run(runs.points, runs.starts[first[todo]], runs.ends[first[todo]]))
-        np.maximum.at(near, todo[at], m.fuzzy_weights[term])
-    return exact[back], stem[back], near[back]
+    _, first, back = np.unique(runs.hashes(), return_index=True, return_inverse=True)
+    if m.lexicon is None:
+        return (np.zeros(len(back)),) * 3
+    state = m.lexicon.run(runs.points, runs.starts[first], runs.ends[first])
+    exact, stem, near = m.lexicon.weights[state][back].T
+    return exact, stem, near
 
 
 def reported(runs: Runs, reports: Lookup) -> np.ndarray:
@@ -176,15 +206,15 @@ def reported(runs: Runs, reports: Lookup) -> np.ndarray:
     return inside
 
 
-def features(data: np.ndarray, offs: np.ndarray, m: Model, look: dict[str, Lookup]) -> np.ndarray:
+def features(data: np.ndarray, offs: np.ndarray, m: Model, reports: Lookup) -> np.ndarray:
     """By text: logs of the summed weights of plain hits, of reported ones, and of both by length; a word counts once a text."""
     runs = Runs(data, offs, "alnum")
     k = len(offs) - 1
     out = np.zeros((k, FEATURES))
     if not len(runs.starts):
         return out
-    weight = np.maximum.reduce(hits(runs, m, look))
-    told = reported(runs, look["reports"]) & (weight > 0)
+    weight = np.maximum.reduce(hits(runs, m))
+    told = reported(runs, reports) & (weight > 0)
     some = np.flatnonzero(weight > 0)
     some = some[np.argsort(told[some], kind="stable")]  # a plain hit of a word goes before its reported ones
     once = some[np.unique(np.c_[runs.rows[some].astype(np.uint64), runs.hashes()[some]], axis=0, return_index=True)[1]] if len(some) else some
@@ -195,10 +225,6 @@ def features(data: np.ndarray, offs: np.ndarray, m: Model, look: dict[str, Looku
     return np.log1p(out)
 
 
-def _lookups(m: Model) -> dict[str, Lookup]:
-    return {"words": Lookup(m.words), "prefixes": Lookup(m.prefixes), "reports": Lookup(m.reports)}
-
-
 def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, prefix length or 0, toxic, n, example): in how many documents of a batch each word and beginning occurs."""
     for batch in batches:
@@ -276,34 +302,32 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, train_docs: int =
         return Model()
     spread = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
     share = {k: int(min(1.0, train_docs / n) * 1_000_000) for k, n in count.items()}
+    # a bounded number of rows, so that the texts needn't be shuffled to find theirs
     picked = y.where(F.when(F.col("toxic") == 1, spread < share.get(1, 0)).otherwise(spread < share.get(0, 0)))
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(picked, "doc_id").select("text", "toxic")
+    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic")
     rows = rows.persist()
     n1, n0 = (rows.where(F.col("toxic") == k).count() for k in (1, 0))
     # the log ratio less its standard error, so that chance finds weigh little
     weight = F.log((F.col("n1") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("n0") + 0.5) / F.lit(n0 + 1.0)) - F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
     terms = rows.select("text", "toxic").mapInArrow(_document_terms, "h long, length int, n1 long, n0 long, term string").groupBy("h", "length").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.max("term").alias("term"))
-    kept = terms.where(F.col("n1") >= MIN_DOCS).withColumn("w", weight).where(F.col("w") >= MIN_WEIGHT).orderBy(F.desc(F.col("w") * F.sqrt("n1")), "h").limit(MAX_TERMS).toPandas()
+    # as many as the bounded sample has
+    kept = terms.where(F.col("n1") >= MIN_DOCS).withColumn("w", weight).where(F.col("w") >= MIN_WEIGHT).select("length", "term", "w").orderBy("length", "term").toPandas()
     m = Model(reports=_hash_terms(REPORTS))
-    kept["h"] = kept["h"].to_numpy(np.int64).view(np.uint64)
-    w, p = kept[kept["length"] == 0], kept[kept["length"] > 0]
-    for name, part in (("word", w), ("prefix", p)):
-        part = part.sort_values("h")
-        h = part["h"].to_numpy(np.uint64)
-        setattr(m, "words" if name == "word" else "prefixes", h)
-        setattr(m, f"{name}_weights", part["w"].to_numpy(np.float64))
-    if len(w):
-        m.fuzzy = Automaton(list(w["term"]))
-        near = rows.select("text", "toxic").mapInArrow(_near_documents(docs.sparkSession.sparkContext.broadcast(m.fuzzy)), "term long, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-        near = near.withColumn("w", weight).toPandas().sort_values("term")
-        m.fuzzy_weights = FUZZY_SHARE * np.clip(near["w"].to_numpy(np.float64), 0, w["w"].to_numpy(np.float64))
+    whole = kept["length"] == 0
+    words, word_weights = list(kept["term"][whole]), kept["w"][whole].to_numpy(np.float64)
+    m.lexicon = Automaton(words, list(kept["term"][~whole]), word_weights, kept["w"][~whole].to_numpy(np.float64))
+    near = rows.select("text", "toxic").mapInArrow(_near_documents(docs.sparkSession.sparkContext.broadcast(m.lexicon)), "term long, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    near = near.withColumn("w", weight).toPandas()
+    near_weights = np.zeros(len(words))
+    near_weights[near["term"].to_numpy(np.int64)] = near["w"].to_numpy(np.float64)
+    m.lexicon.learn_misspellings(FUZZY_SHARE * np.clip(near_weights, 0, word_weights))
     shared = docs.sparkSession.sparkContext.broadcast(m)
 
     def run(batches):
-        look = _lookups(shared.value)
+        reports = Lookup(shared.value.reports)
         for batch in batches:
             for first, stop, data, offs in text_chunks(batch.column("text")):
-                f = features(data, offs, shared.value, look)
+                f = features(data, offs, shared.value, reports)
                 yield pa.RecordBatch.from_arrays([*(pa.array(f[:, j]) for j in range(FEATURES)), batch.column("toxic").slice(first, stop - first)], [*"abc", "toxic"])
 
     xy = rows.select("text", "toxic").mapInArrow(run, "a double, b double, c double, toxic int").toPandas()
@@ -325,13 +349,13 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        look = _lookups(m)
+        reports = Lookup(m.reports)
         for batch in batches:
             for first, stop, data, offs in text_chunks(batch.column("text")):
                 k = stop - first
                 p = np.zeros(k)
                 if m.theta is not None:
-                    f = features(data, offs, m, look)
+                    f = features(data, offs, m, reports)
                     p = 1 / (1 + np.exp(-np.clip(f @ m.theta[:-1] + m.theta[-1], -500, 500)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, k), pa.array(p)], ["doc_id", "score"])
 
@@ -345,7 +369,7 @@ def reject(docs: DataFrame, m: Model, limit: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        look = _lookups(m)
+        reports = Lookup(m.reports)
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text")).cast(pa.string())
             for first, stop, data, offs in text_chunks(text):
@@ -353,7 +377,7 @@ def reject(docs: DataFrame, m: Model, limit: float) -> DataFrame:
                 if m.theta is None:
                     yield part
                     continue
-                z = features(data, offs, m, look) @ m.theta[:-1] + m.theta[-1]
+                z = features(data, offs, m, reports) @ m.theta[:-1] + m.theta[-1]
                 yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))) < limit))
 
     return docs.mapInArrow(run, docs.schema)

@@ -225,16 +225,58 @@ def test_a_text_of_very_many_lines_gets_all_its_keys():
     assert got.column("keys").to_pylist()[-40:] == last.column("keys").to_pylist()
 
 
-def test_misspellings_of_all_lexicon_words_are_found(spark):
+def toxic_fixture(spark):
     terms = ["pathetic", "worthless", "disgusting", "stupid"]
     plain = [f"the house number{i} stands near the river and the old bridge" for i in range(300)]
     docs = [(i, f"{x} {terms[i % 4]}" if i < 100 else x) for i, x in enumerate(plain)]
     labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in docs], "doc_id long, toxic int")
-    m = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels, F.lit(True))
-    look = toxicity._lookups(m)
+    return terms, toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels, F.lit(True))
+
+
+def toxic_hits(words, m):
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    return toxicity.hits(toxicity.Runs(data, np.array([0, len(data)]), "alnum"), m)
+
+
+def test_misspellings_of_all_lexicon_words_are_found(spark):
+    terms, m = toxic_fixture(spark)
     words = [v for t in terms for i in range(len(t)) for v in (t[:i] + t[i + 1 :], t[:i] + "q" + t[i + 1 :], t[:i] + "q" + t[i:])]
-    data = " ".join(words).encode()
-    near = toxicity.hits(toxicity.Runs(np.frombuffer(data, np.uint8), np.array([0, len(data)]), "alnum"), m, look)[2]
-    assert dict(zip(words, near > 0)) == dict.fromkeys(words, True)
-    far = b"the river pathetiqqc stqqpid house"
-    assert not toxicity.hits(toxicity.Runs(np.frombuffer(far, np.uint8), np.array([0, len(far)]), "alnum"), m, look)[2].any()
+    assert dict(zip(words, toxic_hits(words, m)[2] > 0)) == dict.fromkeys(words, True)
+    twice = ["diqgustinq", "wqrthleqs", "dsgustin", "wworthlesss"]
+    assert (toxic_hits(twice, m)[2] > 0).all()
+    exact, stem, near = toxic_hits([*terms, "stupidity"], m)
+    assert (exact[:4] > 0).all() and not near[:4].any() and exact[4] == 0 and stem[4] > 0
+    far = ["the", "river", "qpathetiqqc", "stqqpid", "house", "wqrqhleqs"]
+    assert not toxic_hits(far, m)[2].any() and not toxic_hits(far, m)[0].any()
+
+
+def test_the_automaton_finds_what_edit_distance_says():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abc") for _ in range(n))
+    terms = sorted({word(r.randint(2, 11)) for _ in range(30)})
+    begins = sorted({word(4) for _ in range(8)})
+    a = toxicity.Automaton(terms, begins, np.ones(len(terms)), np.arange(1.0, len(begins) + 1))
+    asked = [word(r.randint(1, 13)) for _ in range(400)] + terms
+    points = np.concatenate([np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in asked])
+    ends = np.cumsum([len(w) for w in asked])
+    state = a.run(points, ends - [len(w) for w in asked], ends)
+    at, term = a.terms(state)
+    assert set(zip(at.tolist(), term.tolist())) == {(i, k) for i, w in enumerate(asked) for k, t in enumerate(terms) if distance(t, w) <= toxicity.errors_allowed(t)}
+    stem = [max((k + 1.0 for k, b in enumerate(begins) if w.startswith(b) and len(w) > 4), default=0.0) * (w not in terms) for w in asked]
+    assert a.weights[state][:, 1].tolist() == stem
+
+
+def test_quoted_terms_are_summed_apart(spark):
+    _, m = toxic_fixture(spark)
+    texts = ["you are worthless", 'they said "worthless" once', "nothing here", ""]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    f = toxicity.features(data, np.cumsum([0, *map(len, texts)]), m, toxicity.Lookup(m.reports))
+    assert f[0, 0] > 0 == f[0, 1] and f[1, 1] > 0 == f[1, 0] and not f[2:].any()
