@@ -13,12 +13,13 @@ Candidates are made in steps, each followed by a union, after which only keys
 and elements go on that still hold several components:
 
 1. each set of a key with the key's first one (in proportion to the rows);
-2. all pairs of different components in keys of BLOCK sets at most;
-3. sets of larger keys are matched by their rarest elements instead (prefix
-   filter). Of those, only elements that sets of several components hold count,
-   as a link that is still missing joins two components. Each set is compared
-   with the element's set that has most such elements, again after a union, and
-   at last all pairs that the counts leave possible.
+2. all pairs of different components in keys of BLOCK sets at most; sets of
+   larger keys are matched by their rarest elements instead (prefix filter). Of
+   those, only elements that sets of several components hold count, as a link
+   that is still missing joins two components. Each set is compared with the
+   element's set that has fewest other elements;
+3. all pairs of different components that the counts of such elements leave
+   possible.
 
 So a passage that very many sets share, or a large group of near copies, is not
 compared pair by pair, and no pair of different components is left out.
@@ -40,8 +41,6 @@ from .graph import components
 BLOCK = 8
 #: Of each shared rare element, so many before it are looked at, so that a pair seldom stands at two of them.
 BEFORE = 32
-#: Times that each set is compared with the most promising one of each of its elements.
-HUB_ROUNDS = 2
 #: Keys that a task sorts at once.
 GATHERED = 1 << 21
 
@@ -231,9 +230,9 @@ def _possible(percent: int, common: str) -> str:
     return f"{100 + percent} * {common} >= {percent} * (n_a + n_b)"
 
 
-def _hubs(keys: DataFrame, percent: int, turn: int, scratch: Scratch) -> DataFrame:
+def _hubs(keys: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Of each element, each set with the one that has the fewest elements besides open ones."""
-    gap = F.expr(f"(n - q) * 4294967296 + (xxhash64(id, {turn}) & 4294967295)")
+    gap = F.expr("(n - q) * 4294967296 + (xxhash64(id) & 4294967295)")
     hub = scratch.save(keys.groupBy("x").agg(*(F.min_by(v, gap).alias(f"{v}_b") for v in ("id", "n", "q", "c"))), "hubs")
     pairs = keys.join(hub, "x").where("c <> c_b").withColumnsRenamed({"n": "n_a", "q": "q_a"})
     return pairs.where(_possible(percent, "least(q_a, q_b)")).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
@@ -276,21 +275,19 @@ def links(keyed: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: Cal
     unite(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
     labelled = scratch.save(_labelled(members, found), "labelled")
     split = scratch.save(_several(labelled, "key"), "split")
-    unite(_blocks(labelled, split))
-    large = labelled.select("key", "id").join(split.where(f"sets > {BLOCK}").select("key"), "key", "left_semi")
-    large = scratch.save(_labelled(large, found), "large-keys")
-    still = scratch.save(_several(large, "key").select("key"), "split")
-    left = scratch.save(large.join(still, "key", "left_semi").select("id").distinct(), "left")
-    for done in (members, labelled, split, large, still):
-        scratch.drop(done)
+    left = scratch.save(labelled.join(split.where(f"sets > {BLOCK}").select("key"), "key", "left_semi").select("id", "c").distinct(), "left")
+    scratch.drop(members)
     if left.isEmpty():
+        unite(_blocks(labelled, split))
         return found
-    elements = scratch.save(sets(left), "elements")
-    keys = _open_elements(_labelled(elements, found), percent, scratch)
+    elements = scratch.save(sets(left.select("id")), "elements")
+    keys = _open_elements(elements.join(left, "id"), percent, scratch)
     scratch.drop(elements)
-    for turn in range(HUB_ROUNDS + 1):
-        now = scratch.save(_labelled(_prefixes(keys, percent).drop("c"), found), "rare-elements")
-        unite(_hubs(now, percent, turn, scratch) if turn < HUB_ROUNDS else _all(now, percent, scratch))
-        scratch.drop(now)
+    unite(_blocks(labelled, split).unionAll(_hubs(_prefixes(keys, percent), percent, scratch)))
+    for done in (labelled, split, left):
+        scratch.drop(done)
+    now = scratch.save(_labelled(_prefixes(keys, percent).drop("c"), found), "rare-elements")
     scratch.drop(keys)
+    unite(_all(now, percent, scratch))
+    scratch.drop(now)
     return found
