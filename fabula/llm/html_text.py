@@ -12,7 +12,9 @@ places. Each task builds the arrays of its own pages; groups of suffixes that
 agree in DEPTH tokens are merged over tasks by host and hash, so that a host of
 any size is spread over all tasks and the result is that of one array for each
 host. Where such a group has pages of unlike content, its tokens are covered;
-covered runs are boilerplate and go, unique runs stay, in page order.
+covered runs are boilerplate and go, unique runs stay, in page order. Ranks of
+DEPTH tokens are enough for that: a token lies in a repeated substring of DEPTH
+tokens or more, however long, just if it lies in a repeated one of DEPTH.
 
 Defined results: null and empty html gives an empty text; a page without a
 block left too. Pages of one host with equal content count once, so copies

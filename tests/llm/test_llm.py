@@ -53,6 +53,42 @@ def test_repeated_text_of_a_host_goes(spark):
     assert {r["page_id"]: r["text"] for r in got} == {i: f"word{i} other{i} stuff{i} here{i}" for i in range(4)}
 
 
+def brute_main_text(rows):
+    """Main texts of unmarked pages: tokens covered by a substring of DEPTH tokens or more that a page of other content on the host has go."""
+    streams = {}
+    for i, url, page in rows:
+        blocks = html_text.blocks(page)
+        tokens = [(w, k if kind == html_text.OPEN else None) for k, (t, kind) in enumerate(blocks) if kind != html_text.ARTICLE for w in t.split()]
+        streams[i] = (url.split("/")[2], tuple(sorted(t for t, _ in blocks)), tokens)
+    out = {}
+    for i, (host, content, tokens) in streams.items():
+        own, covered = [w.lower() for w, _ in tokens], set()
+        for host_b, content_b, tokens_b in streams.values():
+            if host_b == host and content_b != content:
+                other = [w.lower() for w, _ in tokens_b]
+                for a in range(len(own)):
+                    for b in range(len(other)):
+                        n = 0
+                        while a + n < len(own) and b + n < len(other) and own[a + n] == other[b + n]:
+                            n += 1
+                        if n >= html_text.DEPTH:
+                            covered.update(range(a, a + n))
+        out[i] = " ".join(w for k, (w, block) in enumerate(tokens) if block is not None and k not in covered)
+    return out
+
+
+def test_repeats_of_random_hosts_are_those_of_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "ARRAY_TOKENS", 60)
+    r = random.Random(9)
+    rows = []
+    for i in range(40):
+        parts = [" ".join(r.choice("abcd") for _ in range(r.randint(1, 14))) for _ in range(r.randint(0, 4))]
+        rows.append((i, f"http://h{r.randint(0, 3)}.com/{i}", "".join(r.choice(["<div>{}</div>", "<p>{}", "<nav>{}</nav>"]).format(p) for p in parts)))
+    rows += [(40 + i, url, page) for i, (_, url, page) in enumerate(rows[:5])]  # copies don't remove each other
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()
+    assert {x["page_id"]: x["text"] for x in got} == brute_main_text(rows)
+
+
 def test_new_numbers_and_names_are_found(spark):
     items = spark.createDataFrame([(1, "Tom has 5 apples and gives 3 apples to Anna. How many apples does Tom have after 2 days?")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "we say that Maria has 7 apples and gives 4 apples to John. How many apples does Maria have after 9 days? yes"), (2, "nothing of the kind with 5 apples and 7 days at all")], "doc_id long, text string")
