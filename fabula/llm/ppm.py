@@ -8,18 +8,18 @@ byte has (c - 1/2) / T and the rest of T is the chance to escape to the next
 shorter context (method D), where the bytes that the longer one knows are
 excluded from the total. Below order 0 all bytes left are alike.
 
-Only a word's first HEAD symbols look across the blank. Those are counted and
-asked where texts are read; the rest of a word depends on the word alone and
-is asked once for each distinct word of the corpus. Word counts of the whole
-corpus are gathered by one shuffle, and so are the trie's branches, of which
-none is dropped, with the (context, symbol) pairs that are asked for. Contexts
-of ROOT bytes or more that end alike are one shard: a chance and all its
-escapes lie in one shard and in the shorter contexts, which all tasks hold
-(their number has a bound that doesn't depend on the data). So each distinct
-pair is scored exactly once, in its shard. The CACHED pairs that are asked most
-are shared with all tasks and summed where texts are read, as are words with a
-share of FREQUENT_SHARE of all tokens; all other pairs and words are joined by
-hash.
+Only a word's first HEAD symbols look across the blank, and they depend on the
+word's head: these symbols and TAIL bytes before the blank, eight bytes in all.
+So each chunk of text is counted by its distinct heads, and the rest of a word
+once for each distinct word of the corpus. Counts of all branches, of which
+none is dropped, and the (context, symbol) pairs that are asked for are summed
+within a task, packed by shard and shuffled once. Contexts of ROOT bytes or more
+that end alike are one shard: a chance and all its escapes lie in one shard and
+in the shorter contexts, which all tasks hold (their number has a bound that
+doesn't depend on the data). So each distinct pair is scored exactly once, in
+its shard. The CACHED pairs that are asked most are shared with all tasks and
+summed where texts are read, as are words with a share of FREQUENT_SHARE of all
+tokens; all other pairs and words are joined by hash.
 
 Words are told apart by 64-bit hashes. Defined results: null and empty texts
 hold their end only; ids can be null, rows can repeat; without training rows
@@ -34,11 +34,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, LOWER_VALUES, Scratch, as_long, span_hashes, text_chunks, word_spans
+from .common import LOWER, LOWER_VALUES, Scratch, as_long, mix, span_hashes, text_chunks, word_spans
 from .letters import Lookup
 
 #: Bytes of the longest context, and how many of them may lie before the last blank.
@@ -48,24 +47,44 @@ TAIL = 3
 HEAD = ORDER - 1
 #: Contexts of fewer bytes are shared with all tasks; the others are told apart in shards by their last ROOT bytes.
 ROOT = 3
-#: Branches and asked pairs of a shard's task, about.
-SHARD_ROWS = 1_000_000
+#: Tokens of the corpus for each shard's task, about, and rows that a task sums before it passes them on.
+SHARD_TOKENS = 2_000_000
+SUMMED_ROWS = 1_500_000
 #: Answers that are shared with all tasks, those asked most; all others are joined.
 CACHED = 500_000
 #: Words with this share of all tokens are shared with all tasks; 5e5 at most.
 FREQUENT_SHARE = 2e-6
+#: Bytes of text that are counted at once.
+CHUNK = 1 << 21
 BLANK, END = 0x20, 0x0A  # neither is in a word
 #: Symbols: bytes but for six kinds of white space, the blank and the end.
 SYMBOLS = 252
-_TAG = [np.uint64((k + 1) << 52) for k in range(ORDER + 1)]
-TAGS = np.array(_TAG, np.uint64)
+#: Stands in a head for a byte that is not there; it is white space, so in no word.
+NONE = 0x09
+#: A context is its bytes, the nearest first, at the top of 48 bits, below its order + 1; a pair has the symbol between those.
+_CONTEXT = np.uint64((1 << 48) - 1)
+_MASKS = np.array([((1 << (8 * k)) - 1) << (48 - 8 * k) for k in range(ORDER + 1)], np.uint64)
+_EIGHT, _SYMBOL_AT, _ORDER_AT = np.uint64(8), np.uint64(48), np.uint64(56)
+
+
+def pairs(packed: np.ndarray, order: int | np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """One key of each context (bytes left-aligned in 48 bits) of an order and symbol."""
+    return (np.asarray(order + 1, np.uint64) << _ORDER_AT) | (symbol.astype(np.uint64) << _SYMBOL_AT) | (packed & _MASKS[order])
+
+
+def unpaired(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context key, symbol, order) of pairs."""
+    tag = q >> _ORDER_AT
+    return (tag << _SYMBOL_AT) | (q & _CONTEXT), ((q >> _SYMBOL_AT) & np.uint64(255)).astype(np.int64), tag.astype(np.int64) - 1
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, word, n, n_train) of the distinct words of each chunk."""
+    """(root, h, word, n, n_train): the distinct words of each chunk; where root holds, h is a pair of fewer than ROOT bytes, with its count."""
     for batch in batches:
         train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-        for first, stop, data, offs in text_chunks(batch.column("text"), 1 << 22):
+        for first, stop, data, offs in text_chunks(batch.column("text"), CHUNK):
+            q, c = root_counts(Text(data, offs), train[first:stop])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(q), bool)), pa.array(as_long(q)), pa.array([b""] * len(q), pa.binary()), pa.array(np.zeros(len(q), np.int64)), pa.array(c)], ["root", "h", "word", "n", "n_train"])
             starts, ends, rows = word_spans(data, offs)
             if not len(starts):
                 continue
@@ -77,7 +96,31 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(flat)])
             n = np.bincount(back, minlength=len(h))
             t = np.bincount(back, weights=train[first:stop][rows], minlength=len(h)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), words, pa.array(n.astype(np.int64)), pa.array(t)], ["h", "word", "n", "n_train"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(h), bool)), pa.array(as_long(h)), words, pa.array(n.astype(np.int64)), pa.array(t)], ["root", "h", "word", "n", "n_train"])
+
+
+def root_counts(text: Text, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, counts) of all contexts of fewer than ROOT bytes in the training texts."""
+    s, size = text.stream, np.diff(np.r_[text.blanks, len(text.stream)])
+    inner = np.arange(len(s)) - np.repeat(text.blanks, size)
+    at = np.flatnonzero((inner > 0) & np.repeat(train, size))
+    known, code = np.unique(s, return_inverse=True)
+    code, k = code.ravel(), len(known)
+    out, counts = [], []
+    for order in range(ROOT):
+        some = at[inner[at] >= order]
+        key = code[some].astype(np.int64)
+        for j in range(1, order + 1):
+            key = key + code[some - j] * k**j
+        c = np.bincount(key, minlength=1)
+        hit = np.flatnonzero(c)
+        packed = np.zeros(len(hit), np.uint64)
+        for j in range(1, order + 1):
+            packed |= known[hit // k**j % k].astype(np.uint64) << np.uint64(48 - 8 * j)
+        if k:
+            out.append(pairs(packed, order, known[hit % k]))
+            counts.append(c[hit])
+    return (np.concatenate(out), np.concatenate(counts)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def _stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,7 +147,8 @@ class Text:
         self.rows, self.size = row[order], np.r_[size + 1, np.ones(k, np.int64)][order]
         ends_at = np.cumsum(self.size) + self.rows + 1
         self.first = ends_at - self.size
-        self.begin = np.r_[0, ends_at[np.searchsorted(self.rows, text, "right") - 1]][:-1][self.rows]  # of each text's blank
+        self.blanks = np.r_[0, ends_at[np.searchsorted(self.rows, text, "right") - 1]][:-1]  # each text begins with one
+        begin = self.blanks[self.rows]
         self.stream = np.full(ends_at[-1], BLANK, np.uint8)
         place = np.empty(len(row), np.int64)
         place[order] = self.first
@@ -113,76 +157,133 @@ class Text:
         self.stream[np.repeat(place[: len(rows)], size) + inner] = low[np.repeat(starts, size) + inner]
         self.stream[place[len(rows) :]] = END
 
-    def heads(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(word, symbol, packed bytes before it, how many of them count) of the words' symbols number i."""
-        which = np.flatnonzero(self.size > i)
-        at = self.first[which] + i
-        count = np.minimum(at - self.begin[which], min(ORDER, i + 1 + TAIL))
-        packed = np.zeros(len(which), np.uint64)
-        for j in range(1, ORDER + 1):
-            packed |= np.where(count >= j, self.stream[np.maximum(at - j, 0)].astype(np.uint64) << np.uint64(8 * (j - 1)), np.uint64(0))
-        return which, self.stream[at], packed, count
+        self.heads = np.zeros(len(row), np.uint64)
+        for j in range(TAIL, -HEAD, -1):  # the bytes before the blank, then the word's symbols
+            if j:
+                at = self.first - 1 - j
+                there = at >= begin if j > 0 else -j <= self.size
+                self.heads = self.heads << _EIGHT | np.where(there, self.stream[np.clip(at, 0, len(self.stream) - 1)], NONE).astype(np.uint64)
+        last = np.where(HEAD <= self.size, self.stream[np.clip(self.first + HEAD - 1, 0, len(self.stream) - 1)], NONE)
+        self.heads = self.heads << _EIGHT | last.astype(np.uint64)
+
+
+def head_contexts(heads: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By place in the word: (place, which heads have a symbol there, the symbol, the bytes before it, how many of them there are)."""
+    byte = [(heads >> np.uint64(8 * (7 - j))) & np.uint64(255) for j in range(8)]
+    tail = sum((byte[j] != NONE).astype(np.int64) for j in range(TAIL))
+    before = np.uint64(BLANK) << np.uint64(40)
+    for j in range(TAIL):  # the last of them is the nearest
+        before = before | np.where(byte[j] != NONE, byte[j], np.uint64(0)) << np.uint64(40 - 8 * (TAIL - j))
+    for i in range(HEAD):
+        symbol = byte[TAIL + i]
+        which = np.flatnonzero(symbol != NONE)
+        count = np.minimum(i + 1 + tail[which], ORDER)
+        yield i, which, symbol[which], before[which] & _MASKS[count], count
+        before = (symbol << np.uint64(40)) | (before >> _EIGHT)
 
 
-def _contexts(stream: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    """By order: which symbols (positions 1.. of the stream) have such a context in their word, and its key; each symbol's word, and its place there."""
+def _contexts(stream: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the bytes before each symbol at positions 1.. of the stream, its word, its place there)."""
     n = len(stream) - 1
     word = np.repeat(np.arange(len(starts)), size)
-    inside = np.arange(1, n + 1) - starts[word]
-    which, keys = [], []
     packed = np.zeros(n, np.uint64)
-    for k in range(ORDER + 1):
-        if k:
-            older = np.zeros(n, np.uint64)
-            older[k - 1 :] = stream[: n - k + 1]
-            packed = packed | (older << np.uint64(8 * (k - 1)))
-        at = np.flatnonzero(inside >= k - 1)
-        which.append(at)
-        keys.append(packed[at])
-    return which, keys, word, inside
+    for k in range(1, ORDER + 1):
+        packed[k - 1 :] |= stream[: n - k + 1].astype(np.uint64) << np.uint64(48 - 8 * k)
+    return packed, word, np.arange(1, n + 1) - starts[word]
 
 
-def _counted(order: int | np.ndarray, packed: np.ndarray, symbol: np.ndarray, n: np.ndarray, asked: np.ndarray) -> pa.RecordBatch:
-    branch, back = np.unique(pairs(packed, order, symbol), return_inverse=True)
-    sums = [np.bincount(back, weights=w, minlength=len(branch)).astype(np.int64) for w in (n, asked)]
-    return pa.RecordBatch.from_arrays([pa.array(as_long(branch >> np.uint64(8))), pa.array((branch & np.uint64(255)).astype(np.int32)), *map(pa.array, sums)], ["context", "symbol", "n", "asked"])
+def summed(q: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The columns' sums by pair, in the order of pairs."""
+    order = np.argsort(q)
+    q = q[order]
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+    return q[first], *(np.add.reduceat(c[order], first) if len(first) else c for c in columns)
+
+
+def by_order(packed: np.ndarray, symbol: np.ndarray, n: np.ndarray, counted: np.ndarray, asked: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(pairs, counts, asked) of all orders from one sort: a symbol counts n times in its contexts of ``counted`` (least, greatest) bytes, and is asked for in that of ``at`` bytes."""
+    key = (symbol.astype(np.uint64) << _SYMBOL_AT) | packed
+    order = np.argsort(key)
+    key, n, asked, at, low, high = key[order], n[order], asked[order], at[order], counted[0][order], counted[1][order]
+    for k in range(1, ORDER + 1):
+        counts, asks = (low <= k) & (k <= high), at == k
+        some = np.flatnonzero((counts & (n > 0)) | (asks & (asked > 0)))
+        if len(some):
+            short = key[some] >> np.uint64(48 - 8 * k)
+            first = np.flatnonzero(np.r_[True, short[1:] != short[:-1]])
+            whole = key[some[first]]
+            sums = [np.add.reduceat(v[some] * use[some], first) for v, use in ((n, counts), (asked, asks))]
+            yield pairs(whole & _CONTEXT, k, whole >> _SYMBOL_AT), *sums
+
+
+class Sums:
+    """Branches that a task has met, summed by pair, and passed on packed by shard."""
+
+    def __init__(self, shards: int):
+        self.shards, self.parts, self.rows = shards, [], 0
+
+    def add(self, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            self.parts.append(part)
+            self.rows += len(part[0])
+        if self.rows > SUMMED_ROWS:
+            yield from self.end(SUMMED_ROWS // 2)
+
+    def end(self, hold: int = 0) -> Iterator[pa.RecordBatch]:
+        """Pass on what there is, if it is more than ``hold`` rows once summed."""
+        if not self.parts:
+            return
+        q, n, asked = summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
+        self.parts, self.rows = [(q, n, asked)], len(q)
+        if len(q) > hold:
+            shard = (mix((q & _CONTEXT) >> np.uint64(48 - 8 * ROOT)) % np.uint64(self.shards)).astype(np.int32)
+            order = np.argsort(shard, kind="stable")
+            shard = shard[order]
+            cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+            ends = pa.array(np.r_[cuts, len(shard)].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v[order])) for v in (as_long(q), n.astype(np.int64), asked.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[cuts]), *lists], ["shard", "q", "n", "asked"])
+            self.parts, self.rows = [], 0
+
+
+def word_parts(column: pa.Array, times: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Branches of ROOT bytes or more within words, each as often as the word; asked for by the word beyond its head."""
+    stream, starts, size = _stream(column)
+    packed, word, inside = _contexts(stream, starts, size)
+    deep = inside >= HEAD
+    high = np.minimum(inside + 1, ORDER)
+    yield from by_order(packed, stream[1:], times[word], (np.full(len(word), ROOT), high), deep.astype(np.int64), np.where(deep, ORDER, 0))
 
 
-def pairs(packed: np.ndarray, order: int | np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """One key of each context and symbol."""
-    return ((packed | TAGS[order]) << np.uint64(8)) | symbol
+def head_parts(heads: np.ndarray, times: np.ndarray, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Branches of ROOT bytes or more that look across a blank; the head's symbols are asked for in their longest context."""
+    for i, which, symbol, packed, count in head_contexts(heads):
+        yield from by_order(packed, symbol, times[which], (np.full(len(which), max(ROOT, i + 2)), count), asked[which], count)
 
 
-def _word_branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(context, symbol, n, asked): the trie's branches within the words of a batch, each as often as they occur in training texts; asked: by so many words."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 1 << 15):
-            part = batch.slice(k, 1 << 15)
-            stream, starts, size = _stream(part.column("word"))
-            which, keys, word, inside = _contexts(stream, starts, size)
-            times = part.column("n_train").to_numpy()
-            for order, (at, packed) in enumerate(zip(which, keys, strict=True)):
-                asked = (inside[at] >= HEAD) & (order == ORDER)
-                some = asked | (times[word[at]] > 0)
-                at = at[some]
-                yield _counted(order, packed[some], stream[1:][at], times[word[at]], asked[some])
-
-
-def _text_branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(context, symbol, n, asked): the branches of training texts' contexts that look across a blank, and of texts' ends; asked: by all texts."""
-    for batch in batches:
-        train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-        for first, stop, data, offs in text_chunks(batch.column("text"), 1 << 22):
-            text = Text(data, offs)
-            learnt = train[first:stop][text.rows]
-            for i in range(HEAD):
-                which, symbol, packed, count = text.heads(i)
-                n = learnt[which]
-                for order in range(i + 2, min(ORDER, i + 1 + TAIL) + 1):
-                    some = (count >= order) & (n | (count == order))
-                    yield _counted(order, packed[some] & np.uint64((1 << (8 * order)) - 1), symbol[some], n[some], (count == order)[some])
-                some = count < i + 2  # shorter contexts count with their words
-                yield _counted(count[some], packed[some], symbol[some], np.zeros(some.sum()), np.ones(some.sum()))
+def _branches(shards: int):
+    """Rows (shard, q, n, asked) of words (word, n_train) or of texts (text, train)."""
+
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums(shards)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1 << 15):
+                part = batch.slice(k, 1 << 15)
+                yield from sums.add(word_parts(part.column("word"), part.column("n_train").to_numpy()))
+        yield from sums.end()
+
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums(shards)
+        for batch in batches:
+            train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
+            for first, stop, data, offs in text_chunks(batch.column("text"), CHUNK):
+                text = Text(data, offs)
+                heads, back, n = np.unique(text.heads, return_inverse=True, return_counts=True)
+                times = np.bincount(back, weights=train[first:stop][text.rows], minlength=len(heads)).astype(np.int64)
+                yield from sums.add(head_parts(heads, times, n))
+        yield from sums.end()
+
+    return of_words, of_texts
 
 
 @dataclass
@@ -198,26 +299,24 @@ class Trie:
     alike: float  # the chance of each byte that order 0 doesn't know
 
     @classmethod
-    def build(cls, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, totals_of: np.ndarray, totals: np.ndarray) -> Trie:
-        """From branches (context key, symbol, count) and the totals of all contexts that have one."""
-        order = np.lexsort((symbol, context))
-        context, symbol, n = context[order], symbol[order].astype(np.int64), n[order].astype(np.float64)
+    def build(cls, q: np.ndarray, n: np.ndarray) -> Trie:
+        """From distinct pairs and their counts."""
+        context, symbol, order = unpaired(q)
+        put = np.lexsort((symbol, context))
+        context, symbol, order, n = context[put], symbol[put], order[put], n[put].astype(np.float64)
         keys, inverse = np.unique(context, return_inverse=True)
-        place = np.argsort(totals_of)
-        total = totals[place][np.searchsorted(totals_of[place], keys)].astype(np.float64) if len(keys) else np.zeros(0)
+        total = np.bincount(inverse, weights=n, minlength=len(keys))
         weight = n - 0.5
         escape = total - np.bincount(inverse, weights=weight, minlength=len(keys))
         branches = inverse.astype(np.int64) << 8 | symbol
         excluded = np.zeros(len(keys))
         t = cls(keys, total, escape, excluded, branches, weight, 1.0 / SYMBOLS)
         for k in range(1, ORDER + 1):
-            mine = np.flatnonzero(context >> np.uint64(52) == k + 1)
+            mine = np.flatnonzero(order == k)
             if len(mine):
-                lower = t.find(shorter(context[mine], k))
-                at = t.branch(lower, symbol[mine])
+                at = t.branch(t.find(shorter(context[mine], np.full(len(mine), k))), symbol[mine])
                 excluded += np.bincount(inverse[mine], weights=np.where(at >= 0, weight[np.maximum(at, 0)], 0), minlength=len(keys))
-        known = int((context >> np.uint64(52) == 1).sum())
-        t.alike = 1.0 / max(SYMBOLS - known, 1)
+        t.alike = 1.0 / max(SYMBOLS - int((order == 0).sum()), 1)
         return t
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -253,39 +352,30 @@ class Trie:
             last = ~hit & (k == 0)
             out[live[last]] += np.log10(self.alike)
             go = ~hit & (k > 0)
-            key, live, less = shorter_by(key[go], k[go]), live[go], less[go]
+            key, live, less = shorter(key[go], k[go]), live[go], less[go]
             k = k[go] - 1
         return out
 
 
-def shorter(keys: np.ndarray, k: int) -> np.ndarray:
-    """Keys of order k without the oldest byte."""
-    return (keys & np.uint64((1 << (8 * (k - 1))) - 1)) | _TAG[k - 1]
-
-
-def shorter_by(keys: np.ndarray, k: np.ndarray) -> np.ndarray:
-    masks = np.array([0, *((1 << (8 * (j - 1))) - 1 for j in range(1, ORDER + 1))], np.uint64)
-    tags = np.array([0, *(int(_TAG[j - 1]) for j in range(1, ORDER + 1))], np.uint64)
-    return (keys & masks[k]) | tags[k]
+def shorter(keys: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Keys of contexts of k bytes without the oldest byte."""
+    return (keys & _MASKS[k - 1]) | (k.astype(np.uint64) << _SYMBOL_AT)
 
 
 def word_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(pair, word) of each word's symbols from number HEAD on, the blank after it included."""
     stream, starts, size = _stream(column)
-    which, keys, word, inside = _contexts(stream, starts, size)
-    packed = np.zeros(len(word), np.uint64)
-    packed[which[ORDER]] = keys[ORDER]
+    packed, word, inside = _contexts(stream, starts, size)
     at = np.flatnonzero(inside >= HEAD)
     return pairs(packed[at], ORDER, stream[1:][at]), word[at]
 
 
-def head_pairs(text: Text) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, text) of the words' first symbols and of each text's end."""
+def head_pairs(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, head) of the symbols of each head, a text's end among them."""
     out, rows = [], []
-    for i in range(HEAD):
-        which, symbol, packed, count = text.heads(i)
+    for _, which, symbol, packed, count in head_contexts(heads):
         out.append(pairs(packed, count, symbol))
-        rows.append(text.rows[which])
+        rows.append(which)
     return np.concatenate(out), np.concatenate(rows)
 
 
@@ -299,52 +389,41 @@ def counted_per_row(keys: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[pa
     return pa.ListArray.from_arrays(cuts, pa.array(as_long(keys[new]))), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32)))
 
 
-def answered(keys: np.ndarray, rows: np.ndarray, n_rows: int, known: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """By row: the sum of the known chances, and (keys, times) of the pairs that aren't among them."""
+def answered(keys: np.ndarray, known: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the known chances of pairs, else 0; which ones are known)."""
     if not len(known):
-        return np.zeros(n_rows), *counted_per_row(keys, rows, n_rows)
+        return np.zeros(len(keys)), np.zeros(len(keys), bool)
     one, back = np.unique(keys, return_inverse=True)
     at = np.minimum(np.searchsorted(known, one), len(known) - 1)
     hit = known[at] == one
-    total = np.bincount(rows, weights=np.where(hit, chance[at], 0.0)[back], minlength=n_rows)
-    rest = ~hit[back]
-    return total, *counted_per_row(keys[rest], rows[rest], n_rows)
+    return np.where(hit, chance[at], 0.0)[back], hit[back]
 
 
-def _full_trie(context: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> Trie:
-    keys, inverse = np.unique(context, return_inverse=True)
-    return Trie.build(context, symbol, n, keys, np.bincount(inverse, weights=n, minlength=len(keys)))
-
-
-def answers(words: DataFrame, texts: DataFrame, ends: int, scratch: Scratch) -> DataFrame:
-    """(q, asked, p): the log10 chance of every pair that ``words`` (word, n_train) or ``texts`` (text, train) ask for; ``ends`` texts are for training."""
-    spark, kinds = words.sparkSession, "context long, symbol int, n long, asked long"
-    branches = words.select("word", "n_train").mapInArrow(_word_branches, kinds).unionAll(texts.select("text", "train").mapInArrow(_text_branches, kinds))
-    if ends:
-        branches = branches.unionAll(spark.createDataFrame([(int(_TAG[0]), END, ends, 0), (int(_TAG[1]) | BLANK, END, ends, 0)], kinds))
-    every = scratch.save(branches.groupBy("context", "symbol").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")), "branches")
-    short = every.where((F.shiftright("context", 52) <= ROOT) & (F.col("n") > 0)).toPandas()
-    root = spark.sparkContext.broadcast((short["context"].to_numpy(np.int64).view(np.uint64), short["symbol"].to_numpy(np.int64), short["n"].to_numpy(np.int64)))
+def answers(words: DataFrame, texts: DataFrame, root: tuple[np.ndarray, np.ndarray], tokens: int, scratch: Scratch) -> DataFrame:
+    """(q, asked, p): the log10 chance of every pair that ``words`` (word, n_train) or ``texts`` (text, train) ask for; root: pairs of fewer than ROOT bytes and their counts."""
+    spark, kinds = words.sparkSession, "shard int, q array<long>, n array<long>, asked array<long>"
+    tasks = max(1, -(-tokens // SHARD_TOKENS))
+    of_words, of_texts = _branches(8 * tasks)
+    branches = words.select("word", "n_train").mapInArrow(of_words, kinds).unionAll(texts.select("text", "train").mapInArrow(of_texts, kinds))
+    shared = spark.sparkContext.broadcast(root)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema=pa.schema([("context", pa.int64()), ("symbol", pa.int32()), ("n", pa.int64()), ("asked", pa.int64())]))
-        if not table.num_rows:
+        parts = [tuple(batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("q", "n", "asked")) for batch in batches]
+        if not parts:
             return
-        context, symbol, n, asked = (table.column(c).to_numpy() for c in ("context", "symbol", "n", "asked"))
-        context, symbol = np.ascontiguousarray(context).view(np.uint64), symbol.astype(np.int64)
-        mine = (n > 0) & (context >> np.uint64(52) > ROOT)
-        trie = _full_trie(*(np.concatenate(x) for x in zip(root.value, (context[mine], symbol[mine], n[mine]), strict=True)))
-        for k in range(0, len(context), 1 << 18):
-            some = np.flatnonzero(asked[k : k + (1 << 18)]) + k
-            order = (context[some] >> np.uint64(52)).astype(np.int64) - 1
-            p = trie.log_chance(context[some], order, symbol[some])
-            yield pa.RecordBatch.from_arrays([pa.array(as_long((context[some] << np.uint64(8)) | symbol[some].astype(np.uint64))), pa.array(asked[some]), pa.array(p)], ["q", "asked", "p"])
-
-    deep = every.where((F.shiftright("context", 52) > ROOT) | (F.col("asked") > 0))
-    shards = max(1, -(-every.count() // SHARD_ROWS))
-    found = scratch.save(deep.repartition(shards, F.expr(f"context & {(1 << (8 * ROOT)) - 1}")).mapInArrow(scored, "q long, asked long, p double"), "answers")
-    scratch.drop(every)
-    return found
+        q, n, asked = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        parts.clear()
+        q = q.view(np.uint64)
+        mine = (n > 0) & (q >> _ORDER_AT > ROOT)
+        trie = Trie.build(*(np.concatenate(x) for x in zip(shared.value, (q[mine], n[mine]), strict=True)))
+        some = np.flatnonzero(asked)
+        q, asked = q[some], asked[some]
+        for k in range(0, len(q), 1 << 18):
+            part = slice(k, k + (1 << 18))
+            context, symbol, order = unpaired(q[part])
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(q[part])), pa.array(asked[part]), pa.array(trie.log_chance(context, order, symbol))], ["q", "asked", "p"])
+
+    return scratch.save(branches.repartition(tasks, "shard").mapInArrow(scored, "q long, asked long, p double"), "answers")
 
 
 def most_asked(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -355,10 +434,10 @@ def most_asked(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held > CACHED:
             least = r["asked"] + 1
             break
-    some = found.where(F.col("asked") >= least).select("q", "p").toPandas()
-    q = some["q"].to_numpy(np.int64).view(np.uint64)
+    some = found.where(F.col("asked") >= least).select("q", "p").toArrow()
+    q = some.column("q").to_numpy().view(np.uint64)
     order = np.argsort(q)
-    return q[order], some["p"].to_numpy(np.float64)[order]
+    return q[order], some.column("p").to_numpy()[order]
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -368,12 +447,15 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("train", ~held_out)
-    counted = rows.select("text", "train").mapInArrow(_words, "h long, word binary, n long, n_train long")
-    words = scratch.save(counted.groupBy("h").agg(F.first("word").alias("word"), F.sum("n").alias("n"), F.sum("n_train").alias("n_train")), "words")
+    counted = rows.select("text", "train").mapInArrow(_words, "root boolean, h long, word binary, n long, n_train long")
+    both = scratch.save(counted.groupBy("root", "h").agg(F.first("word").alias("word"), F.sum("n").alias("n"), F.sum("n_train").alias("n_train")), "words")
+    words = both.where("not root").drop("root")
+    root = both.where("root").select("h", "n_train").toArrow()
+    root = (root.column("h").to_numpy().view(np.uint64), root.column("n_train").to_numpy())
     ends = rows.where("train").count()
     sums = words.agg(F.sum("n"), F.sum("n_train"), F.count(F.when(F.col("n_train") > 0, 1))).first()
     every, n_train, v = (sums[0] or 0), (sums[1] or 0) + ends, (sums[2] or 0) + (ends > 0)
-    chances = answers(words, rows.select("text", "train"), ends, scratch)
+    chances = answers(words, rows.select("text", "train"), root, every, scratch)
     cached = spark.sparkContext.broadcast(most_asked(chances))
     asks = chances.select(F.col("q").alias("ask"), "p")
 
@@ -383,7 +465,10 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                 part = batch.slice(k, 1 << 15)
                 c = part.column("n_train").to_numpy()
                 base = np.log10((c + 1) / (n_train + v + 1))
-                ppm, ask, ask_times = answered(*word_pairs(part.column("word")), part.num_rows, *cached.value)
+                q, word = word_pairs(part.column("word"))
+                p, known = answered(q, *cached.value)
+                ppm = np.bincount(word, weights=p, minlength=part.num_rows)
+                ask, ask_times = counted_per_row(q[~known], word[~known], part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column("h"), part.column("n"), pa.array((c > 0).astype(np.int32)), pa.array(base), pa.array(ppm), ask, ask_times], ["h", "n", "known", "base", "ppm", "ask", "ask_times"])
 
     def joined(rows: DataFrame, key: str) -> DataFrame:
@@ -399,7 +484,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     frequent = spark.sparkContext.broadcast((often["h"].to_numpy(np.int64).view(np.uint64)[order], often[["known", "base", "ppm"]].to_numpy(np.float64)[order]))
     end = (int(ends > 0), float(np.log10((ends + 1) / (n_train + v + 1))))
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def text_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h0, values = frequent.value
         look = Lookup(h0) if len(h0) else None
         for batch in batches:
@@ -410,8 +495,18 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                 h = span_hashes(LOWER_VALUES[data], *text.words) if len(of) else np.zeros(0, np.uint64)
                 at = look.find(h) if look else np.full(len(h), -1)
                 hit = at >= 0
-                heads, ask, ask_times = answered(*head_pairs(text), k, *cached.value)
-                parts = [np.bincount(of[hit], weights=values[at[hit], j], minlength=k) + more for j, more in enumerate((*end, heads))]
+                heads, back = np.unique(text.heads, return_inverse=True)
+                q, head = head_pairs(heads)
+                p, known = answered(q, *cached.value)
+                whole = np.bincount(text.rows, weights=np.bincount(head, weights=p, minlength=len(heads))[back], minlength=k)
+                q, head = q[~known], head[~known]
+                q = q[np.argsort(head, kind="stable")]  # of each head the pairs to be joined, for all its occurrences
+                many = np.bincount(head, minlength=len(heads))
+                begin = np.cumsum(many) - many
+                size = many[back]
+                each = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begin[back], size)
+                ask, ask_times = counted_per_row(q[each], np.repeat(text.rows, size), k)
+                parts = [np.bincount(of[hit], weights=values[at[hit], j], minlength=k) + more for j, more in enumerate((*end, whole))]
                 rest, times = counted_per_row(h[~hit], of[~hit], k)
                 ids = [batch.column(c).slice(first, k) for c in ("uid", "doc_id", "held_out")]
                 n = np.bincount(of, minlength=k) + 1
@@ -421,7 +516,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                 )
 
     texts = rows.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", (~F.col("train")).alias("held_out"), "text")
-    sums = scratch.save(texts.mapInArrow(summed, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, ppm double, rest array<long>, times array<int>, ask array<long>, ask_times array<int>"), "sums")
+    sums = scratch.save(texts.mapInArrow(text_sums, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, ppm double, rest array<long>, times array<int>, ask array<long>, ask_times array<int>"), "sums")
     each = sums.select("uid", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("uid", F.col("x.rest").alias("h"), F.col("x.times").alias("times"))
     found = each.join(table.select("h", F.col("known").alias("k"), F.col("base").alias("b"), F.col("ppm").alias("p")), "h")
     found = found.select("uid", *((F.col("times") * F.col(c)).alias(c) for c in "kbp")).unionAll(joined(sums, "uid").select("uid", F.lit(0).alias("k"), F.lit(0.0).alias("b"), "p"))

@@ -109,15 +109,16 @@ def test_tokens_are_the_library_s():
 
 
 def test_chances_after_a_context_sum_to_one():
-    words = pa.record_batch({"word": pa.array([b"the", b"then", b"a"], pa.binary()), "n_train": pa.array([5, 2, 3])})
-    parts = list(ppm._word_branches([words]))
-    context, symbol, n = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(3))
-    keys, inverse = np.unique(context, return_inverse=True)
-    both, back = np.unique(np.c_[context, symbol], axis=0, return_inverse=True)
-    trie = ppm.Trie.build(both[:, 0].view(np.uint64), both[:, 1], np.bincount(back.ravel(), weights=n), keys.view(np.uint64), np.bincount(inverse, weights=n))
+    parts = list(ppm.word_parts(pa.array([b"the", b"then", b"a"], pa.binary()), np.array([5, 2, 3])))
+    q, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    data = np.frombuffer(b"the the the the the then then a a a", np.uint8)
+    root, times = ppm.root_counts(ppm.Text(data, np.array([0, len(data)])), np.array([True]))
+    trie = ppm.Trie.build(np.r_[root, q], np.r_[times, n])
     symbols = np.array([*(s for s in range(256) if s not in (9, 11, 12, 13))])
-    for key, order in ((ppm._TAG[0], 0), (ppm._TAG[2] | np.uint64(0x2074), 2), (ppm._TAG[1] | np.uint64(ord("q")), 1)):
-        assert abs((10 ** trie.log_chance(np.full(len(symbols), key), np.full(len(symbols), order), symbols)).sum() - 1) < 1e-9
+    for past in (b"", b"ht", b"q", b" ", b"eht "):
+        packed = sum(c << (40 - 8 * i) for i, c in enumerate(past))
+        key = np.uint64((len(past) + 1) << 48 | packed)
+        assert abs((10 ** trie.log_chance(np.full(len(symbols), key), np.full(len(symbols), len(past)), symbols)).sum() - 1) < 1e-9
 
 
 def test_near_lines_go(spark):
