@@ -12,7 +12,9 @@ all of them could differ get their first elements in hash order as keys too
 Candidates are made in steps, each followed by a union, after which only keys
 and elements go on that still hold several components:
 
-1. each set of a key with the key's first one (in proportion to the rows);
+1. each set of a key with the key's head, the one that shares keys with most
+   others, which in a group of near copies is one of the least changed and the
+   same for most keys (in proportion to the rows);
 2. all pairs of different components in keys of BLOCK sets at most; sets of
    larger keys are matched by their rarest elements instead (prefix filter). Of
    those, only elements that sets of several components hold count, as a link
@@ -156,19 +158,18 @@ def _dealt(buckets: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, head): the keys of several ids, with the least one."""
+    """(key): the keys of several ids."""
     keys, ids = [], []
     for batch in batches:
         keys.append(batch.column("keys").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
         ids.append(batch.column("ids").flatten().to_numpy(zero_copy_only=False))
     if keys:
         key, low, high = _ends(np.concatenate(keys), np.concatenate(ids))
-        two = low != high
-        yield pa.RecordBatch.from_arrays([pa.array(as_long(key[two])), pa.array(low[two])], ["key", "head"])
+        yield pa.RecordBatch.from_arrays([pa.array(as_long(key[low != high]))], ["key"])
 
 
 def members_of(keyed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, id, head) of the keys that several ids have; head is the least of those.
+    """(key, id, head) of the keys that several ids have; head is the one of those with the largest keys.
 
     Keys are dealt out in runs, with two ids of each at most from each run, so
     that a key that very many sets have is small before the shuffle. Sets with a
@@ -176,8 +177,8 @@ def members_of(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     spark = keyed.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.mapInArrow(_dealt(buckets), "bucket int, keys array<long>, ids array<long>")
-    heads = scratch.save(dealt.repartition("bucket").mapInArrow(_shared, "key long, head long"), "heads")
-    bits = spark.sparkContext.broadcast(key_bits(heads, "key"))
+    shared = scratch.save(dealt.repartition("bucket").mapInArrow(_shared, "key long"), "shared-keys")
+    bits = spark.sparkContext.broadcast(key_bits(shared, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, ids in _gathered(batches):
@@ -185,8 +186,13 @@ def members_of(keyed: DataFrame, scratch: Scratch) -> DataFrame:
             pairs = np.unique(np.stack([as_long(keys[some]), ids[some]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["key", "id"])
 
-    found = scratch.save(keyed.mapInArrow(run, "key long, id long").distinct().join(heads, "key"), "members")
-    scratch.drop(heads)
+    rows = scratch.save(keyed.mapInArrow(run, "key long, id long").distinct().join(shared, "key"), "shared-rows")
+    sizes = scratch.save(rows.groupBy("key").agg(F.count("*").alias("sets")), "sizes")
+    weights = scratch.save(rows.join(sizes, "key").groupBy("id").agg((F.sum("sets") + F.expr("(xxhash64(id) & 4294967295) / 4294967296D")).alias("weight")), "weights")
+    heads = scratch.save(rows.join(weights, "id").groupBy("key").agg(F.max_by("id", "weight").alias("head")), "heads")
+    found = scratch.save(rows.join(heads, "key"), "members")
+    for done in (shared, rows, sizes, weights, heads):
+        scratch.drop(done)
     return found
 
 

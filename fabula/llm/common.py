@@ -60,13 +60,13 @@ def _bitmaps(places: DataFrame) -> DataFrame:
 
 
 def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows whose ``key`` is in ``ids``; a bit table drops most others before the shuffle."""
+    """``rows`` joined with ``ids``, which has each ``key`` once; a bit table drops most other rows before the shuffle."""
     place = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)) + 1
     table = _bitmaps(ids.select(place.alias("p"))).select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))
     byte = F.conv(F.hex(F.expr("substring(_bits, int(bitmap_bit_position(_p) div 8) + 1, 1)")), 16, 10).cast("int")
     near = rows.withColumn("_p", place).join(F.broadcast(table), F.bitmap_bucket_number("_p") == F.col("_bucket"))
     near = near.where(byte.bitwiseAND(F.expr("shiftleft(1, int(bitmap_bit_position(_p) % 8))")) != 0).select(*rows.columns)
-    return near.join(ids.select(key), key, "left_semi")
+    return near.join(ids, key)  # a semi-join would be moved below the table
 
 
 def key_bits(keys: DataFrame, key: str) -> np.ndarray:

@@ -174,8 +174,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     def text_of(rows: DataFrame) -> DataFrame:
         """(sid, text) of rows (sid, uid)."""
-        rows = rows.select("sid", "uid")
-        return among(texts.select("uid", "text"), rows, "uid").dropDuplicates(["uid"]).join(rows, "uid").select("sid", "text")
+        return among(texts.select("uid", "text"), rows.select("sid", "uid"), "uid").dropDuplicates(["uid"]).select("sid", "text")
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
