@@ -16,12 +16,13 @@ and elements go on that still hold several components:
    others, which in a group of near copies is one of the least changed and the
    same for most keys (in proportion to the rows);
 2. all pairs of different components in keys of BLOCK sets at most; sets of
-   larger keys are matched by their rarest elements instead (prefix filter). Of
-   those, only elements that sets of several components hold count, as a link
-   that is still missing joins two components. Each set is compared with the
-   element's set that has fewest other elements;
-3. all pairs of different components that the counts of such elements leave
-   possible.
+   larger keys are matched by their first elements instead (prefix filter), in
+   an order that puts elements of many sets last. Of those, only elements that
+   sets of several components have count, as a link that is still missing joins
+   two components. Each set is compared with the element's set that has the
+   fewest first elements for itself;
+3. all pairs of different components with a common first element whose places
+   leave the similarity possible.
 
 So a passage that very many sets share, or a large group of near copies, is not
 compared pair by pair, and no pair of different components is left out.
@@ -41,10 +42,14 @@ from .graph import components
 
 #: Of keys with so many sets at most, all pairs of different components are compared.
 BLOCK = 8
+#: Elements that a task meets so often are frequent; so many of them, the most frequent, are told to all tasks. They only order elements.
+OFTEN = 3
+FREQUENT = 100_000
 #: Of each shared rare element, so many before it are looked at, so that a pair seldom stands at two of them.
 BEFORE = 32
 #: Keys that a task sorts at once.
 GATHERED = 1 << 21
+Elements = Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]
 
 
 def levels(m: int, most: int, percent: int) -> list[tuple[int, float]]:
@@ -214,21 +219,58 @@ def _blocks(labelled: DataFrame, split: DataFrame) -> DataFrame:
     return pairs.where("ca <> cb").select("a", "b")
 
 
-def _open_elements(elements: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(x, id, n, q, i, c): the rarest open elements of each set, those that sets of several components hold.
+def _frequent(elements: Elements):
+    """(x, f): the elements that a run of texts has often."""
 
-    q: how many open ones a set has, i: an element's place among them, the rarest
-    first. A link has percent of a set's n elements in common, all of them open
-    ones; so sets of fewer have none, and partners share one of the first
-    q - percent * n / 100 + 1 elements of each."""
-    held = elements.groupBy("x").agg(F.count("*").alias("f"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("x", "f")
-    one = Window.partitionBy("id")
-    placed = elements.join(held, "x").select("id", "x", "n", "c", F.count("*").over(one).alias("q"), F.row_number().over(one.orderBy("f", "x")).alias("i"))
-    return scratch.save(placed.where(f"100 * q >= {percent} * n").select("x", "id", "n", "q", F.col("i").cast("int").alias("i"), "c"), "open-elements")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, f = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in elements(batch.column("text")))]), return_counts=True)
+            x, f = x[f >= OFTEN], f[f >= OFTEN]
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(x)), pa.array(f.astype(np.int64))], ["x", "f"])
+
+    return run
+
+
+def _first_rare(elements: Elements, often: np.ndarray, times: np.ndarray, percent: int):
+    """(x, id, n, i): of each text the first n(1-s)+1 of its n elements, the least frequent first; i is the place."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for h, rows in elements(batch.column("text")):
+                f = np.zeros(len(h), np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+                    f = np.where(often[at] == h, times[at], 0)
+                order = np.lexsort((h, f, rows))
+                h, rows = h[order], rows[order]
+                n = np.bincount(rows, minlength=0)
+                i = np.arange(len(h)) - (np.cumsum(n) - n)[rows] + 1
+                keep = 100 * (n[rows] - i + 1) >= percent * n[rows]
+                h, rows, i = h[keep], rows[keep], i[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(ids[rows]), pa.array(n[rows].astype(np.int64)), pa.array(i.astype(np.int32))], ["x", "id", "n", "i"])
+
+    return run
 
-def _prefixes(keys: DataFrame, percent: int) -> DataFrame:
-    return keys.where(f"100 * (q - i + 1) >= {percent} * n")
+
+def _rare_elements(texts: DataFrame, left: DataFrame, elements: Elements, percent: int, scratch: Scratch) -> DataFrame:
+    """(x, id, n, i, gap, c): the first elements of each text that texts of several components have among theirs.
+
+    Two sets of the similarity share one of the first n(1-s)+1 elements of each,
+    whatever the order, as long as it is one for all. gap: how many first elements
+    a text has that no other component has among its own."""
+    counted = texts.select("text").mapInArrow(_frequent(elements), "x long, f long").groupBy("x").agg(F.sum("f").alias("f"))
+    most = counted.orderBy(F.desc("f"), "x").limit(FREQUENT).toArrow()
+    often = most.column("x").to_numpy().view(np.uint64)
+    order = np.argsort(often)
+    rows = texts.select("id", "text").mapInArrow(_first_rare(elements, often[order], most.column("f").to_numpy()[order], percent), "x long, id long, n long, i int")
+    rows = scratch.save(rows.join(left, "id"), "first-elements")
+    held = scratch.save(_several(rows, "x").select("x"), "open-elements")
+    gap = F.floor((100 - percent) * F.col("n") / 100) + 1 - F.count("*").over(Window.partitionBy("id"))
+    found = scratch.save(rows.join(held, "x").select("x", "id", "n", "i", gap.cast("long").alias("gap"), "c"), "rare-elements")
+    scratch.drop(rows)
+    scratch.drop(held)
+    return found
 
 
 def _possible(percent: int, common: str) -> str:
@@ -237,11 +279,11 @@ def _possible(percent: int, common: str) -> str:
 
 
 def _hubs(keys: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Of each element, each set with the one that has the fewest elements besides open ones."""
-    gap = F.expr("(n - q) * 4294967296 + (xxhash64(id) & 4294967295)")
-    hub = scratch.save(keys.groupBy("x").agg(*(F.min_by(v, gap).alias(f"{v}_b") for v in ("id", "n", "q", "c"))), "hubs")
-    pairs = keys.join(hub, "x").where("c <> c_b").withColumnsRenamed({"n": "n_a", "q": "q_a"})
-    return pairs.where(_possible(percent, "least(q_a, q_b)")).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+    """Of each element, each set with the one that has the least gap, unless gaps make a link unlikely."""
+    gap = F.expr("gap * 4294967296 + (xxhash64(id) & 4294967295)")
+    hub = scratch.save(keys.groupBy("x").agg(*(F.min_by(v, gap).alias(f"{v}_b") for v in ("id", "n", "gap", "c"))), "hubs")
+    pairs = keys.join(hub, "x").where("c <> c_b").withColumnsRenamed({"n": "n_a", "gap": "gap_a"})
+    return pairs.where(_possible(percent, "least(n_a - gap_a, n_b - gap_b)")).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
 
 
 def _all(keys: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -253,18 +295,19 @@ def _all(keys: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     split = scratch.save(_several(keys, "x").select("x"), "split-elements")
     before = Window.partitionBy("id").orderBy("i").rowsBetween(-BEFORE, -1)
     keys = keys.join(split, "x", "left_semi").withColumn("before", F.collect_list("x").over(before))
-    a, b = (keys.select("x", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "q", "i", "c", "before"))) for s in "ab")
-    fits = f"c_a < c_b and {_possible(percent, '(1 + least(q_a - i_a, q_b - i_b))')}"
+    a, b = (keys.select("x", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "i", "c", "before"))) for s in "ab")
+    fits = f"c_a < c_b and {_possible(percent, '(1 + least(n_a - i_a, n_b - i_b))')}"
     pairs = a.join(b, "x").where(f"{fits} and not arrays_overlap(before_a, before_b)")
     return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
-def links(keyed: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+def links(keyed: DataFrame, confirm: Callable[[DataFrame], DataFrame], texts_of: Callable[[DataFrame], DataFrame], elements: Elements, percent: int, scratch: Scratch) -> DataFrame:
     """(id, component) of all ids that some confirmed link joins to another.
 
     keyed: (id, keys), rows may repeat; confirm: distinct (a, b) candidates to
-    the true links among them, as (u, v); sets: (id) to the elements of those
-    sets, (id, n, x) without repeats, n the set's size."""
+    the true links among them, as (u, v); texts_of: (id) to (id, text), a row
+    for each; elements: a column of texts to (elements, row of each) without
+    repeats, in parts."""
     members = members_of(keyed, scratch)
     found: DataFrame | None = None
 
@@ -286,13 +329,13 @@ def links(keyed: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: Cal
     if left.isEmpty():
         unite(_blocks(labelled, split))
         return found
-    elements = scratch.save(sets(left.select("id")), "elements")
-    keys = _open_elements(elements.join(left, "id"), percent, scratch)
-    scratch.drop(elements)
-    unite(_blocks(labelled, split).unionAll(_hubs(_prefixes(keys, percent), percent, scratch)))
+    texts = scratch.save(texts_of(left.select("id")), "texts")
+    keys = _rare_elements(texts, left, elements, percent, scratch)
+    scratch.drop(texts)
+    unite(_blocks(labelled, split).unionAll(_hubs(keys, percent, scratch)))
     for done in (labelled, split, left):
         scratch.drop(done)
-    now = scratch.save(_labelled(_prefixes(keys, percent).drop("c"), found), "rare-elements")
+    now = scratch.save(_labelled(keys.drop("c"), found), "rare-elements")
     scratch.drop(keys)
     unite(_all(now, percent, scratch))
     scratch.drop(now)

@@ -196,14 +196,11 @@ def _confirmed(percent: int):
     return run
 
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n, x): the shingles of each line, and how many they are."""
-    for whole in batches:
-        for k in range(0, whole.num_rows, 512):
-            batch = whole.slice(k, 512)
-            sets = _sets(batch.column("text"))
-            x, size = np.concatenate([np.zeros(0, np.uint64), *sets]), [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("h").to_numpy(), size)), pa.array(np.repeat(np.array(size, np.int64), size)), pa.array(as_long(x))], ["id", "n", "x"])
+def _elements(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The shingles of lines, by row."""
+    for k in range(0, len(column), 512):
+        sets = _sets(column.slice(k, 512))
+        yield np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(k, k + len(sets)), [len(s) for s in sets])
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS) -> DataFrame:
@@ -226,10 +223,10 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORD
         both = pairs.join(side("b"), "b").join(side("a"), "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         return both.select("a", "b", "ta", "tb").mapInArrow(_confirmed(percent), "u long, v long")
 
-    def sets(ids: DataFrame) -> DataFrame:
-        return text_of(ids.select(F.col("id").alias("h"))).select("h", "text").mapInArrow(_elements, "id long, n long, x long")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return text_of(ids.select(F.col("id").alias("h"))).select(F.col("h").alias("id"), "text")
 
-    linked = links(fresh.select(F.col("h").alias("id"), "keys"), confirm, sets, percent, scratch)
+    linked = links(fresh.select(F.col("h").alias("id"), "keys"), confirm, texts_of, _elements, percent, scratch)
     scratch.drop(found)
     first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.count("*").alias("copies"))
     known = first.join(linked.select(F.col("id").alias("h"), "component"), "h", "left").where("copies > 1 or component is not null")

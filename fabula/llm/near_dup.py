@@ -140,15 +140,12 @@ def _confirmed(width: int, percent: int):
 
 
 def _elements(width: int):
-    """(id, n, x): the shingles of each set, and how many they are."""
+    """The shingles of texts, by row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("id").to_numpy()
-            for first, stop, data, offs in text_chunks(batch.column("text")):
-                h, rows = distinct_per_row(*shingles(*word_hashes(data, offs), width))
-                n = np.bincount(rows, minlength=stop - first)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first + rows]), pa.array(n[rows]), pa.array(as_long(h))], ["id", "n", "x"])
+    def run(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for first, _, data, offs in text_chunks(column):
+            h, rows = distinct_per_row(*shingles(*word_hashes(data, offs), width))
+            yield h, first + rows
 
     return run
 
@@ -191,11 +188,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         both = likely.join(found.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b").join(found.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a")
         return both.mapInArrow(_confirmed(width, percent), "u long, v long")
 
-    def sets(ids: DataFrame) -> DataFrame:
-        found = text_of(of(ids.select(F.col("id").alias("sid"))))
-        return found.select(F.col("sid").alias("id"), "text").mapInArrow(_elements(width), "id long, n long, x long")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return text_of(of(ids.select(F.col("id").alias("sid")))).select(F.col("sid").alias("id"), "text")
 
-    found = links(filled.select(F.col("sid").alias("id"), "keys"), confirm, sets, percent, scratch)
+    found = links(filled.select(F.col("sid").alias("id"), "keys"), confirm, texts_of, _elements(width), percent, scratch)
     found = _same_id(filled, found, scratch)
     rows = sketches.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("id"))
     rows = scratch.save(rows.join(found, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("c")), "rows")
