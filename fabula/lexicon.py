@@ -7,6 +7,7 @@ LOOKALIKE_LATIN = "aceopxyiACEOPXYI"
 LOOKALIKE_CYRILLIC = "асеорхуіАСЕОРХУІ"
 DASHES = "\\-\u2012\u2013\u2014\u2015"
 QUOTES = "«\"„“”'’"
+CLOSING = "»\"”'’"
 END_PUNCTUATION = "[.!?…\"”»]"
 NAME = r"[A-ZА-ЯЇІЄҐ][\w’'\-]+"
 
@@ -26,6 +27,19 @@ VERBS_N = "каже|говорить|питає|запитує|кричить|в
 VERBS_ANY = f"{VERBS_M}|{VERBS_F}|закричала|{VERBS_N}"
 FIRST_PERSON_VERBS = "повторюю|кажу|говорю|відповідаю|питаю|запитую|показую|обзиваю|киваю|наголошую|зазначаю|прошу|гукаю|відказую"
 FIRST_PERSON_WORDS = "я|мені|мене|мною|мій|моє|мої|кажу|говорю|відповідаю|питаю|прошу|дякую|зізнаюся|шепочу|бурмочу|вигукую|кричу|показую|звертаюся|стримуюсь|охаю|хочу|сплю"
+FIRST_PERSON_NOW = "кажу|відповідаю|питаю|запитую|кричу|шепочу|бурчу|мовлю|промовляю|пояснюю|додаю|зазначаю|прошу|гукаю|відказую"
+FIRST_PERSON_PAST = "сказав|відповів|запитав|крикнув|вигукнув|прошепотів|буркнув|мовив|промовив|пояснив|гукнув|відказав|сказала|відповіла|запитала|крикнула|вигукнула|прошепотіла|буркнула|промовила|пояснила|гукнула|відказала"
+FIRST_PERSON_LEADIN = rf"(?:я\s+(?:{FIRST_PERSON_NOW})|(?:{FIRST_PERSON_NOW}|{FIRST_PERSON_PAST})\s+я)"
+FIRST_PERSON_TAIL = rf"(?:{FIRST_PERSON_PAST})\s+я|я\s+(?:{FIRST_PERSON_NOW})"
+NARRATOR_FIRST_PERSON = "я|мені|мене|мною|мій|моє|мої"
+CHILD_WORDS = "я|мені|мене|мною|мій|моє|мої|кажу|говорю|відповідаю|питаю|прошу|дякую|зізнаюся|шепочу|бурмочу|вигукую|кричу|показую|звертаюся|стримуюсь|охаю"
+# --- thoughts, sayings, titles -------------------------------------------------------------
+THOUGHT_VERBS = "подумки|подумав|подумала|міркував|міркувала|розмірковував|розмірковувала"
+THOUGHT_PHRASES = "про себе|в думках|майнула думка"
+NEAR_THOUGHT = rf"афоризм\w*|прислів'я|приказк\w*|думк\w*|{THOUGHT_VERBS}"
+NEAR_APHORISM = rf"{NEAR_THOUGHT}|цитат\w*"
+TITLES = r"вожд\w*|ватаж\w*|лідер\w*"
+TITLE_STEMS = "ватаж|вожд|лідер"
 PRONOUNS_M = "він|йому|ним|ньому|нього|цей|цього|цьому|цим|той|того|тому|тим"
 PRONOUNS_F = "вона|її|їй|неї|нею|цій|цією|цієї|цю|ця"
 CROWD = r"\b(інші|усі|всі|вони|люди|решта|натовп)\b.*\b(кричать|гукають|вигукують|волають|свистять|співають|регочуть|галасують)\b"
@@ -37,6 +51,21 @@ ALIAS_STOPS = ("f", "m", "жінка", "чоловік", "дитина", "опо
 FEMALE_STEMS = "жін|дів|мати|мам|баб|правнуч|донь"
 MALE_STEMS = "чолов|хлоп|дід|дідо|дідус|старійшин|ватаж"
 
+#: Vocative forms of kin words, by base form.
+KIN_FORMS = {
+    "дід": ("дід", "діду", "дідом", "діде", "діда", "дідоню", "дідусю", "дідусь", "дідуся", "дідусем"),
+    "баба": ("баба", "бабо", "бабу", "бабусю", "бабусе", "бабуню", "бабцю", "бабце"),
+    "тато": ("тато", "тату", "тата", "татусю", "татусе", "татусем"),
+    "мама": ("мама", "мамо", "маму", "матусю", "матусе", "мамусю", "мамусе"),
+    "сину": ("сину", "сине", "сина", "сином", "синочку", "синочек"),
+    "доня": ("доню", "доня", "донюню", "донечко", "донечці", "донечкою"),
+}
+
+# --- the speaker model -------------------------------------------------------------------
+HINT_M = "сказав|відповів|промовив|крикнув|вигукнув|прошепотів|буркнув|звернувся|процедив|відказав|зазначив|погодився"
+HINT_F = "сказала|відповіла|промовила|крикнула|вигукнула|прошепотіла|буркнула|звернулась|процедила|відказала|зазначила|погодилась"
+EXPLICIT_VERBS = "сказав|сказала|відповів|відповіла|запитав|запитала|спитав|спитала|промовив|промовила|вигукнув|вигукнула|прошепотів|прошепотіла"
+
 # --- scenes ------------------------------------------------------------------------------
 SCENE_HEADING = r"(?iuU)^\s*(?:#g1\s*:\s*)?(?:(пролог|епілог)|(глава|розділ|частина)\s+(\d+|[IVXLCDM]+))\.?\s*$"
 END_OF_PROLOGUE = r"(?iuU)^\s*(?:#g1\s*:\s*)?кінець\s+прологу\.?\s*$"

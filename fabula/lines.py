@@ -51,6 +51,6 @@ def is_speech(gid: Column, body: Column) -> Column:
     return gid.isNotNull() & (gid != "#g1") & is_dialog(body)
 
 
-def renumber(lines: DataFrame) -> DataFrame:
-    """Line numbers without gaps, after lines were dropped."""
-    return lines.withColumn("line_no", (F.row_number().over(in_order()) - 1).cast("int"))
+def renumber(lines: DataFrame, *parts: str) -> DataFrame:
+    """Line numbers without gaps, after lines were dropped, or cut into parts that are numbered by the columns ``parts``."""
+    return lines.withColumn("line_no", (F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", *parts)) - 1).cast("int"))

@@ -11,14 +11,18 @@ from .legend import alias_key
 
 _D = f"[{L.DASHES}]"
 _WORD = r"[\p{L}][\p{L}\d’'\-]+"
+#: A name of up to three words; the longest part of it that the legend has counts.
+_NAME = rf"{_WORD}(?:\s+{_WORD}){{0,2}}"
 
 
 def _assigned(lines: DataFrame, aliases: DataFrame, name: Column, allowed: Column) -> DataFrame:
     """Lines with the speaker whose alias ``name`` is, where ``allowed`` and the alias is not the narrator's."""
-    known = aliases.where("gid <> '#g1'").select(F.col("doc_id").alias("_doc"), F.col("alias").alias("_alias"), F.col("gid").alias("_gid"))
-    named = lines.withColumn("_name", F.when(allowed & (name != ""), alias_key(name)))
-    joined = named.join(known, (F.col("doc_id") == F.col("_doc")) & (F.col("_name") == F.col("_alias")), "left")
-    return joined.withColumn("gid", F.coalesce("_gid", "gid")).drop("_doc", "_alias", "_gid", "_name")
+    # a legend's names are few, so they come as one map for each document
+    known = aliases.where("gid <> '#g1'").groupBy(F.col("doc_id").alias("_doc")).agg(F.map_from_entries(F.collect_list(F.struct("alias", "gid"))).alias("_known"))
+    words = F.split(alias_key(name), r"\s+")
+    joined = lines.withColumn("_name", F.when(allowed & (name != ""), words)).join(known, F.col("doc_id") == F.col("_doc"), "left")
+    part = lambda k: F.when(F.size("_name") >= k, F.try_element_at("_known", alias_key(F.array_join(F.slice("_name", 1, k), " "))))
+    return joined.withColumn("gid", F.coalesce(part(3), part(2), part(1), "gid")).drop("_doc", "_known", "_name")
 
 
 def _last_letter_gender(name: Column) -> Column:
@@ -46,14 +50,14 @@ def inline_sayer(lines: DataFrame, aliases: DataFrame, hints: DataFrame) -> Data
 
 def inline_no_verb(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     """Unknown speech with "… — Name," or "… — Name:" after an end mark or a comma gets that speaker."""
-    pattern = rf"(?iuU)^\s*{_D}.+?(?:{L.END_PUNCTUATION}|,)\s*{_D}\s*({_WORD})\s*[,:]"
+    pattern = rf"(?iuU)^\s*{_D}.+?(?:{L.END_PUNCTUATION}|,)\s*{_D}\s*({_NAME})\s*[,:]"
     return _assigned(lines, aliases, F.regexp_extract("body", pattern, 1), F.col("gid") == "#g?")
 
 
 def inline_verb_name(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     """Speech with "— verb Name" or "— Name verb" after an end mark or a comma gets that speaker, whoever had it but the narrator."""
     lead = rf"(?iuU)(?:{L.END_PUNCTUATION}|,)\s*{_D}\s*"
-    verb_name, name_verb = rf"{lead}(?:{L.VERBS_ANY})\s+({_WORD})", rf"{lead}({_WORD})\s*,?\s*(?:{L.VERBS_ANY})(?![\p{{L}}])"
+    verb_name, name_verb = rf"{lead}(?:{L.VERBS_ANY})\s+({_NAME})", rf"{lead}({_NAME})\s*,?\s*(?:{L.VERBS_ANY})(?![\p{{L}}])"
     name = F.when(F.col("body").rlike(verb_name), F.regexp_extract("body", verb_name, 1)).otherwise(F.regexp_extract("body", name_verb, 1))
     return _assigned(lines, aliases, name, F.col("gid").isNotNull() & (F.col("gid") != "#g1"))
 
@@ -105,13 +109,27 @@ def narrator_dialog_hint(lines: DataFrame) -> DataFrame:
     return lines.withColumn("gid", F.when(hit & mine, F.lit("#g2")).when(hit, F.lit("#g?")).otherwise(F.col("gid")))
 
 
-def demote_forbidden(lines: DataFrame, constraints: DataFrame) -> DataFrame:
-    """Speakers that a scene's allow or forbid list shuts out become unknown. lines: with scene; constraints: doc_id, gid, allowed, forbidden (lower case)."""
+def with_prologue(lines: DataFrame) -> DataFrame:
+    """Column in_prologue: whether the line's scene is a prologue. lines: with scene."""
+    return lines.withColumn("in_prologue", F.coalesce(F.lower("scene").startswith("пролог"), F.lit(False)))
+
+
+def demote_forbidden(lines: DataFrame, constraints: DataFrame, chars: DataFrame | None = None) -> DataFrame:
+    """Speakers that a scene's allow or forbid list shuts out become unknown; so do grandfathers without any list outside the prologue, given ``chars``.
+
+    lines: with scene (and in_prologue); constraints: doc_id, gid, allowed, forbidden (lower case)."""
     c = constraints.select(F.col("doc_id").alias("_doc"), F.col("gid").alias("_gid"), "allowed", "forbidden")
+    c = c.groupBy("_doc", "_gid").agg(F.array_distinct(F.flatten(F.collect_list("allowed"))).alias("allowed"), F.array_distinct(F.flatten(F.collect_list("forbidden"))).alias("forbidden"))
+    if chars is not None:
+        old = chars.select(F.col("doc_id").alias("_doc"), F.col("gid").alias("_gid"), F.exists(F.concat("roles", "names"), lambda r: F.lower(r).rlike("^(?:дід|дідо|дідус)")).alias("_old"))
+        c = c.join(old, ["_doc", "_gid"], "left")
     joined = lines.join(c, (F.col("doc_id") == F.col("_doc")) & (F.col("gid") == F.col("_gid")), "left")
     scene = F.lower("scene")
-    out = scene.isNotNull() & ((F.size(F.coalesce("allowed", F.array().cast("array<string>"))) > 0) & ~F.array_contains("allowed", scene) | F.array_contains("forbidden", scene))
-    return joined.withColumn("gid", F.when(F.coalesce(out, F.lit(False)) & (F.col("gid") != "#g1"), F.lit("#g?")).otherwise(F.col("gid"))).drop("_doc", "_gid", "allowed", "forbidden")
+    listed = (F.size("allowed") > 0) | (F.size("forbidden") > 0)
+    out = scene.isNotNull() & ((F.size("allowed") > 0) & ~F.array_contains("allowed", scene) | F.array_contains("forbidden", scene))
+    if chars is not None:
+        out = out | (~listed & F.coalesce("_old", F.lit(False)) & ~F.col("in_prologue") & scene.isNotNull())
+    return joined.withColumn("gid", F.when(F.coalesce(out, F.lit(False)) & (F.col("gid") != "#g1"), F.lit("#g?")).otherwise(F.col("gid"))).drop("_doc", "_gid", "allowed", "forbidden", "_old", "in_prologue")
 
 
 def constraints(legend: DataFrame) -> DataFrame:

@@ -4,15 +4,59 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
 
 #: Hits of one tag that lie nearer than this become one.
 MERGE_GAP = 40
+POSITIONS = ("precede_line", "after_punctuation_newline", "after_match", "after_paragraph", "before_match", "previous_punctuation", "replace_match")
+
+#: (tag, pattern, position, tag after a heading or null, confidence)
+Rule = tuple[str, str, str, str | None, float]
+
+
+def rules_from(text: str) -> tuple[Rule, ...]:
+    """The rules of a YAML text; those without a tag, a sound pattern or a known position are left out."""
+    import yaml
+
+    spec = yaml.safe_load(text) or {}
+    out = []
+    for r in [*(spec.get("structural") or []), *(spec.get("actions") or [])]:
+        try:
+            re.compile(r["pattern"])
+            if r["position"] in POSITIONS and re.fullmatch(r"#\w+", r["tag"]):
+                out.append((r["tag"], r["pattern"], r["position"], r.get("post_tag"), float(r.get("confidence", 0.5))))
+        except (KeyError, TypeError, re.error):
+            continue
+    return tuple(out)
+
+
+@cache
+def default_rules() -> tuple[Rule, ...]:
+    """The rules of the package's file; where YAML can't be read, the few of the lexicon."""
+    try:
+        return rules_from((Path(__file__).parent.parent / "rules" / "sounds.yaml").read_text(encoding="utf-8")) or L.SOUND_RULES
+    except (ImportError, OSError):
+        return L.SOUND_RULES
+
+
+def rule_table(spark: SparkSession, rules: tuple[Rule, ...] | None = None) -> DataFrame:
+    """(tag, pattern, position, post_tag, confidence, ord) of rules."""
+    rows = [(*r, i) for i, r in enumerate(rules or default_rules())]
+    return spark.createDataFrame(rows, "tag string, pattern string, position string, post_tag string, confidence double, ord int")
+
+
+def unknown_tags(docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(tag, n): the sound tags on lines of their own that no rule has."""
+    tags = docs.select(F.explode(F.split("text", "\n")).alias("tag")).withColumn("tag", F.trim("tag")).where(r"tag rlike '^#[A-Za-z]\\w*$' and not tag rlike '^#g'")
+    known = rules.select("tag").unionAll(rules.where("post_tag is not null").select("post_tag"))
+    return tags.join(known, "tag", "left_anti").groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def _place(mode: str, text: str, m: re.Match) -> tuple[int, int]:
@@ -22,6 +66,8 @@ def _place(mode: str, text: str, m: re.Match) -> tuple[int, int]:
         return m.start(), n.end()
     if mode == "after_match":
         return m.start(), re.compile(r"[.,?!…]{0,3}").match(text, m.end()).end()
+    if mode == "after_paragraph":
+        return m.start(), len(text)
     if mode == "before_match":
         return m.start(), m.start()
     if mode == "previous_punctuation":
@@ -29,7 +75,7 @@ def _place(mode: str, text: str, m: re.Match) -> tuple[int, int]:
     return m.start(), m.end()
 
 
-def spans(text: str, rules: tuple = L.SOUND_RULES) -> list[tuple[int, int, str, float]]:
+def spans(text: str, rules: tuple[Rule, ...]) -> list[tuple[int, int, str, float]]:
     """(start, point, tag, confidence) of a paragraph's hits: near ones of a tag merged, of overlapping ones the surest kept."""
     found = []
     for tag, pattern, mode, _, sure in rules:
@@ -53,16 +99,20 @@ def spans(text: str, rules: tuple = L.SOUND_RULES) -> list[tuple[int, int, str,
     return [tuple(s) for s in out]
 
 
-def tag_text(text: str, rules: tuple = L.SOUND_RULES) -> tuple[str, int]:
-    """(text with tags on lines of their own, their number)."""
+def tag_text(text: str, rules: tuple[Rule, ...]) -> tuple[str, int]:
+    """(text with tags on lines of their own, their number); tags that an earlier run put after sentences are made anew."""
     n, lines = 0, []
+    for r in rules:
+        if r[2] == "after_punctuation_newline":
+            text = re.sub(rf"\n{re.escape(r[0])}(?=\n|$)", "", text)
     for line in text.split("\n"):
-        head = next((r for r in rules if r[2] == "precede_line" and re.search(r[1], line, re.IGNORECASE)), None)
-        if head and (not lines or lines[-1].strip() != head[0]):
+        head = next((r for r in rules if r[2] == "precede_line" and re.match(rf"\s*(?:{r[1]})", line, re.IGNORECASE)), None)
+        new = head and (not lines or lines[-1].strip() != head[0])
+        if new:
             lines.append(head[0])
             n += 1
         lines.append(line)
-        if head and head[3]:
+        if new and head[3]:
             lines.append(head[3])
     parts = re.split(r"(\n\s*\n)", "\n".join(lines))
     for k in range(0, len(parts), 2):
@@ -70,19 +120,37 @@ def tag_text(text: str, rules: tuple = L.SOUND_RULES) -> tuple[str, int]:
         n += len(hits)
         for _, point, tag, _ in reversed(hits):
             parts[k] = f"{parts[k][:point]}\n{tag}\n{parts[k][point:]}"
-    out = re.sub(r"[ \t]+([.,?!])", r"\1", "".join(parts))
+    out = re.sub(r"^(#\w+)(?:\s*\n\1(?!\w))+", r"\1", "".join(parts), flags=re.MULTILINE)
+    out = re.sub(r"[ \t]+([.,?!])", r"\1", out)
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]{2,}", " ", out)).strip() + "\n", n
 
 
-def tag_sounds(docs: DataFrame, rules: tuple = L.SOUND_RULES) -> DataFrame:
-    """(doc_id, text, n_tags) of documents (doc_id, text); places of hits need offsets, so Arrow batches of Python."""
+def tag_sounds(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
+    """(doc_id, text, n_tags) of documents (doc_id, text).
+
+    Places of hits need offsets, so texts with a hit go to Python in Arrow
+    batches; all others are only tidied, which built-in functions do."""
+    rules = rules or default_rules()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [tag_text(t, rules) if t else ("", 0) for t in b["text"]]
+            got = [tag_text(t, rules) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": [g[0] for g in got], "n_tags": [g[1] for g in got]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, text string, n_tags int")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hit = F.col("text").rlike("(?iuUm)" + "|".join(f"(?:{r[1]})" for r in rules)) | F.col("text").rlike(r"(?m)^#\w")
+    tidy = F.col("text")
+    for pattern, to in ((r"[ \t]+([.,?!])", "$1"), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"), (r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$", "")):
+        tidy = F.regexp_replace(tidy, pattern, to)
+    plain = rows.where(~hit).select("doc_id", F.when(F.col("text") == "", F.lit("")).otherwise(F.concat(tidy, F.lit("\n"))).alias("text"), F.lit(0).alias("n_tags"))
+    return rows.where(hit).mapInPandas(run, "doc_id long, text string, n_tags int").unionByName(plain)
+
+
+def emotion_tag(scores: Column) -> Column:
+    """The sound tag of the leading emotion, if it has one."""
+    best = F.element_at(F.array_sort(F.transform(F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k")))), 1)["k"]
+    tags = F.create_map(*(F.lit(x) for kv in L.EMOTION_TAGS.items() for x in kv))
+    return F.try_element_at(tags, best)
 
 
 def _without(scores: Column, emotion: str) -> Column:

@@ -48,6 +48,13 @@ class Script:
         found = self.words.findall(self.body[i].lower()) if self.words else []
         return list(dict.fromkeys(self.alias[a] for a in found))
 
+    def first_name(self, i: int) -> str | None:
+        """The character of the first capitalised word with an alias in a body's first 160 characters."""
+        for w in re.findall(r"(?<!\w)[A-ZА-ЯЇІЄҐ][\w’'\-]+", self.body[i][:160]):
+            if w.lower() in self.alias:
+                return self.alias[w.lower()]
+        return None
+
     def before(self, i: int, reach: int | None = None, gender: str | None = None) -> str | None:
         """The nearest earlier known speaker, of a gender if given."""
         for k in range(i - 1, -1 if reach is None else max(-1, i - 1 - reach), -1):
@@ -102,18 +109,22 @@ def vocatives(s: Script) -> None:
 
 
 def _pair(s: Script, i: int) -> list[str]:
-    """The two likeliest speakers around a line: known speech counts twice, each character addressed once."""
+    """The two likeliest speakers around a line: known speech counts twice, each character addressed once, and so does the first one that narration names."""
     score: Counter = Counter()
     for k in range(max(0, i - 12), min(len(s.gid), i + 13)):
         if s.speech(k):
             if s.known(k):
                 score[s.gid[k]] += 2
             score.update(g for g in s.addressed(k) if g != "#g1")
+        elif s.gid[k] in (None, "#g1"):
+            lead = s.first_name(k)
+            if lead and lead != "#g1":
+                score[lead] += 1
     return [g for g, _ in score.most_common(2)]
 
 
 def pair_lock(s: Script) -> None:
-    """From each unknown speech on, two speakers take turns; who is addressed answers, a first-person word fits only the first person."""
+    """From each unknown speech on, two speakers take turns; who is addressed answers, a first-person word fits only the first person. Tags of others, the narrator's too, give way until untagged text."""
     i = 0
     while i < len(s.gid):
         if s.gid[i] != "#g?" or not s.speech(i):
@@ -133,7 +144,7 @@ def pair_lock(s: Script) -> None:
         while i < len(s.gid):
             if s.gid[i] is None and s.body[i].strip():
                 break
-            if s.speech(i):
+            if s.gid[i] is not None:
                 named = [g for g in s.addressed(i) if g in pair]
                 if len(named) == 1:
                     s.gid[i] = pair[1] if named[0] == pair[0] else pair[0]
@@ -184,24 +195,32 @@ def fill_gaps(s: Script) -> None:
 
 
 def consensus(s: Script) -> None:
-    """A speaker whose gender the line's own verb denies gives way to the best-voted one of the right gender, or to none; each change is noted."""
+    """Votes for each known line: a name in it 3, one in the narration before 2, the nearest speaker of its verb's gender 1; each change is noted.
+
+    A speaker whose gender the line's own verb denies gives way to the best-voted one of the right
+    gender, or to none; any other one to the best-voted one that has two votes more."""
     for i in range(len(s.gid)):
         if not s.known(i) or not s.speech(i):
             continue
         tail = re.split(rf"[{L.DASHES}]", s.body[i])[-1]
         want = "F" if re.search(rf"{_LETTER}(?:{L.VERBS_F})(?!\w)", tail, re.IGNORECASE) else "M" if re.search(rf"{_LETTER}(?:{L.VERBS_M})(?!\w)", tail, re.IGNORECASE) else None
-        have = s.gender.get(s.gid[i])
-        if not want or not have or want == have:
-            continue
         votes: Counter = Counter()
         if _NAMED.search(s.body[i]):
-            votes.update({g: 3 for g in s.addressed(i)})
-        near = s.before(i, 6, want)
+            votes.update({g: 3 for g in s.addressed(i) if g != "#g1"})
+        lead = next((s.first_name(k) for k in range(i - 1, max(-1, i - 3), -1) if s.gid[k] in (None, "#g1") and s.body[k].rstrip().endswith(":")), None)
+        if lead and lead != "#g1":
+            votes[lead] += 2
+        near = want and s.before(i, 6, want)
         if near:
             votes[near] += 1
-        best = next((g for g, _ in votes.most_common() if s.gender.get(g) == want), None)
-        s.audit.append((i, s.gid[i], best or "#g?", "verb_gender_conflict" + ("->switch" if best else "->demote")))
-        s.gid[i] = best or "#g?"
+        have, old = s.gender.get(s.gid[i]), s.gid[i]
+        if want and have and want != have:
+            best = next((g for g, _ in votes.most_common() if s.gender.get(g) == want), None)
+            s.gid[i] = best or "#g?"
+            s.audit.append((i, old, s.gid[i], "verb_gender_conflict" + ("->switch" if best else "->demote")))
+        elif votes and votes.most_common(1)[0][1] >= votes[old] + 2 and votes.most_common(1)[0][0] != old and (not want or s.gender.get(votes.most_common(1)[0][0]) in (want, None)):
+            s.gid[i] = votes.most_common(1)[0][0]
+            s.audit.append((i, old, s.gid[i], "better_votes->switch"))
 
 
 RULES: tuple[Callable[[Script], None], ...] = (pronoun_inline, pronoun_coreference, vocatives, pair_lock, fix_flips, alternate, fill_gaps, consensus)
@@ -228,5 +247,6 @@ def fold(lines: DataFrame, aliases: DataFrame, chars: DataFrame, hints: DataFram
             reason[i] = why
         return rows.assign(gid=pd.Series(s.gid, dtype=object), reason=pd.Series(reason, dtype=object))
 
-    core = lines.select("doc_id", "line_no", "raw", "indent", "gid", "body")
+    names = ["doc_id", "line_no", "raw", "indent", "gid", "body"]
+    core, cast = lines.select(names).toDF(*names), cast.toDF(*cast.columns)  # both may come from one table
     return core.groupBy("doc_id").cogroup(cast.groupBy("doc_id")).applyInPandas(run, _LINES)

@@ -96,3 +96,56 @@ def name_forms(legend: DataFrame) -> DataFrame:
 def with_first_seen(lines: DataFrame) -> DataFrame:
     """(doc_id, gid, first_line): characters in order of appearance."""
     return lines.where("gid is not null and gid <> '#g?'").groupBy("doc_id", "gid").agg(F.min("line_no").alias("first_line")).withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("first_line")))
+
+
+def parse_legend_json(legends: DataFrame) -> DataFrame:
+    """(doc_id, gid, name, ord) of legends (doc_id, text) that are JSON objects: "#gN" to a name, or a name to "#gN"."""
+    rows = legends.select("doc_id", F.explode(F.map_entries(F.from_json("text", "map<string,string>"))).alias("e"))
+    key, value = F.trim("e.key"), F.trim("e.value")
+    first, last = key.rlike(r"^#g\d+$"), value.rlike(r"^#g\d+$")
+    kept = rows.where(first | last).select("doc_id", F.when(first, key).otherwise(value).alias("gid"), F.when(first, value).otherwise(key).alias("name"))
+    order = Window.partitionBy("doc_id").orderBy(F.regexp_extract("gid", r"(\d+)", 1).cast("int"), "name")
+    return kept.withColumn("ord", (F.row_number().over(order) - 1).cast("int"))
+
+
+def legend_in_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, gid, name, ord) of legends inside manuscripts: the lines "#gN - name" after a line "Легенда" up to a blank one, else all such lines."""
+    lines = docs.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("ord", "line")).withColumn("line", F.trim("line"))
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    state = F.when(F.lower("line").rlike(r"^легенда\s*:?$"), 1).when(F.col("line") == "", 0)
+    marked = lines.withColumn("_in", F.coalesce(F.last(state, ignorenulls=True).over(w), F.lit(0)))
+    pattern = r"^(#g\d{1,2})\s*[-–—]\s*(.+)$"
+    found = marked.where(F.col("line").rlike(pattern)).select("doc_id", F.regexp_extract("line", pattern, 1).alias("gid"), F.regexp_extract("line", pattern, 2).alias("name"), "ord", "_in")
+    block = F.max("_in").over(Window.partitionBy("doc_id"))
+    return found.withColumn("_block", block).where("_in = _block").groupBy("doc_id", "name").agg(F.max_by("gid", "ord").alias("gid"), F.max("ord").alias("ord")).select("doc_id", "gid", "name", "ord")
+
+
+def aliases_or_fallback(legend: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` (doc_id, alias, gid, ord), and for documents without any alias there plain ones: names, attribute words of three letters or more, vocatives."""
+    names, tokens = _attributes()
+    lower = F.transform(tokens, F.lower)
+    words = F.filter(lower, lambda t: (F.length(t) >= 3) & t.rlike(r"^\p{L}+$"))
+    joined = F.array_join(lower, ", ")
+    none = F.array().cast("array<string>")
+    more = F.concat(F.when(joined.contains("дід") | F.array_contains(F.transform(names, F.lower), "дідо"), F.array(F.lit("діду"))).otherwise(none), F.when(joined.rlike("мати|мама"), F.array(F.lit("мамо"))).otherwise(none))
+    listed = legend.select("doc_id", "gid", "ord", F.explode(F.concat(names, words, more)).alias("alias")).withColumn("alias", F.lower(F.trim("alias"))).where("alias <> ''")
+    plain = listed.groupBy("doc_id", "alias").agg(F.min_by("gid", "ord").alias("gid"), F.min("ord").alias("ord"))
+    return found.select("doc_id", "alias", "gid", "ord").unionByName(plain.join(found.select("doc_id").distinct(), "doc_id", "left_anti"))
+
+
+def without_accents(text: Column) -> Column:
+    """Letters without combining marks, for the closed set of the alphabet."""
+    return F.translate(F.translate(text, "\u0301\u0300\u0308\u0306", ""), "йїёЙЇЁґҐ", "иіеИІЕґҐ")
+
+
+def morph_aliases(legend: DataFrame) -> DataFrame:
+    """(doc_id, alias, gids): names, attribute words and their vocative forms, accents removed; kin words with all their forms."""
+    base = F.trim(F.regexp_extract("name", r"^([^—–(]*)", 1))
+    inside = F.split(F.regexp_extract("name", r"\(([^)]*)\)", 1), ",")
+    parts = F.flatten(F.transform(F.concat(F.array(base, F.trim("name")), inside), lambda c: F.split(c, r"[/\\;|]")))
+    keys = legend.select("doc_id", "gid", F.explode(F.array_distinct(F.transform(parts, lambda p: alias_key(without_accents(p))))).alias("t")).where("t <> ''")
+    stem = F.expr("substring(t, 1, length(t) - 1)")
+    kin = F.create_map(*(x for k, v in L.KIN_FORMS.items() for x in (F.lit(k), F.array(*(F.lit(f) for f in v)))))
+    none = F.array().cast("array<string>")
+    forms = F.concat(F.array("t"), F.when(F.col("t").endswith("о") & (F.length("t") >= 3), F.array(F.concat(stem, F.lit("у")), F.concat(stem, F.lit("е")))).otherwise(none), F.when(F.col("t").endswith("а"), F.array(F.concat(stem, F.lit("о")))).otherwise(none), F.coalesce(F.transform(F.try_element_at(kin, F.col("t")), lambda f: alias_key(without_accents(f))), none))
+    return keys.select("doc_id", "gid", F.explode(forms).alias("alias")).groupBy("doc_id", "alias").agg(F.array_sort(F.collect_set("gid")).alias("gids"))

@@ -45,3 +45,23 @@ def precision_recall(pairs: DataFrame, ignored: str | None = "#g1") -> DataFrame
 def tag_counts(lines: DataFrame) -> DataFrame:
     """(doc_id, gid, n) of all tags."""
     return lines.where("gid is not null").groupBy("doc_id", "gid").agg(F.count("*").alias("n"))
+
+
+def averages(per_label: DataFrame) -> DataFrame:
+    """(kind, precision, recall, f1) of the rows of precision_recall: micro over all counts, macro over the labels that have all three."""
+    counts = per_label.agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    micro = counts.select(F.lit("micro").alias("kind"), _share(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _share(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), _share(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
+    whole = per_label.where("precision is not null and recall is not null and precision + recall > 0")
+    macro = whole.agg(*(F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "f1"))).select(F.lit("macro").alias("kind"), "precision", "recall", "f1")
+    return micro.unionByName(macro)
+
+
+def rule_hits(logs: DataFrame) -> DataFrame:
+    """(rule, n) of log lines (text) like "[074 name] retagged:3": summed counts by rule."""
+    rows = logs.select(F.regexp_extract("text", r"^\[([^\]]+)\]", 1).alias("rule"), F.explode(F.regexp_extract_all("text", F.lit(r"\w+:\s*(\d+)"), F.lit(1))).alias("n"))
+    return rows.where("rule <> ''").groupBy("rule").agg(F.sum(F.col("n").cast("long")).alias("n"))
+
+
+def tag_order(gid: Column) -> Column:
+    """A sort key of tags: the unknown one first, the others by number."""
+    return F.when(gid == "#g?", F.lit(-1)).otherwise(F.regexp_extract(gid, r"(\d+)", 1).cast("int"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import lexicon as L
 from ..lines import in_order, is_dialog, renumber
@@ -76,12 +80,17 @@ def demote_narrator_dialogs(lines: DataFrame) -> DataFrame:
     return lines.withColumn("gid", F.when((F.col("gid") == "#g1") & is_dialog(F.col("body")), F.lit("#g?")).otherwise(F.col("gid")))
 
 
-def narrator_fallback(lines: DataFrame, narrator: str = "#g1") -> DataFrame:
-    """The first line of each run of plain text (untagged, not blank, no speech) gets the narrator."""
+def narrator_fallback(lines: DataFrame, narrator: str = "#g1", narrators: DataFrame | None = None) -> DataFrame:
+    """The first line of each run of plain text (untagged, not blank, no speech) gets the narrator, that of its document where ``narrators`` (doc_id, narrator) has one."""
+    if narrators is not None:
+        own = narrators.select(F.col("doc_id").alias("_doc"), F.col("narrator").alias("_narrator"))
+        lines = lines.join(own, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    else:
+        lines = lines.withColumn("_narrator", F.lit(narrator))
     plain = F.col("gid").isNull() & (F.trim("body") != "") & ~is_dialog(F.col("body"))
     before = F.lag("_plain", 1, False).over(in_order())
     marked = lines.withColumn("_plain", plain)
-    return marked.withColumn("gid", F.when(F.col("_plain") & ~before, F.lit(narrator)).otherwise(F.col("gid"))).drop("_plain")
+    return marked.withColumn("gid", F.when(F.col("_plain") & ~before, F.coalesce("_narrator", F.lit(narrator))).otherwise(F.col("gid"))).drop("_plain", "_narrator")
 
 
 def collapse_same_tags(lines: DataFrame) -> DataFrame:
@@ -109,3 +118,29 @@ def clean_dialog_punctuation(lines: DataFrame) -> DataFrame:
 
 def remove_block_markers(lines: DataFrame) -> DataFrame:
     return renumber(lines.where("gid is null or gid <> '#g1' or trim(body) <> '[[DIALOG_BOUNDARY]]'"))
+
+
+def mark_classifier_tags(lines: DataFrame) -> DataFrame:
+    """Lines like "name_gid: text" become unknown speech."""
+    pattern = r"(?U)^\s*\w+_gid\s*:\s*(.*)$"
+    hit = F.col("gid").isNull() & F.col("body").rlike(pattern)
+    return lines.withColumns({"gid": F.when(hit, F.lit("#g?")).otherwise(F.col("gid")), "body": F.when(hit, F.regexp_extract("body", pattern, 1)).otherwise(F.col("body"))})
+
+
+def correct_recognized(text: Column, corrections: dict[str, str]) -> Column:
+    """A recognised text with the wrong phrases replaced one after the other, and a capital first letter."""
+    for wrong, right in corrections.items():
+        text = F.replace(text, F.lit(wrong), F.lit(right))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))
+
+
+def prepare_speech(text: Column) -> Column:
+    """A text for speech synthesis: no quotation marks, compatibility forms, plain dashes, a colon for a dash between blanks."""
+    out = F.translate(compatibility_form(F.replace(text, F.lit('"'))), "‒–—―", "----")
+    return F.replace(out, F.lit(" - "), F.lit(": "))
+
+
+@F.pandas_udf(StringType())
+def compatibility_form(text: pd.Series) -> pd.Series:
+    """NFKC, which no built-in function has."""
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
@@ -12,8 +12,8 @@ from ..lines import in_order, is_dialog, renumber
 def _exploded(lines: DataFrame, parts) -> DataFrame:
     """Each line as its parts (struct<gid, body>), in order, numbered anew."""
     out = lines.withColumn("_parts", parts).select("*", F.posexplode("_parts").alias("_k", "_part"))
-    out = out.withColumn("_no", F.col("line_no") * 1000 + F.col("_k")).withColumns({"gid": F.col("_part.gid"), "body": F.col("_part.body")})
-    return renumber(out.drop("_parts", "_part", "_k", "line_no").withColumnRenamed("_no", "line_no")).select(lines.columns)
+    out = out.withColumns({"gid": F.col("_part.gid"), "body": F.col("_part.body")})
+    return renumber(out, "_k").select(lines.columns)
 
 
 def split_mixed(lines: DataFrame) -> DataFrame:
@@ -50,3 +50,28 @@ def merge_dialogs(lines: DataFrame) -> DataFrame:
     body = F.when(F.count("*") > 1, F.concat(F.lit("\""), bare, F.lit("\""))).otherwise(F.first("body"))
     out = marked.groupBy("doc_id", "_group").agg(F.min("line_no").alias("line_no"), F.min_by("raw", "line_no").alias("raw"), F.min_by("indent", "line_no").alias("indent"), F.min_by("gid", "line_no").alias("gid"), body.alias("body"))
     return renumber(out.drop("_group")).select("doc_id", "line_no", "raw", "indent", "gid", "body")
+
+
+def merge_around_attribution(lines: DataFrame, marks: str = "«»\"“”", tidy: bool = True) -> DataFrame:
+    """Speech, the narrator's line and more speech of one speaker, both with a quotation mark of ``marks``: one line of speech, then the narrator's.
+
+    Where speech goes on after a second attribution, lines pair up from the first on. ``tidy``: the
+    narrator's line loses dashes and commas at its ends, and goes if nothing is left."""
+    w = in_order()
+    quoted = F.col("gid").rlike(r"^#g\d+$") & (F.col("gid") != "#g1") & F.col("body").rlike(f"[{marks}]")
+    marked = lines.withColumn("_q", F.coalesce(quoted, F.lit(False)))
+    starts = F.col("_q") & (F.lead("gid", 1).over(w) == "#g1") & (F.lead("gid", 2).over(w) == F.col("gid")) & F.lead("_q", 2).over(w)
+    marked = marked.withColumn("_s", F.coalesce(starts, F.lit(False)))
+    # starts that follow each other by two lines overlap: every other one of such a chain counts
+    head = F.col("_s") & ~F.coalesce(F.lag("_s", 2).over(w), F.lit(False))
+    first = F.last(F.when(head, F.col("_at")), ignorenulls=True).over(Window.partitionBy("doc_id", "_odd").orderBy("_at"))
+    marked = marked.withColumn("_at", F.row_number().over(w)).withColumn("_odd", F.col("_at") % 2)
+    marked = marked.withColumn("_take", F.col("_s") & ((F.col("_at") - first) % 4 == 0))
+    one, two = F.trim("body"), F.trim(F.lead("body", 2).over(w))
+    two = F.when(one.rlike("[»\"”]$") & two.rlike("^[«\"“]"), F.substring(two, 2, 1 << 30)).otherwise(two)
+    gone = F.coalesce(F.lag("_take", 2).over(w), F.lit(False))
+    told = F.coalesce(F.lag("_take", 1).over(w), F.lit(False))
+    clean = F.regexp_replace(F.regexp_replace(F.trim("body"), r"[,—–\-\s.]+$", ""), r"^[,—–\-\s]+", "") if tidy else F.col("body")
+    body = F.when(F.col("_take"), F.concat_ws(" ", one, two)).when(told, clean).otherwise(F.col("body"))
+    out = marked.withColumns({"_body": body, "_gone": gone | (told & (clean == "")) if tidy else gone})
+    return renumber(out.where("not _gone").drop("body").withColumnRenamed("_body", "body")).select(lines.columns)

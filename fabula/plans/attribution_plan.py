@@ -3,32 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..lines import parse_lines, render
 from ..operators import attribution as A
-from ..operators import folds, legend, metrics, normalize, scenes, split_merge
+from ..operators import folds, legend, metrics, normalize, scenes, split_merge, thoughts
+from .registry import Cast, Registry
 
+RULES = Registry()
+
+# phases and priorities: fixed values, as results depend on the order
+RULES.rule(25, 10, "narrator_dialogs")(lambda x, c: thoughts.narrator_dialogs(x, c.aliases))
+RULES.rule(40, 0, "lookalikes")(lambda x, c: x.withColumn("body", normalize.fix_lookalikes(x["body"])))
+RULES.rule(41, 0, "dialog_punctuation")(lambda x, c: normalize.normalize_dialog_punct(x))
+RULES.rule(45, 0, "split_mixed")(lambda x, c: split_merge.split_mixed(x))
+RULES.rule(53, 0, "scene_constraints")(lambda x, c: A.demote_forbidden(scenes.with_scene(x), c.constraints).drop("scene"))
+RULES.rule(60, 1, "reset_dialogs")(lambda x, c: normalize.reset_dialogs(x))
+RULES.rule(72, 9, "inline_sayer")(lambda x, c: A.inline_sayer(x, c.aliases, c.hints))
+RULES.rule(72, 10, "inline_no_verb")(lambda x, c: A.inline_no_verb(x, c.aliases))
+RULES.rule(72, 11, "inline_verb_name")(lambda x, c: A.inline_verb_name(x, c.aliases))
+RULES.rule(72, 12, "demote_thoughts")(lambda x, c: thoughts.demote_thoughts(x, c.aliases))
+RULES.rule(72, 12, "inline_first_person")(lambda x, c: A.inline_first_person(x, c.hints))
+RULES.rule(72, 13, "thoughts")(lambda x, c: thoughts.thoughts_to_tag(x, c.chars))
+RULES.rule(72, 13, "thoughts_near_aphorism")(lambda x, c: thoughts.demote_near_aphorism(x))
+RULES.rule(73, 5, "rank_title_leadin")(lambda x, c: thoughts.rank_title_leadin(x, c.aliases, c.chars))
+RULES.rule(73, 6, "first_person_leadin")(lambda x, c: thoughts.first_person_leadin(x, c.hints))
+RULES.rule(73, 8, "leadin_sayer")(lambda x, c: A.leadin_sayer(x, c.aliases, c.chars))
+RULES.rule(73, 8, "named_leadin")(lambda x, c: A.named_leadin(x, c.aliases))
+RULES.rule(73, 9, "pronouns_and_vocatives")(lambda x, c: folds.fold(x, c.aliases, c.chars, c.hints, folds.RULES[:3]).drop("reason"))
+RULES.rule(74, 1, "mark_blocks")(lambda x, c: thoughts.mark_blocks(x))
+RULES.rule(74, 2, "block_child_after_prologue")(lambda x, c: thoughts.block_child_after_prologue(x))
+RULES.rule(74, 5, "first_person_to_child")(lambda x, c: thoughts.first_person_to_child(x, c.aliases, c.hints))
+RULES.rule(74, 6, "pair_lock")(lambda x, c: folds.fold(x, c.aliases, c.chars, c.hints, folds.RULES[3:4]).drop("reason"))
+RULES.rule(74, 99, "keep_inline_name")(lambda x, c: A.inline_verb_name(x, c.aliases))
+RULES.rule(75, 99, "demote_forbidden")(lambda x, c: A.demote_forbidden(A.with_prologue(scenes.with_scene(x)), c.constraints, c.chars).drop("scene"))
+RULES.rule(77, 0, "flips_gaps_consensus")(lambda x, c: folds.fold(x, c.aliases, c.chars, c.hints, folds.RULES[4:]).drop("reason"))
+RULES.rule(80, 0, "extract_attribution")(lambda x, c: split_merge.extract_attribution(x))
+RULES.rule(81, 0, "merge_split")(lambda x, c: split_merge.merge_around_attribution(x, "«", tidy=False))
+RULES.rule(82, 0, "clean_punctuation")(lambda x, c: normalize.clean_dialog_punctuation(x))
+RULES.rule(84, 0, "merge_lines")(lambda x, c: split_merge.merge_around_attribution(x))
+RULES.rule(86, 0, "merge_all")(lambda x, c: split_merge.merge_dialogs(x))
+RULES.rule(98, 0, "block_markers")(lambda x, c: normalize.remove_block_markers(x))
 
-def attribute(docs: DataFrame, legends: DataFrame) -> DataFrame:
-    """The tagged lines of ``docs`` (doc_id, text), given ``legends`` (doc_id, text)."""
-    named = legend.parse_legend(legends)
-    aliases, chars = legend.aliases(named), legend.characters(named)
-    hints, rules = legend.first_person(chars), A.constraints(named)
-    lines = parse_lines(docs)
-    lines = lines.withColumn("body", normalize.fix_lookalikes(lines["body"]))
-    lines = normalize.reset_dialogs(normalize.normalize_dialog_punct(A.narrator_dialog_hint(lines)))
-    lines = A.inline_sayer(lines, aliases, hints)
-    lines = A.inline_no_verb(lines, aliases)
-    lines = A.inline_verb_name(lines, aliases)
-    lines = A.inline_first_person(lines, hints)
-    lines = A.leadin_sayer(lines, aliases, chars)
-    lines = A.named_leadin(lines, aliases)
-    lines = folds.fold(lines, aliases, chars, hints).drop("reason")
-    lines = A.inline_verb_name(lines, aliases)
-    lines = A.demote_forbidden(scenes.with_scene(lines), rules).drop("scene")
-    lines = split_merge.merge_dialogs(normalize.clean_dialog_punctuation(split_merge.extract_attribution(lines)))
-    lines = normalize.remove_block_markers(lines)
-    return normalize.collapse_same_tags(normalize.demote_narrator_dialogs(normalize.narrator_fallback(lines)))
+
+def attribute(docs: DataFrame, legends: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
+    """The tagged lines of ``docs`` (doc_id, text), given ``legends`` (doc_id, text); without the rules named in ``skip``."""
+    cast = Cast.of(legend.parse_legend(legends))
+    lines = RULES.run(parse_lines(docs), cast, skip)
+    lines = normalize.narrator_fallback(lines, narrators=cast.narrators)
+    return normalize.collapse_same_tags(normalize.demote_narrator_dialogs(lines))
 
 
 def process(docs: DataFrame, legends: DataFrame) -> DataFrame:
@@ -39,3 +62,14 @@ def process(docs: DataFrame, legends: DataFrame) -> DataFrame:
 def report(docs: DataFrame, legends: DataFrame) -> DataFrame:
     """Coverage by document and scene."""
     return metrics.coverage(scenes.with_scene(attribute(docs, legends)))
+
+
+def classified(docs: DataFrame, legends: DataFrame) -> DataFrame:
+    """The lines of ``docs`` pre-tagged, and unknown speech given to characters by similarity; punctuation in ASCII throughout."""
+    from ..operators import speaker_model
+
+    named = legend.parse_legend(legends)
+    plain = parse_lines(docs).withColumn("body", normalize.normalize_punctuation_ascii(F.col("body")))
+    lines = normalize.pretag(plain).where("gid is not null")
+    found = speaker_model.classify(lines, legend.characters(named), legend.name_forms(named))
+    return speaker_model.apply_decisions(lines, found)

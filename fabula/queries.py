@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.text import similarity
+from . import script_queries, script_sql
 from .lines import parse_lines
 from .operators import attribution, classify, effects, folds, legend, metrics, normalize, scenes
 from .plans import attribution_plan
@@ -80,22 +80,11 @@ def q_prf(spark, d):
     return metrics.precision_recall(_judged(spark, d), None)
 
 
-def q_utterances(spark, d):
-    levels = read_table(spark, d, "events").select(F.col("user_id").cast("string").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1.0).alias("level"))
-    return utterances.utterances(levels).groupBy("stream_id").agg(F.count("*").alias("n"), F.sum("n").alias("events"))
-
-
 def q_cache_hits(spark, d):
     rows = read_table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("key"), "ts").agg(F.count("*").alias("n"))
     return utterances.cache_hits(rows).groupBy("key").agg(F.sum(F.col("hit").cast("long")).alias("hits"), F.count("*").alias("asked"))
 
 
-def q_fuzzy_names(spark, d):
-    names = read_table(spark, d, "nation").select("n_nationkey", "n_name")
-    other = names.select(F.col("n_nationkey").alias("k2"), F.col("n_name").alias("name2"))
-    return names.join(other, F.col("n_nationkey") < F.col("k2")).select("n_nationkey", "k2", F.round(similarity(F.col("n_name"), F.col("name2")), 6).alias("similarity"))
-
-
 def q_topk_decision(spark, d):
     """Customers per nation and segment, as scores, through the decision ladder."""
     rows = read_table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("id"), F.col("c_mktsegment").alias("gid")).agg(F.sum("c_acctbal").alias("s"), F.count("*").alias("n"))
@@ -113,31 +102,35 @@ def q_attribute(spark, d):
 
 
 def q_characters(spark, d):
-    named = legend.parse_legend(_scripts(spark)[1])
+    named = legend.parse_legend(script_queries.legends(spark, d))
     return legend.characters(named).select("doc_id", "gid", "gender", F.array_join("names", "/").alias("names"))
 
 
 def q_aliases(spark, d):
-    return legend.aliases(legend.parse_legend(_scripts(spark)[1])).select("doc_id", "alias", "gid")
+    return legend.aliases(legend.parse_legend(script_queries.legends(spark, d))).select("doc_id", "alias", "gid")
 
 
 def q_scene_spans(spark, d):
-    return scenes.scene_spans(parse_lines(_scripts(spark)[0]))
+    return scenes.scene_spans(script_queries.script(spark, d))
 
 
 def q_fold(spark, d):
-    """The ordered rules over all conversations."""
-    lines = _turns(spark, d).select("doc_id", "line_no", "raw", "indent", F.when(F.col("line_no") % 3 == 2, F.lit("#g?")).otherwise(F.col("gid")).alias("gid"), "body")
-    named = legend.parse_legend(_scripts(spark)[1])
-    chars = legend.characters(named)
-    return folds.fold(lines, legend.aliases(named), chars, legend.first_person(chars)).select("doc_id", "line_no", "gid")
+    """The ordered rules over all conversations, each with its characters."""
+    return folds.fold(script_queries.script(spark, d), *script_queries.cast(spark, d)).select("doc_id", "line_no", "gid")
+
+
+def q_attribute_all(spark, d):
+    """All rules over the conversations as manuscripts, each with the same legend."""
+    lines = script_queries.script(spark, d)
+    docs = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "body"))), lambda x: x["body"]), "\n").alias("text"))
+    return attribution_plan.attribute(docs, docs.select("doc_id", F.lit(LEGEND).alias("text"))).select("doc_id", "line_no", "gid", "body")
 
 
 def q_sounds(spark, d):
     return effects.tag_sounds(read_table(spark, d, "documents")).select("doc_id", "n_tags", F.length("text").alias("n_chars"))
 
 
-QUERIES = {k[2:]: f for k, f in list(globals().items()) if k.startswith("q_")}
+QUERIES = {k[2:]: f for k, f in list(globals().items()) if k.startswith("q_")} | script_queries.QUERIES
 
 _TURNS = "turns AS (SELECT conv_id AS doc_id, turn::INT AS line_no, CASE role WHEN 'system' THEN '#g1' WHEN 'user' THEN '#g2' WHEN 'assistant' THEN '#g3' ELSE '#g?' END AS gid FROM conversations)"
 _BLOCKS = f"""{_TURNS},
@@ -174,6 +167,8 @@ SELECT id, CASE WHEN many = 1 OR (score >= 0.25 AND margin >= 0.01) THEN gid ELS
     "cache_hits": """WITH r AS (SELECT DISTINCT user_id::VARCHAR AS key, ts FROM events),
 a AS (SELECT key, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY key ORDER BY ts)) < 24 * 3600000000, false) AS hit FROM r)
 SELECT key, sum(hit::BIGINT)::BIGINT AS hits, count(*) AS asked FROM a GROUP BY key""",
-    "characters": "SELECT * FROM (VALUES (1::BIGINT, '#g1', 'M', 'Оповідач'), (1, '#g2', 'F', 'Мама'), (1, '#g3', 'M', 'Тато'), (1, '#g4', 'F', 'Пеґґі')) t(doc_id, gid, gender, names)",
-    "scene_spans": "SELECT * FROM (VALUES (1::BIGINT, 'Пролог', 0::INT, 10::INT), (1, 'Глава 2', 12, 13)) t(doc_id, label, start_line, end_line)",
-}
+    "normalize_body": f"WITH {_LINES} SELECT doc_id, line_no, regexp_replace(regexp_replace(regexp_replace(translate(CASE WHEN regexp_matches(raw, '^\\s*#g(\\d+|\\?)\\s*:') THEN regexp_replace(raw, '^\\s*#g(\\d+|\\?)\\s*:\\s*', '') ELSE raw END, chr(160) || '«»„“”′ʼ''' || chr(8203) || chr(8204) || chr(8205) || chr(65279), ' \"\"\"\"\"’’’'), '\\.{{3,}}', '…', 'g'), '[ \\t]{{2,}}', ' ', 'g'), '[ \\t]+$', '') AS body FROM lines",
+    "narrator_fallback": f"""WITH {_LINES}, p AS (SELECT *, trim(raw, ' ') <> '' AND NOT regexp_matches(raw, '^[\\s ]*[-‒–—―«\"„“”''’]') AS plain FROM lines),
+l AS (SELECT *, coalesce(lag(plain) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS before FROM p)
+SELECT doc_id, count(*) FILTER (plain AND NOT before) AS n_tagged, count(*) AS n_lines FROM l GROUP BY doc_id""",
+} | script_sql.SQL

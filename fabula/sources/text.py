@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,10 +17,42 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def write_manuscripts(docs: DataFrame, path: str) -> None:
-    """Tagged texts, one JSON object a line; an existing folder is not overwritten."""
-    docs.select("doc_id", "text").write.mode("errorifexists").json(path)
+    """Tagged texts as text files, one folder for each document; an existing folder is not overwritten."""
+    docs.select("doc_id", F.col("text").alias("value")).write.mode("errorifexists").partitionBy("doc_id").text(path)
+
+
+def classifier_text(text: Column, original: Column) -> Column:
+    """A text for the classifier's file: no more than one blank line at a time, CRLF line ends where the original has any."""
+    out = F.regexp_replace(text, r"\n{3,}", "\n\n")
+    return F.when(F.contains(original, F.lit("\r\n")), F.replace(F.replace(out, F.lit("\r\n"), F.lit("\n")), F.lit("\n"), F.lit("\r\n"))).otherwise(out)
 
 
 def write_predictions(rows: DataFrame, path: str) -> None:
-    """A tab-separated log with a header."""
+    """A tab-separated log with a header; the best candidates as "gid:0.000;…"."""
+    if "top" in rows.columns:
+        rows = rows.withColumn("top", F.array_join(F.transform("top", lambda x: F.concat(x["gid"], F.lit(":"), F.format_number(x["score"], "0.000"))), ";"))
     rows.write.mode("errorifexists").option("sep", "\t").option("header", True).csv(path)
+
+
+def write_version(new: DataFrame, old: DataFrame, path: str, version: str) -> bool:
+    """Write ``new`` (doc_id, text) below ``path``/``version`` if it differs from ``old``; what was there stays as it was. Tells whether anything was written."""
+    rows = lambda d: d.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("h"))
+    if rows(new).exceptAll(rows(old)).isEmpty() and rows(old).exceptAll(rows(new)).isEmpty():
+        return False
+    new.select("doc_id", "text").write.mode("errorifexists").parquet(f"{path.rstrip('/')}/{version}")
+    return True
+
+
+def read_encoded(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, text, path, bom, eol) of files in UTF-8, with or without its mark, in UTF-16 with one, or else in Windows-1251; how to write them back is kept."""
+    rows = spark.read.format("binaryFile").load(path).select("path", "content")
+    start = F.hex(F.substring("content", 1, 3))
+    bom = F.when(start == "EFBBBF", "utf-8-sig").when(start.startswith("FFFE") | start.startswith("FEFF"), "utf-16").otherwise("")
+    text = F.when(bom == "utf-16", F.decode("content", "UTF-16")).when(F.is_valid_utf8(F.col("content").cast("string")), F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")).otherwise(F.decode("content", "windows-1251"))
+    eol = F.when(F.contains("text", F.lit("\r\n")), "\r\n").when(F.contains("text", F.lit("\r")), "\r").otherwise("\n")
+    return rows.select(F.xxhash64("path").alias("doc_id"), text.alias("text"), "path", bom.alias("bom")).withColumn("eol", eol)
+
+
+def save_state(state: DataFrame, path: str) -> None:
+    """A store of (key, value) rows, written anew; a reader sees the last whole version."""
+    state.select("key", "value").write.mode("overwrite").parquet(path)
