@@ -45,8 +45,6 @@ BLOCK = 8
 #: Elements that a task meets so often are frequent; so many of them, the most frequent, are told to all tasks. They only order elements.
 OFTEN = 3
 FREQUENT = 100_000
-#: Of each shared rare element, so many before it are looked at, so that a pair seldom stands at two of them.
-BEFORE = 32
 #: Keys that a task sorts at once.
 GATHERED = 1 << 21
 Elements = Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]
@@ -232,11 +230,11 @@ def _frequent(elements: Elements):
 
 
 def _first_rare(elements: Elements, often: np.ndarray, times: np.ndarray, percent: int):
-    """(x, id, n, i): of each text the first n(1-s)+1 of its n elements, the least frequent first; i is the place."""
+    """(x, id, n, i, c): of each text (id, text, c) the first n(1-s)+1 of its n elements, the least frequent first; i is the place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            ids, c = batch.column("id").to_numpy(), batch.column("c").to_numpy()
             for h, rows in elements(batch.column("text")):
                 f = np.zeros(len(h), np.int64)
                 if len(often):
@@ -248,12 +246,12 @@ def _first_rare(elements: Elements, often: np.ndarray, times: np.ndarray, percen
                 i = np.arange(len(h)) - (np.cumsum(n) - n)[rows] + 1
                 keep = 100 * (n[rows] - i + 1) >= percent * n[rows]
                 h, rows, i = h[keep], rows[keep], i[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(ids[rows]), pa.array(n[rows].astype(np.int64)), pa.array(i.astype(np.int32))], ["x", "id", "n", "i"])
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(ids[rows]), pa.array(n[rows].astype(np.int64)), pa.array(i.astype(np.int32)), pa.array(c[rows])], ["x", "id", "n", "i", "c"])
 
     return run
 
 
-def _rare_elements(texts: DataFrame, left: DataFrame, elements: Elements, percent: int, scratch: Scratch) -> DataFrame:
+def _rare_elements(texts: DataFrame, elements: Elements, percent: int, scratch: Scratch) -> DataFrame:
     """(x, id, n, i, gap, c): the first elements of each text that texts of several components have among theirs.
 
     Two sets of the similarity share one of the first n(1-s)+1 elements of each,
@@ -263,8 +261,8 @@ def _rare_elements(texts: DataFrame, left: DataFrame, elements: Elements, percen
     most = counted.orderBy(F.desc("f"), "x").limit(FREQUENT).toArrow()
     often = most.column("x").to_numpy().view(np.uint64)
     order = np.argsort(often)
-    rows = texts.select("id", "text").mapInArrow(_first_rare(elements, often[order], most.column("f").to_numpy()[order], percent), "x long, id long, n long, i int")
-    rows = scratch.save(rows.join(left, "id"), "first-elements")
+    rows = texts.mapInArrow(_first_rare(elements, often[order], most.column("f").to_numpy()[order], percent), "x long, id long, n long, i int, c long")
+    rows = scratch.save(rows, "first-elements")
     held = scratch.save(_several(rows, "x").select("x"), "open-elements")
     gap = F.floor((100 - percent) * F.col("n") / 100) + 1 - F.count("*").over(Window.partitionBy("id"))
     found = scratch.save(rows.join(held, "x").select("x", "id", "n", "i", gap.cast("long").alias("gap"), "c"), "rare-elements")
@@ -290,14 +288,16 @@ def _all(keys: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs of sets of different components that share an element, and have after it as many as the similarity asks for.
 
     The bound holds at a pair's first common element, so no link is missed. A
-    pair is left out where one of the elements just before is common too: it
-    stands there."""
+    pair is left out where an element of the two before is common too: it stands
+    there. Of the smaller set's elements the first n(1-s)/(1+s)+1 are enough."""
     split = scratch.save(_several(keys, "x").select("x"), "split-elements")
-    before = Window.partitionBy("id").orderBy("i").rowsBetween(-BEFORE, -1)
-    keys = keys.join(split, "x", "left_semi").withColumn("before", F.collect_list("x").over(before))
-    a, b = (keys.select("x", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "i", "c", "before"))) for s in "ab")
-    fits = f"c_a < c_b and {_possible(percent, '(1 + least(n_a - i_a, n_b - i_b))')}"
-    pairs = a.join(b, "x").where(f"{fits} and not arrays_overlap(before_a, before_b)")
+    w = Window.partitionBy("id").orderBy("i")
+    keys = keys.join(split, "x", "left_semi").withColumns({"p": F.lag("x", 1).over(w), "o": F.lag("x", 2).over(w)})
+    a, b = (keys.select("x", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "i", "c", "p", "o"))) for s in "ab")
+    b = b.where(f"{100 + percent} * (i_b - 1) <= {100 - percent} * n_b")
+    fits = f"c_a <> c_b and (n_a > n_b or (n_a = n_b and id_a <> id_b)) and {_possible(percent, '(1 + least(n_a - i_a, n_b - i_b))')}"
+    again = "coalesce(p_a = p_b, false) or coalesce(p_a = o_b, false) or coalesce(o_a = p_b, false) or coalesce(o_a = o_b, false)"
+    pairs = a.join(b, "x").where(f"{fits} and not ({again})")
     return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
@@ -329,8 +329,8 @@ def links(keyed: DataFrame, confirm: Callable[[DataFrame], DataFrame], texts_of:
     if left.isEmpty():
         unite(_blocks(labelled, split))
         return found
-    texts = scratch.save(texts_of(left.select("id")), "texts")
-    keys = _rare_elements(texts, left, elements, percent, scratch)
+    texts = scratch.save(texts_of(left.select("id")).join(left, "id").select("id", "text", "c"), "texts")
+    keys = _rare_elements(texts, elements, percent, scratch)
     scratch.drop(texts)
     unite(_blocks(labelled, split).unionAll(_hubs(keys, percent, scratch)))
     for done in (labelled, split, left):

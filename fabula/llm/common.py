@@ -229,3 +229,15 @@ def distinct_per_row(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray,
 
 def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)
+
+
+def common_counts(left: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements of the sorted array ``left`` each of the sets has."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    out = np.zeros(len(sets), np.int64)
+    if len(left) and sizes.sum():
+        flat = np.concatenate(sets)
+        hit = left[np.minimum(np.searchsorted(left, flat), len(left) - 1)] == flat
+        ends = np.cumsum(np.r_[0, hit])[np.cumsum(np.r_[0, sizes])]
+        out = np.diff(ends)
+    return out

@@ -25,10 +25,8 @@ from pyspark.sql import functions as F
 from .common import as_long, fold_hashes, text_chunks
 from .letters import Lookup, Runs
 
-#: Training reads about so many documents at most, spread over all by a hash of their id.
+#: Training reads about so many documents at most, spread over all by a hash of their id; the model holds all their words and n-grams.
 TRAIN_DOCS = 12_000
-#: The model keeps the most frequent words, and n-grams of each length, up to so many.
-MAX_ENTRIES = 100_000
 ORDERS = (5, 4, 3, 2, 1)
 #: A text's mean log ratio counts as this many words' at most when the score is formed.
 SCORE_WORDS = 8
@@ -85,19 +83,19 @@ def train(docs: DataFrame, usable: Column, train_docs: int = TRAIN_DOCS) -> Mode
     share = min(1.0, train_docs / max(n, 1))
     picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
     counts = picked.mapInArrow(_counts, "lang string, kind int, h long, c long").groupBy("lang", "kind", "h").agg(F.sum("c").alias("c"))
-    totals = counts.groupBy("kind", "h").agg(F.sum("c").alias("t"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
+    totals = counts.groupBy("kind", "h").agg(F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
     tables, kept = [], []
-    rows_of = totals.where(F.col("t") > 1)
     langs = sorted(r[0] for r in picked.select("lang").distinct().collect())
-    wide = rows_of.select("kind", "h", "t", *(F.coalesce(F.element_at("by", F.lit(x)), F.lit(0)).alias(f"c{i}") for i, x in enumerate(langs)))
+    wide = totals.select("kind", "h", *(F.coalesce(F.element_at("by", F.lit(x)), F.lit(0)).alias(f"c{i}") for i, x in enumerate(langs)))
     wide = wide.persist()
     for kind in (0, *ORDERS):
-        part = wide.where(F.col("kind") == kind).orderBy(F.desc("t"), "h").limit(MAX_ENTRIES).drop("kind", "t").toPandas()
-        kept.append((part["h"].to_numpy(np.int64).view(np.uint64), part[[f"c{i}" for i in range(len(langs))]].to_numpy(np.float64)))
+        part = wide.where(F.col("kind") == kind).drop("kind").toArrow()
+        kept.append((part.column("h").to_numpy().view(np.uint64), np.stack([part.column(f"c{i}").to_numpy() for i in range(len(langs))], axis=1).astype(np.float32) if langs else np.zeros((0, 0), np.float32)))
     wide.unpersist()
     for h, c in kept:
         order = np.argsort(h)
-        tables.append((h[order], np.log((c[order] + 0.1) / (c.sum(axis=0) + 0.1 * (len(c) + 1)))))
+        total = c.sum(axis=0, dtype=np.float64) + 0.1 * (len(c) + 1)
+        tables.append((h[order], np.log((c[order] + 0.1) / total.astype(np.float32))))
     return Model(langs, tables)
 
 

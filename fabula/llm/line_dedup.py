@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bands import band_keys, few_filled, first_elements, links
-from .common import ROW_BITS, SPACE, Scratch, among, as_long, mix, powers, span_hashes, text_bytes, text_chunks
+from .common import ROW_BITS, SPACE, Scratch, among, as_long, common_counts, mix, powers, span_hashes, text_bytes, text_chunks
 
 WIDTH = 8  # characters of a shingle
 M = 48  # buckets
 BANDS = 12  # of 4 registers; a pair at 0.8 is missed with a chance of 0.002, at 0.9 of 0.00001
 MIN_WORDS = 5
+#: Pairs of lines that are confirmed at once.
+PAIRS = 2048
 #: Lines whose signatures one sort makes.
 MOST_ROWS = (1 << ROW_BITS) - 1
 EMPTY = np.uint64((1 << 41) - 1)
@@ -181,16 +183,19 @@ def _confirmed(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
-                a = batch.column("a").to_numpy()
-                heads, back = np.unique(a, return_index=True)[1], np.unique(a, return_inverse=True)[1]  # many rows have one a
-                left = _sets(batch.column("ta").take(pa.array(heads)))
-                keep = []
-                for i, y in zip(back.tolist(), _sets(batch.column("tb")), strict=True):
-                    both = len(np.intersect1d(left[i], y, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(left[i]) + len(y) - both))
-                mask = pa.array(keep, pa.bool_())
+            for k in range(0, whole.num_rows, PAIRS):
+                batch = whole.slice(k, PAIRS)
+                (first, one), (second, other) = (np.unique(batch.column(c).to_numpy(), return_index=True, return_inverse=True)[1:] for c in "ab")
+                left, right = _sets(batch.column("ta").take(pa.array(first))), _sets(batch.column("tb").take(pa.array(second)))
+                keep = np.zeros(batch.num_rows, bool)
+                order = np.argsort(one, kind="stable")
+                cuts = np.searchsorted(one[order], np.arange(len(left) + 1))
+                for i, x in enumerate(left):  # each line with all its partners at once
+                    rows = order[cuts[i] : cuts[i + 1]]
+                    sets = [right[j] for j in other[rows].tolist()]
+                    both, n = common_counts(x, sets), np.array([len(y) for y in sets])
+                    keep[rows] = 100 * both >= percent * (len(x) + n - both)
+                mask = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], ["u", "v"])
 
     return run
