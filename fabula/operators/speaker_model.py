@@ -50,7 +50,7 @@ def valid_gid(gid: Column) -> Column:
 
 def normalize_gid(gid: Column, narrator: str = "#g1") -> Column:
     """A gid as it is, the narrator's for his other names, else the unknown one."""
-    return F.when(valid_gid(gid), gid).when(F.lower(F.ltrim(F.lit("#"), gid)).isin("narrator", "оповідач", "наратор"), F.lit(narrator)).otherwise(F.lit("#g?"))
+    return F.when(valid_gid(gid), gid).when(F.lower(F.regexp_replace(gid, "^#", "")).isin("narrator", "оповідач", "наратор"), F.lit(narrator)).otherwise(F.lit("#g?"))
 
 
 def verbalizers(chars: DataFrame, forms: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def read_manuscripts(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +32,7 @@ def classifier_text(text: Column, original: Column) -> Column:
 def write_predictions(rows: DataFrame, path: str) -> None:
     """A tab-separated log with a header; the best candidates as "gid:0.000;…"."""
     if "top" in rows.columns:
-        rows = rows.withColumn("top", F.array_join(F.transform("top", lambda x: F.concat(x["gid"], F.lit(":"), F.format_number(x["score"], "0.000"))), ";"))
+        rows = rows.withColumn("top", F.array_join(F.transform("top", lambda x: F.concat(x["gid"], F.lit(":"), F.format_string("%.3f", x["score"]))), ";"))
     rows.write.mode("errorifexists").option("sep", "\t").option("header", True).csv(path)
 
 
@@ -43,12 +45,18 @@ def write_version(new: DataFrame, old: DataFrame, path: str, version: str) -> bo
     return True
 
 
+@F.pandas_udf(StringType())
+def _cyrillic(content: pd.Series) -> pd.Series:
+    """Bytes in Windows-1251, which Spark's decode doesn't know."""
+    return content.map(lambda b: bytes(b).decode("cp1251", "replace"))
+
+
 def read_encoded(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text, path, bom, eol) of files in UTF-8, with or without its mark, in UTF-16 with one, or else in Windows-1251; how to write them back is kept."""
     rows = spark.read.format("binaryFile").load(path).select("path", "content")
     start = F.hex(F.substring("content", 1, 3))
     bom = F.when(start == "EFBBBF", "utf-8-sig").when(start.startswith("FFFE") | start.startswith("FEFF"), "utf-16").otherwise("")
-    text = F.when(bom == "utf-16", F.decode("content", "UTF-16")).when(F.is_valid_utf8(F.col("content").cast("string")), F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")).otherwise(F.decode("content", "windows-1251"))
+    text = F.when(bom == "utf-16", F.decode("content", "UTF-16")).when(F.is_valid_utf8(F.col("content").cast("string")), F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")).otherwise(_cyrillic("content"))
     eol = F.when(F.contains("text", F.lit("\r\n")), "\r\n").when(F.contains("text", F.lit("\r")), "\r").otherwise("\n")
     return rows.select(F.xxhash64("path").alias("doc_id"), text.alias("text"), "path", bom.alias("bom")).withColumn("eol", eol)
 
