@@ -171,8 +171,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(as_long(key[low != high]))], ["key"])
 
 
-def members_of(keyed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, id, head) of the keys that several ids have; head is the one of those with the largest keys.
+def members_of(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rows (key, id) of the keys that several ids have, (key, head)); head is the one of those that has most such keys.
 
     Keys are dealt out in runs, with two ids of each at most from each run, so
     that a key that very many sets have is small before the shuffle. Sets with a
@@ -186,17 +186,15 @@ def members_of(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, ids in _gathered(batches):
             some = in_bits(bits.value, keys)
-            pairs = np.unique(np.stack([as_long(keys[some]), ids[some]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["key", "id"])
-
-    rows = scratch.save(keyed.mapInArrow(run, "key long, id long").distinct().join(shared, "key"), "shared-rows")
-    sizes = scratch.save(rows.groupBy("key").agg(F.count("*").alias("sets")), "sizes")
-    weights = scratch.save(rows.join(sizes, "key").groupBy("id").agg((F.sum("sets") + F.expr("(xxhash64(id) & 4294967295) / 4294967296D")).alias("weight")), "weights")
-    heads = scratch.save(rows.join(weights, "id").groupBy("key").agg(F.max_by("id", "weight").alias("head")), "heads")
-    found = scratch.save(rows.join(heads, "key"), "members")
-    for done in (shared, rows, sizes, weights, heads):
-        scratch.drop(done)
-    return found
+            pairs = np.unique(np.stack([ids[some], as_long(keys[some])], axis=1), axis=0)
+            _, back, n = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(n[back.ravel()].astype(np.int64))], ["key", "id", "n"])
+
+    rows = scratch.save(keyed.mapInArrow(run, "key long, id long, n long").groupBy("key", "id").agg(F.max("n").alias("n")).join(shared, "key"), "members")
+    weight = F.expr("n * 4294967296 + (xxhash64(id) & 4294967295)")
+    heads = scratch.save(rows.groupBy("key").agg(F.max_by("id", weight).alias("head")), "heads")
+    scratch.drop(shared)
+    return rows.select("key", "id"), heads
 
 
 def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -210,8 +208,8 @@ def _several(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _blocks(labelled: DataFrame, split: DataFrame) -> DataFrame:
-    """Pairs of different components in small keys, but for those with the head."""
-    few = labelled.where("id <> head").join(split.where(f"sets between 3 and {BLOCK}"), "key")
+    """Pairs of different components in small keys; of two sets one is the head and was compared."""
+    few = labelled.join(split.where(f"sets between 3 and {BLOCK}"), "key")
     lists = few.groupBy("key").agg(F.collect_list(F.struct("id", "c")).alias("m"))
     pairs = lists.selectExpr("inline(flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x.id as a, x.c as ca, y.id as b, y.c as cb)))))")
     return pairs.where("ca <> cb").select("a", "b")
@@ -308,7 +306,7 @@ def links(keyed: DataFrame, confirm: Callable[[DataFrame], DataFrame], texts_of:
     the true links among them, as (u, v); texts_of: (id) to (id, text), a row
     for each; elements: a column of texts to (elements, row of each) without
     repeats, in parts."""
-    members = members_of(keyed, scratch)
+    members, heads = members_of(keyed, scratch)
     found: DataFrame | None = None
 
     def unite(pairs: DataFrame) -> None:
@@ -321,11 +319,11 @@ def links(keyed: DataFrame, confirm: Callable[[DataFrame], DataFrame], texts_of:
                 scratch.drop(old)
         scratch.drop(edges)
 
-    unite(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
+    unite(members.join(heads, "key").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
     labelled = scratch.save(_labelled(members, found), "labelled")
     split = scratch.save(_several(labelled, "key"), "split")
     left = scratch.save(labelled.join(split.where(f"sets > {BLOCK}").select("key"), "key", "left_semi").select("id", "c").distinct(), "left")
-    scratch.drop(members)
+    scratch.drop(heads)
     if left.isEmpty():
         unite(_blocks(labelled, split))
         return found

@@ -36,13 +36,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     id have no row. Each round writes its edge table, so a lost executor costs
     one round at most, and neither links nor labels pass through the driver but
     for the count of edges that are not yet those of stars, which tells the end."""
-    now = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now, saved = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), []
     for _ in range(MAX_ROUNDS):
         hung, least = _large_star(now, scratch)
         after = scratch.save(_small_star(hung), "edges")
-        scratch.drop(now)
-        scratch.drop(least)
-        now = after
+        for done in (*saved, least):
+            scratch.drop(done)
+        now, saved = after, [after]
         # of stars, each node hangs on one centre, and no centre hangs on another
         ends = now.select("u", F.lit(1).alias("hangs")).unionAll(now.select(F.col("v").alias("u"), F.lit(0).alias("hangs")).distinct())
         if ends.groupBy("u").agg(F.sum("hangs").alias("hangs"), F.count("*").alias("rows")).where("hangs > 0 and rows > 1").isEmpty():

@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def _same_id(filled: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """``found``, with the sets of rows that share a doc_id united."""
-    ids = scratch.save(filled.groupBy("doc_id").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("doc_id", "low"), "repeated-ids")
+    ids = filled.groupBy("doc_id").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("doc_id", "low")
     if ids.isEmpty():
         return found
     shared = filled.select("doc_id", "sid").join(ids, "doc_id").select(F.col("sid").alias("u"), F.col("low").alias("v"))
