@@ -3,7 +3,7 @@
 ``run`` keeps what the stages keep; ``STAGES`` lists them in order. All but
 the last return the columns of documents. SQL can't express the stages (a
 trained model, fuzzy lines, near-duplicates' components, tokens), so there is
-none; tests hold the stages against brute force.
+none; tests hold the stages against brute force on the smallest tables.
 """
 
 from __future__ import annotations
