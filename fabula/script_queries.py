@@ -204,8 +204,8 @@ def q_name_forms(spark, d):
     return legend.name_forms(legend.parse_legend(legends(spark, d)))
 
 
-def q_fuzzy_parts(spark, d):
-    """Distinct parts' names one edit apart, by the words that leaving out one letter gives: an equi-join in place of all pairs."""
+def q_fuzzy_names(spark, d):
+    """Distinct names one edit apart, by the words that leaving out one letter gives: an equi-join in place of all pairs."""
     names = read_table(spark, d, "customer").select(F.substring("c_name", -6, 6).alias("name")).distinct()
     cut = F.array_distinct(F.concat(F.array("name"), F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.concat(F.substring(F.col("name"), F.lit(1), i - 1), F.substring(F.col("name"), i + 1, F.lit(1 << 20))))))
     keyed = names.select("name", F.explode(cut).alias("key"))

@@ -120,7 +120,7 @@ SELECT doc_id, alias, string_agg(DISTINCT gid, '|' ORDER BY gid) AS gids FROM k
     "name_forms": f"""WITH {_NATION}, k AS (SELECT doc_id, gid, n_nationkey, lower(unnest([a, b])) AS name FROM n),
 f AS (SELECT doc_id, gid, n_nationkey, name || unnest(['', 'а', 'у', 'ом', 'ові', 'е', 'ю', 'і']) AS form FROM k)
 SELECT doc_id, form, arg_max(gid, n_nationkey) AS gid FROM f GROUP BY doc_id, form""",
-    "fuzzy_parts": """WITH n AS (SELECT DISTINCT right(c_name, 6) AS name FROM customer)
+    "fuzzy_names": """WITH n AS (SELECT DISTINCT right(c_name, 6) AS name FROM customer)
 SELECT a.name, b.name AS other, round(1 - levenshtein(a.name, b.name) / 6, 6) AS similarity FROM n a JOIN n b ON a.name < b.name AND levenshtein(a.name, b.name) <= 1""",
     "utterances": f"""WITH {_LEVELS}, l AS (SELECT *, us - lag(us) OVER (PARTITION BY stream_id ORDER BY us, event_id) >= 1000000 AS gap FROM levels WHERE loud),
 g AS (SELECT *, sum(coalesce(gap, false)::INT) OVER (PARTITION BY stream_id ORDER BY us, event_id) AS spell FROM l)
