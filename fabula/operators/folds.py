@@ -235,7 +235,7 @@ def fold(lines: DataFrame, aliases: DataFrame, chars: DataFrame, hints: DataFram
     def run(rows: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("line_no").reset_index(drop=True)
         if not len(rows):
-            return rows.assign(reason=[])
+            return pd.DataFrame({c: pd.Series([], dtype={"doc_id": "int64", "line_no": "int32"}.get(c, object)) for c in (*rows.columns, "reason")})
         legend = about.iloc[0] if len(about) else {}
         as_dict = lambda x: dict(x) if x is not None and not isinstance(x, float) else {}
         me = legend.get("first_person_gid")
