@@ -169,10 +169,9 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
     data, offs = text_bytes(column)
     lines = Lines(data, offs, 0)
     h, owner = lines.shingles(np.arange(len(lines.starts)))
-    keep = np.lexsort((h, owner))
-    h, owner = h[keep], owner[keep]
-    once = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]
-    h, owner = h[once], owner[once]
+    keys = np.sort((owner.astype(np.uint64) << np.uint64(64 - ROW_BITS)) | (h >> np.uint64(ROW_BITS)))
+    keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+    h, owner = keys << np.uint64(ROW_BITS), (keys >> np.uint64(64 - ROW_BITS)).astype(np.int64)
     cuts = np.searchsorted(owner, np.arange(len(lines.starts) + 1))
     by_row = {int(r): h[cuts[i] : cuts[i + 1]] for i, r in enumerate(lines.rows)}
     return [by_row.get(i, h[:0]) for i in range(len(column))]
