@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, langid, line_dedup, media, near_dup, pii, ppm, toxicity
+from . import bpe, decontaminate, html_text, langid, line_dedup, media, merkle, near_dup, pii, ppm, toxicity
 from .common import crc_fold
 
 #: A document is toxic from this score on.
@@ -76,6 +76,59 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.encode(_table(spark, sf_dir, "documents")))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its leaf, its proof's hash, and the root that its proof gives once some counts of characters are one higher."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(crc_fold(F.col("doc_id"), 7) == 0, F.col("n_chars").cast("decimal(20,0)") + 1)
+    now = merkle.digest(*(merkle.field(tampered if c == "n_chars" else F.col(c)) for c in fields))
+    docs = _table(spark, sf_dir, "documents")
+    out = merkle.manifest(docs, [F.col(c) for c in fields], F.col("lang"), F.col("doc_id"), {"now": F.when(tampered.isNotNull(), now)})
+    hexed = [merkle.as_hex(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    folded = merkle.folded(F.coalesce("now", "leaf"), F.col("proof")).alias("folded_root")
+    out = out.select(F.col("order").alias("doc_id"), *hexed, merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded)
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: Levels from the leaves up, each leaf's siblings level by level, and the fold of its proof.
+OP12_SQL = r"""
+WITH RECURSIVE base AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, source, lang, n_chars, text) AS r, doc_id, lang, n_chars,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: ascii(c)::BIGINT)), lambda h, b:
+      list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, lang, r, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) AS other, xor(crc, 4294967295::BIGINT) % 7 = 0 AS tampered FROM base),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS t FROM leaves),
+nodes AS (
+  SELECT t, 0 AS k, p, leaf AS h, count(*) OVER (PARTITION BY t) AS n FROM placed
+  UNION ALL
+  SELECT t, any_value(k) + 1, p // 2, sha256(string_agg(h, '' ORDER BY p)), (any_value(n) + 1) // 2 FROM nodes WHERE n > 1 GROUP BY t, p // 2),
+subroots AS (SELECT t, k AS depth, h AS subroot FROM nodes WHERE n = 1),
+upper_nodes AS (
+  SELECT 0 AS k, t AS p, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT any_value(k) + 1, p // 2, sha256(string_agg(h, '' ORDER BY p)), (any_value(n) + 1) // 2 FROM upper_nodes WHERE n > 1 GROUP BY p // 2),
+top AS (SELECT k AS height, h AS root FROM upper_nodes WHERE n = 1),
+steps AS (
+  SELECT r, k, l.p // (2 ** k)::BIGINT AS here, t FROM placed l JOIN subroots s USING (t), range(0, s.depth) x(k)),
+proof AS (
+  SELECT s.r, s.k, s.here, b.h AS sibling FROM steps s LEFT JOIN nodes b ON b.t = s.t AND b.k = s.k AND b.p = xor(s.here, 1)
+  UNION ALL
+  SELECT l.r, s.depth + x.k, l.t // (2 ** x.k)::BIGINT, b.h FROM placed l JOIN subroots s USING (t), top, range(0, top.height) x(k) LEFT JOIN upper_nodes b ON b.k = x.k AND b.p = xor(l.t // (2 ** x.k)::BIGINT, 1)),
+proofs AS (SELECT r, sha256(coalesce(string_agg(coalesce(sibling, ''), '' ORDER BY k), '')) AS proof_sha256, count(*) AS size FROM proof GROUP BY r),
+folded AS (
+  SELECT r, 0 AS k, CASE WHEN tampered THEN other ELSE leaf END AS h FROM placed
+  UNION ALL
+  SELECT f.r, f.k + 1, sha256(CASE WHEN p.here % 2 = 1 THEN p.sibling || f.h ELSE f.h || coalesce(p.sibling, '') END) FROM folded f JOIN proof p ON p.r = f.r AND p.k = f.k)
+SELECT l.doc_id, l.leaf, s.subroot, top.root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = top.root AS verified
+FROM placed l JOIN subroots s USING (t) CROSS JOIN top LEFT JOIN proofs p USING (r) JOIN folded f ON f.r = l.r AND f.k = coalesce(p.size, 0)
+"""
+
+
 #: Shingle sets, all pairs that share a shingle, and the reachable minimum.
 OP8_SQL = r"""
 WITH RECURSIVE words AS (
@@ -107,8 +160,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_pii": op9_pii,
         "op10_media": op10_media,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_minhash_near_dedup": OP8_SQL}
+    return {"op8_minhash_near_dedup": OP8_SQL, "op12_merkle_manifest": OP12_SQL}
