@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, langid, line_dedup, media, merkle, near_dup, pii, ppm, toxicity
+from . import bpe, decontaminate, html_text, langid, line_dedup, media, merkle, near_dup, pii, ppm, toxicity, vector_codes
 from .common import crc_fold
 
 #: A document is toxic from this score on.
@@ -89,6 +89,32 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector: its parts' nearest entries in codebooks of two rounds, and their squared distances."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+    return vector_codes.digests(*vector_codes.encode(rows))
+
+
+#: All distances to all entries, three times over; parts of four components.
+OP13_SQL = r"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS FIRST, embedding) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(NOT isfinite(x), true))) = 0),
+parts AS MATERIALIZED (SELECT r, p, q[4 * p + 1] AS a, q[4 * p + 2] AS b, q[4 * p + 3] AS c, q[4 * p + 4] AS d FROM kept, range(16) x(p)),
+book0 AS (SELECT p, r AS e, a, b, c, d FROM parts WHERE r < 64),
+code0 AS MATERIALIZED (SELECT x.r, x.p, min({'s': (x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2 + (x.d - y.d) ** 2, 'e': y.e}) AS n FROM parts x JOIN book0 y USING (p) GROUP BY ALL),
+mean1 AS (SELECT p, n.e AS e, floor(sum(a) / count(*)) AS a, floor(sum(b) / count(*)) AS b, floor(sum(c) / count(*)) AS c, floor(sum(d) / count(*)) AS d FROM code0 JOIN parts USING (r, p) GROUP BY ALL),
+book1 AS MATERIALIZED (SELECT p, e, coalesce(y.a, x.a) AS a, coalesce(y.b, x.b) AS b, coalesce(y.c, x.c) AS c, coalesce(y.d, x.d) AS d FROM book0 x LEFT JOIN mean1 y USING (p, e)),
+code1 AS MATERIALIZED (SELECT x.r, x.p, min({'s': (x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2 + (x.d - y.d) ** 2, 'e': y.e}) AS n FROM parts x JOIN book1 y USING (p) GROUP BY ALL),
+mean2 AS (SELECT p, n.e AS e, floor(sum(a) / count(*)) AS a, floor(sum(b) / count(*)) AS b, floor(sum(c) / count(*)) AS c, floor(sum(d) / count(*)) AS d FROM code1 JOIN parts USING (r, p) GROUP BY ALL),
+book2 AS MATERIALIZED (SELECT p, e, coalesce(y.a, x.a) AS a, coalesce(y.b, x.b) AS b, coalesce(y.c, x.c) AS c, coalesce(y.d, x.d) AS d FROM book1 x LEFT JOIN mean2 y USING (p, e)),
+code2 AS MATERIALIZED (SELECT x.r, x.p, min({'s': (x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2 + (x.d - y.d) ** 2, 'e': y.e}) AS n FROM parts x JOIN book2 y USING (p) GROUP BY ALL),
+coded AS (SELECT r, lower(string_agg(printf('%02x', n.e), '' ORDER BY p)) AS code, sum(n.s)::BIGINT AS error FROM code2 GROUP BY r),
+digest AS (SELECT sha256(string_agg(concat_ws(',', a::BIGINT, b::BIGINT, c::BIGINT, d::BIGINT), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (r) CROSS JOIN digest
+"""
+
+
 #: Levels from the leaves up, each leaf's siblings level by level, and the fold of its proof.
 OP12_SQL = r"""
 WITH RECURSIVE base AS (
@@ -161,8 +187,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": op9_pii,
         "op10_media": op10_media,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_minhash_near_dedup": OP8_SQL, "op12_merkle_manifest": OP12_SQL}
+    return {"op8_minhash_near_dedup": OP8_SQL, "op12_merkle_manifest": OP12_SQL, "op13_vector_codes": OP13_SQL}
