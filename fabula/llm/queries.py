@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, langid, line_dedup, media, merkle, near_dup, pii, ppm, toxicity, vector_codes
+from . import bpe, decontaminate, html_text, langid, line_dedup, media, merkle, near_dup, pii, ppm, quality, toxicity, vector_codes
 from .common import crc_fold
 
 #: A document is toxic from this score on.
@@ -76,6 +76,12 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.encode(_table(spark, sf_dir, "documents")))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its counts, whether it fails the limits, and whether it is kept among its language and source."""
+    out = quality.assess(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its leaf, its proof's hash, and the root that its proof gives once some counts of characters are one higher."""
     fields = ("doc_id", "source", "lang", "n_chars", "text")
@@ -186,6 +192,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_pii": op9_pii,
         "op10_media": op10_media,
+        "op11_quality": op11_quality,
         "op12_merkle_manifest": op12_merkle_manifest,
         "op13_vector_codes": op13_vector_codes,
     }
