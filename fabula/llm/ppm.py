@@ -14,8 +14,9 @@ So each chunk of text is counted by its distinct heads, and the rest of a word
 once for each distinct word of the corpus. Counts of all branches, of which
 none is dropped, and the (context, symbol) pairs that are asked for are summed
 within a task, packed by shard and shuffled once. Contexts of ROOT bytes or more
-that end alike are one shard: a chance and all its escapes lie in one shard and
-in the shorter contexts, which all tasks hold (their number has a bound that
+that end alike are one shard, of which a task holds one at a time, and whose
+distinct pairs have a bound that doesn't depend on the data: a chance and all
+its escapes lie in one shard and in the shorter contexts, which all tasks hold (their number has a bound that
 doesn't depend on the data). So each distinct pair is scored exactly once, in
 its shard. The CACHED pairs that are asked most are shared with all tasks and
 summed where texts are read, as are words with a share of FREQUENT_SHARE of all
@@ -407,10 +408,7 @@ def answers(words: DataFrame, texts: DataFrame, root: tuple[np.ndarray, np.ndarr
     branches = words.select("word", "n_train").mapInArrow(of_words, kinds).unionAll(texts.select("text", "train").mapInArrow(of_texts, kinds))
     shared = spark.sparkContext.broadcast(root)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("q", "n", "asked")) for batch in batches]
-        if not parts:
-            return
+    def of_shard(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         q, n, asked = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         parts.clear()
         q = q.view(np.uint64)
@@ -423,16 +421,28 @@ def answers(words: DataFrame, texts: DataFrame, root: tuple[np.ndarray, np.ndarr
             context, symbol, order = unpaired(q[part])
             yield pa.RecordBatch.from_arrays([pa.array(as_long(q[part])), pa.array(asked[part]), pa.array(trie.log_chance(context, order, symbol))], ["q", "asked", "p"])
 
-    return scratch.save(branches.repartition(tasks, "shard").mapInArrow(scored, "q long, asked long, p double"), "answers")
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, now = [], None
+        for batch in batches:  # in the order of shards, of which one is held at a time
+            for i, shard in enumerate(batch.column("shard").to_pylist()):
+                if shard != now and parts:
+                    yield from of_shard(parts)
+                now = shard
+                parts.append(tuple(batch.column(c).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for c in ("q", "n", "asked")))
+        if parts:
+            yield from of_shard(parts)
+
+    return scratch.save(branches.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(scored, "q long, asked long, p double"), "answers")
 
 
 def most_asked(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(sorted pairs, their chances) of at most CACHED answers."""
     least, held = 1, 0
-    for r in sorted(found.groupBy("asked").count().collect(), key=lambda r: -r["asked"]):
+    size = F.floor(F.log2("asked")).cast("int")
+    for r in sorted(found.groupBy(size.alias("power")).count().collect(), key=lambda r: -r["power"]):  # 63 rows at most
         held += r["count"]
         if held > CACHED:
-            least = r["asked"] + 1
+            least = 1 << r["power"] + 1
             break
     some = found.where(F.col("asked") >= least).select("q", "p").toArrow()
     q = some.column("q").to_numpy().view(np.uint64)
