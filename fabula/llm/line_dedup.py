@@ -248,6 +248,8 @@ def deduplicate(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS)
     joined = docs.join(gone, docs["doc_id"] == F.col("_id"), "left")
     size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts))
     removed = F.when(F.col("text").isNull() | F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone"))
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone")
+    # within a lambda the text is cut once, not once for each line
+    kept = F.transform(F.array(parts), lambda p: F.array_join(F.transform(numbers, lambda i: F.get(p, i)), "\n"))[0]
     text = F.when(removed == 0, F.col("text")).otherwise(kept)
     return joined.withColumns({"_lines": size.cast("long"), "_removed": removed.cast("long")}).withColumn("text", text).drop("_id", "_gone")
