@@ -52,7 +52,7 @@ ROOT = 3
 SHARD_TOKENS = 2_000_000
 SUMMED_ROWS = 1_500_000
 #: Answers that are shared with all tasks, those asked most; all others are joined.
-CACHED = 500_000
+CACHED = 1_500_000
 #: Words with this share of all tokens are shared with all tasks; 5e5 at most.
 FREQUENT_SHARE = 2e-6
 #: Bytes of text that are counted at once.
@@ -438,11 +438,11 @@ def answers(words: DataFrame, texts: DataFrame, root: tuple[np.ndarray, np.ndarr
 def most_asked(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(sorted pairs, their chances) of at most CACHED answers."""
     least, held = 1, 0
-    size = F.floor(F.log2("asked")).cast("int")
-    for r in sorted(found.groupBy(size.alias("power")).count().collect(), key=lambda r: -r["power"]):  # 63 rows at most
+    size = F.floor(F.log2("asked") * 8).cast("int")
+    for r in sorted(found.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):  # 504 rows at most
         held += r["count"]
         if held > CACHED:
-            least = 1 << r["power"] + 1
+            least = int(np.ceil(2 ** ((r["size"] + 1) / 8)))
             break
     some = found.where(F.col("asked") >= least).select("q", "p").toArrow()
     q = some.column("q").to_numpy().view(np.uint64)
