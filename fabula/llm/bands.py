@@ -161,14 +161,23 @@ def _dealt(buckets: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key): the keys of several ids."""
-    keys, ids = [], []
+    """(key): the keys of several ids; rows come in the order of buckets, of which one is held at a time."""
+
+    def of(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        key, low, high = _ends(np.concatenate(keys), np.concatenate(ids))
+        return pa.RecordBatch.from_arrays([pa.array(as_long(key[low != high]))], ["key"])
+
+    now, keys, ids = None, [], []
     for batch in batches:
-        keys.append(batch.column("keys").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-        ids.append(batch.column("ids").flatten().to_numpy(zero_copy_only=False))
+        for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+            if bucket != now and keys:
+                yield of(keys, ids)
+                keys, ids = [], []
+            now = bucket
+            keys.append(batch.column("keys").slice(i, 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            ids.append(batch.column("ids").slice(i, 1).flatten().to_numpy(zero_copy_only=False))
     if keys:
-        key, low, high = _ends(np.concatenate(keys), np.concatenate(ids))
-        yield pa.RecordBatch.from_arrays([pa.array(as_long(key[low != high]))], ["key"])
+        yield of(keys, ids)
 
 
 def members_of(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -180,7 +189,7 @@ def members_of(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     spark = keyed.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.mapInArrow(_dealt(buckets), "bucket int, keys array<long>, ids array<long>")
-    shared = scratch.save(dealt.repartition("bucket").mapInArrow(_shared, "key long"), "shared-keys")
+    shared = scratch.save(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "key long"), "shared-keys")
     bits = spark.sparkContext.broadcast(key_bits(shared, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
