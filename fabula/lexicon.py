@@ -33,6 +33,12 @@ FIRST_PERSON_LEADIN = rf"(?:я\s+(?:{FIRST_PERSON_NOW})|(?:{FIRST_PERSON_NOW}|{F
 FIRST_PERSON_TAIL = rf"(?:{FIRST_PERSON_PAST})\s+я|я\s+(?:{FIRST_PERSON_NOW})"
 NARRATOR_FIRST_PERSON = "я|мені|мене|мною|мій|моє|мої"
 CHILD_WORDS = "я|мені|мене|мною|мій|моє|мої|кажу|говорю|відповідаю|питаю|прошу|дякую|зізнаюся|шепочу|бурмочу|вигукую|кричу|показую|звертаюся|стримуюсь|охаю"
+# --- the pair of speakers, lead-ins that end with a colon
+PAIR_VERBS = "сказав|сказала|сказали|відповів|відповіла|відповіли|крикнув|крикнула|крикнули|мовив|промовила|звернувся|звернулась|шепотів|шепотіла"
+COLON_VERBS = "сказав|повідомив|запитав|спитав|поцікавився|крикнув|вигукнув|прошепотів|промовив|відповів|буркнув|процедив|торохтів|заторохтів|сказала|повідомила|запитала|спитала|поцікавилася|крикнула|вигукнула|прошепотіла|промовила|відповіла|буркнула|процедила|торохтіла|заторохтіла|каже|говорить|повідомляє|питає|запитує|відповідає|вигукує|кричить|шепоче|промовляє|бурчить|торохтить"
+CONSENSUS_M = "він|йому|ним|ньому|нього|цей|цього|цьому|цим|той|того|тому|тим"
+CONSENSUS_F = "вона|її|їй|неї|нею|ця|цієї|цій|цією|цю|та"
+
 # --- thoughts, sayings, titles -------------------------------------------------------------
 THOUGHT_VERBS = "подумки|подумав|подумала|міркував|міркувала|розмірковував|розмірковувала"
 THOUGHT_PHRASES = "про себе|в думках|майнула думка"
@@ -51,6 +57,9 @@ ALIAS_STOPS = ("f", "m", "жінка", "чоловік", "дитина", "опо
 FEMALE_STEMS = "жін|дів|мати|мам|баб|правнуч|донь"
 MALE_STEMS = "чолов|хлоп|дід|дідо|дідус|старійшин|ватаж"
 
+#: Endings by which case forms of a name differ.
+CASE_ENDINGS = ("ою", "ею", "єм", "ем", "ом", "єю", "ами", "ові", "еві", "ї", "ю", "у", "а", "і", "е")
+
 #: Vocative forms of kin words, by base form.
 KIN_FORMS = {
     "дід": ("дід", "діду", "дідом", "діде", "діда", "дідоню", "дідусю", "дідусь", "дідуся", "дідусем"),
@@ -83,18 +92,3 @@ EMOTION_KEYWORDS = {
     "Sadness": ("боліла", "боліло", "бажання смерті", "найгірше відчуття", "не міг згадати", "лежав", "не мертвий", "важко", "біль", "порожні очі"),
 }
 EMOTION_TAGS = {"Fear": "#heart", "Anger": "#v"}
-
-# --- sound effects: tag, pattern, position, post tag, confidence ---------------------------
-SOUND_RULES = (
-    ("#r", r"^\s*(РОЗДІЛ|ЧАСТИНА|ГЛАВА)\b.*$", "precede_line", "#p2", 1.0),
-    ("#d", r"\b\w+\s+відчин(?:ив|ила|или)\s+двері\b", "after_match", None, 0.95),
-    ("#v", r"прогримів вибух|голосно бахнуло|постріл пролунав|грім вдарив", "previous_punctuation", None, 0.9),
-    ("#shot", r"постріл пролунав", "after_match", None, 0.9),
-    ("#heart", r"серце шалено калатало|прискорене серцебиття|завмерло серце|ритм серцебиття|б'ється його серце", "previous_punctuation", None, 0.85),
-    ("#rain", r"зашумів дощ|падає дощ|шум дощу|пішов дощ|дощ трохи посипався", "previous_punctuation", None, 0.8),
-    ("#ds", r"засскрипіли двері", "after_match", None, 0.9),
-    ("#vodakup", r"почу(?:ла|в) шипіння", "previous_punctuation", None, 0.9),
-    ("#podux1", r"важке дихання|уривчасте дихання", "before_match", None, 0.9),
-    ("#kik", r"вдарив його ногою|стиснув руку в кулак і вдарив|вдарив його рукою", "after_match", None, 0.9),
-    ("#fire", r"багаття|розпалився вогонь", "after_punctuation_newline", None, 0.9),
-)

@@ -1,4 +1,6 @@
-"""Speaker attribution by patterns in a line and in the lines before it: joins and windows, no Python."""
+"""Speaker attribution by patterns in a line and in the lines before it: expressions and windows, no Python and no join.
+
+Rules take lines with ``cast`` (``legend.attach``), what their document's legend says."""
 
 from __future__ import annotations
 
@@ -7,22 +9,41 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..lines import in_order, is_dialog, is_speech
-from .legend import alias_key
+from .legend import alias_key, fuzzy_gid
+from .normalize import fix_lookalikes
 
 _D = f"[{L.DASHES}]"
 _WORD = r"[\p{L}][\p{L}\d’'\-]+"
 #: A name of up to three words; the longest part of it that the legend has counts.
 _NAME = rf"{_WORD}(?:\s+{_WORD}){{0,2}}"
+#: Speech that names its speaker after a dash.
+OWN_NAME = rf"(?sU)^\s*[{L.DASHES}{L.QUOTES}].*?{L.END_PUNCTUATION}?\s*{_D}\s*{L.NAME}"
+
+
+def gid_of(name: Column) -> Column:
+    """The gid of an alias, but the narrator's."""
+    gid = F.try_element_at("cast.alias", alias_key(name))
+    return F.when(gid != "#g1", gid)
+
+
+def matched(text: Column, before: str, after: str, group: int) -> Column:
+    """A group of the pattern ``before``, the legend's names as a group, ``after``; null where it doesn't match."""
+    pattern = F.concat(F.lit(f"{before}("), "cast.pattern", F.lit(f"){after}"))
+    return F.nullif(F.call_function("regexp_extract", text, pattern, F.lit(group)), F.lit(""))
+
 
+def last_named(text: Column) -> Column:
+    """The gid of the last of the legend's names in a text, but the narrator's."""
+    found = F.regexp_extract_all(text, F.concat(F.lit("(?iu)"), "cast.pattern"), F.lit(0))
+    return gid_of(F.try_element_at(found, F.lit(-1)))
 
-def _assigned(lines: DataFrame, aliases: DataFrame, name: Column, allowed: Column) -> DataFrame:
-    """Lines with the speaker whose alias ``name`` is, where ``allowed`` and the alias is not the narrator's."""
-    # a legend's names are few, so they come as one map for each document
-    known = aliases.where("gid <> '#g1'").groupBy(F.col("doc_id").alias("_doc")).agg(F.map_from_entries(F.collect_list(F.struct("alias", "gid"))).alias("_known"))
+
+def _assigned(lines: DataFrame, name: Column, allowed: Column) -> DataFrame:
+    """Lines with the speaker whose alias ``name`` begins with, where ``allowed`` and the alias is not the narrator's."""
     words = F.split(alias_key(name), r"\s+")
-    joined = lines.withColumn("_name", F.when(allowed & (name != ""), words)).join(known, F.col("doc_id") == F.col("_doc"), "left")
-    part = lambda k: F.when(F.size("_name") >= k, F.try_element_at("_known", alias_key(F.array_join(F.slice("_name", 1, k), " "))))
-    return joined.withColumn("gid", F.coalesce(part(3), part(2), part(1), "gid")).drop("_doc", "_known", "_name")
+    part = lambda k: F.when(F.size("_name") >= k, gid_of(F.array_join(F.slice("_name", 1, k), " ")))
+    named = lines.withColumn("_name", F.when(allowed & (name != ""), words))
+    return named.withColumn("gid", F.when(F.col("_name").isNotNull(), F.coalesce(part(3), part(2), part(1), "gid")).otherwise(F.col("gid"))).drop("_name")
 
 
 def _last_letter_gender(name: Column) -> Column:
@@ -30,7 +51,7 @@ def _last_letter_gender(name: Column) -> Column:
     return F.when(name.rlike("(?iu)[аяеью]$"), "F").when(name.rlike("(?iu)[бвгґджзклмнпрстфхцчшщйо]$"), "M")
 
 
-def inline_sayer(lines: DataFrame, aliases: DataFrame, hints: DataFrame) -> DataFrame:
+def inline_sayer(lines: DataFrame) -> DataFrame:
     """Unknown speech with "— said Name" or "— Name said" after a dash gets that speaker, if verb and name agree in gender; "said I" the first person."""
     say = f"({L.SAY_VERBS})"
     verb_name = rf"(?iuU){_D}\s*[,»\"“”'’]*\s*(?:—\s*)?,?\s*{say}\s+({_WORD}|я)(?![\p{{L}}])"
@@ -42,64 +63,95 @@ def inline_sayer(lines: DataFrame, aliases: DataFrame, hints: DataFrame) -> Data
     gender = F.when(verb.isin(*L.SAY_FEMININE), "F").when(verb.isin("кажу", "каже"), F.lit(None)).when(verb.isin(*L.SAY_MASCULINE), "M")
     agrees = gender.isNull() | _last_letter_gender(name).isNull() | (gender == _last_letter_gender(name))
     unknown = (F.col("gid") == "#g?") & is_dialog(body)
-    out = _assigned(lines, aliases, name, unknown & agrees & (F.lower(name) != "я"))
-    out = out.join(hints.select(F.col("doc_id").alias("_doc"), "first_person_gid"), F.col("doc_id") == F.col("_doc"), "left")
+    out = _assigned(lines, name, unknown & agrees & (F.lower(name) != "я"))
     me = unknown & (F.lower(name) == "я")
-    return out.withColumn("gid", F.when((F.col("gid") == "#g?") & me, F.coalesce("first_person_gid", F.lit("#g2"))).otherwise(F.col("gid"))).drop("_doc", "first_person_gid")
+    return out.withColumn("gid", F.when(me, F.coalesce("cast.me", F.lit("#g2"))).otherwise(F.col("gid")))
 
 
-def inline_no_verb(lines: DataFrame, aliases: DataFrame) -> DataFrame:
+def inline_no_verb(lines: DataFrame) -> DataFrame:
     """Unknown speech with "… — Name," or "… — Name:" after an end mark or a comma gets that speaker."""
     pattern = rf"(?iuU)^\s*{_D}.+?(?:{L.END_PUNCTUATION}|,)\s*{_D}\s*({_NAME})\s*[,:]"
-    return _assigned(lines, aliases, F.regexp_extract("body", pattern, 1), F.col("gid") == "#g?")
+    return _assigned(lines, F.regexp_extract("body", pattern, 1), F.col("gid") == "#g?")
 
 
-def inline_verb_name(lines: DataFrame, aliases: DataFrame) -> DataFrame:
+def inline_verb_name(lines: DataFrame) -> DataFrame:
     """Speech with "— verb Name" or "— Name verb" after an end mark or a comma gets that speaker, whoever had it but the narrator."""
     lead = rf"(?iuU)(?:{L.END_PUNCTUATION}|,)\s*{_D}\s*"
     verb_name, name_verb = rf"{lead}(?:{L.VERBS_ANY})\s+({_NAME})", rf"{lead}({_NAME})\s*,?\s*(?:{L.VERBS_ANY})(?![\p{{L}}])"
     name = F.when(F.col("body").rlike(verb_name), F.regexp_extract("body", verb_name, 1)).otherwise(F.regexp_extract("body", name_verb, 1))
-    return _assigned(lines, aliases, name, F.col("gid").isNotNull() & (F.col("gid") != "#g1"))
+    return _assigned(lines, name, F.col("gid").isNotNull() & (F.col("gid") != "#g1"))
 
 
-def inline_first_person(lines: DataFrame, hints: DataFrame) -> DataFrame:
+def inline_first_person(lines: DataFrame) -> DataFrame:
     """Speech followed by a dash and a verb in the first person gets the first person."""
     pattern = rf"(?iuU)^\s*[{L.DASHES}{L.QUOTES}].+?\s*{_D}[^{L.DASHES}]*(?<![\p{{L}}])(?:{L.FIRST_PERSON_VERBS})(?![\p{{L}}])"
-    out = lines.join(hints.select(F.col("doc_id").alias("_doc"), "first_person_gid"), F.col("doc_id") == F.col("_doc"), "left")
-    hit = is_speech(F.col("gid"), F.col("body")) & F.col("body").rlike(pattern) & F.col("first_person_gid").isNotNull()
-    return out.withColumn("gid", F.when(hit, F.col("first_person_gid")).otherwise(F.col("gid"))).drop("_doc", "first_person_gid")
-
-
-def leadin_sayer(lines: DataFrame, aliases: DataFrame, chars: DataFrame) -> DataFrame:
-    """Unknown speech after "Name … said" in one of the two lines of plain text before it gets that speaker; crowds don't count."""
-    before = in_order()
-    plain = lambda k: F.when(F.lag("gid", k).over(before).isNull(), F.lag("body", k).over(before))
-    marked = lines.withColumns({"_p1": plain(1), "_p2": plain(2)})
-    pattern = rf"(?iuU)^\s*({_WORD})\s+.{{0,180}}?(?<![\p{{L}}])({L.VERBS_ANY})(?![\p{{L}}])"
-    blank = F.coalesce(F.trim("_p1"), F.lit("")) == ""
-    found = F.when(~blank & F.col("_p1").rlike(pattern), F.col("_p1")).when(F.col("_p1").isNotNull() & F.coalesce(F.col("_p2").rlike(pattern), F.lit(False)), F.col("_p2"))
-    crowd = F.coalesce(found.rlike(f"(?iuU){L.CROWD}"), F.lit(False))
-    name, verb = F.coalesce(F.regexp_extract(found, pattern, 1), F.lit("")), F.lower(F.regexp_extract(found, pattern, 2))
-    wants = F.when(verb.rlike(f"^(?:{L.VERBS_F})$"), "F").when(verb.rlike(f"^(?:{L.VERBS_M})$"), "M")
-    known = aliases.where("gid <> '#g1'").join(chars.select("doc_id", "gid", "gender"), ["doc_id", "gid"], "left").select(F.col("doc_id").alias("_doc"), F.col("alias").alias("_alias"), F.col("gid").alias("_gid"), F.col("gender").alias("_gender"))
-    named = marked.withColumns({"_name": F.when((F.col("gid") == "#g?") & is_dialog(F.col("body")) & ~crowd & (name != ""), alias_key(name)), "_wants": wants})
-    joined = named.join(known, (F.col("doc_id") == F.col("_doc")) & (F.col("_name") == F.col("_alias")) & (F.col("_wants").isNull() | F.col("_gender").isNull() | (F.col("_wants") == F.col("_gender"))), "left")
-    return joined.withColumn("gid", F.coalesce("_gid", "gid")).drop("_p1", "_p2", "_name", "_wants", "_doc", "_alias", "_gid", "_gender")
-
-
-def named_leadin(lines: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The first unknown speech within two lines after "… Name … verb … :" or "… Name … голос:" gets the last name before the colon."""
-    colon = F.col("gid").isNull() & F.col("body").rlike(rf"(?iuU)(?:(?<![\p{{L}}])(?:{L.VERBS_ANY})(?![\p{{L}}])[^:]*|голос\s*):\s*$")
-    words = F.when(colon, F.transform(F.regexp_extract_all(F.regexp_extract("body", r"^(.*):", 1), F.lit(rf"({_WORD})"), F.lit(1)), lambda w: F.lower(w)))
-    leads = lines.select("doc_id", "line_no", F.posexplode(words).alias("_k", "_w")).withColumn("_alias", alias_key(F.col("_w")))
-    known = aliases.where("gid <> '#g1'").select("doc_id", F.col("alias").alias("_alias"), F.col("gid").alias("_lead"))
-    named = leads.join(known, ["doc_id", "_alias"]).groupBy("doc_id", "line_no").agg(F.max_by("_lead", "_k").alias("_lead")).select(F.col("doc_id").alias("_doc"), F.col("line_no").alias("_at"), "_lead")
-    joined = lines.join(named, (F.col("doc_id") == F.col("_doc")) & (F.col("line_no") == F.col("_at")), "left").drop("_doc", "_at")
+    hit = is_speech(F.col("gid"), F.col("body")) & F.col("body").rlike(pattern)
+    return lines.withColumn("gid", F.when(hit, F.coalesce("cast.me", "gid")).otherwise(F.col("gid")))
+
+
+def _spoken_gender(verb: Column) -> Column:
+    low = F.lower(verb)
+    return F.when(low.rlike(f"^(?:{L.VERBS_F})$"), "F").when(low.rlike(f"^(?:{L.VERBS_M})$"), "M")
+
+
+def _leads(text: Column) -> Column:
+    """The gid of "Name … said": a name of the legend at the start, a verb of speech within 180 characters, both of one gender."""
+    plain = F.trim(fix_lookalikes(text))
+    parts = lambda k: matched(plain, r"(?iuUs)^\s*", rf"\s+.{{0,180}}?(?<![\p{{L}}])({L.VERBS_ANY})(?![\p{{L}}])", k)
+    name = F.lower(parts(1))
+    gid = gid_of(name)
+    by_name = F.when(name.rlike("[ая]$"), "F").when(name.rlike("(?:о|ій|ий)$"), "M")
+    have = F.coalesce(F.try_element_at("cast.gender", gid), by_name)
+    return F.when(F.coalesce(have == _spoken_gender(parts(2)), F.lit(True)), gid)
+
+
+def leadin_sayer(lines: DataFrame) -> DataFrame:
+    """Unknown speech after "Name … said" in one of the two untagged lines before it, or before its own first dash, quotation mark or colon, gets that speaker.
+
+    The nearer line counts; a crowd's noise in a line ends the search."""
+    w = in_order()
+    noise = F.coalesce(F.col("body").rlike(f"(?iuU){L.CROWD}.*:?$"), F.lit(False))
+    marked = lines.withColumns({"_free": F.col("gid").isNull(), "_noise": noise, "_lead": F.when(F.col("gid").isNull() & ~noise, _leads(F.col("body")))})
+    at = lambda c, k: F.lag(c, k).over(w)
+    marked = marked.withColumns({"_f1": F.coalesce(at("_free", 1), F.lit(False)), "_n1": F.coalesce(at("_noise", 1), F.lit(False)), "_l1": at("_lead", 1), "_f2": F.coalesce(at("_free", 2), F.lit(False)), "_n2": F.coalesce(at("_noise", 2), F.lit(False)), "_l2": at("_lead", 2)})
+    far = F.col("_f1") & F.col("_f2")
+    preface = F.element_at(F.split(F.coalesce("body", F.lit("")), rf"[—\-«\"„“”'’:]\s*", 2), 1)
+    own = F.when(~preface.rlike(f"(?iuU){L.CROWD}.*:?$"), _leads(preface))
+    stop = F.col("_n1") | (far & F.col("_n2") & F.col("_l1").isNull())
+    found = F.when(~stop, F.coalesce(F.when(F.col("_f1"), F.col("_l1")), F.when(far, F.col("_l2")), own))
+    return marked.withColumn("gid", F.when(F.col("gid") == "#g?", F.coalesce(found, "gid")).otherwise(F.col("gid"))).select(lines.columns)
+
+
+def _hand_on(lines: DataFrame, lead: Column, guarded: bool) -> DataFrame:
+    """The first speech within two lines after one with a ``lead`` gets it, the nearer lead first; if ``guarded``, not speech that names its own speaker."""
     w = in_order()
-    earlier = F.lag("gid", 1).over(w).isNull() | ~is_dialog(F.lag("body", 1).over(w))
-    lead = F.coalesce(F.lag("_lead", 1).over(w), F.when(earlier, F.lag("_lead", 2).over(w)))
-    marked = joined.withColumn("_got", lead)
-    return marked.withColumn("gid", F.when((F.col("gid") == "#g?") & is_dialog(F.col("body")), F.coalesce("_got", "gid")).otherwise(F.col("gid"))).drop("_lead", "_got")
+    told = F.col("gid").isNull() | (F.col("gid") == "#g1")
+    marked = lines.withColumns({"_lead": F.when(told & (F.trim("body") != ""), lead), "_speech": F.coalesce(is_speech(F.col("gid"), F.col("body")), F.lit(False))})
+    got = F.coalesce(F.lag("_lead", 1).over(w), F.when(~F.lag("_speech", 1, False).over(w), F.lag("_lead", 2).over(w)))
+    free = ~F.col("body").rlike(OWN_NAME) if guarded else F.lit(True)
+    marked = marked.withColumn("_got", got)
+    return marked.withColumn("gid", F.when(F.col("_speech") & free, F.coalesce("_got", "gid")).otherwise(F.col("gid"))).select(lines.columns)
+
+
+def heard_voice(lines: DataFrame) -> DataFrame:
+    """"… голос Name:" hands the next speech to the character of that name, case endings and one wrong letter (two from six letters on) allowed."""
+    name = F.regexp_extract(F.trim(fix_lookalikes(F.col("body"))), rf"(?iuU)\bголос\s+({L.NAME}(?:\s+{L.NAME})?)\s*:\s*$", 1)
+    gid = F.when(name != "", fuzzy_gid(F.lower(name), F.col("cast.names")))
+    return _hand_on(lines, F.when(gid != "#g1", gid), guarded=True)
+
+
+def possessive_voice(lines: DataFrame) -> DataFrame:
+    """"… Name … голос:" hands the next speech to the last character named before the voice."""
+    plain = F.trim(fix_lookalikes(F.col("body")))
+    pattern = r"(?iuUs)^(.*)\bголос\s*:\s*$"
+    return _hand_on(lines, F.when(plain.rlike(pattern), last_named(F.regexp_extract(plain, pattern, 1))), guarded=False)
+
+
+def named_leadin(lines: DataFrame) -> DataFrame:
+    """"… Name … said … :" hands the next speech to the last character named before the last colon, if a verb of speech stands in the 120 characters before it."""
+    before = F.regexp_extract(F.col("body"), r"(?s)^(.*):", 1)
+    tail = F.substring(before, -120, 120)
+    return _hand_on(lines, F.when(tail.rlike(f"(?iu)(?:{L.COLON_VERBS})"), last_named(before)), guarded=True)
 
 
 def narrator_dialog_hint(lines: DataFrame) -> DataFrame:
@@ -114,22 +166,23 @@ def with_prologue(lines: DataFrame) -> DataFrame:
     return lines.withColumn("in_prologue", F.coalesce(F.lower("scene").startswith("пролог"), F.lit(False)))
 
 
-def demote_forbidden(lines: DataFrame, constraints: DataFrame, chars: DataFrame | None = None) -> DataFrame:
-    """Speakers that a scene's allow or forbid list shuts out become unknown; so do grandfathers without any list outside the prologue, given ``chars``.
-
-    lines: with scene (and in_prologue); constraints: doc_id, gid, allowed, forbidden (lower case)."""
-    c = constraints.select(F.col("doc_id").alias("_doc"), F.col("gid").alias("_gid"), "allowed", "forbidden")
-    c = c.groupBy("_doc", "_gid").agg(F.array_distinct(F.flatten(F.collect_list("allowed"))).alias("allowed"), F.array_distinct(F.flatten(F.collect_list("forbidden"))).alias("forbidden"))
-    if chars is not None:
-        old = chars.select(F.col("doc_id").alias("_doc"), F.col("gid").alias("_gid"), F.exists(F.concat("roles", "names"), lambda r: F.lower(r).rlike("^(?:дід|дідо|дідус)")).alias("_old"))
-        c = c.join(old, ["_doc", "_gid"], "left")
-    joined = lines.join(c, (F.col("doc_id") == F.col("_doc")) & (F.col("gid") == F.col("_gid")), "left")
-    scene = F.lower("scene")
-    listed = (F.size("allowed") > 0) | (F.size("forbidden") > 0)
-    out = scene.isNotNull() & ((F.size("allowed") > 0) & ~F.array_contains("allowed", scene) | F.array_contains("forbidden", scene))
-    if chars is not None:
-        out = out | (~listed & F.coalesce("_old", F.lit(False)) & ~F.col("in_prologue") & scene.isNotNull())
-    return joined.withColumn("gid", F.when(F.coalesce(out, F.lit(False)) & (F.col("gid") != "#g1"), F.lit("#g?")).otherwise(F.col("gid"))).drop("_doc", "_gid", "allowed", "forbidden", "_old", "in_prologue")
+def forbidden(gid: Column, scene: Column) -> Column:
+    """Whether a scene's lists shut a character out."""
+    low, allowed, shut = F.lower(scene), F.try_element_at("cast.allowed", gid), F.try_element_at("cast.forbidden", gid)
+    out = ((F.size(allowed) > 0) & ~F.array_contains(allowed, low)) | F.array_contains(shut, low)
+    return F.coalesce(scene.isNotNull() & out, F.lit(False))
+
+
+def demote_forbidden(lines: DataFrame, strict: bool = False) -> DataFrame:
+    """Speakers that a scene's allow or forbid list shuts out become unknown; if ``strict``, so do grandfathers without any list outside the prologue.
+
+    lines: with scene (if ``strict`` also in_prologue), which are dropped."""
+    gid, scene = F.col("gid"), F.col("scene")
+    out = forbidden(gid, scene)
+    if strict:
+        listed = F.coalesce(F.size(F.try_element_at("cast.allowed", gid)) > 0, F.lit(False)) | F.coalesce(F.size(F.try_element_at("cast.forbidden", gid)) > 0, F.lit(False))
+        out = out | (~listed & F.coalesce(F.array_contains("cast.old", gid), F.lit(False)) & ~F.col("in_prologue") & scene.isNotNull())
+    return lines.withColumn("gid", F.when(out & (gid != "#g1"), F.lit("#g?")).otherwise(gid)).drop("scene", "in_prologue")
 
 
 def constraints(legend: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import logging
 import re
-from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
 
@@ -21,29 +21,43 @@ POSITIONS = ("precede_line", "after_punctuation_newline", "after_match", "after_
 Rule = tuple[str, str, str, str | None, float]
 
 
-def rules_from(text: str) -> tuple[Rule, ...]:
-    """The rules of a YAML text; those without a tag, a sound pattern or a known position are left out."""
+def checked_rules(text: str) -> tuple[tuple[Rule, ...], tuple[tuple[str, str], ...]]:
+    """(rules, (tag, why) of those left out) of a YAML text: lists ``structural`` and ``actions`` of rules with a tag, a pattern (key ``pattern`` or ``keywords``) and a position.
+
+    Patterns ignore case; of ``flags`` (names joined by |) those besides IGNORECASE are put before the pattern."""
     import yaml
 
     spec = yaml.safe_load(text) or {}
-    out = []
+    out, dropped = [], []
     for r in [*(spec.get("structural") or []), *(spec.get("actions") or [])]:
+        tag = str(r.get("tag")) if isinstance(r, dict) else str(r)
         try:
-            re.compile(r["pattern"])
-            if r["position"] in POSITIONS and re.fullmatch(r"#\w+", r["tag"]):
-                out.append((r["tag"], r["pattern"], r["position"], r.get("post_tag"), float(r.get("confidence", 0.5))))
-        except (KeyError, TypeError, re.error):
-            continue
-    return tuple(out)
+            flags = [f.strip() for f in str(r.get("flags") or "").split("|") if f.strip() not in ("", "IGNORECASE", "I")]
+            letters = "".join({"MULTILINE": "m", "M": "m", "DOTALL": "s", "S": "s"}[f] for f in flags)
+            pattern = (f"(?{letters}:" + r.get("pattern", r.get("keywords")) + ")") if letters else r.get("pattern", r.get("keywords"))
+            re.compile(pattern)
+            if r["position"] not in POSITIONS:
+                raise ValueError(f"no position {r['position']}")
+            if not re.fullmatch(r"#\w+", r["tag"]):
+                raise ValueError("no tag")
+            out.append((r["tag"], pattern, r["position"], r.get("post_tag"), float(r.get("confidence", 0.5))))
+        except (KeyError, TypeError, ValueError, AttributeError, re.error) as e:
+            dropped.append((tag, f"{type(e).__name__}: {e}"))
+    return tuple(out), tuple(dropped)
+
+
+def rules_from(text: str) -> tuple[Rule, ...]:
+    """The rules of a YAML text; those that are left out are logged (``checked_rules``)."""
+    rules, dropped = checked_rules(text)
+    for tag, why in dropped:
+        logging.getLogger(__name__).warning("sound rule %s left out: %s", tag, why)
+    return rules
 
 
 @cache
 def default_rules() -> tuple[Rule, ...]:
-    """The rules of the package's file; where YAML can't be read, the few of the lexicon."""
-    try:
-        return rules_from((Path(__file__).parent.parent / "rules" / "sounds.yaml").read_text(encoding="utf-8")) or L.SOUND_RULES
-    except (ImportError, OSError):
-        return L.SOUND_RULES
+    """The rules of the package's file."""
+    return rules_from((Path(__file__).parent.parent / "rules" / "sounds.yaml").read_text(encoding="utf-8"))
 
 
 def rule_table(spark: SparkSession, rules: tuple[Rule, ...] | None = None) -> DataFrame:
@@ -128,22 +142,25 @@ def tag_text(text: str, rules: tuple[Rule, ...]) -> tuple[str, int]:
 def tag_sounds(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """(doc_id, text, n_tags) of documents (doc_id, text).
 
-    Places of hits need offsets, so texts with a hit go to Python in Arrow
-    batches; all others are only tidied, which built-in functions do."""
+    Places of hits need offsets, so texts with a hit go to Python in Arrow batches; all others are
+    only tidied, which built-in functions do. One scan; a cheap test goes before the rules' patterns."""
     rules = rules or default_rules()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [tag_text(t, rules) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [g[0] for g in got], "n_tags": [g[1] for g in got]})
+    @F.pandas_udf("text string, n_tags int")
+    def tagged(texts: pd.Series) -> pd.DataFrame:
+        got = [(None, None) if t is None else tag_text(t, rules) for t in texts]
+        return pd.DataFrame({"text": pd.Series([g[0] for g in got], dtype=object), "n_tags": pd.array([g[1] for g in got], dtype="Int32")})
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    hit = F.col("text").rlike("(?iuUm)" + "|".join(f"(?:{r[1]})" for r in rules)) | F.col("text").rlike(r"(?m)^#\w")
-    tidy = F.col("text")
+    text = F.coalesce("text", F.lit(""))
+    any_rule = text.rlike("(?iuUm)" + "|".join(f"(?:{r[1]})" for r in rules))
+    if not any(re.search("[A-Za-z]", re.sub(r"\\[A-Za-z]", "", r[1])) for r in rules):  # no pattern has a Latin letter of its own
+        any_rule = text.rlike("[\u0400-\u04ff]") & any_rule
+    tidy = text
     for pattern, to in ((r"[ \t]+([.,?!])", "$1"), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"), (r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$", "")):
         tidy = F.regexp_replace(tidy, pattern, to)
-    plain = rows.where(~hit).select("doc_id", F.when(F.col("text") == "", F.lit("")).otherwise(F.concat(tidy, F.lit("\n"))).alias("text"), F.lit(0).alias("n_tags"))
-    return rows.where(hit).mapInPandas(run, "doc_id long, text string, n_tags int").unionByName(plain)
+    plain = F.when(text == "", F.lit("")).otherwise(F.concat(tidy, F.lit("\n")))
+    rows = docs.select("doc_id", "text").withColumn("_made", tagged(F.when(any_rule | text.rlike(r"(?m)^#\w"), text)))
+    return rows.select("doc_id", F.coalesce("_made.text", plain).alias("text"), F.coalesce("_made.n_tags", F.lit(0)).alias("n_tags"))
 
 
 def emotion_tag(scores: Column) -> Column:

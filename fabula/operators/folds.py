@@ -3,12 +3,15 @@
 Such a rule can't be a window, since a line's speaker depends on speakers
 given to earlier lines by the same rule. Spark groups lines by document; a
 group is one manuscript's lines with their tags, never a corpus. Consecutive
-rules run in one grouping.
+rules run in one grouping. A rule that raises on a document leaves that
+document as it was, and the document's first line notes it in ``faults``.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable
 
@@ -17,236 +20,392 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
+from ..lines import in_order
+from .mentions import Names
+
+Rule = Callable[["Script"], None]
+
+
+def _words(alternatives: str) -> re.Pattern:
+    return re.compile(rf"\b(?:{alternatives})\b", re.IGNORECASE)
+
 
 _DIALOG = re.compile(L.DIALOG)
-_LETTER = r"(?<!\w)"
-_VERB_HE = re.compile(rf"{_LETTER}(?:(?:{L.VERBS_M})\s+він|він\s+(?:{L.VERBS_M}))(?!\w)", re.IGNORECASE)
-_VERB_SHE = re.compile(rf"{_LETTER}(?:(?:{L.VERBS_F})\s+вона|вона\s+(?:{L.VERBS_F}))(?!\w)", re.IGNORECASE)
-_HE, _SHE = (re.compile(rf"{_LETTER}(?:{p})(?!\w)", re.IGNORECASE) for p in (L.PRONOUNS_M, L.PRONOUNS_F))
-_ME = re.compile(rf"{_LETTER}(?:{L.FIRST_PERSON_WORDS})(?!\w)", re.IGNORECASE)
-_NAMED = re.compile(rf"{L.END_PUNCTUATION}\s*[{L.DASHES}]\s*(?:(?:{L.VERBS_ANY})\s+\w+|\w+\s*,?\s*(?:{L.VERBS_ANY}))", re.IGNORECASE)
+_VERB_HE = _words(rf"(?:{L.VERBS_M})\s+він|він\s+(?:{L.VERBS_M})")
+_VERB_SHE = _words(rf"(?:{L.VERBS_F})\s+вона|вона\s+(?:{L.VERBS_F})")
+_HE, _SHE, _ME, _SAID = (_words(p) for p in (L.PRONOUNS_M, L.PRONOUNS_F, L.FIRST_PERSON_WORDS, L.VERBS_ANY))
+_HE_OR_SHE = (_words(L.CONSENSUS_F), _words(L.CONSENSUS_M))
+_TAIL = re.compile(rf"\b(?:{L.PRONOUNS_M}|{L.PRONOUNS_F}|та)\b\s*[.!?…»\"’]*\s*$", re.IGNORECASE)
+_TAIL_SHE = re.compile(r"\bта\b\s*[.!?…»\"’]*\s*$", re.IGNORECASE)
+_OWN = re.compile(rf"^\s*[{L.DASHES}{L.QUOTES}].*?{L.END_PUNCTUATION}?\s*[{L.DASHES}]\s*{L.NAME}", re.DOTALL)
+_CAPITALISED = re.compile(L.NAME)
+_CALLED = re.compile(rf"\b({L.NAME})\s*[,!:—]")
+_LEAD = re.compile(rf"(?:{L.PAIR_VERBS})\s+\w[\w’'\-]+|\w[\w’'\-]+\s+(?:{L.PAIR_VERBS})", re.IGNORECASE)
+_ASKS = re.compile(r"\?|\b(?:ти|ви)\b", re.IGNORECASE)
+_FEMININE, _MASCULINE = (re.compile(rf"(?:{v})", re.IGNORECASE) for v in (L.VERBS_F, L.VERBS_M))
+#: What follows a name that closes a phrase.
+_AFTER_NAME = set(" ,!?:;.…")
 
 
-class Script:
-    """One document's lines as lists, and what its legend says."""
+def _gender_of_verb(word: str) -> str | None:
+    return "F" if _FEMININE.fullmatch(word) else "M" if _MASCULINE.fullmatch(word) else None
+
 
-    def __init__(self, lines: pd.DataFrame, alias: dict[str, str], gender: dict[str, str], me: str | None):
-        self.gid = [g if isinstance(g, str) else None for g in lines["gid"]]
-        self.body = [b or "" for b in lines["body"]]
-        self.alias, self.gender, self.me = alias, gender, me
-        self.words = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(a) for a in sorted(alias, key=len, reverse=True)) + r")(?!\w)") if alias else None
+def _plain(text: str) -> str:
+    """Latin look-alikes as Cyrillic letters."""
+    return text.translate(str.maketrans(L.LOOKALIKE_LATIN, L.LOOKALIKE_CYRILLIC))
+
+
+def _bare(text: str) -> str:
+    """Without accents, in lower case."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).lower()
+
+
+class Script:
+    """One document's lines as lists, and what its legend says.
+
+    about: alias (name to gid), gender (gid to M or F), me, vocatives (form to
+    gids), allowed and forbidden (gid to scenes); block and scene: of each line."""
+
+    def __init__(self, lines: pd.DataFrame, about: dict):
+        text = lambda c: [x if isinstance(x, str) else None for x in lines[c]] if c in lines else [None] * len(lines)
+        self.gid, self.scene = text("gid"), text("scene")
+        self.body = [b or "" for b in text("body")]
+        self.block = [None if pd.isna(b) else int(b) for b in lines["block_id"]] if "block_id" in lines else [None] * len(lines)
+        of = lambda k: about.get(k) or {}
+        self.alias, self.gender, self.me = of("alias"), of("gender"), about.get("me")
+        self.allowed, self.forbidden = of("allowed"), of("forbidden")
+        self.names = Names(self.alias)
+        self.vocatives = of("vocatives")
+        self.forms = Names({v: v for v in self.vocatives})
         self.audit: list[tuple[int, str, str, str]] = []
 
+    def dialog(self, i: int) -> bool:
+        """A tagged line of speech, the narrator's too."""
+        return self.gid[i] is not None and bool(_DIALOG.match(self.body[i]))
+
     def speech(self, i: int) -> bool:
-        return self.gid[i] not in (None, "#g1") and bool(_DIALOG.match(self.body[i]))
+        return self.gid[i] != "#g1" and self.dialog(i)
 
     def known(self, i: int) -> bool:
         return self.gid[i] not in (None, "#g?", "#g1")
 
     def addressed(self, i: int) -> list[str]:
-        """Characters whose alias a body holds, in order."""
-        found = self.words.findall(self.body[i].lower()) if self.words else []
+        """Characters whose name a body has, followed by a blank, a mark or its end."""
+        low = self.body[i].lower()
+        found = [a for _, end, a in self.names.find(low) if end == len(low) or low[end] in _AFTER_NAME]
         return list(dict.fromkeys(self.alias[a] for a in found))
 
-    def first_name(self, i: int) -> str | None:
-        """The character of the first capitalised word with an alias in a body's first 160 characters."""
-        for w in re.findall(r"(?<!\w)[A-ZА-ЯЇІЄҐ][\w’'\-]+", self.body[i][:160]):
-            if w.lower() in self.alias:
-                return self.alias[w.lower()]
-        return None
-
-    def before(self, i: int, reach: int | None = None, gender: str | None = None) -> str | None:
-        """The nearest earlier known speaker, of a gender if given."""
-        for k in range(i - 1, -1 if reach is None else max(-1, i - 1 - reach), -1):
-            if self.known(k) and (gender is None or self.gender.get(self.gid[k]) == gender):
+    def before(self, i: int, reach: int, gender: str, same_block: bool = False) -> str | None:
+        """The nearest known speaker of a gender within ``reach`` lines before one."""
+        for k in range(i - 1, max(-1, i - 1 - reach), -1):
+            if same_block and self.block[k] != self.block[i]:
+                return None
+            if self.known(k) and self.gender.get(self.gid[k]) == gender:
                 return self.gid[k]
         return None
 
-    def blocks(self, gap: int = 0) -> list[list[int]]:
-        """Runs of speech lines; up to ``gap`` blank lines may lie within a run."""
-        out, run, blanks = [], [], 0
-        for i in range(len(self.gid)):
-            if self.speech(i):
-                run.append(i)
-            elif run and self.gid[i] is None and not self.body[i].strip() and blanks < gap:
-                blanks += 1
-            else:
-                out, run, blanks = out + [run] * bool(run), [], 0
-        return out + [run] * bool(run)
+    def shut_out(self, gid: str, i: int) -> bool:
+        """Whether the scene's lists shut a character out of a line."""
+        scene = (self.scene[i] or "").lower()
+        allowed, shut = self.allowed.get(gid) or [], self.forbidden.get(gid) or []
+        return bool(scene) and (bool(allowed) and scene not in allowed or scene in shut)
+
+
+# --- before the pair of speakers is known ----------------------------------------------------
 
 
 def pronoun_inline(s: Script) -> None:
-    """"said he" or "said she" in unknown speech: the nearest earlier speaker of that gender within five lines."""
+    """"said he" or "said she" in an unknown line: the nearest earlier speaker of that gender within five lines."""
     for i, g in enumerate(s.gid):
-        if g == "#g?" and s.speech(i):
+        if g == "#g?":
             want = "M" if _VERB_HE.search(s.body[i]) else "F" if _VERB_SHE.search(s.body[i]) else None
             s.gid[i] = (want and s.before(i, 5, want)) or g
 
 
 def pronoun_coreference(s: Script) -> None:
-    """Unknown speech after plain text with a pronoun: the nearest earlier speaker of its gender within six lines."""
+    """An unknown line with a pronoun: the nearest earlier speaker of its gender within six lines, of the same block if there is one.
+
+    Other blocks count where the pronoun ends the line, or the line is speech or has a verb of speech."""
     for i, g in enumerate(s.gid):
-        if g == "#g?" and s.speech(i):
-            tail = s.body[i]
-            want = "F" if _SHE.search(tail) else "M" if _HE.search(tail) else None
-            s.gid[i] = (want and s.before(i, 6, want)) or g
+        if g != "#g?":
+            continue
+        body = s.body[i]
+        want = "F" if _TAIL_SHE.search(body) or _SHE.search(body) else "M" if _HE.search(body) else None
+        if want:
+            anywhere = _TAIL.search(body) or _SAID.search(body) or _DIALOG.match(body)
+            s.gid[i] = s.before(i, 6, want, same_block=True) or (anywhere and s.before(i, 6, want)) or g
+
+
+def called(s: Script, i: int) -> str | None:
+    """Whom a line calls in its first ninety characters: the first capitalised word before a mark, else the only character named there; case forms count."""
+    start = "".join(c for c in unicodedata.normalize("NFD", s.body[i]) if not unicodedata.combining(c)).lstrip()[:90]
+    first = _CALLED.search(start)
+    gids = s.vocatives.get(_bare(first[1])) if first else None
+    if gids and len(gids) == 1:
+        return gids[0]
+    hits = {g for _, _, form in s.forms.find(start.lower()) for g in s.vocatives[form]}
+    return hits.pop() if len(hits) == 1 else None
 
 
 def vocatives(s: Script) -> None:
-    """A speaker who is addressed in the line doesn't speak it; unknown speech that addresses one gets the other speaker nearby."""
+    """Who is called doesn't speak: such a speaker becomes unknown; an unknown line gets the only other speaker within five lines."""
     for i in range(len(s.gid)):
-        if not s.speech(i):
-            continue
-        named = s.addressed(i)
-        if len(named) != 1 or _NAMED.search(s.body[i]):
+        if not s.dialog(i):
             continue
-        if s.gid[i] == named[0]:
+        whom = called(s, i)
+        if whom and s.gid[i] == whom:
             s.gid[i] = "#g?"
-        if s.gid[i] == "#g?":
-            others = {s.gid[k] for k in range(max(0, i - 5), min(len(s.gid), i + 6)) if s.known(k)} - set(named)
-            if len(others) == 1:
-                s.gid[i] = others.pop()
+        elif whom and s.gid[i] == "#g?":
+            near = {s.gid[k] for k in range(max(0, i - 5), min(len(s.gid), i + 6)) if s.known(k)} - {whom}
+            if len(near) == 1:
+                s.gid[i] = near.pop()
+
+
+# --- the pair --------------------------------------------------------------------------------
+
+
+def _lead(s: Script, i: int) -> str | None:
+    """The first character named in the first 160 characters of narration that has a verb of speech beside a name."""
+    if _LEAD.search(s.body[i]):
+        for word in _CAPITALISED.findall(s.body[i][:160]):
+            gid = s.alias.get(_plain(word).lower()) or s.alias.get(word.lower())
+            if gid:
+                return gid
+    return None
 
 
 def _pair(s: Script, i: int) -> list[str]:
-    """The two likeliest speakers around a line: known speech counts twice, each character addressed once, and so does the first one that narration names."""
+    """The two likeliest speakers around a line: known speech counts twice, each character addressed once, and so does one that a lead-in names."""
     score: Counter = Counter()
     for k in range(max(0, i - 12), min(len(s.gid), i + 13)):
-        if s.speech(k):
-            if s.known(k):
-                score[s.gid[k]] += 2
-            score.update(g for g in s.addressed(k) if g != "#g1")
-        elif s.gid[k] in (None, "#g1"):
-            lead = s.first_name(k)
-            if lead and lead != "#g1":
-                score[lead] += 1
-    return [g for g, _ in score.most_common(2)]
+        if s.dialog(k):
+            voices = ([s.gid[k]] * 2 if s.gid[k] != "#g?" else []) + s.addressed(k)
+        else:
+            voices = [_lead(s, k)]
+        score.update(g for g in voices if g and g != "#g1")
+    top = [g for g, _ in score.most_common(2)]
+    return top if len(top) == 2 else []
+
+
+def _earlier(s: Script, i: int, test: Callable[[int], bool]) -> str | None:
+    return next((s.gid[k] for k in range(i - 1, -1, -1) if s.known(k) and test(k)), None)
+
+
+def _locked(s: Script, start: int, pair: list[str], last: str | None) -> int:
+    """Two speakers take turns from ``start`` on, up to untagged text; returns where they stop."""
+    other = {pair[0]: pair[1], pair[1]: pair[0]}
+    turn = other.get(last, pair[0])
+    for i in range(start, len(s.gid)):
+        if s.gid[i] is None:
+            if s.body[i].strip():
+                return i
+            continue
+        named = [g for g in s.addressed(i) if g in other]
+        if len(named) == 1:
+            s.gid[i] = other[named[0]]
+        elif s.me in other and _ME.search(s.body[i]):
+            s.gid[i] = s.me
+        elif s.gid[i] not in other:
+            s.gid[i] = turn
+        turn = other[s.gid[i]]
+    return len(s.gid)
 
 
 def pair_lock(s: Script) -> None:
-    """From each unknown speech on, two speakers take turns; who is addressed answers, a first-person word fits only the first person. Tags of others, the narrator's too, give way until untagged text."""
+    """From each unknown line on, two speakers take turns; who is addressed answers, a first-person word fits only the first person. Tags of others, the narrator's too, give way until untagged text."""
     i = 0
     while i < len(s.gid):
-        if s.gid[i] != "#g?" or not s.speech(i):
+        if s.gid[i] != "#g?":
             i += 1
             continue
-        pair, last = _pair(s, i), s.before(i)
-        if len(pair) < 2 and last:
-            named = [g for g in s.addressed(i) if g not in (last, "#g1")]
-            other = named[0] if len(named) == 1 else next((s.gid[k] for k in range(i - 1, -1, -1) if s.known(k) and s.gid[k] != last), None)
+        pair, last = _pair(s, i), _earlier(s, i, s.dialog)
+        if not pair and last:
+            named = s.addressed(i)
+            other = named[0] if len(named) == 1 and named[0] != last else _earlier(s, i, lambda k: s.gid[k] != last)
             pair = [last, other] if other else []
-        if len(pair) < 2:
-            if s.me and _ME.search(s.body[i]):
-                s.gid[i] = s.me
-            i += 1
+        if pair:
+            i = _locked(s, i, pair, last)
             continue
-        turn = pair[1] if last == pair[0] else pair[0]
-        while i < len(s.gid):
-            if s.gid[i] is None and s.body[i].strip():
-                break
-            if s.gid[i] is not None:
-                named = [g for g in s.addressed(i) if g in pair]
-                if len(named) == 1:
-                    s.gid[i] = pair[1] if named[0] == pair[0] else pair[0]
-                elif s.me in pair and _ME.search(s.body[i]):
-                    s.gid[i] = s.me
-                elif s.gid[i] not in pair:
-                    s.gid[i] = turn
-                turn = pair[1] if s.gid[i] == pair[0] else pair[0]
-            i += 1
+        if s.me and _ME.search(s.body[i]):
+            s.gid[i] = s.me
+        i += 1
+
+
+# --- after it --------------------------------------------------------------------------------
+
+
+def _runs(s: Script, gap: int = 0) -> list[list[int]]:
+    """Runs of speech lines; up to ``gap`` blank lines may lie within a run."""
+    out, run, blanks = [], [], 0
+    for i in range(len(s.gid)):
+        if s.speech(i):
+            run.append(i)
+        elif run and s.gid[i] is None and not s.body[i].strip() and blanks < gap:
+            blanks += 1
+        else:
+            out, run, blanks = out + [run] * bool(run), [], 0
+    return out + [run] * bool(run)
 
 
 def fix_flips(s: Script) -> None:
-    """In a block of three or more lines that two speakers dominate (70 %): fill the unknown one between them, and a lone third speaker."""
-    for run in s.blocks():
+    """In a block of three or more lines that two speakers dominate (70 %), unknown lines take their turn, and so does a third speaker's only line between both. Lines that name their speaker stay."""
+    for run in _runs(s):
         count = Counter(s.gid[i] for i in run if s.known(i))
         top = [g for g, _ in count.most_common(2)]
         if len(run) < 3 or len(top) < 2 or sum(count[g] for g in top) < 0.7 * sum(count.values()):
             continue
+        other = {top[0]: top[1], top[1]: top[0]}
         for at, i in enumerate(run):
-            if at and (s.gid[i] == "#g?" or (s.gid[i] not in top and not _NAMED.search(s.body[i]))) and s.gid[run[at - 1]] in top:
-                s.gid[i] = top[1] if s.gid[run[at - 1]] == top[0] else top[0]
+            left, right = [s.gid[k] for k in run[:at]], [s.gid[k] for k in run[at + 1 :]]
+            known = lambda gids, of=None: next((g for g in gids if (g != "#g?" if of is None else g in of)), None)
+            last = known(reversed(left), other)
+            turn = other.get(last)
+            new = None
+            if s.gid[i] == "#g?":
+                near, two_back = known(reversed(left)), left[-2] if len(left) > 1 and left[-2] != "#g?" else None
+                between = two_back if near and near == known(right) and two_back and two_back != near else None
+                new = between if between and not s.shut_out(between, i) else turn
+            elif s.gid[i] not in other and left.count(s.gid[i]) + right.count(s.gid[i]) == 0 and turn and known(right, other) == turn:
+                new = turn
+            if new and not _OWN.search(s.body[i]) and not s.shut_out(new, i):
+                s.gid[i] = new
 
 
 def alternate(s: Script) -> None:
-    """In runs of four or more lines with exactly two known speakers, unknown lines take turns with their neighbours."""
-    for run in s.blocks(gap=1):
+    """In runs of four or more lines with exactly two known speakers, turns alternate from the first known one: unknown lines take theirs, and so does a line of the wrong one if the next line's is right.
+
+    Lines that name a speaker, or their own one, stay."""
+    for run in _runs(s, gap=1):
         names = list(dict.fromkeys(s.gid[i] for i in run if s.known(i)))
         if len(run) < 4 or len(names) != 2:
             continue
+        gids, turn = [s.gid[i] for i in run], names[0]
+        other = {names[0]: names[1], names[1]: names[0]}
         for at, i in enumerate(run):
-            if s.gid[i] == "#g?" and not _NAMED.search(s.body[i]):
-                near = s.gid[run[at - 1]] if at and s.known(run[at - 1]) else s.gid[run[at + 1]] if at + 1 < len(run) and s.known(run[at + 1]) else None
-                if near:
-                    s.gid[i] = names[1] if near == names[0] else names[0]
+            own = any(s.alias[a] == gids[at] for _, _, a in s.names.find(s.body[i].lower()))
+            if not _OWN.search(s.body[i]) and not own:
+                before, after = gids[at - 1] if at else None, gids[at + 1] if at + 1 < len(gids) else None
+                if gids[at] == "#g?":
+                    s.gid[i] = turn
+                elif gids[at] != turn and after == turn and before in (None, gids[at], "#g?"):
+                    s.gid[i] = gids[at] = turn
+            turn = other[turn]
 
 
 def fill_gaps(s: Script) -> None:
     """An unknown question or address between two lines of one speaker: the last other speaker within twenty lines."""
-    asks = re.compile(r"\?|(?<!\w)(?:ти|ви)(?!\w)", re.IGNORECASE)
     for i, g in enumerate(s.gid):
-        if g != "#g?" or not s.speech(i) or not asks.search(s.body[i]):
+        if g != "#g?" or not s.speech(i) or not _ASKS.search(s.body[i]) or _OWN.search(s.body[i]):
             continue
         left = next((s.gid[k] for k in range(i - 1, max(-1, i - 4), -1) if s.known(k)), None)
         right = next((s.gid[k] for k in range(i + 1, min(len(s.gid), i + 4)) if s.known(k)), None)
         if left and left == right:
-            other = next((s.gid[k] for k in range(i - 1, max(-1, i - 21), -1) if s.known(k) and s.gid[k] != left), None)
-            s.gid[i] = other or g
+            s.gid[i] = next((s.gid[k] for k in range(i - 1, max(-1, i - 21), -1) if s.known(k) and s.gid[k] != left), None) or g
+
+
+def votes(s: Script, i: int) -> Counter:
+    """A line's votes: 3 for a name between a dash and a mark, 2 for the character of a lead-in in the two untagged lines before, 1 for the nearest earlier speaker of its pronoun's gender in the block."""
+    out: Counter = Counter()
+    body = _plain(s.body[i])
+    low = body.lower()
+    for start, end, name in s.names.find(low, whole=False):
+        if re.search(rf"[.!?…\"”»«„“,]\s*[{L.DASHES}]\s*$", body[:start]) and re.match(rf"\s*[,:{L.DASHES}]", body[end:]):
+            out[s.alias[name]] += 3
+            break
+    for k in range(i - 1, max(-1, i - 3), -1):
+        if s.gid[k] is not None:
+            break
+        told = _plain(s.body[k])
+        names, verb = s.names.find(told.lower(), whole=False), _SAID.search(told)
+        if names and verb:
+            gid = s.alias[names[0][2]]
+            if _gender_of_verb(verb[0]) in (None, s.gender.get(gid, _gender_of_verb(verb[0]))):
+                out[gid] += 2
+                break
+    want = next((g for g, p in zip("FM", _HE_OR_SHE, strict=True) if p.search(s.body[i])), None)
+    near = want and s.before(i, 6, want, same_block=True)
+    if near:
+        out[near] += 1
+    return out
 
 
 def consensus(s: Script) -> None:
-    """Votes for each known line: a name in it 3, one in the narration before 2, the nearest speaker of its verb's gender 1; each change is noted.
+    """Known speech against its votes; each change is noted.
 
-    A speaker whose gender the line's own verb denies gives way to the best-voted one of the right
-    gender, or to none; any other one to the best-voted one that has two votes more."""
+    A speaker whom the scene shuts out, or whose gender the first verb of speech denies, gives way
+    to the best-voted one if that one fits, else to none; any other to the best-voted one that has
+    two votes more and fits the scene."""
     for i in range(len(s.gid)):
         if not s.known(i) or not s.speech(i):
             continue
-        tail = re.split(rf"[{L.DASHES}]", s.body[i])[-1]
-        want = "F" if re.search(rf"{_LETTER}(?:{L.VERBS_F})(?!\w)", tail, re.IGNORECASE) else "M" if re.search(rf"{_LETTER}(?:{L.VERBS_M})(?!\w)", tail, re.IGNORECASE) else None
-        votes: Counter = Counter()
-        if _NAMED.search(s.body[i]):
-            votes.update({g: 3 for g in s.addressed(i) if g != "#g1"})
-        lead = next((s.first_name(k) for k in range(i - 1, max(-1, i - 3), -1) if s.gid[k] in (None, "#g1") and s.body[k].rstrip().endswith(":")), None)
-        if lead and lead != "#g1":
-            votes[lead] += 2
-        near = want and s.before(i, 6, want)
-        if near:
-            votes[near] += 1
-        have, old = s.gender.get(s.gid[i]), s.gid[i]
-        if want and have and want != have:
-            best = next((g for g, _ in votes.most_common() if s.gender.get(g) == want), None)
-            s.gid[i] = best or "#g?"
-            s.audit.append((i, old, s.gid[i], "verb_gender_conflict" + ("->switch" if best else "->demote")))
-        elif votes and votes.most_common(1)[0][1] >= votes[old] + 2 and votes.most_common(1)[0][0] != old and (not want or s.gender.get(votes.most_common(1)[0][0]) in (want, None)):
-            s.gid[i] = votes.most_common(1)[0][0]
-            s.audit.append((i, old, s.gid[i], "better_votes->switch"))
-
-
-RULES: tuple[Callable[[Script], None], ...] = (pronoun_inline, pronoun_coreference, vocatives, pair_lock, fix_flips, alternate, fill_gaps, consensus)
-_LINES = "doc_id long, line_no int, raw string, indent string, gid string, body string, reason string"
-
-
-def fold(lines: DataFrame, aliases: DataFrame, chars: DataFrame, hints: DataFrame, rules: tuple[Callable[[Script], None], ...] = RULES) -> DataFrame:
-    """``lines`` after the rules, in order, in one grouping by document; column reason notes what ``consensus`` changed."""
-    cast = aliases.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("alias", "gid"))).alias("alias"))
-    cast = cast.join(chars.where("gender is not null").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("gid", "gender"))).alias("gender")), "doc_id", "left").join(hints, "doc_id", "left")
-
-    def run(rows: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("line_no").reset_index(drop=True)
-        if not len(rows):
-            return pd.DataFrame({c: pd.Series([], dtype={"doc_id": "int64", "line_no": "int32"}.get(c, object)) for c in (*rows.columns, "reason")})
-        legend = about.iloc[0] if len(about) else {}
-        as_dict = lambda x: dict(x) if x is not None and not isinstance(x, float) else {}
-        me = legend.get("first_person_gid")
-        s = Script(rows, as_dict(legend.get("alias")), as_dict(legend.get("gender")), me if isinstance(me, str) else None)
-        for rule in rules:
+        now, count = s.gid[i], votes(s, i)
+        best = max(count, key=count.get, default=None)
+        fits = best is not None and not s.shut_out(best, i)
+        verb = _SAID.search(_plain(s.body[i]))
+        want, have = verb and _gender_of_verb(verb[0]), s.gender.get(now)
+        if s.shut_out(now, i):
+            new, why = (best if fits else "#g?"), "forbidden"
+        elif want and have and want != have:
+            new, why = (best if fits and s.gender.get(best) == want else "#g?"), "verb_gender_conflict"
+        elif fits and best != now and count[best] >= count[now] + 2:
+            new, why = best, f"consensus {count[best]}>{count[now]}+2"
+        else:
+            continue
+        s.gid[i] = new
+        s.audit.append((i, now, new, why if why.startswith("consensus") else why + ("->demote" if new == "#g?" else "->best")))
+
+
+BEFORE_PAIR: tuple[Rule, ...] = (pronoun_inline, pronoun_coreference, vocatives)
+PAIR: tuple[Rule, ...] = (pair_lock,)
+AFTER_PAIR: tuple[Rule, ...] = (fix_flips, alternate, fill_gaps, consensus)
+RULES = BEFORE_PAIR + PAIR + AFTER_PAIR
+FAULTS = "array<struct<rule:string,error:string>>"
+
+
+def apply_rules(s: Script, rules: tuple[Rule, ...]) -> list[tuple[str, str]]:
+    """Run the rules; one that raises changes nothing and is returned with its error."""
+    faults = []
+    for rule in rules:
+        gid, noted = list(s.gid), len(s.audit)
+        try:
             rule(s)
-        reason: list[str | None] = [None] * len(rows)
+        except Exception as e:  # any fault of a rule on a document is a row of the result, not the job's end
+            s.gid = gid
+            del s.audit[noted:]
+            faults.append((rule.__name__, f"{type(e).__name__}: {e}"))
+    return faults
+
+
+def fold(lines: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``lines`` after the rules, in order, in one grouping by document, with ``reason`` (what ``consensus`` changed) and ``faults`` (on a document's first line, what raised); ``cast`` goes.
+
+    lines: with cast; faults of earlier folds stay."""
+    if "faults" not in lines.columns:
+        lines = lines.withColumn("faults", F.lit(None).cast(FAULTS))
+    first = F.row_number().over(in_order()) == 1
+    about = F.to_json(F.struct(*(F.col(f"cast.{c}").alias(c) for c in ("alias", "gender", "me", "vocatives", "allowed", "forbidden"))))
+    rows = lines.withColumn("_about", F.when(first, about)).withColumn("faults", F.to_json("faults")).drop("cast", "reason")
+    names = [c for c in rows.columns if c != "_about"]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("line_no", kind="stable").reset_index(drop=True)
+        spec = group["_about"].iloc[0]
+        s = Script(group, json.loads(spec) if isinstance(spec, str) else {})
+        faults = apply_rules(s, rules)
+        reason: list[str | None] = [None] * len(group)
         for i, _, _, why in s.audit:
             reason[i] = why
-        return rows.assign(gid=pd.Series(s.gid, dtype=object), reason=pd.Series(reason, dtype=object))
+        if faults:
+            old = group["faults"].iloc[0]
+            group.loc[0, "faults"] = json.dumps([*(json.loads(old) if isinstance(old, str) else []), *({"rule": r, "error": e} for r, e in faults)])
+        return group[names].assign(gid=pd.Series(s.gid, dtype=object), reason=pd.Series(reason, dtype=object))
+
+    kinds = dict(rows.dtypes) | {"reason": "string"}
+    out = rows.groupBy("doc_id").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (*names, "reason")))
+    return out.withColumn("faults", F.from_json("faults", FAULTS))
+
 
-    names = ["doc_id", "line_no", "raw", "indent", "gid", "body"]
-    core, cast = lines.select(names).toDF(*names), cast.toDF(*cast.columns)  # both may come from one table
-    return core.groupBy("doc_id").cogroup(cast.groupBy("doc_id")).applyInPandas(run, _LINES)
+def failures(lines: DataFrame) -> DataFrame:
+    """(doc_id, rule, error): what raised on a document."""
+    return lines.select("doc_id", F.inline("faults"))

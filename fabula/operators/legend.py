@@ -149,3 +149,104 @@ def morph_aliases(legend: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     forms = F.concat(F.array("t"), F.when(F.col("t").endswith("о") & (F.length("t") >= 3), F.array(F.concat(stem, F.lit("у")), F.concat(stem, F.lit("е")))).otherwise(none), F.when(F.col("t").endswith("а"), F.array(F.concat(stem, F.lit("о")))).otherwise(none), F.coalesce(F.transform(F.try_element_at(kin, F.col("t")), lambda f: alias_key(without_accents(f))), none))
     return keys.select("doc_id", "gid", F.explode(forms).alias("alias")).groupBy("doc_id", "alias").agg(F.array_sort(F.collect_set("gid")).alias("gids"))
+
+
+def fuzzy_equal(asked: Column, known: Column) -> Column:
+    """Whether two lower-cased names are one: equal, but for a case ending, for a last "й" that became "я", or for one letter."""
+    endings = F.array(*(F.lit(e) for e in L.CASE_ENDINGS))
+    inflected = F.exists(endings, lambda e: (asked == F.concat(known, e)) | (known == F.concat(asked, e)))
+    soft = known.endswith("й") & (asked == F.concat(F.regexp_replace(known, "й$", ""), F.lit("я")))
+    return (asked == known) | soft | inflected | (F.levenshtein(asked, known, 1) >= 0)
+
+
+def fuzzy_gid(name: Column, names: Column) -> Column:
+    """The gid of a lower-cased name among ``names``, an array of (ord, alias, gid) in order: equal, else the first fuzzy one, else the nearest with two edits from six letters on."""
+    pick = lambda test: F.try_element_at(F.filter(names, test), F.lit(1))["gid"]
+    near = pick(lambda n: F.levenshtein(name, n["alias"], 2) >= 0)
+    return F.coalesce(pick(lambda n: n["alias"] == name), pick(lambda n: fuzzy_equal(name, n["alias"])), F.when(F.length(name) >= 6, near))
+
+
+def _quoted_alternatives(names: Column) -> Column:
+    """A pattern of all aliases, longer ones first; one that matches nothing for a legend without names."""
+    order = F.array_sort(F.transform(names, lambda n: F.struct((-F.length(n["alias"])).alias("l"), n["alias"].alias("a"))))
+    return F.when(F.size(names) > 0, F.array_join(F.transform(order, lambda x: F.concat(F.lit("\\Q"), x["a"], F.lit("\\E"))), "|")).otherwise(F.lit("(?!)"))
+
+
+def cast(named: DataFrame) -> DataFrame:
+    """(doc_id, cast): all that rules ask of a document's legend, in one row.
+
+    cast: alias (name to gid), names (ord, alias, gid by ord), pattern (all names, longer ones first),
+    gender (gid to M or F), me, thoughts, chief, narrator, old (gids of grandfathers), allowed and
+    forbidden (gid to scenes), vocatives (form to gids)."""
+    from .attribution import constraints
+    from .thoughts import thought_character
+
+    chars = characters(named)
+    old = F.exists(F.concat("roles", "names"), lambda r: F.lower(r).rlike("^(?:дід|дідо|дідус)"))
+    by_doc = lambda t, *cols: t.groupBy("doc_id").agg(*cols)
+    pairs = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
+    listed = by_doc(aliases(named), pairs("alias", "gid").alias("alias"), F.array_sort(F.collect_list(F.struct("ord", "alias", "gid"))).alias("names"))
+    listed = listed.withColumn("pattern", _quoted_alternatives(F.col("names")))
+    people = by_doc(
+        chars.groupBy("doc_id", "gid").agg(F.min_by("gender", "ord").alias("gender"), F.min("ord").alias("ord"), F.max(old).alias("old"), F.max(F.lower(F.array_join("roles", " ")).rlike(L.TITLE_STEMS)).alias("chief")),
+        F.map_from_entries(F.collect_list(F.when(F.col("gender").isNotNull(), F.struct("gid", "gender")))).alias("gender"),
+        F.min_by(F.when(F.col("chief"), F.col("gid")), F.when(F.col("chief"), F.col("ord"))).alias("chief"),
+        F.array_sort(F.collect_list(F.when(F.col("old"), F.col("gid")))).alias("old"),
+    )
+    scenes = by_doc(constraints(named).groupBy("doc_id", "gid").agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("allowed", "forbidden"))), pairs("gid", "allowed").alias("allowed"), pairs("gid", "forbidden").alias("forbidden"))
+    parts = [listed, people, first_person(chars).withColumnRenamed("first_person_gid", "me"), thought_character(chars), narrators(named), scenes, by_doc(morph_aliases(named), pairs("alias", "gids").alias("vocatives"))]
+    out = named.select("doc_id").distinct()
+    for part in parts:
+        out = out.join(part, "doc_id", "left")
+    return out.select("doc_id", F.struct(*(c for c in out.columns if c != "doc_id")).alias("cast"))
+
+
+def attach(lines: DataFrame, casts: DataFrame) -> DataFrame:
+    """``lines`` with the ``cast`` of their document."""
+    return lines.join(casts, "doc_id", "left")
+
+
+#: Further names of the narrator in a legend of the form {gid_to_names: …}.
+NARRATOR_ALIASES = ("наратив", "оповідач", "оповідачка")
+
+
+def _records_of_text(rows: DataFrame) -> DataFrame:
+    """(doc_id, gid, names, aliases, gender) of lines "#gN - name (aliases)"; gender by what the line holds, of a character's first line."""
+    pattern = r"(?i)^\s*(#g\d+)\s*[:\-]\s*(.+?)\s*$"
+    lines = rows.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("k", "line")).where(F.col("line").rlike(pattern))
+    name = F.regexp_extract("line", pattern, 2)
+    base = F.trim(F.regexp_extract(name, r"^([^(,]*)", 1))
+    low = F.lower(name)
+    has = lambda *parts: F.array_contains(F.transform(F.array(*map(F.lit, parts)), lambda p: low.contains(p)), True)
+    gender = F.when(has(" жін", " f)", "(f", "female"), "F").when(has(" чол", " m)", "(m", "male"), "M")
+    inside = F.flatten(F.transform(F.regexp_extract_all(name, F.lit(r"\(([^)]*)\)"), F.lit(1)), lambda p: F.split(p, "[;,，、]")))
+    more = F.filter(F.transform(inside, lambda a: F.trim(a)), lambda a: (a != "") & (F.lower(a) != F.lower(base)))
+    parsed = lines.select("doc_id", "k", F.regexp_extract("line", pattern, 1).alias("gid"), base.alias("base"), more.alias("more"), gender.alias("gender")).where("base <> ''")
+    parts = parsed.groupBy("doc_id", "gid").agg(F.array_sort(F.collect_list(F.struct("k", "base", "more", "gender"))).alias("p"))
+    return parts.select("doc_id", "gid", F.array_distinct(F.transform("p", lambda x: x["base"])).alias("names"), F.array_distinct(F.flatten(F.transform("p", lambda x: x["more"]))).alias("aliases"), F.col("p")[0]["gender"].alias("gender"))
+
+
+def legend_records(legends: DataFrame) -> DataFrame:
+    """(doc_id, gid, names, aliases, gender) of legends (doc_id, text) of any shape.
+
+    JSON objects have, for each gid, a record (names, aliases, gender), a list of names or one name;
+    or they are {gid_to_names: {gid: names}, narrator_gid}, whose narrator gets NARRATOR_ALIASES.
+    Other texts are lines "#gN - name (aliases)". Empty names go; a value of another kind gives a
+    character without names; JSON that is no object gives none, and so do null and empty texts."""
+    rows = legends.where("trim(text) <> ''").withColumn("v", F.try_parse_json("text"))
+    plain = _records_of_text(rows.where("v is null"))
+    kind = lambda c: F.schema_of_variant(c)
+    some = rows.where("v is not null").select("doc_id", "v").withColumn("kind", kind(F.col("v"))).where("kind like 'OBJECT%'")
+    bridge = F.try_variant_get("v", "$.gid_to_names", "variant")
+    bridged = bridge.isNotNull() | F.try_variant_get("v", "$.name_to_gid", "variant").isNotNull()
+    some = some.withColumn("narrator", F.when(bridged, F.try_variant_get("v", "$.narrator_gid", "string"))).withColumn("bridged", bridged)
+    some = some.withColumn("v", F.when(F.col("bridged"), F.coalesce(bridge, F.parse_json(F.lit("{}")))).otherwise(F.col("v"))).withColumn("entries", F.try_variant_get("v", "$", "map<string,variant>"))
+    each = some.select("doc_id", "narrator", "bridged", F.explode("entries").alias("gid", "rec")).withColumn("kind", kind(F.col("rec")))
+    strings = lambda path: F.filter(F.coalesce(F.try_variant_get("rec", path, "array<string>"), F.array().cast("array<string>")), lambda x: F.coalesce(x != "", F.lit(False)))
+    none = F.array().cast("array<string>")
+    record, listed, text = F.col("kind").like("OBJECT%") & ~F.col("bridged"), F.col("kind").like("ARRAY%"), (F.col("kind") == "STRING") & ~F.col("bridged")
+    names = F.when(record, strings("$.names")).when(listed, strings("$")).when(text, F.array(F.try_variant_get("rec", "$", "string"))).otherwise(none)
+    extra = F.when(record, strings("$.aliases")).when(F.col("gid") == F.col("narrator"), F.array(*map(F.lit, NARRATOR_ALIASES))).otherwise(none)
+    gender = F.when(record, F.try_variant_get("rec", "$.gender", "string"))
+    found = each.select("doc_id", "gid", names.alias("names"), extra.alias("aliases"), F.when(gender.isin("M", "F"), gender).alias("gender"))
+    return found.unionByName(plain)

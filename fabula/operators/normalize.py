@@ -80,17 +80,13 @@ def demote_narrator_dialogs(lines: DataFrame) -> DataFrame:
     return lines.withColumn("gid", F.when((F.col("gid") == "#g1") & is_dialog(F.col("body")), F.lit("#g?")).otherwise(F.col("gid")))
 
 
-def narrator_fallback(lines: DataFrame, narrator: str = "#g1", narrators: DataFrame | None = None) -> DataFrame:
-    """The first line of each run of plain text (untagged, not blank, no speech) gets the narrator, that of its document where ``narrators`` (doc_id, narrator) has one."""
-    if narrators is not None:
-        own = narrators.select(F.col("doc_id").alias("_doc"), F.col("narrator").alias("_narrator"))
-        lines = lines.join(own, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
-    else:
-        lines = lines.withColumn("_narrator", F.lit(narrator))
+def narrator_fallback(lines: DataFrame, narrator: str = "#g1") -> DataFrame:
+    """The first line of each run of plain text (untagged, not blank, no speech) gets the narrator, that of its document's legend where lines have a ``cast``."""
+    own = F.coalesce("cast.narrator", F.lit(narrator)) if "cast" in lines.columns else F.lit(narrator)
     plain = F.col("gid").isNull() & (F.trim("body") != "") & ~is_dialog(F.col("body"))
     before = F.lag("_plain", 1, False).over(in_order())
     marked = lines.withColumn("_plain", plain)
-    return marked.withColumn("gid", F.when(F.col("_plain") & ~before, F.coalesce("_narrator", F.lit(narrator))).otherwise(F.col("gid"))).drop("_plain", "_narrator")
+    return marked.withColumn("gid", F.when(F.col("_plain") & ~before, own).otherwise(F.col("gid"))).drop("_plain")
 
 
 def collapse_same_tags(lines: DataFrame) -> DataFrame:
@@ -112,7 +108,7 @@ def clean_dialog_punctuation(lines: DataFrame) -> DataFrame:
     spoken = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"\s+", " "), r"\s+([»”\"])$", "$1"), r"^([«“\"])\s+", "$1")
     spoken = F.when(spoken.rlike(r"[.!?…][»”\"]?$"), spoken).when(spoken.rlike(r"[»”\"]$"), F.regexp_replace(spoken, r"([»”\"])$", ".$1")).otherwise(F.concat(spoken, F.lit(".")))
     told = F.when(told.rlike(r"[.!?…]$") | (told == ""), told).otherwise(F.concat(told, F.lit(".")))
-    out = F.when(F.col("gid").isNull() | (F.col("gid") == "#g?"), F.col("body")).when(F.col("gid") == "#g1", told).otherwise(spoken)
+    out = F.when(F.col("gid").isNull() | (F.col("gid") == "#g?") | (body == "[[DIALOG_BOUNDARY]]"), F.col("body")).when(F.col("gid") == "#g1", told).otherwise(spoken)
     return renumber(lines.where(~F.coalesce(empty, F.lit(False))).withColumn("body", out).where("gid is null or gid <> '#g1' or body <> ''"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,18 +41,78 @@ def extract_attribution(lines: DataFrame) -> DataFrame:
     return _exploded(lines, F.when(F.coalesce(mixed, F.lit(False)) & (F.size(parts) > 0), parts).otherwise(whole))
 
 
+_OPENING, _CLOSED = ("«", '"', "“"), ("»", '"', "”")
+_SPEAKER = re.compile(r"#g\d+")
+
+
+def joined(parts: list[str]) -> str:
+    """Pieces of one speech as one text; where one ends and the next begins with a quotation mark, the latter goes."""
+    out = parts[0]
+    for part in parts[1:]:
+        if out.endswith(_CLOSED) and part.startswith(_OPENING):
+            part = part[1:]
+        if out.endswith("»") and part.endswith("»"):
+            part = part[:-1]
+        out = f"{out} {part}".strip()
+    return out
+
+
+def merged_runs(gids: list[str | None], bodies: list[str]) -> list[tuple[int, str | None, str]]:
+    """(line, gid, body) after merging; ``line`` is the one that a row comes from.
+
+    A run starts at a speaker's line with an opening quotation mark and takes what follows it, from
+    the left: more such lines of the speaker; a narrator's line that such a line follows, which is
+    swallowed; a narrator's line that itself has a quotation after some words, which stand before the
+    merged speech as the narrator's. Anything else ends it."""
+    out: list[tuple[int, str | None, str]] = []
+    quoted = lambda i, gid: i < len(gids) and gids[i] == gid and any(q in bodies[i] for q in _OPENING)
+    i = 0
+    while i < len(gids):
+        gid = gids[i]
+        if not gid or not _SPEAKER.fullmatch(gid) or not quoted(i, gid):
+            out.append((i, gid, bodies[i]))
+            i += 1
+            continue
+        parts, at = [bodies[i]], i + 1
+        while at < len(gids):
+            told = min((bodies[at].find(q) for q in _OPENING if q in bodies[at]), default=-1) if gids[at] == "#g1" else -1
+            if quoted(at, gid):
+                parts.append(bodies[at])
+                at += 1
+            elif gids[at] == "#g1" and quoted(at + 1, gid):
+                parts.append(bodies[at + 1])
+                at += 2
+            elif told > 0:
+                words = re.sub(r"[,—–\-\s.]+$", "", re.sub(r"^[,—–\-\s]+", "", bodies[at][:told].strip()))
+                if words:
+                    out.append((at, "#g1", words))
+                parts.append(bodies[at][told:].strip())
+                at += 1
+            else:
+                break
+        out.append((i, gid, joined(parts)))
+        i = at
+    return out
+
+
 def merge_dialogs(lines: DataFrame) -> DataFrame:
-    """Quoted lines of one speaker that follow each other become one line."""
-    quoted = F.col("gid").isNotNull() & (F.col("gid") != "#g1") & F.trim("body").rlike("^[«\"“].*[»\"”]$")
-    w = in_order()
-    joins = F.col("_q") & F.lag("_q", 1, False).over(w) & (F.col("gid") == F.lag("gid").over(w)) & (F.col("gid") != "#g?")
-    marked = lines.withColumn("_q", quoted).withColumn("_first", (~F.coalesce(joins, F.lit(False))).cast("int"))
-    marked = marked.withColumn("_group", F.sum("_first").over(w))
-    inner = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "body"))), lambda x: F.trim(x["body"]))
-    bare = F.array_join(F.transform(inner, lambda b: F.regexp_replace(b, "^[«\"“]\\s*|\\s*[»\"”]$", "")), " ")
-    body = F.when(F.count("*") > 1, F.concat(F.lit("\""), bare, F.lit("\""))).otherwise(F.first("body"))
-    out = marked.groupBy("doc_id", "_group").agg(F.min("line_no").alias("line_no"), F.min_by("raw", "line_no").alias("raw"), F.min_by("indent", "line_no").alias("indent"), F.min_by("gid", "line_no").alias("gid"), body.alias("body"))
-    return renumber(out.drop("_group")).select("doc_id", "line_no", "raw", "indent", "gid", "body")
+    """Speech that the narrator's lines or line breaks cut becomes one line (``merged_runs``), in one ordered pass over each document; numbered anew."""
+    kinds = dict(lines.drop("cast").dtypes)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("line_no", kind="stable").reset_index(drop=True)
+        rows = merged_runs([g if isinstance(g, str) else None for g in group["gid"]], [b or "" for b in group["body"]])
+        out = group.iloc[[r[0] for r in rows]].reset_index(drop=True)
+        return out.assign(line_no=range(len(rows)), gid=pd.Series([r[1] for r in rows], dtype=object), body=[r[2] for r in rows])
+
+    plain = lines.drop("cast")
+    nested = [c for c, k in kinds.items() if k.startswith(("array", "struct", "map"))]
+    for c in nested:  # as text through pandas
+        plain = plain.withColumn(c, F.to_json(c))
+    out = plain.groupBy("doc_id").applyInPandas(run, ", ".join(f"{c} {'string' if c in nested else k}" for c, k in kinds.items()))
+    for c in nested:
+        out = out.withColumn(c, F.from_json(c, kinds[c]))
+    return out
 
 
 def merge_around_attribution(lines: DataFrame, marks: str = "«»\"“”", tidy: bool = True) -> DataFrame:

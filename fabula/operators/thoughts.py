@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..lines import in_order, is_dialog, renumber
+from .attribution import OWN_NAME
 from .legend import alias_key
-from .scenes import with_block
 
+#: The text of a line between two blocks.
+BOUNDARY = "[[DIALOG_BOUNDARY]]"
 _WORDS = r"(?iuU)(?<![\p{L}])(?:%s)(?![\p{L}])"
 
 
@@ -34,14 +36,12 @@ def _near_cue(cues: str) -> Column:
     return out
 
 
-def demote_thoughts(lines: DataFrame, aliases: DataFrame) -> DataFrame:
+def demote_thoughts(lines: DataFrame) -> DataFrame:
     """Quoted speech with a thinking word after its dash, but no character's name there, becomes unknown."""
     tail = F.when(F.col("gid") != "#g1", _tail(F.col("body")))
-    marked = lines.withColumn("_tail", F.when(tail.rlike(_WORDS % L.THOUGHT_VERBS), F.lower(tail)))
-    names = aliases.groupBy("doc_id").agg(F.collect_set("alias").alias("_names")).select(F.col("doc_id").alias("_doc"), "_names")
-    joined = marked.join(names, F.col("doc_id") == F.col("_doc"), "left")
-    named = F.exists(F.coalesce("_names", F.array().cast("array<string>")), lambda n: F.col("_tail").contains(n))
-    return joined.withColumn("gid", F.when(F.col("_tail").isNotNull() & ~named, F.lit("#g?")).otherwise(F.col("gid"))).drop("_tail", "_doc", "_names")
+    low = F.lower(tail)
+    named = F.coalesce(F.exists("cast.names", lambda n: low.contains(n["alias"])), F.lit(False))
+    return lines.withColumn("gid", F.when(tail.rlike(_WORDS % L.THOUGHT_VERBS) & ~named, F.lit("#g?")).otherwise(F.col("gid")))
 
 
 def thought_character(chars: DataFrame) -> DataFrame:
@@ -51,14 +51,12 @@ def thought_character(chars: DataFrame) -> DataFrame:
     return chars.withColumn("_o", order).where("_o is not null").groupBy("doc_id").agg(F.min_by("gid", F.struct("_o", "ord")).alias("thoughts"))
 
 
-def thoughts_to_tag(lines: DataFrame, chars: DataFrame) -> DataFrame:
+def thoughts_to_tag(lines: DataFrame) -> DataFrame:
     """Quotations with a thinking word after their dash, or alone next to narration about a thought, go to the character of thoughts, if there is one."""
     thought = _tail(F.col("body")).rlike(_WORDS % f"{L.THOUGHT_VERBS}|{L.THOUGHT_PHRASES}")
     alone = _tail(F.col("body")).isNull() & _pure_quote(F.col("body")) & _near_cue(L.NEAR_THOUGHT)
-    hit = (F.col("gid") != "#g1") & (F.coalesce(thought, F.lit(False)) | alone)
-    marked = lines.withColumn("_hit", hit)
-    to = thought_character(chars).select(F.col("doc_id").alias("_doc"), "thoughts")
-    return marked.join(to, F.col("doc_id") == F.col("_doc"), "left").withColumn("gid", F.when(F.col("_hit") & F.col("thoughts").isNotNull(), F.col("thoughts")).otherwise(F.col("gid"))).drop("_hit", "_doc", "thoughts")
+    marked = lines.withColumn("_hit", (F.col("gid") != "#g1") & (F.coalesce(thought, F.lit(False)) | alone))
+    return marked.withColumn("gid", F.when(F.col("_hit"), F.coalesce("cast.thoughts", "gid")).otherwise(F.col("gid"))).drop("_hit")
 
 
 def demote_near_aphorism(lines: DataFrame) -> DataFrame:
@@ -67,34 +65,28 @@ def demote_near_aphorism(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_hit", F.coalesce(hit, F.lit(False))).withColumn("gid", F.when(F.col("_hit"), F.lit("#g?")).otherwise(F.col("gid"))).drop("_hit")
 
 
-def rank_title_leadin(lines: DataFrame, aliases: DataFrame, chars: DataFrame) -> DataFrame:
+def rank_title_leadin(lines: DataFrame) -> DataFrame:
     """Unknown speech without an own name gets the first character named in the narration two lines or one line before, or the chief where a title stands there.
 
-    Names are found as substrings, as in the rule's text: the earliest legend entry wins. The legend's names are one array a document."""
-    listed = aliases.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "alias", "gid"))).alias("_names"))
-    chief = chars.where(F.lower(F.array_join("roles", " ")).rlike(L.TITLE_STEMS)).groupBy("doc_id").agg(F.min_by("gid", "ord").alias("_chief"))
-    about = listed.join(chief, "doc_id", "left").withColumnRenamed("doc_id", "_doc")
-    joined = lines.join(about, F.col("doc_id") == F.col("_doc"), "left")
+    Names are found as substrings, as in the rule's text: the earliest legend entry wins."""
     told = F.when(F.col("gid").isNull() | (F.col("gid") == "#g1"), F.lower("body"))
-    named = F.filter("_names", lambda n: told.contains(n["alias"]))
-    found = F.coalesce(F.try_element_at(named, F.lit(1))["gid"], F.when(told.rlike(_WORDS % L.TITLES), F.col("_chief")))
+    named = F.filter("cast.names", lambda n: told.contains(n["alias"]))
+    found = F.coalesce(F.try_element_at(named, F.lit(1))["gid"], F.when(told.rlike(_WORDS % L.TITLES), F.col("cast.chief")))
     w = in_order()
-    marked = joined.withColumn("_found", found)
-    lead = F.coalesce(F.lag("_found", 2).over(w), F.lag("_found", 1).over(w))
-    own = F.col("body").rlike(rf"(?sU)^\s*[{L.DASHES}{L.QUOTES}].*?{L.END_PUNCTUATION}?\s*[{L.DASHES}]\s*{L.NAME}")
-    marked = marked.withColumn("_lead", lead)
-    return marked.withColumn("gid", F.when((F.col("gid") == "#g?") & is_dialog(F.col("body")) & ~own, F.coalesce("_lead", "gid")).otherwise(F.col("gid"))).drop("_doc", "_names", "_chief", "_found", "_lead")
+    marked = lines.withColumn("_found", found)
+    marked = marked.withColumn("_lead", F.coalesce(F.lag("_found", 2).over(w), F.lag("_found", 1).over(w)))
+    free = (F.col("gid") == "#g?") & is_dialog(F.col("body")) & ~F.col("body").rlike(OWN_NAME)
+    return marked.withColumn("gid", F.when(free, F.coalesce("_lead", "gid")).otherwise(F.col("gid"))).drop("_found", "_lead")
 
 
-def first_person_leadin(lines: DataFrame, hints: DataFrame) -> DataFrame:
+def first_person_leadin(lines: DataFrame) -> DataFrame:
     """"I say:" hands the next speech within three lines to the first person, tagged or not; so does "— said I" at a line's end.
 
     The lead-in holds until the first speech after it: no earlier speech may lie between."""
-    joined = lines.join(hints.select(F.col("doc_id").alias("_doc"), F.col("first_person_gid").alias("_me")), F.col("doc_id") == F.col("_doc"), "left")
     leads = F.col("body").rlike(rf"(?iuU)(?:{L.FIRST_PERSON_LEADIN})\s*:\s*$")
     speech = is_dialog(F.col("body"))
     free = speech & (F.col("gid").isNull() | (F.col("gid") == "#g?"))
-    marked = joined.withColumns({"_lead": leads & ~speech, "_free": free})
+    marked = lines.withColumns({"_lead": leads & ~speech, "_free": free})
     w = in_order()
     armed = F.lit(False)
     for k in (1, 2, 3):
@@ -104,21 +96,22 @@ def first_person_leadin(lines: DataFrame, hints: DataFrame) -> DataFrame:
         armed = armed | (F.coalesce(F.lag("_lead", k).over(w), F.lit(False)) & ~between)
     marked = marked.withColumn("_armed", armed)
     tail = (F.col("gid") == "#g?") & speech & F.col("body").rlike(rf"(?iuU)(?<![\p{{L}}])(?:{L.FIRST_PERSON_TAIL})(?![\p{{L}}])")
-    hit = F.col("_me").isNotNull() & (F.coalesce(tail, F.lit(False)) | (F.col("_free") & F.col("_armed")))
+    hit = F.col("cast.me").isNotNull() & (F.coalesce(tail, F.lit(False)) | (F.col("_free") & F.col("_armed")))
     body = F.when(hit & F.col("gid").isNull(), F.trim("body")).otherwise(F.col("body"))
-    return marked.withColumns({"_new": F.when(hit, F.col("_me")).otherwise(F.col("gid")), "body": body}).drop("gid").withColumnRenamed("_new", "gid").select(lines.columns)
+    return marked.withColumns({"_new": F.when(hit, F.col("cast.me")).otherwise(F.col("gid")), "body": body}).drop("gid").withColumnRenamed("_new", "gid").select(lines.columns)
 
 
 def mark_blocks(lines: DataFrame) -> DataFrame:
-    """A narrator's boundary line before each dialog block but the first, unless a blank or a narrator's line is there already; numbered anew."""
+    """A narrator's boundary line before each dialog block but the first, unless a blank or a narrator's line is there already; numbered anew.
+
+    lines: with block_id, the blocks of the manuscript as it was read (``scenes.with_block``); a text without tags has none, and stays as it is."""
     w = in_order()
-    blocks = with_block(lines)
-    start = F.col("block_id").isNotNull() & (F.col("block_id") > 1) & F.lag("block_id").over(w).isNull()
+    start = (F.col("block_id") > 1) & ~F.col("block_id").eqNullSafe(F.lag("block_id").over(w))
     before = F.lag(F.coalesce(F.trim("body"), F.lit("")), 1, "").over(w)
     needed = start & ~((F.lag("gid").over(w).isNull() & (before == "")) | F.coalesce(F.lag("gid").over(w) == "#g1", F.lit(False)))
-    marked = blocks.withColumn("_mark", F.coalesce(needed, F.lit(False))).drop("block_id")
+    marked = lines.withColumn("_mark", F.coalesce(needed, F.lit(False)))
     own = F.struct(F.col("gid").alias("gid"), F.col("body").alias("body"))
-    parts = F.when(F.col("_mark"), F.array(F.struct(F.lit("#g1").alias("gid"), F.lit("[[DIALOG_BOUNDARY]]").alias("body")), own)).otherwise(F.array(own))
+    parts = F.when(F.col("_mark"), F.array(F.struct(F.lit("#g1").alias("gid"), F.lit(BOUNDARY).alias("body")), own)).otherwise(F.array(own))
     out = marked.select("*", F.posexplode(parts).alias("_k", "_part")).withColumns({"gid": F.col("_part.gid"), "body": F.col("_part.body")})
     return renumber(out, "_k").select(lines.columns)
 
@@ -135,27 +128,21 @@ def block_child_after_prologue(lines: DataFrame, gid: str = "#g4") -> DataFrame:
     return marked.withColumn("gid", F.when((F.col("gid") == gid) & (F.col("_over") == 1), F.lit("#g?")).otherwise(F.col("gid"))).drop("_ends", "_begun", "_over")
 
 
-def first_person_to_child(lines: DataFrame, aliases: DataFrame, hints: DataFrame, parent: str = "#g3") -> DataFrame:
+def first_person_to_child(lines: DataFrame, parent: str = "#g3") -> DataFrame:
     """Unknown speech in the first person that addresses the parent by name gets the first person (#g2 without a hint)."""
-    names = aliases.where(F.col("gid") == parent).groupBy("doc_id").agg(F.collect_set(F.element_at(F.split("alias", " "), 1)).alias("_names"))
-    about = names.join(hints, "doc_id", "left").select(F.col("doc_id").alias("_doc"), "_names", "first_person_gid")
-    joined = lines.join(about, F.col("doc_id") == F.col("_doc"), "left")
     low = F.lower("body")
-    mine = low.rlike(_WORDS % L.CHILD_WORDS)
-    addressed = F.exists("_names", lambda n: F.regexp(F.concat(F.lit(" "), low), F.concat(F.lit("[\\s«\"'—–-]\\Q"), n, F.lit("\\E\\s*[,!?:]"))))
-    hit = (F.col("gid") == "#g?") & is_dialog(F.col("body")) & mine & F.coalesce(addressed, F.lit(False))
-    return joined.withColumn("gid", F.when(hit, F.coalesce("first_person_gid", F.lit("#g2"))).otherwise(F.col("gid"))).drop("_doc", "_names", "first_person_gid")
+    names = F.transform(F.filter("cast.names", lambda n: n["gid"] == parent), lambda n: F.element_at(F.split(n["alias"], " "), 1))
+    addressed = F.exists(names, lambda n: F.regexp(F.concat(F.lit(" "), low), F.concat(F.lit("[\\s«\"'—–-]\\Q"), n, F.lit("\\E\\s*[,!?:]"))))
+    hit = (F.col("gid") == "#g?") & is_dialog(F.col("body")) & low.rlike(_WORDS % L.CHILD_WORDS) & F.coalesce(addressed, F.lit(False))
+    return lines.withColumn("gid", F.when(hit, F.coalesce("cast.me", F.lit("#g2"))).otherwise(F.col("gid")))
 
 
-def narrator_dialogs(lines: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Speech tagged as the narrator's: #g2 with a first-person word; else whom "голос <Name>" in one of the three narrated lines before names; else unknown."""
+def narrator_dialogs(lines: DataFrame) -> DataFrame:
+    """Speech tagged as the narrator's: #g2 with a first-person word; else whom "голос <Name>" in one of the three lines before names; else unknown."""
     mine = F.col("body").rlike(_WORDS % L.NARRATOR_FIRST_PERSON)
     name = F.regexp_extract("body", r"(?iuU)голос\s+(\p{L}[\p{L}\d’'\-]+)", 1)
-    voices = lines.select(F.col("doc_id").alias("_doc"), F.col("line_no").alias("_at"), alias_key(name).alias("_alias")).where("_alias <> ''")
-    known = aliases.select(F.col("doc_id").alias("_doc"), F.col("alias").alias("_alias"), F.col("gid").alias("_voice"))
-    heard = voices.join(known, ["_doc", "_alias"]).select("_doc", "_at", "_voice")
-    joined = lines.join(heard, (F.col("doc_id") == F.col("_doc")) & (F.col("line_no") == F.col("_at")), "left").drop("_doc", "_at")
-    near = F.array(*(F.lag("_voice", k).over(in_order()) for k in (1, 2, 3)))
-    marked = joined.withColumn("_near", F.try_element_at(F.filter(near, lambda x: x.isNotNull()), F.lit(1)))
+    marked = lines.withColumn("_voice", F.when(name != "", F.try_element_at("cast.alias", alias_key(name))))
+    near = F.coalesce(*(F.lag("_voice", k).over(in_order()) for k in (1, 2, 3)))
+    marked = marked.withColumn("_near", near)
     hit = (F.col("gid") == "#g1") & is_dialog(F.col("body"))
     return marked.withColumn("gid", F.when(hit & mine, F.lit("#g2")).when(hit, F.coalesce("_near", F.lit("#g?"))).otherwise(F.col("gid"))).drop("_voice", "_near")

@@ -1,4 +1,4 @@
-"""Rules by phase and priority: a rule is a function of lines and cast, and a rule that can't be planned leaves the lines as they are."""
+"""Rules by phase and priority: a rule is a function of lines that carry their legend's cast; one that can't be planned leaves the lines as they are."""
 
 from __future__ import annotations
 
@@ -7,27 +7,17 @@ from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import attribution as A
-from ..operators import legend
+from ..operators import folds, legend
 
 
-@dataclass
-class Cast:
-    """What a legend says, as tables that rules share."""
-
-    aliases: DataFrame
-    chars: DataFrame
-    hints: DataFrame
-    constraints: DataFrame
-    narrators: DataFrame
-
-    @classmethod
-    def of(cls, named: DataFrame) -> Cast:
-        """From a parsed legend; the tables are small, and kept since nearly every rule reads them."""
-        named = named.cache()
-        chars = legend.characters(named).cache()
-        return cls(legend.aliases(named).cache(), chars, legend.first_person(chars).cache(), A.constraints(named).cache(), legend.narrators(named).cache())
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """``rows``, written to the folder that the cluster names in spark.checkpoint.dir (below the warehouse where it names none); they keep their partitions and order."""
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir"))
+    return rows.checkpoint()
 
 
 @dataclass(frozen=True)
@@ -35,20 +25,24 @@ class Rule:
     name: str
     phase: int
     priority: int
-    apply: Callable[[DataFrame, Cast], DataFrame]
+    apply: Callable[[DataFrame], DataFrame]
 
 
 @dataclass
 class Registry:
-    """Rules that run in the order of phase, priority and name; ``log`` notes what was left out or failed."""
+    """Rules that run in the order of phase, priority and name; ``log`` notes which failed when the last plan was made.
+
+    What a rule raises at run time on a document stays with that document (``folds.fold``)."""
 
     rules: dict[str, Rule] = field(default_factory=dict)
+    #: Rules after which lines are written to the checkpoint folder, as plans of all rules are slow to make and to recompute.
+    cuts: set[str] = field(default_factory=set)
     log: list[str] = field(default_factory=list)
 
     def rule(self, phase: int, priority: int = 0, name: str | None = None):
-        """Decorator: adds a function (lines, cast) -> lines; of equal names the last counts."""
+        """Decorator: adds a function lines -> lines; of equal names the last counts."""
 
-        def add(f: Callable[[DataFrame, Cast], DataFrame]) -> Callable[[DataFrame, Cast], DataFrame]:
+        def add(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
             key = name or f.__name__
             self.rules[key] = Rule(key, phase, priority, f)
             return f
@@ -60,12 +54,20 @@ class Registry:
         kept = [r for r in self.rules.values() if r.name not in left and (wanted is None or r.name in wanted)]
         return sorted(kept, key=lambda r: (r.phase, r.priority, r.name))
 
-    def run(self, lines: DataFrame, cast: Cast, skip: Iterable[str] = (), only: Iterable[str] | None = None) -> DataFrame:
-        """``lines`` after all rules; one that fails when its plan is made changes nothing. Columns are the same after each."""
+    def run(self, lines: DataFrame, casts: DataFrame, skip: Iterable[str] = (), only: Iterable[str] | None = None) -> DataFrame:
+        """``lines`` after all rules, with ``cast`` (of ``casts``), block_id and faults; columns are the same after each rule."""
+        self.log = []
+        for name, kind in (("block_id", "int"), ("faults", folds.FAULTS)):
+            if name not in lines.columns:
+                lines = lines.withColumn(name, F.lit(None).cast(kind))
         columns = lines.columns
+        lines = legend.attach(lines, casts)
         for rule in self.ordered(skip, only):
             try:
-                lines = rule.apply(lines, cast).select(columns)
+                after = rule.apply(lines)
+                lines = after.select(*columns, "cast") if "cast" in after.columns else legend.attach(after.select(columns), casts)
+                if rule.name in self.cuts:
+                    lines = checkpointed(lines)
             except (PySparkException, KeyError, TypeError, ValueError) as e:
                 self.log.append(f"{rule.name}: {type(e).__name__}: {e}")
         return lines

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import script_queries, script_sql
-from .lines import parse_lines
+from .lines import parse_lines, tagged_text
 from .operators import attribution, classify, effects, folds, legend, metrics, normalize, scenes
 from .plans import attribution_plan
 from .sources.text import read_table
@@ -17,10 +17,19 @@ SCRIPT = "Пролог\n\nЯ забув.\n\n«Пеґ», — сказав тат
 
 
 def _scripts(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """A short manuscript and its legend, for tests."""
     kind = "doc_id long, text string"
     return spark.createDataFrame([(1, SCRIPT)], kind), spark.createDataFrame([(1, LEGEND)], kind)
 
 
+def _manuscripts(spark: SparkSession, d: str, tagged: bool) -> tuple[DataFrame, DataFrame]:
+    """All conversations as manuscripts, with or without their tags, and a legend for each."""
+    lines = script_queries.script(spark, d)
+    text = tagged_text(F.col("indent"), F.col("gid"), F.col("body")) if tagged else F.col("body")
+    docs = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", text.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    return docs, docs.select("doc_id", F.lit(LEGEND).alias("text"))
+
+
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as tagged lines: a document for each, a speaker for each role."""
     gid = F.when(F.col("role") == "system", "#g1").when(F.col("role") == "user", "#g2").when(F.col("role") == "assistant", "#g3").otherwise("#g?")
@@ -98,7 +107,8 @@ def q_sentence_chunks(spark, d):
 
 
 def q_attribute(spark, d):
-    return attribution_plan.attribute(*_scripts(spark)).select("doc_id", "line_no", "gid", "body")
+    """All rules over the conversations as manuscripts that are tagged already."""
+    return attribution_plan.attribute(*_manuscripts(spark, d, tagged=True)).select("doc_id", "line_no", "gid", "body")
 
 
 def q_characters(spark, d):
@@ -116,14 +126,12 @@ def q_scene_spans(spark, d):
 
 def q_fold(spark, d):
     """The ordered rules over all conversations, each with its characters."""
-    return folds.fold(script_queries.script(spark, d), *script_queries.cast(spark, d)).select("doc_id", "line_no", "gid")
+    return folds.fold(script_queries.told(spark, d)).select("doc_id", "line_no", "gid")
 
 
 def q_attribute_all(spark, d):
-    """All rules over the conversations as manuscripts, each with the same legend."""
-    lines = script_queries.script(spark, d)
-    docs = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "body"))), lambda x: x["body"]), "\n").alias("text"))
-    return attribution_plan.attribute(docs, docs.select("doc_id", F.lit(LEGEND).alias("text"))).select("doc_id", "line_no", "gid", "body")
+    """All rules over the conversations as manuscripts without tags."""
+    return attribution_plan.attribute(*_manuscripts(spark, d, tagged=False)).select("doc_id", "line_no", "gid", "body")
 
 
 def q_sounds(spark, d):

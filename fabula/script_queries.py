@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import attribution, classify, effects, legend, metrics, normalize, speaker_model, split_merge, thoughts
+from .operators import attribution, classify, effects, joins, legend, mentions, metrics, normalize, scenes, speaker_model, split_merge, thoughts
 from .sources.text import read_table
 from .streaming import utterances as U
 
 
 def script(spark: SparkSession, d: str) -> DataFrame:
-    """Each conversation as a manuscript: every turn becomes one of ten kinds of lines."""
-    t = F.trim(F.substring(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " ")), 1, 40))
+    """Each conversation as a manuscript: every turn, its whole text on one line, in one of ten forms; without text only blank lines and headings."""
+    t = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\s]+", " "))
     k = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(10))
     by = lambda *xs: F.element_at(F.array(*xs), (k + 1).cast("int"))
     text = lambda a, b="": F.concat(F.lit(a), t, F.lit(b))
     gid = by(*(F.lit(x) for x in ("#g2", "#g?", "#g3", None, "#g?", None, "#g3", "#g1", None, "#g4")))
-    body = by(text("— "), text("«", "», — сказав тато."), F.lit("— Так, — сказала Мама."), F.lit("Тато повільно каже:"), F.lit("— Мамо, де?"), F.lit(""), text("«", "» — подумав хтось"), text("думка: "), F.concat(F.lit("Глава "), F.col("turn").cast("string")), text("«", "»"))
+    body = by(text("— "), text("«", "», — сказав тато."), text("— ", ", — сказала Мама."), text("Тато повільно, ", ", каже:"), text("— Мамо, ", "?"), F.lit(""), text("«", "» — подумав хтось"), text("думка: "), F.concat(F.lit("Глава "), F.col("turn").cast("string")), text("«", "»"))
     return read_table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("line_no"), gid.alias("gid"), body.alias("body")).withColumns({"raw": F.col("body"), "indent": F.lit("")})
 
 
@@ -30,14 +30,18 @@ def legends(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("n_regionkey").cast("long").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
 
 
-def cast(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(aliases, characters, hints) of the manuscripts of ``script``: the same four characters in each."""
-    rows = [("#g1", "оповідач", None, 0), ("#g2", "мама", "F", 1), ("#g3", "тато", "M", 2), ("#g4", "думки", None, 3)]
-    who = spark.createDataFrame(rows, "gid string, alias string, gender string, ord int")
+LEGEND = "#g1 - Оповідач\n#g2 - Мама (F)\n#g3 - Тато (M)\n#g4 - Думки"
+
+
+def named(spark: SparkSession, d: str) -> DataFrame:
+    """The parsed legend of each manuscript of ``script``: the same four characters in each."""
     docs = read_table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
-    both = docs.crossJoin(F.broadcast(who))  # four rows
-    chars = both.select("doc_id", "gid", "ord", F.array("alias").alias("names"), F.array().cast("array<string>").alias("roles"), "gender", F.lit(False).alias("first_person"))
-    return both.select("doc_id", "alias", "gid", "ord"), chars, docs.withColumn("first_person_gid", F.lit("#g2"))
+    return legend.parse_legend(docs.withColumn("text", F.lit(LEGEND)))
+
+
+def told(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
+    """The lines of ``script``, or others, with their legend's cast."""
+    return legend.attach(script(spark, d) if lines is None else lines, legend.cast(named(spark, d)))
 
 
 def levels(spark: SparkSession, d: str) -> DataFrame:
@@ -83,19 +87,21 @@ def q_clean_dialog_punctuation(spark, d):
 
 
 def q_remove_block_markers(spark, d):
-    return normalize.remove_block_markers(thoughts.mark_blocks(script(spark, d))).select(*_OUT)
+    """Boundaries set by one rule, punctuation cleaned around them, and taken away."""
+    marked = normalize.clean_dialog_punctuation(thoughts.mark_blocks(scenes.with_block(script(spark, d))))
+    return normalize.remove_block_markers(marked).select(*_OUT)
 
 
 def q_mark_blocks(spark, d):
-    return thoughts.mark_blocks(script(spark, d)).select(*_OUT)
+    return thoughts.mark_blocks(scenes.with_block(script(spark, d))).select(*_OUT)
 
 
 def q_demote_thoughts(spark, d):
-    return thoughts.demote_thoughts(script(spark, d), cast(spark, d)[0]).select("doc_id", "line_no", "gid")
+    return thoughts.demote_thoughts(told(spark, d)).select("doc_id", "line_no", "gid")
 
 
 def q_thoughts_to_tag(spark, d):
-    return thoughts.thoughts_to_tag(script(spark, d), cast(spark, d)[1]).select("doc_id", "line_no", "gid")
+    return thoughts.thoughts_to_tag(told(spark, d)).select("doc_id", "line_no", "gid")
 
 
 def q_demote_near_aphorism(spark, d):
@@ -103,13 +109,12 @@ def q_demote_near_aphorism(spark, d):
 
 
 def q_rank_title_leadin(spark, d):
-    aliases, chars, _ = cast(spark, d)
-    return thoughts.rank_title_leadin(script(spark, d), aliases, chars).select("doc_id", "line_no", "gid")
+    return thoughts.rank_title_leadin(told(spark, d)).select("doc_id", "line_no", "gid")
 
 
 def q_first_person_leadin(spark, d):
-    lines = script(spark, d).withColumn("body", F.when(F.col("body") == "Тато повільно каже:", "Тоді я кажу:").otherwise(F.col("body")))
-    return thoughts.first_person_leadin(lines, cast(spark, d)[2]).select("doc_id", "line_no", "gid")
+    lines = script(spark, d).withColumn("body", F.regexp_replace("body", "^Тато повільно, (.*), каже:$", "$1. Тоді я кажу:"))
+    return thoughts.first_person_leadin(told(spark, d, lines)).select("doc_id", "line_no", "gid")
 
 
 def q_block_child_after_prologue(spark, d):
@@ -118,9 +123,8 @@ def q_block_child_after_prologue(spark, d):
 
 
 def q_first_person_to_child(spark, d):
-    lines = script(spark, d).withColumn("body", F.when(F.col("body") == "— Мамо, де?", F.lit("— Тато, де мій?")).otherwise(F.col("body")))
-    aliases, _, hints = cast(spark, d)
-    return thoughts.first_person_to_child(lines, aliases, hints).select("doc_id", "line_no", "gid")
+    lines = script(spark, d).withColumn("body", F.regexp_replace("body", "^— Мамо, ", "— Тато, де мій? "))
+    return thoughts.first_person_to_child(told(spark, d, lines)).select("doc_id", "line_no", "gid")
 
 
 def q_merge_around_attribution(spark, d):
@@ -130,25 +134,23 @@ def q_merge_around_attribution(spark, d):
 
 
 def q_inline_sayer(spark, d):
-    aliases, _, hints = cast(spark, d)
-    return attribution.inline_sayer(script(spark, d), aliases, hints).select("doc_id", "line_no", "gid")
+    return attribution.inline_sayer(told(spark, d)).select("doc_id", "line_no", "gid")
 
 
 def q_inline_verb_name(spark, d):
-    return attribution.inline_verb_name(script(spark, d), cast(spark, d)[0]).select("doc_id", "line_no", "gid")
+    return attribution.inline_verb_name(told(spark, d)).select("doc_id", "line_no", "gid")
 
 
 def q_leadin_sayer(spark, d):
-    aliases, chars, _ = cast(spark, d)
-    return attribution.leadin_sayer(script(spark, d), aliases, chars).select("doc_id", "line_no", "gid")
+    return attribution.leadin_sayer(told(spark, d)).select("doc_id", "line_no", "gid")
 
 
 def q_named_leadin(spark, d):
-    return attribution.named_leadin(script(spark, d), cast(spark, d)[0]).select("doc_id", "line_no", "gid")
+    return attribution.named_leadin(told(spark, d)).select("doc_id", "line_no", "gid")
 
 
 def q_context_mentions(spark, d):
-    return attribution.context_mentions(script(spark, d), cast(spark, d)[0])
+    return attribution.context_mentions(script(spark, d), legend.aliases(named(spark, d)))
 
 
 def q_tag_counts(spark, d):
@@ -196,6 +198,20 @@ def q_legend_in_text(spark, d):
     return legend.legend_in_text(legends(spark, d).select("doc_id", text.alias("text"))).select("doc_id", "gid", "name")
 
 
+def q_legend_records(spark, d):
+    """Each region's nations as a legend of another shape: records, lists, names, the bridge form and plain text."""
+    gid, name = F.concat(F.lit("#g"), F.col("n_nationkey").cast("string")), F.col("n_name")
+    rows = read_table(spark, d, "nation").groupBy(F.col("n_regionkey").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", gid.alias("gid"), name.alias("name")))).alias("n"))
+    as_map = lambda f: F.map_from_entries(F.transform("n", lambda x: F.struct(x["gid"], f(x))))
+    record = lambda x: F.struct(F.array(x["name"], F.lit("")).alias("names"), F.array(F.lower(x["name"])).alias("aliases"), F.when(x["n_nationkey"] % 2 == 0, "F").otherwise("x").alias("gender"))
+    lists = as_map(lambda x: F.array(x["name"]))
+    bridge = F.to_json(F.struct(lists.alias("gid_to_names"), F.col("n")[0]["gid"].alias("narrator_gid")))
+    plain = F.array_join(F.transform("n", lambda x: F.concat(x["gid"], F.lit(" - "), x["name"], F.lit(" (f; "), F.lower(F.substring(x["name"], 1, 3)), F.lit(")"))), "\n")
+    k = F.col("doc_id") % 5
+    text = F.when(k == 0, F.to_json(as_map(record))).when(k == 1, F.to_json(lists)).when(k == 2, F.to_json(as_map(lambda x: x["name"]))).when(k == 3, bridge).otherwise(plain)
+    return legend.legend_records(rows.select("doc_id", text.alias("text"))).select("doc_id", "gid", F.array_join("names", "|").alias("names"), F.array_join("aliases", "|").alias("aliases"), "gender")
+
+
 def q_morph_aliases(spark, d):
     return legend.morph_aliases(legend.parse_legend(legends(spark, d))).where("alias rlike '^[а-яіїєґ]+$'").select("doc_id", "alias", F.array_join("gids", "|").alias("gids"))
 
@@ -205,12 +221,42 @@ def q_name_forms(spark, d):
 
 
 def q_fuzzy_names(spark, d):
-    """Distinct names one edit apart, by the words that leaving out one letter gives: an equi-join in place of all pairs."""
-    names = read_table(spark, d, "customer").select(F.substring("c_name", -6, 6).alias("name")).distinct()
-    cut = F.array_distinct(F.concat(F.array("name"), F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.concat(F.substring(F.col("name"), F.lit(1), i - 1), F.substring(F.col("name"), i + 1, F.lit(1 << 20))))))
-    keyed = names.select("name", F.explode(cut).alias("key"))
-    pairs = keyed.join(keyed.withColumnRenamed("name", "other"), "key").where("name < other").select("name", "other").distinct()
-    return pairs.where(F.levenshtein("name", "other") <= 1).select("name", "other", F.round(T.similarity(F.col("name"), F.col("other")), 6).alias("similarity"))
+    """Distinct names one edit apart."""
+    names = read_table(spark, d, "customer").select(F.col("c_name").alias("name"))
+    pairs = joins.fuzzy_join(names, names.select(F.col("name").alias("form")), most=1).where("name < form")
+    return pairs.select("name", F.col("form").alias("other"), F.round(T.similarity(F.col("name"), F.col("form")), 6).alias("similarity"))
+
+
+def _long_words(spark, d, table: str, name: str) -> DataFrame:
+    text = F.lower(F.coalesce("text", F.lit("")))
+    return read_table(spark, d, table).select(F.explode(F.regexp_extract_all(text, F.lit(r"(\p{L}{6,})"), F.lit(1))).alias(name)).where(F.col(name).rlike("^[a-z]+$")).distinct()
+
+
+def q_fuzzy_words(spark, d):
+    """Words of six plain letters or more of the benchmark, and those of conversations that are at most two edits away."""
+    return joins.fuzzy_join(_long_words(spark, d, "benchmark", "name"), _long_words(spark, d, "conversations", "form"))
+
+
+def q_nearest_speaker(spark, d):
+    """For each unknown line and gender the nearest speaker of it in the six lines before."""
+    lines = script(spark, d)
+    asked = lines.where("gid = '#g?'").select("doc_id", "line_no", F.explode(F.array(F.lit("F"), F.lit("M"))).alias("gender"))
+    known = lines.where("gid in ('#g2', '#g3')").select("doc_id", "line_no", F.when(F.col("gid") == "#g2", "F").otherwise("M").alias("gender"), "gid")
+    return joins.nearest_earlier(asked, known, ["gender"], 6, "gid")
+
+
+def q_lines_in_scenes(spark, d):
+    """Each line with the scenes whose span holds it."""
+    lines = script(spark, d)
+    return joins.within_spans(lines.select("doc_id", "line_no", "gid"), scenes.scene_spans(lines)).select("doc_id", "line_no", "gid", "label")
+
+
+def q_name_mentions(spark, d):
+    """How often each line of a conversation has each of the conversation's own names: the first long words of its turns."""
+    rows = read_table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("line_no"), "text")
+    first = rows.select("doc_id", "line_no", F.lower(F.regexp_extract("text", "[A-Za-z]{5,}", 0)).alias("alias")).where("alias <> ''")
+    names = first.groupBy("doc_id", "alias").agg(F.concat(F.lit("#g"), F.min("line_no").cast("string")).alias("gid"))
+    return mentions.mentions(rows, names).groupBy("doc_id", "line_no", "alias", "gid").agg(F.count("*").alias("n"))
 
 
 def q_utterances(spark, d):
@@ -219,7 +265,7 @@ def q_utterances(spark, d):
 
 
 def q_cut_utterances(spark, d):
-    out = U.cut_utterances(levels(spark, d), most=3.0)
+    out = U.cut_utterances(levels(spark, d))
     return out.select("stream_id", F.unix_micros("start").alias("start_us"), F.unix_micros("stop").alias("stop_us"), "n")
 
 
@@ -285,34 +331,34 @@ def q_mean_vectors(spark, d):
 
 
 def q_best_by_text(spark, d):
-    """The label of each vector by the greatest dot product with twenty query vectors, over all components."""
+    """The labels nearest to each vector whose id is divisible by 100, by the greatest dot product over all others."""
     rows = read_table(spark, d, "embeddings")
     part = rows.select("vec_id", "label", F.posexplode("embedding").alias("k", "x"))
-    asked = part.where("vec_id < 20").select(F.col("vec_id").alias("id"), "k", F.col("x").alias("y"))
-    scores = part.join(F.broadcast(asked), "k").groupBy("id", "vec_id", "label").agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double")).alias("score"))
+    asked = part.where("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), "k", F.col("x").alias("y"))
+    scores = part.join(asked, "k").groupBy("id", "vec_id", "label").agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double")).alias("score"))
     tags = scores.where("vec_id <> id").select("id", F.concat(F.lit("#g"), F.col("label").cast("string")).alias("gid"), "score")
     return speaker_model.best_by_text(tags, 0.35).select("id", "decision", F.round("score", 5).alias("score"))
 
 
 def _speech(spark, d):
-    aliases, chars, _ = cast(spark, d)
-    return script(spark, d), chars, aliases.select("doc_id", F.col("alias").alias("form"), "gid")
+    who = named(spark, d)
+    return script(spark, d), legend.characters(who), legend.aliases(who).select("doc_id", F.col("alias").alias("form"), "gid")
 
 
 def q_speaker_queries(spark, d):
-    out = speaker_model.queries(script(spark, d), 3)
+    out = speaker_model.queries(script(spark, d), 11)
     return out.select("doc_id", "line_no", F.md5("text").alias("h"))
 
 
 def q_speaker_mentions(spark, d):
     lines, _, forms = _speech(spark, d)
-    return speaker_model.mentions(lines, forms, 3).select("doc_id", "line_no", "gid", F.round("weight", 6).alias("weight"))
+    return speaker_model.mentions(lines, forms, 11).select("doc_id", "line_no", "gid", F.round("weight", 6).alias("weight"))
 
 
 def q_speaker_candidates(spark, d):
     lines, chars, forms = _speech(spark, d)
-    p = speaker_model.Parameters(reach=3)
-    return speaker_model.candidates(lines, chars, speaker_model.mentions(lines, forms, 3), speaker_model.addressees(lines, forms), p)
+    p = speaker_model.Parameters()
+    return speaker_model.candidates(lines, chars, speaker_model.mentions(lines, forms, p.reach), speaker_model.addressees(lines, forms), p)
 
 
 def q_speaker_neighbours(spark, d):
@@ -328,7 +374,8 @@ def q_speaker_decisions(spark, d):
 def q_first_texts(spark, d):
     """Characters' first six lines and their names, as the candidates of the smaller models."""
     lines, chars, _ = _speech(spark, d)
-    return speaker_model.spoken_texts(lines, chars).groupBy("doc_id", "gid").agg(F.count("*").alias("n"))
+    texts = speaker_model.spoken_texts(lines, chars)
+    return texts.groupBy("doc_id", "gid").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long")).alias("sum"))
 
 
 QUERIES = {k[2:]: f for k, f in list(globals().items()) if k.startswith("q_")}

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .ordered import cache, cooldown, gain, in_order, running
+
 LEVEL, GAP, LEAST, MOST = 0.025, "1 second", 0.5, 10.0
 COOLDOWN = 1.0
+#: Seconds after which a pause or a gain is forgotten.
+FORGET = 24 * 3600.0
 _SPELL = "stream_id string, start timestamp, stop timestamp, n long, mean_level double"
 
 
@@ -77,19 +81,22 @@ def cut_utterances(levels: DataFrame, most: float = MOST, gap: float = 1.0) -> D
     return loud.withWatermark("ts", "10 seconds").groupBy("stream_id").applyInPandasWithState(step, _SPELL, "start double, stop double, n long, total double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def cooled(commands: DataFrame, seconds: float = COOLDOWN) -> DataFrame:
-    """Commands (stream_id, ts, …) without those that come less than ``seconds`` after the last one accepted.
+def cooled(commands: DataFrame, seconds: float = COOLDOWN, late: str = "10 seconds") -> DataFrame:
+    """Commands (stream_id, ts, …), of a table or a stream, without those that come less than ``seconds`` after the last one accepted.
+
+    What is accepted depends on what was accepted before, so commands are taken in order; a pause of
+    ``seconds`` starts anew, so a table's rows are folded in pieces between such pauses."""
+    return in_order(commands, "stream_id", cooldown(seconds), "accepted boolean", seconds, late).drop("accepted")
 
-    What is accepted depends on what was accepted before, so a stream's commands are folded in order in one array."""
-    listed = commands.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.struct(*commands.columns).alias("row")))).alias("c"))
-    none = F.struct(F.lit(None).cast("long").alias("last"), F.filter("c", lambda x: F.lit(False)).alias("kept"))
-    fits = lambda acc, x: acc["last"].isNull() | (x["at"] - acc["last"] >= int(seconds * 1e6))
-    folded = F.aggregate("c", none, lambda acc, x: F.when(fits(acc, x), F.struct(x["at"].alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc))
-    return listed.select(F.explode(folded["kept"]).alias("x")).select("x.row.*")
 
+def while_running(chunks: DataFrame, controls: DataFrame, late: str = "10 seconds") -> DataFrame:
+    """Chunks (stream_id, ts, …) that come while their stream isn't paused; controls: (stream_id, ts, paused), the latest at or before a chunk counts.
 
-def while_running(chunks: DataFrame, controls: DataFrame) -> DataFrame:
-    """Chunks (stream_id, ts, …) that come while their stream isn't paused; controls: (stream_id, ts, paused), the latest at or before a chunk counts."""
+    On streams both are one stream of rows in order; a pause is forgotten after a day without any row."""
+    if chunks.isStreaming:
+        both = controls.select("stream_id", "ts", "paused", F.lit(0).alias("_kind")).unionByName(chunks.withColumns({"paused": F.lit(None).cast("boolean"), "_kind": F.lit(1)}), allowMissingColumns=True)
+        # rows of one time are taken in the order of their columns: a control goes before a chunk
+        return in_order(both.select("_kind", "paused", *chunks.columns), "stream_id", running, "passed boolean", FORGET, late).select(chunks.columns)
     both = chunks.withColumn("_paused", F.lit(None).cast("boolean")).unionByName(controls.select("stream_id", "ts", F.col("paused").alias("_paused")), allowMissingColumns=True)
     both = both.withColumn("_kind", F.col("_paused").isNull().cast("int"))  # a control goes before a chunk of its time
     w = Window.partitionBy("stream_id").orderBy("ts", "_kind")
@@ -97,19 +104,10 @@ def while_running(chunks: DataFrame, controls: DataFrame) -> DataFrame:
     return state.where("_kind = 1 and not _now").select(chunks.columns)
 
 
-def gains(volumes: DataFrame, target: float = 0.1, least: float = 0.1, most: float = 10.0, step: float = 0.5) -> DataFrame:
-    """(stream_id, ts, volume, gain): the smoothed gain after each chunk (stream_id, ts, volume); it moves towards target / volume by a share of ``step`` at most."""
-
-    def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, gain, out = rows.sort_values("ts"), 1.0, []
-        for v in rows["volume"]:
-            if v > 1e-4:
-                want = min(max(target / v, least), most)
-                gain *= min(want / gain, 1 + step) if want > gain else max(want / gain, 1 - step)
-            out.append(gain)
-        return rows.assign(gain=out)[["stream_id", "ts", "volume", "gain"]]
-
-    return volumes.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("volume").cast("double").alias("volume")).groupBy("stream_id").applyInPandas(whole, "stream_id string, ts timestamp, volume double, gain double")
+def gains(volumes: DataFrame, target: float = 0.1, least: float = 0.1, most: float = 10.0, step: float = 0.5, late: str = "10 seconds") -> DataFrame:
+    """(stream_id, ts, volume, gain): the smoothed gain after each chunk (stream_id, ts, volume) of a table or a stream; it moves towards target / volume by a share of ``step`` at most, and is 1 again after a day without chunks."""
+    rows = volumes.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("volume").cast("double").alias("volume"))
+    return in_order(rows, "stream_id", gain(target, least, most, step), "gain double", FORGET, late)
 
 
 def best_transcript(results: DataFrame, least: float = 0.6) -> DataFrame:
@@ -123,9 +121,11 @@ def last_entries(history: DataFrame, n: int) -> DataFrame:
     return history.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("ts")))).where(F.col("_r") <= n).drop("_r")
 
 
-def cache_hits(requests: DataFrame, hours: float = 24.0) -> DataFrame:
-    """(key, ts, hit) of requests (key, ts): whether the key was asked for less than ``hours`` before."""
-    key = F.lower(F.trim("key"))
+def cache_hits(requests: DataFrame, hours: float = 24.0, late: str = "10 seconds") -> DataFrame:
+    """(key, ts, hit) of requests (key, ts): whether the key was asked for less than ``hours`` before. On a stream a key is forgotten after that time."""
+    rows = requests.select(F.lower(F.trim("key")).alias("key"), "ts")
+    if requests.isStreaming:
+        return in_order(rows, "key", cache(hours), "hit boolean", hours * 3600, late)
     before = F.lag("ts").over(Window.partitionBy("key").orderBy("ts"))
     age = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 3.6e9
-    return requests.withColumn("key", key).select("key", "ts", F.coalesce(age < hours, F.lit(False)).alias("hit"))
+    return rows.select("key", "ts", F.coalesce(age < hours, F.lit(False)).alias("hit"))

@@ -17,7 +17,8 @@ def cells(rows, columns):
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("nation", "customer", "events", "documents", "labels", "conversations"):
+    c.execute("SET TimeZone = 'UTC'")
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return c
 
@@ -41,8 +42,15 @@ def test_text_goes_round(spark):
 
 
 def test_attribution_of_a_script(spark):
-    got = {r["line_no"]: r["gid"] for r in Q.q_attribute(spark, DATA).collect()}
-    assert [got[i] for i in (4, 5, 7, 9, 10, 14)] == ["#g3", "#g1", "#g2", "#g3", "#g2", "#g4"]
+    got = {r["line_no"]: r for r in attribution_plan.attribute(*Q._scripts(spark)).collect()}
+    assert [got[i]["gid"] for i in (4, 5, 7, 9, 10, 14)] == ["#g3", "#g1", "#g2", "#g3", "#g2", "#g4"]
+    assert not any("[[" in r["body"] for r in got.values()) and len(got) == 15
+
+
+@pytest.mark.parametrize("name", ["attribute", "attribute_all"])
+def test_no_boundary_is_left_in_any_manuscript(spark, name):
+    rows = Q.QUERIES[name](spark, DATA)
+    assert rows.where("body like '%[[%'").count() == 0 and rows.where("gid is not null").count() > 0
 
 
 def test_speaker_and_verb_must_agree(spark):
@@ -52,7 +60,7 @@ def test_speaker_and_verb_must_agree(spark):
     from fabula.operators import attribution
 
     lines = normalize.reset_dialogs(parse_lines(docs))
-    assert attribution.inline_sayer(lines, legend.aliases(named), legend.first_person(legend.characters(named))).first()["gid"] == "#g?"
+    assert attribution.inline_sayer(legend.attach(lines, legend.cast(named))).first()["gid"] == "#g?"
 
 
 def test_same_tags_collapse_over_blank_lines(spark):
@@ -68,13 +76,13 @@ def test_quotations_keep_the_speaker(spark):
 def test_flips_are_filled():
     import pandas as pd
 
-    s = folds.Script(pd.DataFrame({"gid": ["#g2", "#g3", "#g?", "#g3"], "body": ["— а"] * 4}), {}, {}, None)
+    s = folds.Script(pd.DataFrame({"gid": ["#g2", "#g3", "#g?", "#g3"], "body": ["— а"] * 4}), {})
     folds.fix_flips(s)
     assert s.gid == ["#g2", "#g3", "#g2", "#g3"]
 
 
 def test_sounds_and_chunks(spark):
-    assert effects.tag_text("Хтось відчинив двері. Тиша.") == ("Хтось відчинив двері.\n#d\n Тиша.\n", 1)
+    assert effects.tag_text("Хтось відчинив двері. Тиша.", effects.default_rules()) == ("Хтось відчинив двері.\n#d\n Тиша.\n", 1)
     row = spark.createDataFrame([("aa. bbbb. c. dd.",)], "text string").select(effects.sentence_chunks(effects.F.col("text"), 8).alias("c")).first()
     assert row["c"] == ["aa.", "bbbb. c.", "dd."]
 

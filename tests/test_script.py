@@ -1,15 +1,18 @@
 """The script operators against SQL over the same tables, and hand-made cases of the rules."""
 
+import random
+
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from fabula import queries, script_queries, script_sql
 from fabula.functions import text as T
 from fabula.lines import parse_lines
-from fabula.operators import effects, folds, legend, metrics, normalize, speaker_model, thoughts
+from fabula.operators import attribution, effects, folds, legend, mentions, metrics, normalize, speaker_model, split_merge, thoughts
 from fabula.plans import attribution_plan
-from fabula.plans.registry import Cast, Registry
+from fabula.plans.registry import Registry
 from fabula.sources import text as sources
 from fabula.streaming import utterances as U
 
@@ -44,26 +47,44 @@ def test_rows_are_those_of_sql(spark, db, name):
 
 @pytest.fixture(scope="module")
 def cast(spark):
-    return Cast.of(legend.parse_legend(spark.createDataFrame([(1, queries.LEGEND)], "doc_id long, text string")))
+    return legend.cast(legend.parse_legend(spark.createDataFrame([(1, queries.LEGEND)], "doc_id long, text string")))
 
 
 def test_no_rule_of_the_plan_fails(spark):
-    attribution_plan.RULES.log.clear()
     got = {r["body"]: r["gid"] for r in attribution_plan.attribute(*queries._scripts(spark)).collect()}
     assert attribution_plan.RULES.log == []
     assert got['"Пеґ."'] == "#g3" and got["сказав тато."] == "#g1" and got["— Ні."] == "#g3" and got["— Так, Горас, — сказала Пеґґі."] == "#g4"
 
 
-def test_a_rule_that_fails_changes_nothing(spark, cast):
+def test_a_rule_that_can_t_be_planned_changes_nothing(spark, cast):
     r = Registry()
-    r.rule(2, name="second")(lambda x, c: x.withColumn("gid", F.concat("gid", F.lit("b"))))
-    r.rule(1, name="first")(lambda x, c: x.withColumn("gid", F.lit("a")))
-    r.rule(1, 5, "broken")(lambda x, c: x.select("nothing"))
+    r.rule(2, name="second")(lambda x: x.withColumn("gid", F.concat("gid", F.lit("b"))))
+    r.rule(1, name="first")(lambda x: x.withColumn("gid", F.lit("a")))
+    r.rule(1, 5, "broken")(lambda x: x.select("nothing"))
     lines = lines_of(spark, ("#g1", "x"))
     assert gids(r.run(lines, cast)) == ["ab"] and r.log[0].startswith("broken")
     assert gids(r.run(lines, cast, skip=["second"])) == ["a"]
 
 
+def test_a_rule_that_raises_leaves_its_document_as_it_was(spark):
+    def picky(s):
+        s.gid[0] = "#g9"
+        if "bad" in s.body[0]:
+            raise ValueError("no such body")
+
+    def later(s):
+        s.gid[-1] = "#g7"
+
+    lines = spark.createDataFrame([(d, i, "#g?", b, b, "") for d, bodies in ((1, ("ok", "x")), (2, ("bad", "y"))) for i, b in enumerate(bodies)], LINES)
+    casts = legend.cast(legend.parse_legend(spark.createDataFrame([(1, queries.LEGEND), (2, queries.LEGEND)], "doc_id long, text string")))
+    r = Registry()
+    r.rule(1, name="one")(lambda x: folds.fold(x, (picky,)))
+    r.rule(2, name="two")(lambda x: folds.fold(x, (later,)))
+    out = r.run(lines, casts).cache()
+    assert [x["gid"] for x in out.orderBy("doc_id", "line_no").collect()] == ["#g9", "#g7", "#g?", "#g7"]
+    assert [tuple(x) for x in folds.failures(out).collect()] == [(2, "picky", "ValueError: no such body")]
+
+
 def test_the_legend_s_narrator_tells(spark):
     docs = spark.createDataFrame([(1, "Звичайний текст.")], "doc_id long, text string")
     legends = spark.createDataFrame([(1, "#g1 - Мама (F)\n#g7 - Оповідач (M, оповідач)")], "doc_id long, text string")
@@ -75,41 +96,187 @@ def test_names_of_several_words(spark):
     lines = lines_of(spark, ("#g?", "— Так! — сказала маленька Пеґґі."), ("#g?", "— Ні! — сказала Маленька."))
     from fabula.operators import attribution as A
 
-    assert gids(A.inline_verb_name(lines, legend.aliases(legends))) == ["#g4", "#g5"]
+    assert gids(A.inline_verb_name(legend.attach(lines, legend.cast(legends)))) == ["#g4", "#g5"]
 
 
 def test_titles_and_voices(spark, cast):
     lines = lines_of(spark, (None, "Тато зайшов."), ("#g?", "— Так?"), (None, "Чути голос Мама"), ("#g1", "— Хто там?"))
-    assert gids(thoughts.rank_title_leadin(lines, cast.aliases, cast.chars))[:2] == [None, "#g3"]
-    assert gids(thoughts.narrator_dialogs(lines, cast.aliases))[3] == "#g2"
+    lines = legend.attach(lines, cast)
+    assert gids(thoughts.rank_title_leadin(lines))[:2] == [None, "#g3"]
+    assert gids(thoughts.narrator_dialogs(lines))[3] == "#g2"
 
 
 def test_first_person_lead_in_holds_for_one_speech(spark, cast):
     lines = lines_of(spark, (None, "Я кажу:"), (None, ""), ("#g?", "— Раз."), ("#g?", "— Два."), ("#g?", "— Три, — сказала я."))
-    hints = cast.hints.withColumn("first_person_gid", F.lit("#g2"))
-    assert gids(thoughts.first_person_leadin(lines, hints)) == [None, None, "#g2", "#g?", "#g2"]
-
-
-def test_pair_lock_counts_lead_ins_and_overwrites_the_narrator(spark):
-    import pandas as pd
-
-    rows = pd.DataFrame({"gid": ["#g2", None, "#g?", "#g1", "#g?"], "body": ["— Так.", "", "— Ні, тато.", "— Чому?", "— Бо."]})
-    s = folds.Script(rows, {"тато": "#g3", "мама": "#g2"}, {"#g2": "F", "#g3": "M"}, None)
-    folds.pair_lock(s)
-    assert s.gid == ["#g2", None, "#g2", "#g3", "#g2"]
-
-
-def test_consensus_switches_to_better_votes():
-    import pandas as pd
-
-    rows = pd.DataFrame({"gid": ["#g2"], "body": ["— Так! — сказав тато."]})
-    s = folds.Script(rows, {"тато": "#g3"}, {"#g2": "F", "#g3": "M"}, None)
-    folds.consensus(s)
-    assert s.gid == ["#g3"] and s.audit[0][3] == "verb_gender_conflict->switch"
-    rows = pd.DataFrame({"gid": [None, "#g5"], "body": ["Тато каже:", "— Так."]})
-    s = folds.Script(rows, {"тато": "#g3"}, {}, None)
-    folds.consensus(s)
-    assert s.gid == [None, "#g3"]
+    assert gids(thoughts.first_person_leadin(legend.attach(lines, cast))) == [None, None, "#g2", "#g?", "#g2"]
+
+
+ABOUT = {"alias": {"тато": "#g3", "мама": "#g2", "мамо": "#g2"}, "gender": {"#g2": "F", "#g3": "M"}, "vocatives": {"тато": ["#g3"], "тату": ["#g3"], "мама": ["#g2"], "мамо": ["#g2"]}}
+
+
+def folded(rule, *rows, block=None, scene=None, **about):
+    table = pd.DataFrame({"gid": [g for g, _ in rows], "body": [b for _, b in rows]})
+    if block:
+        table["block_id"] = block
+    if scene:
+        table["scene"] = scene
+    s = folds.Script(table, ABOUT | about)
+    rule(s)
+    return s
+
+
+@pytest.mark.parametrize(
+    ("rows", "want"),
+    [
+        ([("#g2", "— Так."), (None, ""), ("#g?", "— Ні, тато."), ("#g1", "— Чому?"), ("#g?", "— Бо.")], ["#g2", None, "#g2", "#g3", "#g2"]),
+        ([("#g2", "— Тато, де?"), ("#g?", "— Тут.")], ["#g2", "#g3"]),
+        ([(None, "Тато сказав Мамо нічого."), ("#g?", "— Так."), (None, "Далі."), ("#g2", "— Ні.")], [None, "#g2", None, "#g2"]),
+        ([(None, "Тато спав."), ("#g?", "— Так."), (None, "Мама спала."), ("#g?", "— Ні.")], [None, "#g?", None, "#g?"]),
+    ],
+)
+def test_the_pair_takes_turns(rows, want):
+    assert folded(folds.pair_lock, *rows).gid == want
+
+
+def test_the_first_person_speaks_where_there_is_no_pair():
+    assert folded(folds.pair_lock, ("#g?", "— Я тут."), me="#g2").gid == ["#g2"]
+
+
+@pytest.mark.parametrize(
+    ("rows", "want", "why"),
+    [
+        ([("#g2", "— Так! — сказав хтось.")], ["#g?"], "verb_gender_conflict->demote"),
+        ([("#g2", "— Так! — Тато, сказав він.")], ["#g3"], "verb_gender_conflict->best"),
+        ([(None, "Тато каже:"), ("#g5", "— Так.")], [None, "#g3"], "consensus 2>0+2"),
+        ([(None, "Тато спав."), ("#g5", "— Так.")], [None, "#g5"], None),
+        ([("#g3", "— А."), ("#g5", "— Він прийшов.")], ["#g3", "#g5"], None),
+    ],
+)
+def test_votes_decide(rows, want, why):
+    s = folded(folds.consensus, *rows)
+    assert s.gid == want and (s.audit[0][3] if s.audit else None) == why
+
+
+def test_who_is_shut_out_of_a_scene_gives_way():
+    shut = {"forbidden": {"#g2": ["пролог"]}, "allowed": {}}
+    s = folded(folds.consensus, ("#g2", "— Так."), (None, "Тато каже:"), ("#g2", "— Ні."), scene=["Пролог"] * 3, **shut)
+    assert s.gid == ["#g?", None, "#g3"] and [a[3] for a in s.audit] == ["forbidden->demote", "forbidden->best"]
+    assert folded(folds.consensus, ("#g2", "— Так."), scene=["Глава 1"], **shut).gid == ["#g2"]
+
+
+@pytest.mark.parametrize(
+    ("rows", "want"),
+    [
+        ([("#g3", "— Тату, годі!"), ("#g2", "— Ні.")], ["#g?", "#g2"]),
+        ([("#g2", "— Ні."), ("#g?", "— Мамо, йди сюди.")], ["#g2", "#g?"]),
+        ([("#g2", "— Ні."), ("#g?", "— Тату, йди сюди.")], ["#g2", "#g2"]),
+        ([("#g2", "— Ні."), ("#g?", "— " + "так " * 30 + "Тату, йди.")], ["#g2", "#g?"]),
+        ([("#g5", "— Ні."), ("#g2", "— Ні."), ("#g?", "— Тату, йди.")], ["#g5", "#g2", "#g?"]),
+    ],
+)
+def test_who_is_called_does_not_speak(rows, want):
+    assert folded(folds.vocatives, *rows).gid == want
+
+
+def test_pronouns_look_into_their_own_block_first():
+    rows = (("#g3", "— А."), ("#g2", "— Б."), ("#g?", "— В, — мовила вона."))
+    assert folded(folds.pronoun_coreference, *rows).gid[2] == "#g2"
+    assert folded(folds.pronoun_coreference, ("#g2", "— А."), ("#g?", "вона тут є"), block=[1, 2]).gid[1] == "#g?"
+    assert folded(folds.pronoun_coreference, ("#g2", "— А."), ("#g?", "йде вона."), block=[1, 2]).gid[1] == "#g2"
+
+
+def test_flips_and_turns():
+    say = lambda *g: [(x, "— а") for x in g]
+    assert folded(folds.fix_flips, *say("#g2", "#g3", "#g?", "#g3")).gid == ["#g2", "#g3", "#g2", "#g3"]
+    assert folded(folds.fix_flips, *say("#g2", "#g3", "#g2", "#g5", "#g2", "#g3", "#g2", "#g3")).gid[3] == "#g5"  # no turn of the other one follows
+    assert folded(folds.fix_flips, *say("#g2", "#g3", "#g2", "#g5", "#g3", "#g2", "#g3")).gid[3] == "#g3"
+    assert folded(folds.alternate, *say("#g2", "#g?", "#g?", "#g3")).gid == ["#g2", "#g3", "#g2", "#g3"]
+    assert folded(folds.alternate, *say("#g2", "#g3", "#g3", "#g2")).gid == ["#g2", "#g3", "#g2", "#g2"]
+
+
+@pytest.mark.parametrize(("lead", "gid"), [("Тоя кричить голос Тоя:", "#g5"), ("Чути голос Мамою:", "#g2"), ("Чути голос Мсма:", "#g2"), ("Чути голос Чужий:", "#g?"), ("Тут голос Пеґґіи:", "#g4"), ("Чути голос Велісандер:", "#g6"), ("Чути голос Велсинда:", "#g6")])
+def test_heard_voices_are_found_by_fuzzy_names(spark, lead, gid):
+    who = legend.parse_legend(spark.createDataFrame([(1, queries.LEGEND + "\n#g5 - Той (M)\n#g6 - Велісанда (F)")], "doc_id long, text string"))
+    lines = legend.attach(lines_of(spark, (None, lead), (None, ""), ("#g?", "— Так.")), legend.cast(who))
+    if lead.endswith("сандер:"):
+        gid = "#g6"
+    assert gids(attribution.heard_voice(lines))[2] == gid
+
+
+def test_lead_ins_with_a_colon(spark, cast):
+    far = "Тато повідомив" + " слово" * 30 + ":"
+    lines = lines_of(spark, (None, "Мама глянула, а Тато повідомив усім:"), ("#g?", "— Раз."), (None, far), ("#g?", "— Два."), ("#g1", "Мама спитала:"), ("#g3", "— Три."), (None, "Тато сказав:"), ("#g?", "— Так, — Мама пішла."), (None, "Почувся його, тата… Мама, її голос:"), ("#g?", "— Е!"))
+    lines = legend.attach(lines, cast)
+    got = gids(attribution.named_leadin(lines))
+    assert [got[i] for i in (1, 3, 5, 7)] == ["#g3", "#g?", "#g2", "#g?"]
+    assert gids(attribution.possessive_voice(lines))[9] == "#g2"
+
+
+def test_narration_before_speech_names_its_speaker(spark, cast):
+    rows = ((None, "Тато повільно каже:"), ("#g?", "— Ні."), (None, "Інші гукають:"), ("#g?", "— Ні."), (None, "Мама тихо сказав:"), ("#g?", "— Ні."), ("#g?", "Тато каже: — Так."), (None, "Мама сказала."), (None, ""), ("#g?", "— Ні."))
+    got = gids(attribution.leadin_sayer(legend.attach(lines_of(spark, *rows), cast)))
+    assert [got[i] for i in (1, 3, 5, 6, 9)] == ["#g3", "#g?", "#g?", "#g3", "#g2"]
+
+
+def by_text(rows):
+    """The merging rule on plain lists, from the last line to the first: what follows is merged before what stands before it."""
+    out, i = [], 0
+    rows = [[k, *r] for k, r in enumerate(rows)]
+    has = lambda r, g: r[1] == g and any(q in r[2] for q in "«\"“")
+    while rows:
+        k, gid, body = head = rows.pop(0)
+        if not (gid and gid != "#g?" and has(head, gid)):
+            out.append((k, gid, body))
+            continue
+        while rows:
+            if has(rows[0], gid):
+                part = rows.pop(0)[2]
+            elif rows[0][1] == "#g1" and len(rows) > 1 and has(rows[1], gid):
+                rows.pop(0)
+                part = rows.pop(0)[2]
+            elif rows[0][1] == "#g1" and any(q in rows[0][2] for q in "«\"“") and rows[0][2][0] not in "«\"“":
+                at, _, told = rows.pop(0)
+                cut = next(i for i, c in enumerate(told) if c in "«\"“")
+                words, part = told[:cut].strip().lstrip(",—–- ").rstrip(",—–- ."), told[cut:].strip()
+                out += [(at, "#g1", words)] * bool(words)
+            else:
+                break
+            if body[-1:] and body[-1] in "»\"”" and part[:1] and part[0] in "«\"“":
+                part = part[1:]
+            if body[-1:] == "»" and part[-1:] == "»":
+                part = part[:-1]
+            body = (body + " " + part).strip()
+        out.append((k, gid, body))
+    return out
+
+
+def test_merging_is_that_of_the_rule(spark):
+    r = random.Random(3)
+    rows = [(r.choice(["#g1", "#g1", "#g2", "#g2", "#g3", "#g?", None]), r.choice(["«а»", "«б", "в»", "— г «ґ»", "д, «е» — є", "слово", "", "\"ж\"", "- и - «і»"])) for _ in range(4000)]
+    for at in range(0, len(rows), 20):
+        part = rows[at : at + 20]
+        assert split_merge.merged_runs([g for g, _ in part], [b for _, b in part]) == by_text(part)
+    lines = spark.createDataFrame([(i // 50, i % 50, g, b, b, "") for i, (g, b) in enumerate(rows)], LINES)
+    got = split_merge.merge_dialogs(lines).orderBy("doc_id", "line_no").collect()
+    want = [(d, k, g, b) for d in range(80) for k, (_, g, b) in enumerate(by_text(rows[50 * d : 50 * d + 50]))]
+    assert [(x["doc_id"], x["line_no"], x["gid"], x["body"]) for x in got] == want
+
+
+def test_names_are_those_of_a_naive_scan():
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("аб ") for _ in range(n)).strip()
+    for _ in range(300):
+        names = {w: "#g2" for w in {word(r.randint(1, 4)) for _ in range(5)} if w}
+        text, whole = word(30), r.random() < 0.5
+        inside = lambda i: 0 <= i < len(text) and text[i].isalnum()
+        want, at = [], 0
+        while at < len(text):
+            fits = [w for w in names if text.startswith(w, at) and not (whole and (inside(at - 1) or inside(at + len(w))))]
+            if fits:
+                w = max(fits, key=len)
+                want.append((at, at + len(w), w))
+            at += max(map(len, fits), default=1)
+        assert mentions.Names(names).find(text, whole) == want
 
 
 def test_the_speaker_model_s_ladder(spark):
