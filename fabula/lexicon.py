@@ -92,3 +92,6 @@ EMOTION_KEYWORDS = {
     "Sadness": ("боліла", "боліло", "бажання смерті", "найгірше відчуття", "не міг згадати", "лежав", "не мертвий", "важко", "біль", "порожні очі"),
 }
 EMOTION_TAGS = {"Fear": "#heart", "Anger": "#v"}
+
+# --- letters of another language in a corrected text ----------------------------------------
+FOREIGN_LETTERS = "ыэё"

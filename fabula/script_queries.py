@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import attribution, classify, effects, joins, legend, mentions, metrics, normalize, scenes, speaker_model, split_merge, thoughts
+from .operators import attribution, chunks, classify, effects, joins, legend, mentions, metrics, normalize, scenes, speaker_model, split_merge, thoughts
 from .sources.text import read_table
 from .streaming import utterances as U
 
@@ -290,8 +290,9 @@ def q_best_transcript(spark, d):
 
 
 def _commands(spark, d):
-    words = F.element_at(F.array(*(F.lit(x) for x in ("відкрий блокнот", "який зараз час", "яка сьогодні дата", "порахуй 2 + 3", "так", "один два три чотири пять шість сім"))), (F.pmod("event_id", F.lit(6)) + 1).cast("int"))
-    call = F.element_at(F.array(F.lit("марія "), F.lit("маріа, "), F.lit("петро "), F.lit("")), (F.pmod("event_id", F.lit(4)) + 1).cast("int"))
+    """Every event as a command: a call or a word like one, or none, and its own words or those of a known command."""
+    words = F.element_at(F.array(F.lit("відкрий блокнот"), F.lit("який зараз час"), F.lit("яка сьогодні дата"), F.lit("порахуй 2 + 3"), F.col("event_type"), F.col("props")), (F.pmod("event_id", F.lit(6)) + 1).cast("int"))
+    call = F.element_at(F.array(F.lit("maria "), F.lit("Marja "), F.lit("petra "), F.lit(""), F.lit("maria, "), F.lit("hey mariah! ")), (F.pmod(F.floor(F.col("event_id") / 6), F.lit(6)) + 1).cast("int"))
     return read_table(spark, d, "events").select("event_id", F.concat(call, words).alias("text"))
 
 
@@ -299,8 +300,8 @@ ROUTES = ((r"відкрий\s+(?:блокнот|notepad)", "open_program"), (r"
 
 
 def q_routed_commands(spark, d):
-    plain = T.without_call(F.col("text"), "марія")
-    return _commands(spark, d).select("event_id", T.is_called(F.col("text"), "марія").alias("called"), plain.alias("command"), T.route(plain, F.col("event_id") % 11 == 0, ROUTES).alias("route"))
+    plain = T.without_call(F.col("text"), "maria")
+    return _commands(spark, d).select("event_id", T.is_called(F.col("text"), "maria").alias("called"), plain.alias("command"), T.route(plain, F.col("event_id") % 11 == 0, ROUTES).alias("route"))
 
 
 def q_answers_json(spark, d):
@@ -308,6 +309,13 @@ def q_answers_json(spark, d):
     return read_table(spark, d, "events").select("event_id", F.md5(T.extract_json(text)).alias("json_md5"))
 
 
+def q_rewritten_documents(spark, d):
+    """All documents through two functions, chunk by chunk."""
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    out = chunks.two_stages(docs, lambda texts: [t.replace("th", "TH") for t in texts], lambda texts: [t.replace("an", "AN") for t in texts], most=500)
+    return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("h"))
+
+
 def q_tagged_sounds(spark, d):
     added = F.element_at(F.array(F.lit(" Надворі падає дощ. Далі."), F.lit(" Пролунав крик і прогримів вибух!"), F.lit("")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
     docs = read_table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), added).alias("text"))

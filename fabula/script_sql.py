@@ -65,6 +65,9 @@ idf AS (SELECT token, ln((1 + (SELECT count(*) FROM texts)) / (1 + count(*))) +
 raw AS (SELECT id, token, tf * idf AS x FROM tf JOIN idf USING (token)),
 w AS (SELECT id, token, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS w FROM raw)"""
 
+#: How like "maria" a word is.
+_LIKE = "CASE WHEN {0} = '' THEN 0.0 WHEN contains({0}, 'maria') OR contains('maria', {0}) THEN greatest(1 - levenshtein({0}, 'maria') / greatest(length({0}), 5), 0.8) ELSE 1 - levenshtein({0}, 'maria') / greatest(length({0}), 5) END"
+
 SQL = {
     "reset_dialogs": _with(f"SELECT doc_id, line_no, CASE WHEN {_D} THEN '#g?' ELSE gid END AS gid, body FROM script"),
     "pretag": _with(f"SELECT doc_id, line_no, CASE WHEN trim(body) = '' THEN NULL WHEN {_D} THEN '#g?' ELSE '#g1' END AS gid, rtrim(body) AS body FROM script"),
@@ -218,13 +221,23 @@ SELECT stream_id, count(*) AS n, sum(event_id)::BIGINT AS ids FROM x WHERE NOT c
     "last_entries": "SELECT user_id AS key, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3",
     "best_transcript": """WITH r AS (SELECT l_orderkey AS id, l_linenumber::VARCHAR AS model, max(round(1 - l_discount * 8, 2)) AS confidence, max(repeat('x', (l_quantity % 9 + 1)::INT)) AS text FROM lineitem GROUP BY ALL)
 SELECT id, text FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY confidence > 0.6 DESC, CASE WHEN confidence > 0.6 THEN length(text) * confidence ELSE confidence END DESC, model) = 1""",
-    "routed_commands": """WITH c AS (SELECT event_id, event_id % 6 AS w, event_id % 4 AS c FROM events),
-t AS (SELECT *, CASE w WHEN 0 THEN 'відкрий блокнот' WHEN 1 THEN 'який зараз час' WHEN 2 THEN 'яка сьогодні дата' WHEN 3 THEN 'порахуй 2 + 3' WHEN 4 THEN 'так' ELSE 'один два три чотири пять шість сім' END AS words FROM c)
-SELECT event_id, c = 0 AS called, CASE WHEN c = 2 THEN 'петро ' ELSE '' END || words AS command,
-CASE WHEN w = 5 THEN 'planner' WHEN event_id % 11 = 0 THEN 'cache' ELSE CASE w WHEN 0 THEN 'open_program' WHEN 1 THEN 'get_time' WHEN 2 THEN 'get_date' WHEN 3 THEN 'calculate' ELSE 'model' END END AS route FROM t""",
+    "routed_commands": rf"""WITH t AS (SELECT event_id, ['maria ', 'Marja ', 'petra ', '', 'maria, ', 'hey mariah! '][(event_id // 6) % 6 + 1] || CASE event_id % 6 WHEN 0 THEN 'відкрий блокнот' WHEN 1 THEN 'який зараз час' WHEN 2 THEN 'яка сьогодні дата' WHEN 3 THEN 'порахуй 2 + 3' WHEN 4 THEN event_type ELSE props END AS text FROM events),
+w AS (SELECT *, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '') AS words, list_transform(regexp_split_to_array(lower(trim(text)), '\s+'), lambda w: {_LIKE.format('w')}) AS likes,
+  list_transform(regexp_split_to_array(lower(trim(text)), '\s+'), lambda w: length(w) >= 3) AS long FROM t),
+k AS (SELECT *, list_filter(words, lambda w: {_LIKE.format("regexp_replace(lower(w), '^[,.!?;:]+|[,.!?;:]+$', '', 'g')")} < 0.75) AS kept FROM w),
+c AS (SELECT event_id, text, length(trim(text)) >= 2 AND len(list_filter(list_zip(likes, long), lambda z: z[1] = 1 OR (z[2] AND z[1] >= 0.75))) > 0 AS called,
+  CASE WHEN lower(text) LIKE 'maria %' OR lower(text) LIKE 'maria,%' THEN trim(substr(text, 7)) WHEN len(kept) > 0 THEN array_to_string(kept, ' ') WHEN len(words) > 1 THEN array_to_string(words[2:], ' ') ELSE text END AS command FROM k)
+SELECT event_id, called, command, CASE WHEN len(regexp_split_to_array(trim(command), '\s+')) > 6 THEN 'planner' WHEN length(trim(command)) < 3 THEN 'ignored' WHEN event_id % 11 = 0 THEN 'cache'
+  WHEN regexp_matches(lower(command), 'відкрий\s+(?:блокнот|notepad)') THEN 'open_program' WHEN regexp_matches(lower(command), 'порахуй\s+\d+\s*[-+*−]\s*\d+') THEN 'calculate'
+  WHEN regexp_matches(lower(command), 'який\s+(?:зараз\s+)?час') THEN 'get_time' WHEN regexp_matches(lower(command), 'яка\s+(?:сьогодні\s+)?дата') THEN 'get_date' ELSE 'model' END AS route FROM c""",
     "answers_json": "SELECT event_id, md5(props) AS json_md5 FROM events",
-    "tagged_sounds": "SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN 0 ELSE 1 END::BIGINT AS n_tags, CASE doc_id % 3 WHEN 0 THEN 2 ELSE 1 END::INT AS rain, CASE doc_id % 3 WHEN 1 THEN 2 ELSE 1 END::INT AS v FROM documents",
-    "unknown_sound_tags": "SELECT '#s' || (o_orderkey % 4) AS tag, count(*) AS n FROM orders GROUP BY ALL",
+    "tagged_sounds": """WITH t AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN ' Надворі падає дощ. Далі.' WHEN 1 THEN ' Пролунав крик і прогримів вибух!' ELSE '' END AS t FROM documents),
+h AS (SELECT doc_id, len(regexp_extract_all(t, '(?i)зашумів дощ|падає дощ|шум дощу|пішов дощ|дощ трохи посипався')) AS rain, len(regexp_extract_all(t, '(?i)прогримів вибух|голосно бахнуло|постріл пролунав|грім вдарив')) AS v FROM t)
+SELECT doc_id, rain + v AS n_tags, (1 + rain)::INT AS rain, (1 + v)::INT AS v FROM h""",
+    "unknown_sound_tags": r"""WITH t AS (SELECT unnest(string_split('text' || chr(10) || '#s' || (o_orderkey % 4) || chr(10) || '#rain' || chr(10) || '#p2', chr(10))) AS tag FROM orders)
+SELECT tag, count(*) AS n FROM t WHERE regexp_matches(tag, '^#[A-Za-z]\w*$') AND NOT regexp_matches(tag, '^#g') AND tag NOT IN ('#rain', '#p2') GROUP BY tag""",
+    "rewritten_documents": r"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents),
+t AS (SELECT doc_id, replace(replace(coalesce(array_to_string(s, ' '), ''), 'th', 'TH'), 'an', 'AN') AS t FROM s) SELECT doc_id, length(t) AS n_chars, md5(t) AS h FROM t""",
     "tfidf": f"WITH {_TFIDF} SELECT id, token, round(w, 6) AS w FROM w",
     "mean_vectors": f"WITH {_TFIDF}, m AS (SELECT gid, token, sum(w) AS s FROM w JOIN texts USING (id) GROUP BY ALL) SELECT gid, token, round(s / sqrt(sum(s * s) OVER (PARTITION BY gid)), 6) AS w FROM m",
     "best_by_text": """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings),

@@ -2,13 +2,14 @@
 
 import json
 import random
+import re
 import time
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fabula.operators import effects, joins, legend, mentions
+from fabula.operators import chunks, effects, joins, legend, mentions
 from fabula.streaming import utterances as U
 
 
@@ -104,6 +105,32 @@ def test_sounds_of_a_table_are_those_of_each_text(spark):
         assert (got[i]["text"], got[i]["n_tags"]) == (want if t else ("", 0))
 
 
+def test_chunks_go_through_a_function_and_back(spark):
+    r = random.Random(8)
+    sentence = lambda: "".join(r.choice("аб в") for _ in range(r.randint(1, 30))).strip() + r.choice(".!?")
+    texts = {i: "".join(sentence() + r.choice([" ", "\n", "  "]) for _ in range(r.randint(0, 40))) for i in range(40)} | {90: None, 91: ""}
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id int, text string, made string")
+    got = {x["doc_id"]: x["text"] for x in chunks.two_stages(docs, lambda ts: [t + "+" for t in ts], lambda ts: [t.upper() for t in ts], most=50, batch=7).collect()}
+
+    def cut(text):
+        out = []
+        for s in [p for p in re.split(r"(?<=[.!?])\s+|\n+", text or "") if p]:
+            if out and len(out[-1]) + 1 + len(s) <= 50:
+                out[-1] += " " + s
+            else:
+                out.append(s)
+        return out
+
+    assert got == {i: " ".join(c.upper() for c in cut(" ".join(c + "+" for c in cut(t)))) for i, t in texts.items()}
+    with pytest.raises(Exception, match="0 texts for"):
+        chunks.map_chunks(docs, lambda ts: []).collect()
+
+
+def test_results_with_foreign_letters_are_made_again():
+    f = chunks.retried(lambda ts: [t + "ыы" if "a" in t else t for t in ts], lambda ts: [t + ("ы" if "b" in t else "эээ") for t in ts])
+    assert f(["x", "ab", "ac"]) == ["x", "abы", "acыы"] and f([]) == []
+
+
 # --- rows in order -----------------------------------------------------------------------------
 
 
