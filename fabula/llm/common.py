@@ -60,12 +60,15 @@ def _bitmaps(places: DataFrame) -> DataFrame:
 
 
 def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """``rows`` joined with ``ids``, which has each ``key`` once; a bit table drops most other rows before the shuffle."""
-    place = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)) + 1
-    table = _bitmaps(ids.select(place.alias("p"))).select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))
-    byte = F.conv(F.hex(F.expr("substring(_bits, int(bitmap_bit_position(_p) div 8) + 1, 1)")), 16, 10).cast("int")
-    near = rows.withColumn("_p", place).join(F.broadcast(table), F.bitmap_bucket_number("_p") == F.col("_bucket"))
-    near = near.where(byte.bitwiseAND(F.expr("shiftleft(1, int(bitmap_bit_position(_p) % 8))")) != 0).select(*rows.columns)
+    """``rows`` joined with ``ids``, which has each ``key`` once; a bit table drops most other rows before the shuffle.
+
+    The table has a 64-bit word for each 64 places, so 2**19 rows at most."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    bit = lambda p: p.bitwiseAND(63).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(place))
+    table = ids.select(F.shiftright(place, 6).alias("_word"), one.alias("_one")).groupBy("_word").agg(F.bit_or("_one").alias("_bits"))
+    near = rows.withColumn("_p", place).join(F.broadcast(table), F.shiftright("_p", 6) == F.col("_word"))
+    near = near.where(F.getbit("_bits", bit(F.col("_p"))) == 1).select(*rows.columns)
     return near.join(ids, key)  # a semi-join would be moved below the table
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bands import band_keys, few_filled, first_elements, links
-from .common import ROW_BITS, SPACE, Scratch, among, as_long, common_counts, mix, powers, span_hashes, text_bytes, text_chunks
+from .common import ROW_BITS, SPACE, Scratch, among, as_long, common_counts, mix, span_hashes, text_bytes, text_chunks
 
 WIDTH = 8  # characters of a shingle
 M = 48  # buckets
@@ -38,13 +38,24 @@ PAIRS = 2048
 MOST_ROWS = (1 << ROW_BITS) - 1
 EMPTY = np.uint64((1 << 41) - 1)
 _STEP = 0xA0761D6478BD642F
-_STEP_INV = pow(_STEP, -1, 1 << 64)
+
+
+#: A random 64-bit value for each code point below 65536, A-Z as a-z; those above are hashed where they stand.
+_BMP = 1 << 16
+
+
+def _value(points: np.ndarray) -> np.ndarray:
+    return mix(points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+
+
+_LOW = np.arange(_BMP)
+_LOW[65:91] += 32
+_VALUES = _value(_LOW)
 
 
 def _points(data: np.ndarray) -> np.ndarray:
-    """Code points of UTF-8 bytes, A-Z lower-cased."""
-    p = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    return np.where((p >= 65) & (p <= 90), p + 32, p)
+    """Code points of UTF-8 bytes."""
+    return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
 
 
 class Lines:
@@ -64,9 +75,7 @@ class Lines:
         ends = np.r_[starts[1:], n][: len(starts)]
         ends = np.where(feed[np.maximum(ends - 1, 0)] & (ends > starts), ends - 1, ends) if n else ends
         rows = np.searchsorted(offs, starts, "right") - 1
-        low = self.points < 128
-        space = np.zeros(n, bool)
-        space[low] = SPACE[self.points[low]]
+        space = SPACE[np.minimum(self.points, 255)]
         begins = ~space
         begins[1:] &= space[:-1]
         if n:
@@ -77,7 +86,9 @@ class Lines:
         keep = words[ends] - words[starts] >= min_words
         self.number = (feeds[starts] - feeds[offs[rows]])[keep]
         self.starts, self.ends, self.rows = starts[keep], ends[keep], rows[keep]
-        self.values = mix(self.points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        high = np.flatnonzero(self.points >= _BMP)
+        self.values = _VALUES[np.minimum(self.points, _BMP - 1)] if len(high) else _VALUES[self.points]
+        self.values[high] = _value(self.points[high])
         self.data = data
 
     def texts(self, which: np.ndarray) -> pa.Array:
@@ -91,27 +102,35 @@ class Lines:
         return span_hashes(self.values, self.starts, self.ends)
 
     def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, index into ``which``) of all shingles of those lines."""
-        n = len(self.values)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.values * powers(_STEP, n), out=sums[1:])
-        count = np.maximum(self.ends[which] - self.starts[which] - WIDTH + 1, 1)
+        """(hash, index into ``which``) of all shingles of those lines; a shorter line is one."""
+        v, starts, size = self.values, self.starts[which], self.ends[which] - self.starts[which]
+        h, k = v, 1
+        while k < WIDTH and len(h) > k:  # of the runs of k characters, those of twice as many
+            h = h[:-k] * np.uint64(pow(_STEP, k, 1 << 64)) + h[k:]
+            k *= 2
+        count = np.maximum(size - WIDTH + 1, 1)
         owner = np.repeat(np.arange(len(which)), count)
-        first = self.starts[which]
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count - first, count)
-        until = np.minimum(at + WIDTH, self.ends[which][owner])
-        h = (sums[until] - sums[at]) * powers(_STEP_INV, n + 1)[at]
-        return mix(h), owner
+        at = np.arange(len(owner)) + np.repeat(starts - (np.cumsum(count) - count), count)
+        out = h[np.minimum(at, len(h) - 1)] if len(h) else np.zeros(len(at), np.uint64)
+        short = np.flatnonzero(size < WIDTH)
+        if len(short):
+            out[(np.cumsum(count) - count)[short]] = span_hashes(v, starts[short], self.ends[which][short])
+        out ^= out >> np.uint64(32)
+        return out, owner
 
 
 def signatures(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(registers of n x M, distinct shingles of each), from one sort."""
-    bucket = ((hashes >> np.uint64(40)) * np.uint64(M)) >> np.uint64(24)
-    keys = np.sort((owner.astype(np.uint64) << np.uint64(64 - ROW_BITS)) | (bucket << np.uint64(41)) | (hashes & EMPTY))
+    """(registers of n x M, distinct shingles of each), from one sort: buckets are ranges of hashes, and a register holds the last bits of its least hash."""
+    keys = owner.astype(np.uint64)
+    keys <<= np.uint64(64 - ROW_BITS)
+    keys |= hashes >> np.uint64(ROW_BITS)
+    keys.sort()
     keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
     line = (keys >> np.uint64(64 - ROW_BITS)).astype(np.int64)
-    slot = line * M + ((keys >> np.uint64(41)) & np.uint64(63)).astype(np.int64)
-    first = np.r_[True, slot[1:] != slot[:-1]] if len(slot) else np.zeros(0, bool)
+    bucket = ((keys >> np.uint64(23)) & np.uint64(0xFFFFFF)) * np.uint64(M)
+    bucket >>= np.uint64(24)
+    slot = line * M + bucket.astype(np.int64)
+    first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, np.int64)
     regs = np.full(n * M, EMPTY, np.uint64)
     regs[slot[first]] = keys[first] & EMPTY
     return regs.reshape(n, M), np.bincount(line, minlength=n)
