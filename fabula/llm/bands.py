@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_long, fold_hashes, in_bits, key_bits
+from .common import Scratch, as_long, fold_hashes, in_bits, key_bits, tidied
 from .graph import components
 
 #: Of keys with so many sets at most, all pairs of different components are compared.
@@ -188,8 +188,8 @@ def members_of(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     shared key are found by a bit table of fixed size and then joined."""
     spark = keyed.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.mapInArrow(_dealt(buckets), "bucket int, keys array<long>, ids array<long>")
-    shared = scratch.save(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "key long"), "shared-keys")
+    dealt = keyed.mapInArrow(tidied(_dealt(buckets)), "bucket int, keys array<long>, ids array<long>")
+    shared = scratch.save(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_shared), "key long"), "shared-keys")
     bits = spark.sparkContext.broadcast(key_bits(shared, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,7 @@ def members_of(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
             _, back, n = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(n[back.ravel()].astype(np.int64))], ["key", "id", "n"])
 
-    rows = scratch.save(keyed.mapInArrow(run, "key long, id long, n long").groupBy("key", "id").agg(F.max("n").alias("n")).join(shared, "key"), "members")
+    rows = scratch.save(keyed.mapInArrow(tidied(run), "key long, id long, n long").groupBy("key", "id").agg(F.max("n").alias("n")).join(shared, "key"), "members")
     weight = F.expr("n * 4294967296 + (xxhash64(id) & 4294967295)")
     heads = scratch.save(rows.groupBy("key").agg(F.max_by("id", weight).alias("head")), "heads")
     scratch.drop(shared)
@@ -264,11 +264,11 @@ def _rare_elements(texts: DataFrame, elements: Elements, percent: int, scratch:
     Two sets of the similarity share one of the first n(1-s)+1 elements of each,
     whatever the order, as long as it is one for all. gap: how many first elements
     a text has that no other component has among its own."""
-    counted = texts.select("text").mapInArrow(_frequent(elements), "x long, f long").groupBy("x").agg(F.sum("f").alias("f"))
+    counted = texts.select("text").mapInArrow(tidied(_frequent(elements)), "x long, f long").groupBy("x").agg(F.sum("f").alias("f"))
     most = counted.orderBy(F.desc("f"), "x").limit(FREQUENT).toArrow()
     often = most.column("x").to_numpy().view(np.uint64)
     order = np.argsort(often)
-    rows = texts.mapInArrow(_first_rare(elements, often[order], most.column("f").to_numpy()[order], percent), "x long, id long, n long, i int, c long")
+    rows = texts.mapInArrow(tidied(_first_rare(elements, often[order], most.column("f").to_numpy()[order], percent)), "x long, id long, n long, i int, c long")
     rows = scratch.save(rows, "first-elements")
     held = scratch.save(_several(rows, "x").select("x"), "open-elements")
     gap = F.floor((100 - percent) * F.col("n") / 100) + 1 - F.count("*").over(Window.partitionBy("id"))

@@ -37,6 +37,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 #: Words in a worker's cache at most; when it is full it starts anew.
 CACHE_WORDS = 150_000
 #: New words that are encoded at once.
@@ -371,7 +373,7 @@ def _mapped(docs: DataFrame, path: str, schema: str, make):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(rows)), *(pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds))], ["doc_id", *names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, {schema}")
+    return rows.mapInArrow(tidied(run), f"doc_id long, {schema}")
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -389,7 +391,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
             out = [" ".join([text[i] for i in ids if 0 <= i < len(text)]) if ids is not None else "" for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "decoded"])
 
-    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, decoded string")
+    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(tidied(run), "doc_id long, decoded string")
 
 
 def _sha(parts: list[str]) -> str:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_long, fold_hashes, text_chunks
+from .common import Scratch, as_long, fold_hashes, text_chunks, tidied
 from .letters import Runs
 
 WIDTH = 6
@@ -157,7 +157,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             bits[_table(batch.column("h").to_numpy().view(np.uint64))] = True
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(bits).astype(np.int32))], ["bit"])
 
-    wanted = scratch.save(rows(benchmark, "item_id").mapInArrow(all_windows, _ROWS), "benchmark-windows")
+    wanted = scratch.save(rows(benchmark, "item_id").mapInArrow(tidied(all_windows), _ROWS), "benchmark-windows")
     bits = np.zeros(1 << TABLE_BITS, bool)
     bits[wanted.select("h").mapInArrow(marks, "bit int").distinct().toPandas()["bit"].to_numpy(np.int64)] = True  # 2**TABLE_BITS rows at most
     shared = spark.sparkContext.broadcast(np.packbits(bits))
@@ -169,7 +169,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     small = wanted.count() <= BROADCAST_WINDOWS
     item = wanted.select(F.col("id").alias("item_id"), F.col("n").alias("item_tokens"), "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-    hits = rows(docs, "doc_id").mapInArrow(known_windows, _ROWS).join(F.broadcast(item) if small else item, "h")
+    hits = rows(docs, "doc_id").mapInArrow(tidied(known_windows), _ROWS).join(F.broadcast(item) if small else item, "h")
     # a diagonal has a window for each of the item's tokens and form at most, if a document's text is one row
     pairs = F.transform(F.filter(F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d")), lambda s: (s["b"] != 0) & (s["d"] != 0)), lambda s: F.struct(s["b"].alias("b"), s["d"].alias("d")))
     tokens = lambda keep: F.size(F.array_distinct(F.flatten(F.collect_set(F.when(keep, F.sequence(F.col("item_at"), F.col("item_at") + F.col("width") - 1))))))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bands import band_keys, few_filled, first_elements, links
-from .common import ROW_BITS, SPACE, Scratch, among, as_long, common_counts, mix, span_hashes, text_bytes, text_chunks
+from .common import ROW_BITS, SPACE, Scratch, among, as_long, common_counts, mix, span_hashes, text_bytes, text_chunks, tidied
 
 WIDTH = 8  # characters of a shingle
 M = 48  # buckets
@@ -230,7 +230,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORD
     """(doc_id, lines): of each document the numbers, from 0, of the lines that are not kept."""
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
-    found = scratch.save(texts.mapInArrow(_lines(min_words, percent), "h long, doc_id long, line int, n int, keys array<long>, text string"), "lines")
+    found = scratch.save(texts.mapInArrow(tidied(_lines(min_words, percent)), "h long, doc_id long, line int, n int, keys array<long>, text string"), "lines")
     lines = scratch.save(found.select("h", "doc_id", "line"), "places")
     fresh = found.where("text is not null")
 
@@ -244,7 +244,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORD
         wanted = scratch.save(text_of(ends), "texts")
         side = lambda s: wanted.select(F.col("h").alias(s), F.col("n").alias(f"n{s}"), F.col("text").alias(f"t{s}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        return both.select("a", "b", "ta", "tb").mapInArrow(_confirmed(percent), "u long, v long")
+        return both.select("a", "b", "ta", "tb").mapInArrow(tidied(_confirmed(percent)), "u long, v long")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         return text_of(ids.select(F.col("id").alias("h"))).select(F.col("h").alias("id"), "text")

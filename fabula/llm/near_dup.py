@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bands import band_keys, few_filled, first_elements, links
-from .common import Scratch, among, as_long, distinct_per_row, mix, shingles, text_bytes, text_chunks, word_hashes
+from .common import Scratch, among, as_long, distinct_per_row, mix, shingles, text_bytes, text_chunks, tidied, word_hashes
 from .graph import components
 
 M = 128  # buckets
@@ -95,7 +95,7 @@ def sketch(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     ["uid", "doc_id", "n", "s1", "s2", "regs", "keys"],
                 )
 
-    return docs.mapInArrow(run, "uid long, doc_id long, n long, s1 long, s2 long, regs binary, keys array<long>")
+    return docs.mapInArrow(tidied(run), "uid long, doc_id long, n long, s1 long, s2 long, regs binary, keys array<long>")
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -181,12 +181,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         rows = scratch.save(of(ends(pairs)), "sets")
         side = lambda s: rows.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("regs").alias(f"r{s}"))
         sized = pairs.join(side("b"), "b").join(side("a"), "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        likely = scratch.save(sized.mapInArrow(_near(percent), "a long, b long"), "likely")
+        likely = scratch.save(sized.mapInArrow(tidied(_near(percent)), "a long, b long"), "likely")
         found = scratch.save(text_of(rows.join(ends(likely), "sid", "left_semi")), "texts")
         for done in (pairs, rows):
             scratch.drop(done)
         both = likely.join(found.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b").join(found.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a")
-        return both.mapInArrow(_confirmed(width, percent), "u long, v long")
+        return both.mapInArrow(tidied(_confirmed(width, percent)), "u long, v long")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         return text_of(of(ids.select(F.col("id").alias("sid")))).select(F.col("sid").alias("id"), "text")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, span_hashes, text_chunks
+from .common import as_long, span_hashes, text_chunks, tidied
 from .letters import Lookup, Runs
 
 #: Training uses about so many labelled documents of either label at most, spread over all by a hash.
@@ -324,14 +324,14 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, train_docs: int =
     n1, n0 = (rows.where(F.col("toxic") == k).count() for k in (1, 0))
     # the log ratio less its standard error, so that chance finds weigh little
     weight = F.log((F.col("n1") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("n0") + 0.5) / F.lit(n0 + 1.0)) - F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    terms = rows.select("text", "toxic").mapInArrow(_document_terms, "h long, length int, n1 long, n0 long, term string").groupBy("h", "length").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.max("term").alias("term"))
+    terms = rows.select("text", "toxic").mapInArrow(tidied(_document_terms), "h long, length int, n1 long, n0 long, term string").groupBy("h", "length").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.max("term").alias("term"))
     # as many as the bounded sample has
     kept = terms.where(F.col("n1") >= MIN_DOCS).withColumn("w", weight).where(F.col("w") >= MIN_WEIGHT).select("length", "term", "w").orderBy("length", "term").toPandas()
     m = Model(reports=_hash_terms(REPORTS))
     whole = kept["length"] == 0
     words, word_weights = list(kept["term"][whole]), kept["w"][whole].to_numpy(np.float64)
     m.lexicon = Automaton(words, list(kept["term"][~whole]), word_weights, kept["w"][~whole].to_numpy(np.float64))
-    near = rows.select("text", "toxic").mapInArrow(_near_documents(docs.sparkSession.sparkContext.broadcast(m.lexicon)), "term long, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    near = rows.select("text", "toxic").mapInArrow(tidied(_near_documents(docs.sparkSession.sparkContext.broadcast(m.lexicon))), "term long, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     near = near.withColumn("w", weight).toPandas()
     near_weights = np.zeros(len(words))
     near_weights[near["term"].to_numpy(np.int64)] = near["w"].to_numpy(np.float64)
@@ -345,7 +345,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, train_docs: int =
                 f = features(data, offs, shared.value, reports)
                 yield pa.RecordBatch.from_arrays([*(pa.array(f[:, j]) for j in range(FEATURES)), batch.column("toxic").slice(first, stop - first)], [*"abc", "toxic"])
 
-    xy = rows.select("text", "toxic").mapInArrow(run, "a double, b double, c double, toxic int").toPandas()
+    xy = rows.select("text", "toxic").mapInArrow(tidied(run), "a double, b double, c double, toxic int").toPandas()
     rows.unpersist()
     of = xy["toxic"].to_numpy(np.float64)
     stands_for = np.where(of == 1, count[1] / max(n1, 1), count.get(0, 0) / max(n0, 1))  # sampled labels keep their share
@@ -375,7 +375,7 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, k), pa.array(p)], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(tidied(run), "doc_id long, score double")
 
 
 def reject(docs: DataFrame, m: Model, limit: float) -> DataFrame:
@@ -395,4 +395,4 @@ def reject(docs: DataFrame, m: Model, limit: float) -> DataFrame:
                 z = features(data, offs, m, reports) @ m.theta[:-1] + m.theta[-1]
                 yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
