@@ -44,8 +44,8 @@ def characters(legend: DataFrame) -> DataFrame:
     rows = legend.select("doc_id", "gid", "ord", names.alias("names"), F.transform(tokens, F.lower).alias("tokens"))
     joined = F.array_join("tokens", ", ")
     gender = F.when(F.array_contains("tokens", "f"), "F").when(F.array_contains("tokens", "m"), "M").when(joined.rlike(L.FEMALE_STEMS), "F").when(joined.rlike(L.MALE_STEMS), "M")
-    hero = F.exists("tokens", lambda t: t.contains("головн") & t.contains("геро"))
     roles = F.filter("tokens", lambda t: ~t.isin(*L.SERVICE_TOKENS))
+    hero = F.exists(roles, lambda t: t.contains("головн") & t.contains("геро"))  # not the service token of that meaning
     return rows.select("doc_id", "gid", "ord", "names", roles.alias("roles"), gender.alias("gender"), F.coalesce(hero, F.lit(False)).alias("first_person"))
 
 

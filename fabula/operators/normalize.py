@@ -101,15 +101,16 @@ def collapse_same_tags(lines: DataFrame) -> DataFrame:
 
 
 def clean_dialog_punctuation(lines: DataFrame) -> DataFrame:
-    """Tagged lines without words go; blanks beside quotation marks too; sentences end with a full stop."""
-    body = F.trim(F.col("body"))
-    empty = F.col("gid").isNotNull() & body.rlike(r"^[.,—–\-]?$")
-    told = F.regexp_replace(body, r"^[,—–\- ]+|[,—–\- ]+$", "")
-    spoken = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"\s+", " "), r"\s+([»”\"])$", "$1"), r"^([«“\"])\s+", "$1")
-    spoken = F.when(spoken.rlike(r"[.!?…][»”\"]?$"), spoken).when(spoken.rlike(r"[»”\"]$"), F.regexp_replace(spoken, r"([»”\"])$", ".$1")).otherwise(F.concat(spoken, F.lit(".")))
+    """Known speakers' and the narrator's lines without words go; so do blanks inside quotation marks; all end with a mark, speech with one inside a last quotation mark, whatever stands before it."""
+    body, known = F.col("body"), F.col("gid").rlike(r"^#g\d+$") & (F.trim("body") != "[[DIALOG_BOUNDARY]]")
+    tight = F.regexp_replace(F.regexp_replace(body, r"\s+([»”\"])", "$1"), r"([«\"“])\s+", "$1")
+    told = F.regexp_replace(tight, r"^[,—–\-\s]+|[,—–\-\s]+$", "")
     told = F.when(told.rlike(r"[.!?…]$") | (told == ""), told).otherwise(F.concat(told, F.lit(".")))
-    out = F.when(F.col("gid").isNull() | (F.col("gid") == "#g?") | (body == "[[DIALOG_BOUNDARY]]"), F.col("body")).when(F.col("gid") == "#g1", told).otherwise(spoken)
-    return renumber(lines.where(~F.coalesce(empty, F.lit(False))).withColumn("body", out).where("gid is null or gid <> '#g1' or body <> ''"))
+    said = F.regexp_replace(tight, r"\s+", " ")
+    said = F.when(said.rlike(r"[.!?…]$") | (said == ""), said).when(said.rlike(r"[»”\"]$"), F.regexp_replace(said, r"([»”\"])$", ".$1")).otherwise(F.concat(said, F.lit(".")))
+    out = F.when(~F.coalesce(known, F.lit(False)), body).when(F.col("gid") == "#g1", told).otherwise(said)
+    empty = F.coalesce(known & (F.trim(body).rlike(r"^[.,—–\-]?$") | ((F.col("gid") == "#g1") & (told == ""))), F.lit(False))
+    return renumber(lines.withColumns({"body": out, "_empty": empty}).where("not _empty").drop("_empty"))
 
 
 def remove_block_markers(lines: DataFrame) -> DataFrame:

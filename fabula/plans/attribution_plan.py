@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..lines import parse_lines, render
 from ..operators import attribution as A
 from ..operators import folds, legend, metrics, normalize, scenes, split_merge, thoughts
-from .registry import Registry
+from .registry import Registry, checkpointed
 
 RULES = Registry(cuts={"reset_dialogs", "thoughts_near_aphorism", "possessive_voice", "pronouns_and_vocatives", "pair_lock", "flips_gaps_consensus", "clean_punctuation"})
 
@@ -52,7 +52,8 @@ _LINES = ("doc_id", "line_no", "raw", "indent", "gid", "body")
 
 
 def _attributed(docs: DataFrame, legends: DataFrame, skip: tuple[str, ...]) -> DataFrame:
-    lines = RULES.run(parse_lines(docs), legend.cast(legend.parse_legend(legends)), skip)
+    casts = checkpointed(legend.cast(legend.parse_legend(legends)))  # each fold attaches it anew
+    lines = RULES.run(parse_lines(docs), casts, skip)
     return normalize.collapse_same_tags(normalize.demote_narrator_dialogs(normalize.narrator_fallback(lines)))
 
 

@@ -25,7 +25,7 @@ def script(spark: SparkSession, d: str) -> DataFrame:
 def legends(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, text): a legend for each region, its nations being the characters."""
     rows = read_table(spark, d, "nation")
-    attrs = F.element_at(F.array(F.lit("F, мати"), F.lit("M, дід"), F.lit("головний герой, друг")), (F.pmod("n_nationkey", F.lit(3)) + 1).cast("int"))
+    attrs = F.element_at(F.array(F.lit("F, мати"), F.lit("M, дід"), F.lit("головна героїня, друг")), (F.pmod("n_nationkey", F.lit(3)) + 1).cast("int"))
     line = F.concat(F.lit("#g"), (F.col("n_nationkey") + 1).cast("string"), F.lit(" - "), F.initcap("n_name"), F.lit(" / "), F.concat("n_name", F.lit("o")), F.lit(" ("), attrs, F.lit(")"))
     return rows.groupBy(F.col("n_regionkey").cast("long").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
 

@@ -52,11 +52,11 @@ _EACH = r"words AS (SELECT doc_id, line_no AS place, unnest(regexp_extract_all(l
 _MENTIONS = "mentions AS (SELECT s.doc_id, s.line_no, m.gid, sum(1 / (1 + abs(m.place - s.line_no))) AS weight FROM script s JOIN named m ON s.doc_id = m.doc_id AND m.place BETWEEN s.line_no - {0} AND s.line_no + {0} WHERE s.gid = '#g?' GROUP BY ALL)"
 _EMBED = r"trim(regexp_replace(translate(body, chr(160) || '''ʼ′‘«»„“”', ' ’’’’\"\"\"\"\"'), '\s+', ' ', 'g'))".replace('\\"', '"')
 _SPACES = "translate({}, chr(160) || chr(8239) || chr(8201) || chr(8199) || chr(8202) || chr(8203), '     ')"
-_CLEAN = r"""b AS (SELECT *, trim(body) AS b FROM script),
-p AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(b, '\s+', ' ', 'g'), '\s+([»”"])$', '\1'), '^([«“"])\s+', '\1') AS said, regexp_replace(b, '^[-,—– ]+|[-,—– ]+$', '', 'g') AS told FROM b WHERE NOT coalesce(gid IS NOT NULL AND regexp_matches(b, '^[-.,—–]?$'), false)),
+_CLEAN = r"""b AS (SELECT *, regexp_replace(regexp_replace(body, '\s+([»”"])', '\1', 'g'), '([«"“])\s+', '\1', 'g') AS tight FROM script),
+p AS (SELECT *, regexp_replace(tight, '\s+', ' ', 'g') AS said, regexp_replace(tight, '^[-,—–\s]+|[-,—–\s]+$', '', 'g') AS told FROM b WHERE NOT coalesce(gid <> '#g?' AND regexp_matches(trim(body), '^[-.,—–]?$'), false)),
 q AS (SELECT doc_id, line_no, gid, CASE WHEN gid IS NULL OR gid = '#g?' THEN body
   WHEN gid = '#g1' THEN CASE WHEN told = '' OR regexp_matches(told, '[.!?…]$') THEN told ELSE told || '.' END
-  WHEN regexp_matches(said, '[.!?…][»”"]?$') THEN said WHEN regexp_matches(said, '[»”"]$') THEN regexp_replace(said, '([»”"])$', '.\1') ELSE said || '.' END AS body FROM p)"""
+  WHEN said = '' OR regexp_matches(said, '[.!?…]$') THEN said WHEN regexp_matches(said, '[»”"]$') THEN regexp_replace(said, '([»”"])$', '.\1') ELSE said || '.' END AS body FROM p)"""
 _CLEANED = "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::INT AS line_no, gid, body FROM q WHERE gid IS NULL OR gid <> '#g1' OR body <> ''"
 _TFIDF = """texts AS (SELECT p_partkey AS id, p_brand AS gid, lower(p_name || ' ' || p_type) AS text FROM part),
 tokens AS (SELECT id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]{2,}')) AS token FROM texts),
@@ -167,11 +167,11 @@ p AS (SELECT round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS
 SELECT 'micro' AS kind, round(sum(tp) / (sum(tp) + sum(fp)), 6) AS precision, round(sum(tp) / (sum(tp) + sum(fn)), 6) AS recall, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS f1 FROM t
 UNION ALL SELECT 'macro', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6) FROM p WHERE precision + recall > 0""",
     "gold_marks": "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN '#g' || (o_orderkey % 7) WHEN 1 THEN '#g' || (o_orderkey % 5) END AS gold FROM orders",
-    "legend_rows": f"WITH {_NATION} SELECT doc_id, gid, a || ' / ' || b || ' (' || CASE r WHEN 0 THEN 'F, мати' WHEN 1 THEN 'M, дід' ELSE 'головний герой, друг' END || ')' AS name, ord::INT AS ord FROM n",
-    "legend_characters": f"WITH {_NATION} SELECT doc_id, gid, a || '|' || b AS names, attr AS roles, CASE r WHEN 0 THEN 'F' WHEN 1 THEN 'M' END AS gender, r = 2 AS first_person FROM n",
-    "legend_aliases": f"""WITH {_NATION}, k AS (SELECT doc_id, gid, n_nationkey, unnest([{_KEY.format('a')}, {_KEY.format('b')}, attr, CASE r WHEN 0 THEN 'мамо' WHEN 1 THEN 'діду' END]) AS alias FROM n)
+    "legend_rows": f"WITH {_NATION} SELECT doc_id, gid, a || ' / ' || b || ' (' || CASE r WHEN 0 THEN 'F, мати' WHEN 1 THEN 'M, дід' ELSE 'головна героїня, друг' END || ')' AS name, ord::INT AS ord FROM n",
+    "legend_characters": f"WITH {_NATION} SELECT doc_id, gid, a || '|' || b AS names, CASE r WHEN 2 THEN 'головна героїня|друг' ELSE attr END AS roles, CASE r WHEN 0 THEN 'F' WHEN 1 THEN 'M' END AS gender, r = 2 AS first_person FROM n",
+    "legend_aliases": f"""WITH {_NATION}, k AS (SELECT doc_id, gid, n_nationkey, unnest([{_KEY.format('a')}, {_KEY.format('b')}, attr, CASE r WHEN 0 THEN 'мамо' WHEN 1 THEN 'діду' END, CASE r WHEN 2 THEN 'головна героїня' END]) AS alias FROM n)
 SELECT doc_id, alias, arg_min(gid, n_nationkey) AS gid FROM k WHERE alias IS NOT NULL GROUP BY doc_id, alias""",
-    "aliases": f"""WITH {_NATION}, k AS (SELECT doc_id, gid, n_nationkey, unnest([{_KEY.format('a')}, {_KEY.format('b')}, attr, CASE r WHEN 0 THEN 'мамо' WHEN 1 THEN 'діду' END]) AS alias FROM n)
+    "aliases": f"""WITH {_NATION}, k AS (SELECT doc_id, gid, n_nationkey, unnest([{_KEY.format('a')}, {_KEY.format('b')}, attr, CASE r WHEN 0 THEN 'мамо' WHEN 1 THEN 'діду' END, CASE r WHEN 2 THEN 'головна героїня' END]) AS alias FROM n)
 SELECT doc_id, alias, arg_min(gid, n_nationkey) AS gid FROM k WHERE alias IS NOT NULL GROUP BY doc_id, alias""",
     "legend_fallback_aliases": f"""WITH {_NATION}, k AS (SELECT doc_id, gid, n_nationkey, unnest([lower(a), lower(b), attr, CASE r WHEN 0 THEN 'мамо' WHEN 1 THEN 'діду' END]) AS alias FROM n WHERE doc_id <> 0)
 SELECT doc_id, alias, arg_min(gid, n_nationkey) AS gid FROM k WHERE alias IS NOT NULL GROUP BY doc_id, alias""",
@@ -180,7 +180,7 @@ SELECT doc_id, alias, arg_min(gid, n_nationkey) AS gid FROM k WHERE alias IS NOT
     "legend_records": """SELECT n_regionkey::BIGINT AS doc_id, '#g' || n_nationkey AS gid, n_name AS names,
   CASE n_regionkey % 5 WHEN 0 THEN lower(n_name) WHEN 3 THEN CASE WHEN n_nationkey = min(n_nationkey) OVER (PARTITION BY n_regionkey) THEN 'наратив|оповідач|оповідачка' ELSE '' END WHEN 4 THEN 'f|' || lower(left(n_name, 3)) ELSE '' END AS aliases,
   CASE WHEN n_regionkey % 5 = 0 AND n_nationkey % 2 = 0 OR n_regionkey % 5 = 4 THEN 'F' END AS gender FROM nation""",
-    "legend_in_text": f"WITH {_NATION} SELECT doc_id, gid, a || ' / ' || b || ' (' || CASE r WHEN 0 THEN 'F, мати' WHEN 1 THEN 'M, дід' ELSE 'головний герой, друг' END || ')' AS name FROM n",
+    "legend_in_text": f"WITH {_NATION} SELECT doc_id, gid, a || ' / ' || b || ' (' || CASE r WHEN 0 THEN 'F, мати' WHEN 1 THEN 'M, дід' ELSE 'головна героїня, друг' END || ')' AS name FROM n",
     "morph_aliases": f"""WITH {_NATION}, k AS (SELECT doc_id, gid, unnest(CASE r WHEN 0 THEN ['мати'] WHEN 1 THEN ['дід', 'діду', 'дідом', 'діде', 'діда', 'дідоню', 'дідусю', 'дідусь', 'дідуся', 'дідусем'] ELSE ['друг'] END) AS alias FROM n)
 SELECT doc_id, alias, string_agg(DISTINCT gid, '|' ORDER BY gid) AS gids FROM k GROUP BY doc_id, alias""",
     "name_forms": f"""WITH {_NATION}, k AS (SELECT doc_id, gid, n_nationkey, lower(unnest([a, b])) AS name FROM n),
