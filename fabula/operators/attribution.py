@@ -54,8 +54,9 @@ def _last_letter_gender(name: Column) -> Column:
 def inline_sayer(lines: DataFrame) -> DataFrame:
     """Unknown speech with "— said Name" or "— Name said" after a dash gets that speaker, if verb and name agree in gender; "said I" the first person."""
     say = f"({L.SAY_VERBS})"
-    verb_name = rf"(?iuU){_D}\s*[,»\"“”'’]*\s*(?:—\s*)?,?\s*{say}\s+({_WORD}|я)(?![\p{{L}}])"
-    name_verb = rf"(?iuU){_D}\s*[,»\"“”'’]*\s*(?:—\s*)?({_WORD})\s+{say}(?![\p{{L}}])"
+    marks = r"[\s,—»\"“”'’]*"  # what may stand between the dash and the attribution
+    verb_name = rf"(?iuU){_D}{marks}{say}\s+({_WORD}|я)(?![\p{{L}}])"
+    name_verb = rf"(?iuU){_D}{marks}({_WORD})\s+{say}(?![\p{{L}}])"
     body = F.col("body")
     vn = body.rlike(verb_name)
     verb = F.lower(F.when(vn, F.regexp_extract(body, verb_name, 1)).otherwise(F.regexp_extract(body, name_verb, 2)))

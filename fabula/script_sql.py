@@ -136,7 +136,7 @@ FROM m WHERE line_no % 4 <> 2""",
         """SELECT doc_id, line_no, CASE WHEN NOT unknown OR name = '' THEN r.gid WHEN name = 'я' THEN '#g2'
   WHEN verb_gender IS NULL OR name_gender IS NULL OR verb_gender = name_gender THEN coalesce(f.gid, r.gid) ELSE r.gid END AS gid FROM g r LEFT JOIN forms f ON f.form = r.name AND f.gid <> '#g1'""",
         _FORMS,
-        rf"""m AS (SELECT *, regexp_extract(body, '(?i){_DASH}\s*[,»\"“”''’]*\s*(?:—\s*)?,?\s*({L.SAY_VERBS})\s+({_WORD}|я)(?:[^\p{{L}}]|$)', ['v', 'n']) AS vn, regexp_extract(body, '(?i){_DASH}\s*[,»\"“”''’]*\s*(?:—\s*)?({_WORD})\s+({L.SAY_VERBS})(?:[^\p{{L}}]|$)', ['n', 'v']) AS nv FROM script)""",
+        rf"""m AS (SELECT *, regexp_extract(body, '(?i){_DASH}[\s,—»\"“”''’]*({L.SAY_VERBS})\s+({_WORD}|я)(?:[^\p{{L}}]|$)', ['v', 'n']) AS vn, regexp_extract(body, '(?i){_DASH}[\s,—»\"“”''’]*({_WORD})\s+({L.SAY_VERBS})(?:[^\p{{L}}]|$)', ['n', 'v']) AS nv FROM script)""",
         f"n AS (SELECT *, gid = '#g?' AND {_D} AS unknown, lower(CASE WHEN vn['v'] <> '' THEN vn['v'] ELSE nv['v'] END) AS verb, lower(CASE WHEN vn['v'] <> '' THEN vn['n'] ELSE nv['n'] END) AS name FROM m)",
         f"g AS (SELECT *, CASE WHEN verb IN {L.SAY_FEMININE} THEN 'F' WHEN verb IN ('кажу', 'каже') THEN NULL WHEN verb IN {L.SAY_MASCULINE} THEN 'M' END AS verb_gender, CASE WHEN regexp_matches(name, '[аяеью]$') THEN 'F' WHEN regexp_matches(name, '[бвгґджзклмнпрстфхцчшщйо]$') THEN 'M' END AS name_gender FROM n)",
     ),
