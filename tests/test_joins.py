@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fabula.operators import chunks, effects, joins, legend, mentions
+from fabula.sources import text as sources
 from fabula.streaming import utterances as U
 
 
@@ -131,6 +132,25 @@ def test_results_with_foreign_letters_are_made_again():
     assert f(["x", "ab", "ac"]) == ["x", "abы", "acыы"] and f([]) == []
 
 
+def test_files_are_written_as_they_were_read(spark, tmp_path):
+    files = {"a.txt": b"\xef\xbb\xbf\xd1\x82\r\n\xd0\xba\n", "b.txt": "так\rні".encode("cp1251"), "c.txt": "\ufeffї\n".encode("utf-16-le"), "d.txt": "\ufeffї".encode("utf-16-be"), "f.txt": "ok\n".encode()}
+    (tmp_path / "in").mkdir()
+    for name, data in files.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    read = sources.read_encoded(spark, f"{tmp_path}/in").repartition(3)
+    out = tmp_path / "out"
+    sources.write_encoded(read, str(out))
+    assert {p.name: p.read_bytes() for p in out.iterdir()} == files  # and nothing temporary is left
+    with pytest.raises(Exception, match="there already"):
+        sources.write_encoded(read.limit(1), str(out))
+    edited = read.withColumn("text", sources.with_line_ends(F.concat("text", F.lit("\n!")), F.col("eol")))
+    sources.write_encoded(edited.where("path like '%a.txt' or path like '%b.txt'"), str(out), overwrite=True)
+    assert (out / "a.txt").read_bytes() == b"\xef\xbb\xbf\xd1\x82\r\n\xd0\xba\r\n\r\n!" and (out / "b.txt").read_bytes() == "так\rні\r!".encode("cp1251")
+    with pytest.raises(Exception, match="no name"):
+        sources.write_encoded(read.withColumn("name", F.lit("")).unionByName(read.withColumn("name", F.lit("z"))).repartition(1), str(out))
+    assert sorted(p.name for p in out.iterdir()) == sorted(files)
+
+
 # --- rows in order -----------------------------------------------------------------------------
 
 
