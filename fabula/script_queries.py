@@ -157,6 +157,11 @@ def q_tag_counts(spark, d):
     return metrics.tag_counts(script(spark, d)).select("doc_id", "gid", "n", metrics.tag_order(F.col("gid")).alias("place"))
 
 
+def q_scene_coverage(spark, d):
+    """How much of each scene's and each manuscript's speech has a speaker."""
+    return metrics.coverage(scenes.with_scene(script(spark, d)))
+
+
 def q_prf_averages(spark, d):
     pairs = read_table(spark, d, "labels").where("quality is not null and toxic is not null").select(F.col("quality").cast("string").alias("gold"), F.col("toxic").cast("string").alias("pred"))
     return metrics.averages(metrics.precision_recall(pairs, None))

@@ -160,6 +160,12 @@ FROM m WHERE line_no % 4 <> 2""",
     ),
     "context_mentions": _with("SELECT doc_id, line_no, gid, round(weight, 6) AS weight FROM mentions", _FORMS, _NAMED, _MENTIONS.format(11)),
     "tag_counts": _with("SELECT doc_id, gid, count(*) AS n, CASE gid WHEN '#g?' THEN -1 ELSE substr(gid, 3)::INT END AS place FROM script WHERE gid IS NOT NULL GROUP BY doc_id, gid"),
+    "scene_coverage": _with(
+        """SELECT doc_id, scene, count(*) AS dialogs, count(*) FILTER (gid <> '#g?') AS assigned, count(*) FILTER (gid = '#g?') AS unknown,
+  round(count(*) FILTER (gid <> '#g?') / count(*), 6) AS coverage, round(count(*) FILTER (gid = '#g?') / count(*), 6) AS unknown_share FROM d GROUP BY GROUPING SETS ((doc_id, scene), (doc_id))""",
+        r"s AS (SELECT *, last_value(CASE WHEN regexp_matches(body, '(?i)^\s*(?:глава|розділ|частина)\s+(?:\d+|[IVXLCDM]+)\.?\s*$') THEN body END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS label FROM script)",
+        f"d AS (SELECT doc_id, gid, coalesce(label, '(без сцени)') AS scene FROM s WHERE gid IS NOT NULL AND {_D})",
+    ),
     "prf_averages": """WITH j AS (SELECT quality::VARCHAR AS gold, toxic::VARCHAR AS pred FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL),
 l AS (SELECT gold AS label FROM j UNION SELECT pred FROM j),
 t AS (SELECT label, count(*) FILTER (gold = label AND pred = label) AS tp, count(*) FILTER (pred = label AND gold <> label) AS fp, count(*) FILTER (gold = label AND pred <> label) AS fn FROM l, j GROUP BY label),
