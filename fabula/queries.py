@@ -112,12 +112,13 @@ def q_attribute(spark, d):
 
 
 def q_characters(spark, d):
-    named = legend.parse_legend(script_queries.legends(spark, d))
-    return legend.characters(named).select("doc_id", "gid", "gender", F.array_join("names", "/").alias("names"))
+    """The characters of every conversation's legend."""
+    return legend.characters(script_queries.named(spark, d)).select("doc_id", "gid", "gender", F.array_join("names", "/").alias("names"))
 
 
 def q_aliases(spark, d):
-    return legend.aliases(legend.parse_legend(script_queries.legends(spark, d))).select("doc_id", "alias", "gid")
+    """The names of every conversation's legend."""
+    return legend.aliases(script_queries.named(spark, d)).select("doc_id", "alias", "gid")
 
 
 def q_scene_spans(spark, d):

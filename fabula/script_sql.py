@@ -177,8 +177,7 @@ UNION ALL SELECT 'macro', round(avg(precision), 6), round(avg(recall), 6), round
     "legend_characters": f"WITH {_NATION} SELECT doc_id, gid, a || '|' || b AS names, CASE r WHEN 2 THEN 'головна героїня|друг' ELSE attr END AS roles, CASE r WHEN 0 THEN 'F' WHEN 1 THEN 'M' END AS gender, r = 2 AS first_person FROM n",
     "legend_aliases": f"""WITH {_NATION}, k AS (SELECT doc_id, gid, n_nationkey, unnest([{_KEY.format('a')}, {_KEY.format('b')}, attr, CASE r WHEN 0 THEN 'мамо' WHEN 1 THEN 'діду' END, CASE r WHEN 2 THEN 'головна героїня' END]) AS alias FROM n)
 SELECT doc_id, alias, arg_min(gid, n_nationkey) AS gid FROM k WHERE alias IS NOT NULL GROUP BY doc_id, alias""",
-    "aliases": f"""WITH {_NATION}, k AS (SELECT doc_id, gid, n_nationkey, unnest([{_KEY.format('a')}, {_KEY.format('b')}, attr, CASE r WHEN 0 THEN 'мамо' WHEN 1 THEN 'діду' END, CASE r WHEN 2 THEN 'головна героїня' END]) AS alias FROM n)
-SELECT doc_id, alias, arg_min(gid, n_nationkey) AS gid FROM k WHERE alias IS NOT NULL GROUP BY doc_id, alias""",
+    "aliases": f"WITH {_FORMS} SELECT DISTINCT conv_id AS doc_id, form AS alias, gid FROM conversations CROSS JOIN forms",
     "legend_fallback_aliases": f"""WITH {_NATION}, k AS (SELECT doc_id, gid, n_nationkey, unnest([lower(a), lower(b), attr, CASE r WHEN 0 THEN 'мамо' WHEN 1 THEN 'діду' END]) AS alias FROM n WHERE doc_id <> 0)
 SELECT doc_id, alias, arg_min(gid, n_nationkey) AS gid FROM k WHERE alias IS NOT NULL GROUP BY doc_id, alias""",
     "legend_first_person": f"WITH {_NATION} SELECT doc_id, coalesce(arg_min(gid, n_nationkey) FILTER (r = 2), max(gid) FILTER (gid = '#g2')) AS first_person_gid FROM n GROUP BY doc_id",
@@ -267,7 +266,7 @@ FROM q s LEFT JOIN q o ON s.doc_id = o.doc_id AND o.line_no BETWEEN s.line_no -
         "typed AS (SELECT *, hint IS NULL OR gender IS NULL OR gender = hint AS ok FROM kept)",
         "g AS (SELECT *, max(ok) OVER (PARTITION BY doc_id, line_no) AS any_ok FROM typed)",
     ),
-    "characters": f"WITH {_NATION} SELECT doc_id, gid, CASE r WHEN 0 THEN 'F' WHEN 1 THEN 'M' END AS gender, a || '/' || b AS names FROM n",
+    "characters": f"WITH {_FORMS} SELECT DISTINCT conv_id AS doc_id, gid, CASE gid WHEN '#g2' THEN 'F' WHEN '#g3' THEN 'M' END AS gender, upper(left(form, 1)) || substr(form, 2) AS names FROM conversations CROSS JOIN forms",
     "scene_spans": _with(
         "SELECT doc_id, label, min(line_no)::INT AS start_line, max(line_no)::INT AS end_line FROM s WHERE label IS NOT NULL GROUP BY doc_id, label",
         r"s AS (SELECT *, last_value(CASE WHEN regexp_matches(body, '(?i)^\s*(?:глава|розділ|частина)\s+(?:\d+|[IVXLCDM]+)\.?\s*$') THEN body END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS label FROM script)",
