@@ -22,12 +22,31 @@ def deletions(word: Column, most: int) -> Column:
     return F.array_distinct(F.concat(F.array(word), once, F.when(F.length(word) >= TWO_EDITS - 1, twice).otherwise(F.array().cast("array<string>"))))
 
 
+def _keys_of_one(word: Column, others: Column, is_name: bool) -> Column:
+    """Keys that a name and a form share just once if they are one edit apart: the word without its k-th letter and k, or the shorter word, which the longer one is without a letter; equal words share that too.
+
+    others: the lengths of the other side's words, as only words of such a length need the second kind."""
+    cut = F.transform(F.filter(F.sequence(F.lit(0), F.length(word)), lambda i: i > 0), lambda i: F.concat(i.cast("string"), F.lit(":"), F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.lit(1 << 20))))
+    shorter = F.transform(F.array_distinct(_without_one(F.array(word))), lambda w: F.concat(F.lit("=" if is_name else "+"), w))
+    none = F.array().cast("array<string>")
+    keys = F.concat(F.array(F.concat(F.lit("="), word)), cut, F.when(F.array_contains(others, F.length(word) - 1), shorter).otherwise(none))
+    return F.concat(keys, F.when(F.array_contains(others, F.length(word) + 1), F.array(F.concat(F.lit("+"), word))).otherwise(none)) if is_name else keys
+
+
 def fuzzy_join(names: DataFrame, forms: DataFrame, most: int = 2) -> DataFrame:
     """(name, form, distance) of each distinct name (name) and form (form) at most one edit apart, or two if ``most`` is and the name has TWO_EDITS letters.
 
-    An equi-join on deletion neighbourhoods, then the distance; nulls match nothing."""
-    keyed = lambda t, c: t.where(F.col(c).isNotNull()).select(c).distinct().select(c, F.explode(deletions(F.col(c), most)).alias("_key"))
-    pairs = keyed(names, "name").join(keyed(forms, "form"), "_key").select("name", "form").distinct()
+    An equi-join on deletion neighbourhoods, then the distance; nulls match nothing. It is a sort-merge join, as a planner takes the neighbourhoods for no larger than the words and may send one side through the driver."""
+    words = lambda t, c: t.where(F.col(c).isNotNull()).select(c).distinct()
+    lengths = lambda t, c: t.agg(F.collect_set(F.length(c)).alias("_lengths"))
+    name, form = words(names, "name"), words(forms, "form")
+    if most > 1:
+        keyed = lambda t, c: t.select(c, F.explode(deletions(F.col(c), most)).alias("_key"))
+        pairs = keyed(name, "name").hint("merge").join(keyed(form, "form"), "_key").select("name", "form").distinct()
+    else:
+        keyed = lambda t, c, o: t.crossJoin(F.broadcast(o)).select(c, F.explode(_keys_of_one(F.col(c), F.col("_lengths"), c == "name")).alias("_key"))
+        pairs = keyed(name, "name", lengths(forms, "form")).hint("merge").join(keyed(form, "form", lengths(names, "name")), "_key")
+        pairs = pairs.where(~F.col("_key").rlike("^[0-9]") | (F.col("name") != F.col("form"))).select("name", "form")
     distance = F.levenshtein("name", "form")
     allowed = F.when(F.length("name") >= TWO_EDITS, F.lit(most)).otherwise(F.lit(1))
     return pairs.withColumn("distance", distance).where(F.col("distance") <= allowed)

@@ -218,3 +218,18 @@ def test_gain_and_cache_are_the_same_on_streams(spark, tmp_path, signals):
     asked = lambda t: t.select(F.concat(F.lit(" K"), "stream_id").alias("key"), "ts")
     hits = lambda t: sorted((x["key"], x["ts"], x["hit"]) for x in t.where(F.col("ts") < F.lit(past)).collect())
     assert hits(results(spark, U.cache_hits(asked(stream), hours=0.0003, late="2 minutes"), tmp_path, "cache")) == hits(U.cache_hits(asked(table), hours=0.0003))
+
+
+def test_words_one_edit_apart_without_a_broadcast(spark):
+    """All pairs of short words against the distance itself, each once; no side goes through the driver, however small it looks."""
+    from itertools import product
+
+    words = ["".join(w) for n in range(4) for w in product("ab", repeat=n)] + ["bcd", "bd", "xbcdy", "xbcy"]
+    names, forms = (spark.createDataFrame([(w,) for w in [*ws, None, ws[-1]]], f"{c} string") for c, ws in (("name", words), ("form", words[::-1])))
+    plan = joins.fuzzy_join(names, forms, most=1)
+    got = sorted((r["name"], r["form"], r["distance"]) for r in plan.collect())
+    near = spark.createDataFrame(list(product(words, words)), "name string, form string").withColumn("d", F.levenshtein("name", "form")).where("d <= 1")
+    assert got == sorted((r["name"], r["form"], r["d"]) for r in near.collect())
+    for most in (1, 2):
+        rows = joins.fuzzy_join(names, forms, most)._jdf.queryExecution()
+        assert "BroadcastHashJoin" not in rows.executedPlan().toString() and "SortMergeJoin" in rows.executedPlan().toString()
