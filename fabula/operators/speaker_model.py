@@ -216,9 +216,10 @@ def spoken_texts(lines: DataFrame, chars: DataFrame, most: int = 6) -> DataFrame
 
 
 def best_by_text(scores: DataFrame, threshold: float) -> DataFrame:
-    """(id, decision, score): of rows (id, gid, score) the greatest score of each tag's texts; below the threshold nobody."""
+    """(id, decision, score): of rows (id, gid, score) the greatest score of each tag's texts; below the threshold nobody. NaN is the greatest of all, rows without tag or score decide nothing."""
     tags = scores.groupBy("id", "gid").agg(F.max("score").alias("score"))
-    best = tags.groupBy("id").agg(F.min_by("gid", F.struct(-F.col("score"), F.col("gid"))).alias("gid"), F.max("score").alias("score"))
+    order = F.struct(F.col("gid").isNull() | F.col("score").isNull(), ~F.isnan("score"), -F.col("score"), F.col("gid"))
+    best = tags.groupBy("id").agg(F.min_by("gid", order).alias("gid"), F.max("score").alias("score"))
     return best.select("id", F.when(F.col("score") >= threshold, F.col("gid")).otherwise(F.lit("#g?")).alias("decision"), "score")
 
 

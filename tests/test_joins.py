@@ -233,3 +233,29 @@ def test_words_one_edit_apart_without_a_broadcast(spark):
     for most in (1, 2):
         rows = joins.fuzzy_join(names, forms, most)._jdf.queryExecution()
         assert "BroadcastHashJoin" not in rows.executedPlan().toString() and "SortMergeJoin" in rows.executedPlan().toString()
+
+
+def test_best_products_pair_no_vectors_on_disk(spark, monkeypatch):
+    """Nulls, NaN, vectors of other lengths and none, over many groups, against sums of pairs; the plan joins no vectors."""
+    rnd = random.Random(5)
+    rows = [(i, [rnd.choice([None, rnd.uniform(-1, 1), rnd.uniform(-1, 1)]) for _ in range(rnd.choice([3, 5, 8]))], rnd.choice([None, 1, 2, 3])) for i in range(300)]
+    rows[7], rows[20], rows[40], rows[100] = (7, None, 1), (20, [], 2), (40, [None, None, None], 3), (100, [0.5, float("nan"), 1.0], 2)
+    table = spark.createDataFrame(rows, "id long, vector array<float>, label int")
+    monkeypatch.setattr(joins, "GROUP", 200)  # forty groups or so
+    plan = joins.best_products(table.where("id % 10 = 0").drop("label"), table)
+    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = {(r["id"], r["label"]): r["score"] for r in plan.collect()}
+    part = table.select("id", "label", F.posexplode("vector").alias("k", "x"))
+    asked = part.where("id % 10 = 0").select(F.col("id").alias("a"), "k", F.col("x").alias("y"))
+    pairs = part.join(asked, "k").where("id <> a").groupBy("a", "id", "label").agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double")).alias("s"))
+    want = {(r["a"], r["label"]): r["s"] for r in pairs.groupBy("a", "label").agg(F.max("s").alias("s")).collect()}
+    assert got.keys() == want.keys() and len(got) > 100
+    assert all(got[k] == pytest.approx(want[k], nan_ok=True) if want[k] is not None else got[k] is None for k in want)
+
+
+def test_best_tag_of_scores(spark):
+    from fabula.operators import speaker_model
+
+    rows = [(1, None, 3.0), (1, "#g1", 2.0), (2, "#g2", float("nan")), (2, "#g1", 9.0), (3, "#g5", None), (3, "#g1", 0.1), (4, None, 1.0), (5, "#g2", 1.0), (5, "#g1", 1.0)]
+    got = {r["id"]: r["decision"] for r in speaker_model.best_by_text(spark.createDataFrame(rows, "id long, gid string, score double"), 0.05).collect()}
+    assert got == {1: "#g1", 2: "#g2", 3: "#g1", 4: None, 5: "#g1"}
