@@ -113,7 +113,7 @@ def q_attribute(spark, d):
 
 def q_characters(spark, d):
     """The characters of every conversation's legend."""
-    return legend.characters(script_queries.named(spark, d)).select("doc_id", "gid", "gender", F.array_join("names", "/").alias("names"))
+    return legend.characters(script_queries.named_by_region(spark, d)).select("doc_id", "gid", "gender", F.array_join("names", "/").alias("names"))
 
 
 def q_aliases(spark, d):

@@ -266,7 +266,9 @@ FROM q s LEFT JOIN q o ON s.doc_id = o.doc_id AND o.line_no BETWEEN s.line_no -
         "typed AS (SELECT *, hint IS NULL OR gender IS NULL OR gender = hint AS ok FROM kept)",
         "g AS (SELECT *, max(ok) OVER (PARTITION BY doc_id, line_no) AS any_ok FROM typed)",
     ),
-    "characters": f"WITH {_FORMS} SELECT DISTINCT conv_id AS doc_id, gid, CASE gid WHEN '#g2' THEN 'F' WHEN '#g3' THEN 'M' END AS gender, upper(left(form, 1)) || substr(form, 2) AS names FROM conversations CROSS JOIN forms",
+    "characters": f"""WITH {_FORMS}, {_NATION}, c AS (SELECT DISTINCT conv_id AS doc_id FROM conversations)
+SELECT doc_id, gid, CASE gid WHEN '#g2' THEN 'F' WHEN '#g3' THEN 'M' END AS gender, upper(left(form, 1)) || substr(form, 2) AS names FROM c CROSS JOIN forms
+UNION ALL SELECT c.doc_id, gid, CASE r WHEN 0 THEN 'F' WHEN 1 THEN 'M' END AS gender, a || '/' || b AS names FROM c JOIN n ON n.doc_id = c.doc_id % 5""",
     "scene_spans": _with(
         "SELECT doc_id, label, min(line_no)::INT AS start_line, max(line_no)::INT AS end_line FROM s WHERE label IS NOT NULL GROUP BY doc_id, label",
         r"s AS (SELECT *, last_value(CASE WHEN regexp_matches(body, '(?i)^\s*(?:глава|розділ|частина)\s+(?:\d+|[IVXLCDM]+)\.?\s*$') THEN body END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS label FROM script)",

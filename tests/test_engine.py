@@ -111,3 +111,12 @@ def test_stream_of_levels_gives_what_the_table_gives(spark, tmp_path):
 def test_process_renders(spark):
     docs, legends = Q._scripts(spark)
     assert "#g2: — Я забула" in attribution_plan.process(docs, legends).first()["text"]
+
+
+@pytest.mark.parametrize(("name", "whole", "key"), [("characters", "legend_characters", ("doc_id", "gid", "gender"))])
+def test_legends_of_conversations_hold_all_of_a_region(spark, name, whole, key):
+    """What the nations' legends give, each conversation of that region has too, and the four characters besides."""
+    rows = lambda q: {tuple(r[c] for c in key) for r in Q.QUERIES[q](spark, DATA).collect()}
+    got, nations = rows(name), rows(whole)
+    docs = {r[0] for r in got}
+    assert {(d, *r[1:]) for d in docs for r in nations if r[0] == d % 5} <= got and len(docs) == spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id").distinct().count()
