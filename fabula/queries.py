@@ -118,7 +118,7 @@ def q_characters(spark, d):
 
 def q_aliases(spark, d):
     """The names of every conversation's legend."""
-    return legend.aliases(script_queries.named(spark, d)).select("doc_id", "alias", "gid")
+    return legend.aliases(script_queries.named_by_region(spark, d)).select("doc_id", "alias", "gid")
 
 
 def q_scene_spans(spark, d):

@@ -177,7 +177,9 @@ UNION ALL SELECT 'macro', round(avg(precision), 6), round(avg(recall), 6), round
     "legend_characters": f"WITH {_NATION} SELECT doc_id, gid, a || '|' || b AS names, CASE r WHEN 2 THEN 'головна героїня|друг' ELSE attr END AS roles, CASE r WHEN 0 THEN 'F' WHEN 1 THEN 'M' END AS gender, r = 2 AS first_person FROM n",
     "legend_aliases": f"""WITH {_NATION}, k AS (SELECT doc_id, gid, n_nationkey, unnest([{_KEY.format('a')}, {_KEY.format('b')}, attr, CASE r WHEN 0 THEN 'мамо' WHEN 1 THEN 'діду' END, CASE r WHEN 2 THEN 'головна героїня' END]) AS alias FROM n)
 SELECT doc_id, alias, arg_min(gid, n_nationkey) AS gid FROM k WHERE alias IS NOT NULL GROUP BY doc_id, alias""",
-    "aliases": f"WITH {_FORMS} SELECT DISTINCT conv_id AS doc_id, form AS alias, gid FROM conversations CROSS JOIN forms",
+    "aliases": f"""WITH {_FORMS}, {_NATION}, k AS (SELECT doc_id, gid, n_nationkey, unnest([{_KEY.format('a')}, {_KEY.format('b')}, attr, CASE r WHEN 0 THEN 'мамо' WHEN 1 THEN 'діду' END, CASE r WHEN 2 THEN 'головна героїня' END]) AS alias FROM n),
+c AS (SELECT DISTINCT conv_id AS doc_id FROM conversations), a AS (SELECT doc_id, alias, arg_min(gid, n_nationkey) AS gid FROM k WHERE alias IS NOT NULL GROUP BY doc_id, alias)
+SELECT doc_id, form AS alias, gid FROM c CROSS JOIN forms UNION ALL SELECT c.doc_id, alias, gid FROM c JOIN a ON a.doc_id = c.doc_id % 5""",
     "legend_fallback_aliases": f"""WITH {_NATION}, k AS (SELECT doc_id, gid, n_nationkey, unnest([lower(a), lower(b), attr, CASE r WHEN 0 THEN 'мамо' WHEN 1 THEN 'діду' END]) AS alias FROM n WHERE doc_id <> 0)
 SELECT doc_id, alias, arg_min(gid, n_nationkey) AS gid FROM k WHERE alias IS NOT NULL GROUP BY doc_id, alias""",
     "legend_first_person": f"WITH {_NATION} SELECT doc_id, coalesce(arg_min(gid, n_nationkey) FILTER (r = 2), max(gid) FILTER (gid = '#g2')) AS first_person_gid FROM n GROUP BY doc_id",

@@ -113,7 +113,7 @@ def test_process_renders(spark):
     assert "#g2: — Я забула" in attribution_plan.process(docs, legends).first()["text"]
 
 
-@pytest.mark.parametrize(("name", "whole", "key"), [("characters", "legend_characters", ("doc_id", "gid", "gender"))])
+@pytest.mark.parametrize(("name", "whole", "key"), [("characters", "legend_characters", ("doc_id", "gid", "gender")), ("aliases", "legend_aliases", ("doc_id", "alias", "gid"))])
 def test_legends_of_conversations_hold_all_of_a_region(spark, name, whole, key):
     """What the nations' legends give, each conversation of that region has too, and the four characters besides."""
     rows = lambda q: {tuple(r[c] for c in key) for r in Q.QUERIES[q](spark, DATA).collect()}
