@@ -1,9 +1,9 @@
 """Rules that see their own earlier decisions: one ordered pass over each document's lines.
 
 Such a rule can't be a window, since a line's speaker depends on speakers
-given to earlier lines by the same rule. Spark groups lines by document; a
-group is one manuscript's lines with their tags, never a corpus. Consecutive
-rules run in one grouping. A rule that raises on a document leaves that
+given to earlier lines by the same rule. Spark deals lines out by document and
+sorts them; a task holds one batch of rows and the lines of the document that
+it ends in, never a corpus. Consecutive rules run in one pass. A rule that raises on a document leaves that
 document as it was, and the document's first line notes it in ``faults``.
 """
 
@@ -13,9 +13,11 @@ import json
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,23 +63,29 @@ def _bare(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).lower()
 
 
+@lru_cache(maxsize=64)
+def _automaton(gid_of: tuple[tuple[str, str], ...]) -> Names:
+    return Names(dict(gid_of))
+
+
 class Script:
     """One document's lines as lists, and what its legend says.
 
     about: alias (name to gid), gender (gid to M or F), me, vocatives (form to
     gids), allowed and forbidden (gid to scenes); block and scene: of each line."""
 
-    def __init__(self, lines: pd.DataFrame, about: dict):
-        text = lambda c: [x if isinstance(x, str) else None for x in lines[c]] if c in lines else [None] * len(lines)
+    def __init__(self, lines: pd.DataFrame | Mapping[str, list], about: dict):
+        n = len(lines["gid"])
+        text = lambda c: [x if isinstance(x, str) else None for x in lines[c]] if c in lines else [None] * n
         self.gid, self.scene = text("gid"), text("scene")
         self.body = [b or "" for b in text("body")]
-        self.block = [None if pd.isna(b) else int(b) for b in lines["block_id"]] if "block_id" in lines else [None] * len(lines)
+        self.block = [None if pd.isna(b) else int(b) for b in lines["block_id"]] if "block_id" in lines else [None] * n
         of = lambda k: about.get(k) or {}
         self.alias, self.gender, self.me = of("alias"), of("gender"), about.get("me")
         self.allowed, self.forbidden = of("allowed"), of("forbidden")
-        self.names = Names(self.alias)
+        self.names = _automaton(tuple(self.alias.items()))
         self.vocatives = of("vocatives")
-        self.forms = Names({v: v for v in self.vocatives})
+        self.forms = _automaton(tuple((v, v) for v in self.vocatives))
         self.audit: list[tuple[int, str, str, str]] = []
 
     def dialog(self, i: int) -> bool:
@@ -377,32 +385,59 @@ def apply_rules(s: Script, rules: tuple[Rule, ...]) -> list[tuple[str, str]]:
     return faults
 
 
+@lru_cache(maxsize=64)
+def _legend(spec: str | None) -> dict:
+    return json.loads(spec) if spec else {}
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Rows sorted by document as tables of whole documents, and the places where a document begins, the end included."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("doc_id").to_pylist()
+        before = sum(b.num_rows for b in held)
+        starts = [i for i in range(len(ids)) if ids[i] != (ids[i - 1] if i else last)] if held else [i for i in range(1, len(ids)) if ids[i] != ids[i - 1]]
+        last = ids[-1]
+        if not starts:
+            held.append(batch)
+            continue
+        yield pa.Table.from_batches([*held, batch.slice(0, starts[-1])]), [0, *(before + i for i in starts)]
+        held = [batch.slice(starts[-1])]
+    if held:
+        yield pa.Table.from_batches(held), [0, sum(b.num_rows for b in held)]
+
+
 def fold(lines: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``lines`` after the rules, in order, in one grouping by document, with ``reason`` (what ``consensus`` changed) and ``faults`` (on a document's first line, what raised); ``cast`` goes.
+    """``lines`` after the rules, in order, in one pass by document, with ``reason`` (what ``consensus`` changed) and ``faults`` (on a document's first line, what raised); ``cast`` goes.
 
     lines: with cast; faults of earlier folds stay."""
     if "faults" not in lines.columns:
         lines = lines.withColumn("faults", F.lit(None).cast(FAULTS))
     first = F.row_number().over(in_order()) == 1
     about = F.to_json(F.struct(*(F.col(f"cast.{c}").alias(c) for c in ("alias", "gender", "me", "vocatives", "allowed", "forbidden"))))
-    rows = lines.withColumn("_about", F.when(first, about)).withColumn("faults", F.to_json("faults")).drop("cast", "reason")
+    rows = lines.repartition("doc_id").withColumn("_about", F.when(first, about)).withColumn("faults", F.to_json("faults")).drop("cast", "reason")
     names = [c for c in rows.columns if c != "_about"]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("line_no", kind="stable").reset_index(drop=True)
-        spec = group["_about"].iloc[0]
-        s = Script(group, json.loads(spec) if isinstance(spec, str) else {})
-        faults = apply_rules(s, rules)
-        reason: list[str | None] = [None] * len(group)
-        for i, _, _, why in s.audit:
-            reason[i] = why
-        if faults:
-            old = group["faults"].iloc[0]
-            group.loc[0, "faults"] = json.dumps([*(json.loads(old) if isinstance(old, str) else []), *({"rule": r, "error": e} for r, e in faults)])
-        return group[names].assign(gid=pd.Series(s.gid, dtype=object), reason=pd.Series(reason, dtype=object))
-
-    kinds = dict(rows.dtypes) | {"reason": "string"}
-    out = rows.groupBy("doc_id").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (*names, "reason")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in _documents(batches):
+            read = {c: table.column(c).to_pylist() for c in ("gid", "body", "scene", "block_id", "faults", "_about") if c in table.column_names}
+            gids, reasons, noted = [], [None] * table.num_rows, read["faults"]
+            for start, end in zip(at, at[1:], strict=False):
+                s = Script({c: v[start:end] for c, v in read.items()}, _legend(read["_about"][start]))
+                faults = apply_rules(s, rules)
+                gids += s.gid
+                for i, _, _, why in s.audit:
+                    reasons[start + i] = why
+                if faults:
+                    noted[start] = json.dumps([*json.loads(noted[start] or "[]"), *({"rule": r, "error": e} for r, e in faults)])
+            new = {"gid": gids, "reason": reasons, "faults": noted}
+            yield from pa.table([pa.array(new[c], pa.string()) if c in new else table.column(c) for c in out_names], out_names).to_batches()
+
+    kinds, out_names = dict(rows.dtypes) | {"reason": "string"}, [*names, "reason"]
+    out = rows.sortWithinPartitions("doc_id", "line_no").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in out_names))
     return out.withColumn("faults", F.from_json("faults", FAULTS))
 
 

@@ -277,3 +277,33 @@ def test_sounds_of_whole_texts_are_searched_only_where_a_rule_can_match(spark):
     began = time.time()
     effects.tag_text("слово за словом " * 200_000, rules)  # 3.2 million letters, some 3 s with each pattern
     assert time.time() - began < 1.5
+
+
+def test_folds_take_many_documents_in_a_batch(spark):
+    """Documents of many lengths that begin and end anywhere in batches of seven rows, against each on its own; no group of rows is made for each document."""
+    from fabula.operators import folds
+
+    rnd = random.Random(3)
+    docs = [[(rnd.choice(["#g?", "#g2", "#g3", None]), rnd.choice(["— Мамо, так?", "— ні", "він каже", ""])) for _ in range(rnd.choice([1, 2, 6, 7, 8, 30]))] for _ in range(40)]
+    rows = spark.createDataFrame([(d, i, g, b) for d, x in enumerate(docs) for i, (g, b) in enumerate(x)], "doc_id long, line_no int, gid string, body string")
+    named = spark.createDataFrame([(d, f"#g{k}", n, k) for d in range(0, 40, 2) for k, n in ((2, "Мама (F)"), (3, "Тато (M)"))], "doc_id long, gid string, name string, ord int")
+    lines = legend.attach(rows, legend.cast(named))
+
+    def odd(s):
+        if len(s.gid) == 7:
+            raise ValueError("seven")
+
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        out = folds.fold(lines, (*folds.RULES, odd))
+        assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {(r["doc_id"], r["line_no"]): r for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    casts = {r["doc_id"]: r["cast"].asDict(True) for r in legend.cast(named).collect()}
+    assert len(got) == sum(map(len, docs))
+    for d, x in enumerate(docs):
+        s = folds.Script(pd.DataFrame(x, columns=["gid", "body"]), {k: v for k, v in casts.get(d, {}).items() if k in ("alias", "gender", "me", "vocatives", "allowed", "forbidden")})
+        folds.apply_rules(s, folds.RULES)
+        assert [got[d, i]["gid"] for i in range(len(x))] == s.gid
+        assert [[tuple(f) for f in got[d, i]["faults"] or []] for i in range(len(x))] == [[("odd", "ValueError: seven")] * (i == 0 and len(x) == 7) for i in range(len(x))]
