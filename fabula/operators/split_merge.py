@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..lines import in_order, is_dialog, renumber
+from .folds import documents
+
+_OPENING, _CLOSED = ("«", '"', "“"), ("»", '"', "”")
 
 
 def _exploded(lines: DataFrame, parts) -> DataFrame:
     """Each line as its parts (struct<gid, body>), in order, numbered anew."""
-    out = lines.withColumn("_parts", parts).select("*", F.posexplode("_parts").alias("_k", "_part"))
+    # parts are never empty; without "outer" the planner filters by their number first, which makes them several times
+    out = lines.withColumn("_parts", parts).select("*", F.posexplode_outer("_parts").alias("_k", "_part"))
     out = out.withColumns({"gid": F.col("_part.gid"), "body": F.col("_part.body")})
     return renumber(out, "_k").select(lines.columns)
 
@@ -32,16 +37,17 @@ def split_mixed(lines: DataFrame) -> DataFrame:
 def extract_attribution(lines: DataFrame) -> DataFrame:
     """Speech with closed quotations: each quotation keeps the speaker, the text between them becomes the narrator's."""
     quoted = "[«\"“][^«»\"“”]*[»\"”]"
-    pieces = F.regexp_extract_all("body", F.lit(rf"({quoted}|[^«\"“]+)"), F.lit(1))
-    told = lambda t: F.trim(F.regexp_replace(t, rf"^[\s,{L.DASHES}]+|[\s,{L.DASHES}]+$", ""))
-    part = lambda t: F.struct(F.when(t.rlike(f"^{quoted}$"), F.col("gid")).otherwise(F.lit("#g1")).alias("gid"), F.when(t.rlike(f"^{quoted}$"), t).otherwise(told(t)).alias("body"))
-    parts = F.filter(F.transform(pieces, part), lambda p: p["body"] != "")
-    mixed = F.col("gid").isNotNull() & (F.col("gid") != "#g1") & F.col("body").rlike(quoted)
-    whole = F.array(F.struct(F.col("gid").alias("gid"), F.col("body").alias("body")))
-    return _exploded(lines, F.when(F.coalesce(mixed, F.lit(False)) & (F.size(parts) > 0), parts).otherwise(whole))
+    mixed = F.coalesce(F.col("gid").isNotNull() & (F.col("gid") != "#g1") & F.col("body").rlike(quoted), F.lit(False))
+    marked = lines.withColumn("_mixed", mixed)
+    pieces = F.when(F.col("_mixed"), F.regexp_extract_all("body", F.lit(rf"({quoted}|[^«\"“]+)"), F.lit(1))).otherwise(F.array("body"))
+    each = marked.withColumn("_pieces", pieces).select("*", F.posexplode_outer("_pieces").alias("_k", "_piece"))
+    # only a quotation holds an opening mark
+    told = F.col("_mixed") & ~F.substring("_piece", 1, 1).isin(*_OPENING)
+    text = F.when(told, F.trim(F.regexp_replace("_piece", rf"^[\s,{L.DASHES}]+|[\s,{L.DASHES}]+$", ""))).otherwise(F.col("_piece"))
+    each = each.withColumns({"gid": F.when(told, F.lit("#g1")).otherwise(F.col("gid")), "body": text}).where("not _mixed or body <> ''")
+    return renumber(each, "_k").select(lines.columns)
 
 
-_OPENING, _CLOSED = ("«", '"', "“"), ("»", '"', "”")
 _SPEAKER = re.compile(r"#g\d+")
 
 
@@ -98,18 +104,26 @@ def merged_runs(gids: list[str | None], bodies: list[str]) -> list[tuple[int, st
 def merge_dialogs(lines: DataFrame) -> DataFrame:
     """Speech that the narrator's lines or line breaks cut becomes one line (``merged_runs``), in one ordered pass over each document; numbered anew."""
     kinds = dict(lines.drop("cast").dtypes)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("line_no", kind="stable").reset_index(drop=True)
-        rows = merged_runs([g if isinstance(g, str) else None for g in group["gid"]], [b or "" for b in group["body"]])
-        out = group.iloc[[r[0] for r in rows]].reset_index(drop=True)
-        return out.assign(line_no=range(len(rows)), gid=pd.Series([r[1] for r in rows], dtype=object), body=[r[2] for r in rows])
-
-    plain = lines.drop("cast")
+    plain = lines.drop("cast").repartition("doc_id")
     nested = [c for c, k in kinds.items() if k.startswith(("array", "struct", "map"))]
-    for c in nested:  # as text through pandas
+    for c in nested:  # as text through Arrow
         plain = plain.withColumn(c, F.to_json(c))
-    out = plain.groupBy("doc_id").applyInPandas(run, ", ".join(f"{c} {'string' if c in nested else k}" for c, k in kinds.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in documents(batches):
+            gids, bodies = table.column("gid").to_pylist(), [b or "" for b in table.column("body").to_pylist()]
+            new = {"line_no": [], "gid": [], "body": []}
+            rows = []
+            for start, end in zip(at, at[1:], strict=False):
+                merged = merged_runs(gids[start:end], bodies[start:end])
+                rows += [start + i for i, _, _ in merged]
+                new["line_no"] += range(len(merged))
+                new["gid"] += [g for _, g, _ in merged]
+                new["body"] += [b for _, _, b in merged]
+            kept = table.take(pa.array(rows, pa.int64()))
+            yield from pa.table([pa.array(new[c], kept.column(c).type) if c in new else kept.column(c) for c in kinds], list(kinds)).to_batches()
+
+    out = plain.sortWithinPartitions("doc_id", "line_no").mapInArrow(run, ", ".join(f"{c} {'string' if c in nested else k}" for c, k in kinds.items()))
     for c in nested:
         out = out.withColumn(c, F.from_json(c, kinds[c]))
     return out

@@ -69,21 +69,22 @@ def rank_title_leadin(lines: DataFrame) -> DataFrame:
     """Unknown speech without an own name gets the first character named in the narration two lines or one line before, or the chief where a title stands there.
 
     Names are found as substrings, as in the rule's text: the earliest legend entry wins."""
-    told = F.when(F.col("gid").isNull() | (F.col("gid") == "#g1"), F.lower("body"))
+    lines = lines.withColumn("_told", F.when(F.col("gid").isNull() | (F.col("gid") == "#g1"), F.lower("body")))
+    told = F.col("_told")
     named = F.filter("cast.names", lambda n: told.contains(n["alias"]))
     found = F.coalesce(F.try_element_at(named, F.lit(1))["gid"], F.when(told.rlike(_WORDS % L.TITLES), F.col("cast.chief")))
     w = in_order()
     marked = lines.withColumn("_found", found)
     marked = marked.withColumn("_lead", F.coalesce(F.lag("_found", 2).over(w), F.lag("_found", 1).over(w)))
     free = (F.col("gid") == "#g?") & is_dialog(F.col("body")) & ~F.col("body").rlike(OWN_NAME)
-    return marked.withColumn("gid", F.when(free, F.coalesce("_lead", "gid")).otherwise(F.col("gid"))).drop("_found", "_lead")
+    return marked.withColumn("gid", F.when(free, F.coalesce("_lead", "gid")).otherwise(F.col("gid"))).drop("_found", "_lead", "_told")
 
 
 def first_person_leadin(lines: DataFrame) -> DataFrame:
     """"I say:" hands the next speech within three lines to the first person, tagged or not; so does "— said I" at a line's end.
 
     The lead-in holds until the first speech after it: no earlier speech may lie between."""
-    leads = F.col("body").rlike(rf"(?iuU)(?:{L.FIRST_PERSON_LEADIN})\s*:\s*$")
+    leads = F.col("body").rlike(r"(?U):\s*$") & F.col("body").rlike(rf"(?iuU)(?:{L.FIRST_PERSON_LEADIN})\s*:\s*$")
     speech = is_dialog(F.col("body"))
     free = speech & (F.col("gid").isNull() | (F.col("gid") == "#g?"))
     marked = lines.withColumns({"_lead": leads & ~speech, "_free": free})
@@ -112,7 +113,7 @@ def mark_blocks(lines: DataFrame) -> DataFrame:
     marked = lines.withColumn("_mark", F.coalesce(needed, F.lit(False)))
     own = F.struct(F.col("gid").alias("gid"), F.col("body").alias("body"))
     parts = F.when(F.col("_mark"), F.array(F.struct(F.lit("#g1").alias("gid"), F.lit(BOUNDARY).alias("body")), own)).otherwise(F.array(own))
-    out = marked.select("*", F.posexplode(parts).alias("_k", "_part")).withColumns({"gid": F.col("_part.gid"), "body": F.col("_part.body")})
+    out = marked.select("*", F.posexplode_outer(parts).alias("_k", "_part")).withColumns({"gid": F.col("_part.gid"), "body": F.col("_part.body")})
     return renumber(out, "_k").select(lines.columns)
 
 

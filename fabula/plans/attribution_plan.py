@@ -51,8 +51,17 @@ RULES.rule(98, 0, "block_markers")(normalize.remove_block_markers)
 _LINES = ("doc_id", "line_no", "raw", "indent", "gid", "body")
 
 
+def casts_of(legends: DataFrame) -> DataFrame:
+    """(doc_id, cast) of legends (doc_id, text); documents whose legends are the same text share one, made once."""
+    texts = legends.groupBy("doc_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("text"))), 256).alias("_text"))
+    kinds = texts.groupBy("_text").agg(F.min("doc_id").alias("_like"))
+    made = legend.cast(legend.parse_legend(legends.join(kinds, F.col("doc_id") == F.col("_like"), "left_semi")))
+    like = texts.join(kinds, "_text").select("doc_id", "_like")
+    return like.join(made.withColumnRenamed("doc_id", "_like"), "_like").select("doc_id", "cast")
+
+
 def _attributed(docs: DataFrame, legends: DataFrame, skip: tuple[str, ...]) -> DataFrame:
-    casts = checkpointed(legend.cast(legend.parse_legend(legends)))  # each fold attaches it anew
+    casts = checkpointed(casts_of(legends))  # each fold attaches it anew
     lines = RULES.run(parse_lines(docs), casts, skip)
     return normalize.collapse_same_tags(normalize.demote_narrator_dialogs(normalize.narrator_fallback(lines)))
 

@@ -4,12 +4,14 @@ import json
 import random
 import re
 import time
+import unicodedata
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fabula.operators import chunks, effects, joins, legend, mentions
+from fabula.operators import chunks, effects, folds, joins, legend, mentions, split_merge
+from fabula.plans import attribution_plan
 from fabula.sources import text as sources
 from fabula.streaming import utterances as U
 
@@ -307,3 +309,46 @@ def test_folds_take_many_documents_in_a_batch(spark):
         folds.apply_rules(s, folds.RULES)
         assert [got[d, i]["gid"] for i in range(len(x))] == s.gid
         assert [[tuple(f) for f in got[d, i]["faults"] or []] for i in range(len(x))] == [[("odd", "ValueError: seven")] * (i == 0 and len(x) == 7) for i in range(len(x))]
+
+
+def test_documents_with_one_legend_share_its_cast(spark):
+    a, b = "#g1 - Оповідач\n#g2 - Мама (F)", "#g1 - Автор\n#g3 - Тато (M)"
+    legends = spark.createDataFrame([(1, a), (2, b), (3, a), (4, None), (5, a), (5, b)], "doc_id long, text string")
+    as_text = lambda casts: {r["doc_id"]: json.loads(r["c"] or "null") for r in casts.select("doc_id", F.to_json("cast").alias("c")).collect()}
+    got, each = as_text(attribution_plan.casts_of(legends)), as_text(legend.cast(legend.parse_legend(legends)))
+    assert {k: v for k, v in got.items() if v} == each and set(each) == {1, 2, 3, 5}
+    # the legend is parsed once a text: no more rows reach the cast than texts
+    seen = []
+    whole = legend.parse_legend
+    try:
+        legend.parse_legend = lambda t: (seen.append(t.select("doc_id").distinct().count()), whole(t))[1]
+        attribution_plan.casts_of(spark.createDataFrame([(i, a) for i in range(50)], "doc_id long, text string"))
+    finally:
+        legend.parse_legend = whole
+    assert seen == [1]
+
+
+def test_merging_takes_many_documents_in_a_batch(spark, capfd):
+    rows = [(d, i, g, b) for d in range(200) for i, (g, b) in enumerate([("#g2", "«Так»"), ("#g1", "сказала вона."), ("#g2", "«Ні»")])]
+    lines = spark.createDataFrame(rows, "doc_id long, line_no int, gid string, body string").withColumn("cast", F.lit(None).cast("string"))
+    out = split_merge.merge_dialogs(lines.repartition(3))
+    assert {(r["line_no"], r["gid"], r["body"]) for r in out.collect()} == {(0, "#g2", "«Так» Ні")} and out.count() == 200
+    out.explain()
+    assert "FlatMapGroupsInPandas" not in capfd.readouterr().out
+
+
+def test_patterns_of_the_parts_of_a_line_are_searched_once(spark):
+    lines = spark.createDataFrame([(1, 0, "#g3", "«Так» — сказав «тато", None)], "doc_id long, line_no int, gid string, body string, cast string")
+    for rule in (split_merge.extract_attribution, split_merge.split_mixed):
+        plan = rule(lines)._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("size(" in part and "Filter" in part for part in plan.splitlines())
+    assert [(r["gid"], r["body"]) for r in split_merge.extract_attribution(lines).orderBy("line_no").collect()] == [("#g3", "«Так»"), ("#g1", "сказав"), ("#g1", "тато")]
+
+
+def test_whole_words_without_regard_to_case():
+    words = folds._words("він|вона")
+    for text, found in (("І ВІН каже", True), ("Вона", True), ("вінок", False), ("\u1c80ін", True), ("мо\u1c81", False), ("İ він", True)):
+        assert bool(words.search(text)) is found is bool(words.any_case.search(text))
+    for body in ("  Ма́мо, де ти?", "й" * 300, "", "   " * 100 + "Тато, а"):
+        whole = "".join(c for c in unicodedata.normalize("NFD", body) if not unicodedata.combining(c)).lstrip()[:90]
+        assert folds._start(body) == whole
