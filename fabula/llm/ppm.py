@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,16 @@ def unpaired(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (tag << _SYMBOL_AT) | (q & _CONTEXT), ((q >> _SYMBOL_AT) & np.uint64(255)).astype(np.int64), tag.astype(np.int64) - 1
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, a place of each, the number of each value among them); no stable sort, as equal ones may stand for each other."""
+    order = np.argsort(h)
+    s = h[order]
+    new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
+    back = np.empty(len(h), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return s[new], order[new], back
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(root, h, word, n, n_train): the distinct words of each chunk; where root holds, h is a pair of fewer than ROOT bytes, with its count."""
     for batch in batches:
@@ -89,7 +100,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends, rows = word_spans(data, offs)
             if not len(starts):
                 continue
-            h, where, back = np.unique(span_hashes(LOWER_VALUES[data], starts, ends), return_index=True, return_inverse=True)
+            h, where, back = distinct(span_hashes(LOWER_VALUES[data], starts, ends))
             low = LOWER[data].astype(np.uint8)
             size = (ends - starts)[where]
             cuts = np.r_[0, np.cumsum(size)]
@@ -103,17 +114,16 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def root_counts(text: Text, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(pairs, counts) of all contexts of fewer than ROOT bytes in the training texts."""
     s, size = text.stream, np.diff(np.r_[text.blanks, len(text.stream)])
-    inner = np.arange(len(s)) - np.repeat(text.blanks, size)
-    at = np.flatnonzero((inner > 0) & np.repeat(train, size))
-    known, code = np.unique(s, return_inverse=True)
-    code, k = code.ravel(), len(known)
+    known = np.flatnonzero(np.bincount(s, minlength=256)).astype(np.uint8)
+    code, k = np.searchsorted(known, np.arange(256))[s], len(known)
+    key, use = code, np.repeat(train, size)
     out, counts = [], []
     for order in range(ROOT):
-        some = at[inner[at] >= order]
-        key = code[some].astype(np.int64)
-        for j in range(1, order + 1):
-            key = key + code[some - j] * k**j
-        c = np.bincount(key, minlength=1)
+        if order:  # keys of the symbols from number ``order`` on
+            key = key[1:] + code[: max(len(s) - order, 0)] * k**order
+        short = max(order - 1, 0)  # a text's blank is no symbol; the one of this number has fewer bytes before it
+        use[text.blanks[size > short] + short] = False
+        c = np.bincount(key[use[order:]], minlength=1)
         hit = np.flatnonzero(c)
         packed = np.zeros(len(hit), np.uint64)
         for j in range(1, order + 1):
@@ -149,7 +159,6 @@ class Text:
         ends_at = np.cumsum(self.size) + self.rows + 1
         self.first = ends_at - self.size
         self.blanks = np.r_[0, ends_at[np.searchsorted(self.rows, text, "right") - 1]][:-1]  # each text begins with one
-        begin = self.blanks[self.rows]
         self.stream = np.full(ends_at[-1], BLANK, np.uint8)
         place = np.empty(len(row), np.int64)
         place[order] = self.first
@@ -158,14 +167,16 @@ class Text:
         self.stream[np.repeat(place[: len(rows)], size) + inner] = low[np.repeat(starts, size) + inner]
         self.stream[place[len(rows) :]] = END
 
-        self.heads = np.zeros(len(row), np.uint64)
-        for j in range(TAIL, -HEAD, -1):  # the bytes before the blank, then the word's symbols
-            if j:
-                at = self.first - 1 - j
-                there = at >= begin if j > 0 else -j <= self.size
-                self.heads = self.heads << _EIGHT | np.where(there, self.stream[np.clip(at, 0, len(self.stream) - 1)], NONE).astype(np.uint64)
-        last = np.where(HEAD <= self.size, self.stream[np.clip(self.first + HEAD - 1, 0, len(self.stream) - 1)], NONE)
-        self.heads = self.heads << _EIGHT | last.astype(np.uint64)
+    @cached_property
+    def heads(self) -> np.ndarray:
+        """Of each word and end the bytes before the blank, then its first symbols."""
+        begin, end = self.blanks[self.rows], len(self.stream) - 1
+        out = np.zeros(len(self.rows), np.uint64)
+        for j in (*range(TAIL, 0, -1), *range(-1, -HEAD - 1, -1)):
+            at = self.first - 1 - j
+            there = at >= begin if j > 0 else -j <= self.size
+            out = out << _EIGHT | np.where(there, self.stream[np.clip(at, 0, end)], NONE).astype(np.uint64)
+        return out
 
 
 def head_contexts(heads: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

@@ -178,3 +178,25 @@ def test_null_texts_are_empty_ones_and_repeated_rows_are_alike(spark, name):
         got.setdefault(x["doc_id"], []).append(tuple(v for k, v in x.asDict().items() if k != "doc_id"))
     assert {k: len(v) for k, v in got.items()} == {1: 1, 2: 1, 3: 2, None: 1, 4: 1}
     assert got[1] == got[2] and got[3][0] == got[3][1]
+
+
+def test_counts_of_short_contexts_and_distinct_words():
+    """Against a loop over texts; what only a text's heads need is not made for counts."""
+    r = np.random.default_rng(5)
+    texts = ["".join(r.choice(list("abЇ  \n"), r.integers(0, 12))) for _ in range(60)] + ["", " ", "a"]
+    train = r.random(len(texts)) < 0.6
+    raw = [t.encode() for t in texts]
+    text = ppm.Text(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(t) for t in raw])])
+    q, n = ppm.root_counts(text, train)
+    assert "heads" not in vars(text)
+    want = Counter()
+    for t, learnt in zip(raw, train, strict=True):
+        s = b" " + b"".join(w + b" " for w in t.split()) + b"\n"
+        for i in range(1, len(s)):
+            for order in range(min(i, ppm.ROOT - 1) + 1):
+                packed = sum(s[i - j] << (48 - 8 * j) for j in range(1, order + 1))
+                want[(order + 1) << 56 | s[i] << 48 | packed] += int(learnt)
+    assert dict(zip(q.tolist(), n.tolist(), strict=True)) == {k: v for k, v in want.items() if v}
+    h = r.integers(0, 50, 400).astype(np.uint64)
+    values, where, back = ppm.distinct(h)
+    assert values.tolist() == sorted(set(h.tolist())) and (h[where] == values).all() and (values[back] == h).all()
