@@ -10,7 +10,7 @@ THRESHOLD, MARGIN, TOP = 0.25, 0.01, 5
 
 def tfidf(texts: DataFrame) -> DataFrame:
     """(id, token, w): L2-normed weights of texts (id, text); tokens of two letters or more, idf = ln((1 + n) / (1 + df)) + 1."""
-    tokens = texts.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+    tokens = texts.select("id", F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))).alias("token")).where("token is not null").groupBy("id", "token").agg(F.count("*").alias("tf"))
     n = texts.agg(F.count_distinct("id").alias("n"))  # one row
     df = tokens.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = tokens.join(df, "token").select("id", "token", (F.col("tf") * F.col("idf")).alias("x"))

@@ -66,16 +66,13 @@ def unknown_lines(lines: DataFrame) -> DataFrame:
     return lines.where("gid = '#g?'").select("doc_id", "line_no", "body")
 
 
-def around(lines: DataFrame, reach: int) -> DataFrame:
-    """(doc_id, line_no, at, gid, body): of each unknown line the lines within ``reach`` of it, itself included; an equi-join on line numbers."""
-    spread = lines.select("doc_id", F.col("line_no").alias("at"), "gid", "body", F.explode(F.sequence(F.col("line_no") - reach, F.col("line_no") + reach)).alias("line_no"))
-    return spread.join(lines.where("gid = '#g?'").select("doc_id", "line_no"), ["doc_id", "line_no"])
-
-
 def queries(lines: DataFrame, reach: int) -> DataFrame:
     """(doc_id, line_no, text): each unknown line's text, then that of the lines of known speakers around it, in order."""
-    near = around(lines.where("gid is not null"), reach).withColumn("text", normalize_for_embedding(F.col("body")))
-    kept = near.where("at = line_no or gid <> '#g?'").where("text <> '' or at = line_no")
+    unknown = F.col("gid") == "#g?"
+    text = lines.where("gid is not null").select("doc_id", F.col("line_no").alias("at"), "gid", normalize_for_embedding(F.col("body")).alias("text"))
+    # an unknown line's text goes to itself only
+    spread = text.where(unknown | (F.col("text") != "")).withColumn("line_no", F.explode(F.when(unknown, F.array("at")).otherwise(F.sequence(F.col("at") - reach, F.col("at") + reach))))
+    kept = spread.join(lines.where(unknown).select("doc_id", "line_no"), ["doc_id", "line_no"])
     order = F.struct((F.col("at") != F.col("line_no")).alias("o"), "at", "text")
     parts = kept.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(order)).alias("p"))
     return parts.select("doc_id", "line_no", F.array_join(F.filter(F.transform("p", lambda x: x["text"]), lambda t: t != ""), " ").alias("text"))
@@ -83,7 +80,7 @@ def queries(lines: DataFrame, reach: int) -> DataFrame:
 
 def named_in(lines: DataFrame, forms: DataFrame) -> DataFrame:
     """(doc_id, at, k, gid): the characters whose name forms a line has, k being the word's place."""
-    words = lines.select("doc_id", F.col("line_no").alias("at"), F.posexplode(F.regexp_extract_all(F.lower(F.coalesce("body", F.lit(""))), F.lit(_TOKEN), F.lit(1))).alias("k", "form"))
+    words = lines.select("doc_id", F.col("line_no").alias("at"), F.posexplode_outer(F.regexp_extract_all(F.lower(F.coalesce("body", F.lit(""))), F.lit(_TOKEN), F.lit(1))).alias("k", "form"))  # outer, or a filter on their number searches them again
     return words.join(forms.select("doc_id", "form", "gid"), ["doc_id", "form"]).select("doc_id", "at", "k", "gid")
 
 
@@ -142,8 +139,11 @@ def mean_of_best(scores: DataFrame, k: int) -> DataFrame:
 
 def text_scores(lines: DataFrame, texts: DataFrame, pool: DataFrame, p: Parameters) -> DataFrame:
     """(doc_id, line_no, gid, score): similarity of each candidate's texts (doc_id, gid, text) with the line's query, by TF-IDF over both."""
+    from ..plans.registry import checkpointed
+
     asked = queries(lines, p.reach).select(F.concat_ws("/", F.lit("q"), "doc_id", "line_no").alias("id"), "doc_id", "line_no", "text")
     told = texts.select(F.concat_ws("/", F.lit("v"), "doc_id", "gid", F.md5("text")).alias("id"), "doc_id", "gid", "text")
+    asked, told = checkpointed(asked), checkpointed(told)  # each is read at several places
     weights = tfidf(asked.select("id", "text").unionAll(told.select("id", "text")))
     q = weights.join(asked.select("id", "doc_id", "line_no"), "id").join(pool, ["doc_id", "line_no"])
     v = weights.withColumnsRenamed({"id": "v", "w": "u"}).join(told.select(F.col("id").alias("v"), "doc_id", "gid"), "v")

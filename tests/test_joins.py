@@ -352,3 +352,19 @@ def test_whole_words_without_regard_to_case():
     for body in ("  Ма́мо, де ти?", "й" * 300, "", "   " * 100 + "Тато, а"):
         whole = "".join(c for c in unicodedata.normalize("NFD", body) if not unicodedata.combining(c)).lstrip()[:90]
         assert folds._start(body) == whole
+
+
+def test_queries_and_names_search_each_line_once(spark):
+    from fabula.operators import classify, speaker_model
+
+    rows = [(1, 0, "#g2", "— Так"), (1, 1, "#g?", "— Мамо"), (1, 2, "#g?", ""), (1, 3, "#g1", "  "), (1, 4, None, "ні"), (1, 5, "#g3", "— Ой")]
+    lines = spark.createDataFrame(rows, "doc_id long, line_no int, gid string, body string")
+    got = {r["line_no"]: r["text"] for r in speaker_model.queries(lines, 3).collect()}
+    assert got == {1: "— Мамо — Так", 2: "— Так — Ой"}
+    forms = spark.createDataFrame([(1, "мамо", "#g2")], "doc_id long, form string, gid string")
+    assert [(r["at"], r["k"], r["gid"]) for r in speaker_model.named_in(lines, forms).collect()] == [(1, 0, "#g2")]
+    texts = spark.createDataFrame([("a", "так"), ("b", "-"), ("c", None)], "id string, text string")
+    assert [(r["id"], r["token"]) for r in classify.tfidf(texts).collect()] == [("a", "так")]
+    for rows in (speaker_model.named_in(lines, forms), classify.tfidf(texts)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("size(regexp_extract_all" in part for part in plan.splitlines())
