@@ -15,7 +15,7 @@ and elements go on that still hold several components:
 1. each set of a key with the key's head, the one that shares keys with most
    others, which in a group of near copies is one of the least changed and the
    same for most keys (in proportion to the rows);
-2. all pairs of different components in keys of BLOCK sets at most; sets of
+2. all pairs of different components in keys of ``block`` sets at most; sets of
    larger keys are matched by their first elements instead (prefix filter), in
    an order that puts elements of many sets last. Of those, only elements that
    sets of several components have count, as a link that is still missing joins
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, as_long, fold_hashes, in_bits, key_bits, tidied
 from .graph import components
 
-#: Of keys with so many sets at most, all pairs of different components are compared.
+#: Of keys with so many sets at most, all pairs of different components are compared, unless an operator sets another bound.
 BLOCK = 8
 #: Elements that a task meets so often are frequent; so many of them, the most frequent, are told to all tasks. They only order elements.
 OFTEN = 3
@@ -118,14 +118,34 @@ def first_elements(hashes: np.ndarray, rows: np.ndarray, which: np.ndarray, perc
     return rows[keep], fold_hashes([hashes[keep]], 64)
 
 
+#: Bytes that are kept of a key. What they don't tell apart gives more candidates, no links.
+KEY_BYTES = 5
+
+
+def packed(keys: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column: of each row's keys, keys[ends[i]:ends[i + 1]], the first KEY_BYTES bytes."""
+    data = keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * KEY_BYTES).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, their count in each row) of a column of ``packed``; the bytes that were not kept are 0."""
+    if not len(column):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    data, offs = column.buffers()[2], np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].reshape(-1, KEY_BYTES) if data is not None else np.zeros((0, KEY_BYTES), np.uint8)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :KEY_BYTES] = raw
+    return out.reshape(-1).view(">u8").astype(np.uint64), np.diff(offs) // KEY_BYTES
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], most: int = GATHERED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(keys, their ids) of runs of rows (id, keys) of about ``most`` keys."""
     keys, ids, size = [], [], 0
     for batch in batches:
-        lists = batch.column("keys")
-        k = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        k, count = _unpacked(batch.column("keys"))
         keys.append(k)
-        ids.append(np.repeat(batch.column("id").to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)))
+        ids.append(np.repeat(batch.column("id").to_numpy(zero_copy_only=False), count))
         size += len(k)
         if size >= most:
             yield np.concatenate(keys), np.concatenate(ids)
@@ -136,14 +156,24 @@ def _gathered(batches: Iterator[pa.RecordBatch], most: int = GATHERED) -> Iterat
 
 def _ends(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, least id, greatest id) of each key, in the order of keys."""
-    order = np.argsort(keys, kind="stable")
-    keys, ids = keys[order], ids[order]
+    if len(keys) < 1 << 24:  # the place takes the bytes that are 0
+        keys = np.sort(keys | np.arange(len(keys), dtype=np.uint64))
+        order = (keys & np.uint64(0xFFFFFF)).astype(np.int64)
+        keys &= np.uint64(0xFFFFFFFFFF000000)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+    ids = ids[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return keys[first], np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
 
 
 def _dealt(buckets: int):
-    """Rows (bucket, keys, ids): of each key at most two ids of each run, the least and the greatest."""
+    """Rows (bucket, rest): of each key at most two ids of each run, the least and the greatest.
+
+    ``buckets`` is a multiple of 256, so a bucket fixes a key's first byte; of
+    each pair ``rest`` holds the key's other four and 32 bits of a hash of both,
+    by which two ids are told apart in each key anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, ids in _gathered(batches):
@@ -153,31 +183,37 @@ def _dealt(buckets: int):
             out = low[rows]
             out[(np.cumsum(1 + two) - 1)[two]] = high[two]
             bucket = ((key[rows] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)  # keys are in order, so buckets are too
+            rest = (key[rows] << np.uint64(8)) & np.uint64(0xFFFFFFFF00000000)
+            rest |= fold_hashes([key[rows], out.view(np.uint64)]) >> np.uint64(32)
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = pa.array(np.r_[cuts, len(bucket)].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.ListArray.from_arrays(ends, pa.array(as_long(key[rows]))), pa.ListArray.from_arrays(ends, pa.array(out))], ["bucket", "keys", "ids"])
+            ends = 8 * np.r_[cuts, len(bucket)].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(ends), pa.py_buffer(rest)])], ["bucket", "rest"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(buckets: int):
     """(key): the keys of several ids; rows come in the order of buckets, of which one is held at a time."""
 
-    def of(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
-        key, low, high = _ends(np.concatenate(keys), np.concatenate(ids))
-        return pa.RecordBatch.from_arrays([pa.array(as_long(key[low != high]))], ["key"])
+    def of(bucket: int, rest: list[bytes]) -> pa.RecordBatch:
+        x = np.sort(np.frombuffer(b"".join(rest), np.uint64))
+        again = (x[1:] >> np.uint64(32) == x[:-1] >> np.uint64(32)) & (x[1:] != x[:-1])
+        key = np.unique(x[1:][again] >> np.uint64(32)) << np.uint64(24)
+        return pa.RecordBatch.from_arrays([pa.array(as_long(key | np.uint64((bucket * 256 // buckets) << 56)))], ["key"])
 
-    now, keys, ids = None, [], []
-    for batch in batches:
-        for i, bucket in enumerate(batch.column("bucket").to_pylist()):
-            if bucket != now and keys:
-                yield of(keys, ids)
-                keys, ids = [], []
-            now = bucket
-            keys.append(batch.column("keys").slice(i, 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-            ids.append(batch.column("ids").slice(i, 1).flatten().to_numpy(zero_copy_only=False))
-    if keys:
-        yield of(keys, ids)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rest = None, []
+        for batch in batches:
+            for bucket, x in zip(batch.column("bucket").to_pylist(), batch.column("rest"), strict=True):
+                if bucket != now and rest:
+                    yield of(now, rest)
+                    rest = []
+                now = bucket
+                rest.append(x.as_py())
+        if rest:
+            yield of(now, rest)
+
+    return run
 
 
 def members_of(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -187,9 +223,9 @@ def members_of(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     that a key that very many sets have is small before the shuffle. Sets with a
     shared key are found by a bit table of fixed size and then joined."""
     spark = keyed.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.mapInArrow(tidied(_dealt(buckets)), "bucket int, keys array<long>, ids array<long>")
-    shared = scratch.save(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_shared), "key long"), "shared-keys")
+    buckets = 256 * -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // 256)
+    dealt = keyed.mapInArrow(tidied(_dealt(buckets)), "bucket int, rest binary")
+    shared = scratch.save(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_shared(buckets)), "key long"), "shared-keys")
     bits = spark.sparkContext.broadcast(key_bits(shared, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +252,9 @@ def _several(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("sets")).where("low < high").select(key, "sets")
 
 
-def _blocks(labelled: DataFrame, split: DataFrame) -> DataFrame:
+def _blocks(labelled: DataFrame, split: DataFrame, block: int) -> DataFrame:
     """Pairs of different components in small keys; of two sets one is the head and was compared."""
-    few = labelled.join(split.where(f"sets between 3 and {BLOCK}"), "key")
+    few = labelled.join(split.where(f"sets between 3 and {block}"), "key")
     lists = few.groupBy("key").agg(F.collect_list(F.struct("id", "c")).alias("m"))
     pairs = lists.selectExpr("inline(flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x.id as a, x.c as ca, y.id as b, y.c as cb)))))")
     return pairs.where("ca <> cb").select("a", "b")
@@ -291,15 +327,12 @@ def _hubs(keys: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     return pairs.where(_possible(percent, "least(n_a - gap_a, n_b - gap_b)")).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
 
 
-def _all(keys: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _all(keys: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets of different components that share an element, and have after it as many as the similarity asks for.
 
     The bound holds at a pair's first common element, so no link is missed. A
     pair is left out where an element of the two before is common too: it stands
     there. Of the smaller set's elements the first n(1-s)/(1+s)+1 are enough."""
-    split = scratch.save(_several(keys, "x").select("x"), "split-elements")
-    w = Window.partitionBy("id").orderBy("i")
-    keys = keys.join(split, "x", "left_semi").withColumns({"p": F.lag("x", 1).over(w), "o": F.lag("x", 2).over(w)})
     a, b = (keys.select("x", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "i", "c", "p", "o"))) for s in "ab")
     b = b.where(f"{100 + percent} * (i_b - 1) <= {100 - percent} * n_b")
     fits = f"c_a <> c_b and (n_a > n_b or (n_a = n_b and id_a <> id_b)) and {_possible(percent, '(1 + least(n_a - i_a, n_b - i_b))')}"
@@ -308,42 +341,56 @@ def _all(keys: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
-def links(keyed: DataFrame, confirm: Callable[[DataFrame], DataFrame], texts_of: Callable[[DataFrame], DataFrame], elements: Elements, percent: int, scratch: Scratch) -> DataFrame:
+def _joined(found: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components of ``found`` (which is deleted) and of further edges; only whole components are united."""
+    for end in "uv":
+        edges = edges.join(found.select(F.col("id").alias(end), F.col("component").alias("c")), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    new = components(scratch.save(edges.distinct(), "component-edges"), scratch)
+    old = found.join(new.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+    whole = scratch.save(old.unionAll(new.join(found, "id", "left_anti")), "components")
+    scratch.drop(found)
+    return whole
+
+
+def links(keyed: DataFrame, confirm: Callable[[DataFrame], DataFrame], texts_of: Callable[[DataFrame], DataFrame], elements: Elements, percent: int, scratch: Scratch, ready: Callable[[DataFrame], None] | None = None, block: int = BLOCK) -> DataFrame:
     """(id, component) of all ids that some confirmed link joins to another.
 
-    keyed: (id, keys), rows may repeat; confirm: distinct (a, b) candidates to
+    keyed: (id, keys), keys as ``packed``, rows may repeat; confirm: distinct (a, b) candidates to
     the true links among them, as (u, v); texts_of: (id) to (id, text), a row
     for each; elements: a column of texts to (elements, row of each) without
-    repeats, in parts."""
+    repeats, in parts; ready: called once, with all ids (id) that candidates
+    will be made of, after which ``keyed`` is not read again."""
     members, heads = members_of(keyed, scratch)
+    if ready:
+        ready(members.select("id").distinct())
     found: DataFrame | None = None
 
     def unite(pairs: DataFrame) -> None:
         nonlocal found
         edges = scratch.save(confirm(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "links")
-        if found is None or not edges.isEmpty():
-            old = found
-            found = components(edges if old is None else old.select(F.col("id").alias("u"), F.col("component").alias("v")).unionAll(edges), scratch)
-            if old is not None:
-                scratch.drop(old)
+        if found is None:
+            found = components(edges, scratch)
+        elif not edges.isEmpty():
+            found = _joined(found, edges, scratch)
         scratch.drop(edges)
 
     unite(members.join(heads, "key").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
     labelled = scratch.save(_labelled(members, found), "labelled")
     split = scratch.save(_several(labelled, "key"), "split")
-    left = scratch.save(labelled.join(split.where(f"sets > {BLOCK}").select("key"), "key", "left_semi").select("id", "c").distinct(), "left")
+    left = scratch.save(labelled.join(split.where(f"sets > {block}").select("key"), "key", "left_semi").select("id", "c").distinct(), "left")
     scratch.drop(heads)
     if left.isEmpty():
-        unite(_blocks(labelled, split))
+        unite(_blocks(labelled, split, block))
         return found
     texts = scratch.save(texts_of(left.select("id")).join(left, "id").select("id", "text", "c"), "texts")
     keys = _rare_elements(texts, elements, percent, scratch)
     scratch.drop(texts)
-    unite(_blocks(labelled, split).unionAll(_hubs(keys, percent, scratch)))
+    unite(_blocks(labelled, split, block).unionAll(_hubs(keys, percent, scratch)))
     for done in (labelled, split, left):
         scratch.drop(done)
-    now = scratch.save(_labelled(keys.drop("c"), found), "rare-elements")
+    w = Window.partitionBy("id").orderBy("i")
+    now = scratch.save(_labelled(keys.drop("c", "gap"), found).withColumns({"p": F.lag("x", 1).over(w), "o": F.lag("x", 2).over(w)}), "rare-elements")
     scratch.drop(keys)
-    unite(_all(now, percent, scratch))
+    unite(_all(now, percent))
     scratch.drop(now)
     return found

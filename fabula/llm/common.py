@@ -80,15 +80,33 @@ def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """``rows`` joined with ``ids``, which has each ``key`` once; a bit table drops most other rows before the shuffle.
 
     The table has a 64-bit word for each 64 places, so 2**19 rows at most."""
-    place = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
-    bit = lambda p: p.bitwiseAND(63).cast("int")
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(place))
-    table = ids.select(F.shiftright(place, 6).alias("_word"), one.alias("_one")).groupBy("_word").agg(F.bit_or("_one").alias("_bits"))
-    near = rows.withColumn("_p", place).join(F.broadcast(table), F.shiftright("_p", 6) == F.col("_word"))
-    near = near.where(F.getbit("_bits", bit(F.col("_p"))) == 1).select(*rows.columns)
+    near = rows.withColumn("_p", _place(key)).join(F.broadcast(_words(ids, key)), F.shiftright("_p", 6) == F.col("_word"))
+    near = near.where(F.getbit("_bits", _bit(F.col("_p"))) == 1).select(*rows.columns)
     return near.join(ids, key)  # a semi-join would be moved below the table
 
 
+def parted(rows: DataFrame, id: Column, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose long ``id`` may be a ``key`` of ``ids``, all other rows), by such a bit table."""
+    place = _place(id)
+    marked = rows.join(F.broadcast(_words(ids, key)), F.shiftright(place, 6) == F.col("_word"), "left")
+    may = F.coalesce(F.getbit("_bits", _bit(place)) == 1, F.lit(False))
+    return marked.where(may).drop("_word", "_bits"), marked.where(~may).drop("_word", "_bits")
+
+
+def _place(key: str | Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+
+
+def _bit(place: Column) -> Column:
+    return place.bitwiseAND(63).cast("int")
+
+
+def _words(ids: DataFrame, key: str) -> DataFrame:
+    """(_word, _bits): the places of the keys."""
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit(_place(key)))
+    return ids.select(F.shiftright(_place(key), 6).alias("_word"), one.alias("_one")).groupBy("_word").agg(F.bit_or("_one").alias("_bits"))
+
+
 def key_bits(keys: DataFrame, key: str) -> np.ndarray:
     """A bit table of 64-bit hashes by their first FILTER_BITS bits, of fixed size, for ``in_bits``."""
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)

@@ -22,21 +22,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bands import band_keys, few_filled, first_elements, links
-from .common import ROW_BITS, SPACE, Scratch, among, as_long, common_counts, mix, span_hashes, text_bytes, text_chunks, tidied
+from .bands import band_keys, few_filled, first_elements, links, packed
+from .common import ROW_BITS, SPACE, Scratch, among, as_long, common_counts, mix, parted, span_hashes, text_bytes, text_chunks, tidied
 
 WIDTH = 8  # characters of a shingle
 M = 48  # buckets
 BANDS = 12  # of 4 registers; a pair at 0.8 is missed with a chance of 0.002, at 0.9 of 0.00001
 MIN_WORDS = 5
+#: Of keys with so many lines at most, all pairs of different components are compared: a pair costs less than a line's first elements.
+BLOCK = 22
 #: Pairs of lines that are confirmed at once.
 PAIRS = 2048
 #: Lines whose signatures one sort makes.
 MOST_ROWS = (1 << ROW_BITS) - 1
 EMPTY = np.uint64((1 << 41) - 1)
+#: Bytes of text that one step works on, so few that its arrays stay in a core's cache.
+STEP_BYTES = 1 << 17
+#: Lines that a task remembers, so as to make the keys of a repeated line once.
+MET = 1 << 18
 _STEP = 0xA0761D6478BD642F
 
 
@@ -62,10 +68,8 @@ class Lines:
     """The lines of a chunk of texts that have ``min_words`` words or more."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, min_words: int):
-        lead = (data & 0xC0) != 0x80
-        at = np.r_[0, np.cumsum(lead)]
-        self.bytes = np.r_[np.flatnonzero(lead), len(data)]  # where each code point begins
-        self.points, offs = _points(data), at[offs]
+        self.bytes = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]  # where each code point begins
+        self.points, offs = _points(data), np.searchsorted(self.bytes, offs)
         n = len(self.points)
         feed = self.points == 10
         inner = offs[1:-1]
@@ -75,19 +79,18 @@ class Lines:
         ends = np.r_[starts[1:], n][: len(starts)]
         ends = np.where(feed[np.maximum(ends - 1, 0)] & (ends > starts), ends - 1, ends) if n else ends
         rows = np.searchsorted(offs, starts, "right") - 1
-        space = SPACE[np.minimum(self.points, 255)]
+        space = np.take(SPACE, self.points, mode="clip")
         begins = ~space
         begins[1:] &= space[:-1]
         if n:
             edge = inner[inner < n]
             begins[edge] = ~space[edge]
-        words = np.r_[0, np.cumsum(begins)]
-        feeds = np.r_[0, np.cumsum(feed)]
-        keep = words[ends] - words[starts] >= min_words
-        self.number = (feeds[starts] - feeds[offs[rows]])[keep]
+        words = np.flatnonzero(begins)
+        keep = np.searchsorted(words, ends) - np.searchsorted(words, starts) >= min_words
+        self.number = (np.searchsorted(breaks, starts) - np.searchsorted(breaks, offs[rows]))[keep]
         self.starts, self.ends, self.rows = starts[keep], ends[keep], rows[keep]
+        self.values = np.take(_VALUES, self.points, mode="clip")
         high = np.flatnonzero(self.points >= _BMP)
-        self.values = _VALUES[np.minimum(self.points, _BMP - 1)] if len(high) else _VALUES[self.points]
         self.values[high] = _value(self.points[high])
         self.data = data
 
@@ -125,32 +128,34 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarra
     keys <<= np.uint64(64 - ROW_BITS)
     keys |= hashes >> np.uint64(ROW_BITS)
     keys.sort()
-    keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
-    line = (keys >> np.uint64(64 - ROW_BITS)).astype(np.int64)
-    bucket = ((keys >> np.uint64(23)) & np.uint64(0xFFFFFF)) * np.uint64(M)
-    bucket >>= np.uint64(24)
-    slot = line * M + bucket.astype(np.int64)
-    first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, np.int64)
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    size = np.bincount((keys[new] >> np.uint64(64 - ROW_BITS)).astype(np.int64), minlength=n)
+    slot = keys >> np.uint64(23)  # line and 24 bits, so that one product gives line * M + bucket
+    slot *= np.uint64(M)
+    slot >>= np.uint64(24)
+    np.not_equal(slot[1:], slot[:-1], out=new[1:])
+    first = np.flatnonzero(new)
     regs = np.full(n * M, EMPTY, np.uint64)
-    regs[slot[first]] = keys[first] & EMPTY
-    return regs.reshape(n, M), np.bincount(line, minlength=n)
+    regs[slot[first].astype(np.int64)] = keys[first] & EMPTY
+    return regs.reshape(n, M), size
 
 
 def _lines(min_words: int, percent: int):
     """Rows (h, doc_id, line, n, keys, text); the last three only where a task meets a line the first time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = np.zeros(0, np.uint64)
+        met = np.arange(MET, dtype=np.uint64) ^ np.uint64(1)  # at a hash's last bits, the last line that had these; at first none
         for batch in batches:
-            new: list[np.ndarray] = []
-            for first, stop, data, offs in text_chunks(batch.column("text")):
+            for first, stop, data, offs in text_chunks(batch.column("text"), STEP_BYTES):
                 lines = Lines(data, offs, min_words)
                 h = lines.hashes()
                 if not len(h):
                     continue
                 fresh, where = np.unique(h, return_index=True)
-                where = where[~np.isin(fresh, met)]
-                new.append(h[where])
+                slots = (fresh & np.uint64(MET - 1)).astype(np.int64)
+                where = where[met[slots] != fresh]
+                met[slots] = fresh
                 n, keys = np.zeros(len(h), np.int64), [np.zeros(0, np.uint64)]
                 at = [np.zeros(0, np.int64)]
                 for i in range(0, len(where), MOST_ROWS):  # one long text can hold more lines than a sort key can number
@@ -163,17 +168,15 @@ def _lines(min_words: int, percent: int):
                         keys.append(k)
                 at, keys = np.concatenate(at), np.concatenate(keys)
                 order = np.argsort(at, kind="stable")
-                ends = np.r_[0, np.cumsum(np.bincount(at, minlength=len(h)))].astype(np.int32)
+                ends = np.r_[0, np.cumsum(np.bincount(at, minlength=len(h)))]
                 ids = batch.column("id").slice(first, stop - first).to_numpy(zero_copy_only=False)
                 places = np.full(len(h), -1)
                 places[where] = np.arange(len(where))
                 text = lines.texts(where).take(pa.array(places, mask=places < 0))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(as_long(h)), pa.array(ids[lines.rows].astype(np.int64)), pa.array(lines.number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(as_long(keys[order]))), text],
+                    [pa.array(as_long(h)), pa.array(ids[lines.rows].astype(np.int64)), pa.array(lines.number.astype(np.int32)), pa.array(n.astype(np.int32)), packed(keys[order], ends), text],
                     ["h", "doc_id", "line", "n", "keys", "text"],
                 )
-            if new:
-                met = np.unique(np.concatenate([met[-(1 << 18) :], *new]))
 
     return run
 
@@ -230,18 +233,31 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORD
     """(doc_id, lines): of each document the numbers, from 0, of the lines that are not kept."""
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
-    found = scratch.save(texts.mapInArrow(tidied(_lines(min_words, percent)), "h long, doc_id long, line int, n int, keys array<long>, text string"), "lines")
+    found = scratch.save(texts.mapInArrow(tidied(_lines(min_words, percent)), "h long, doc_id long, line int, n int, keys binary, text string"), "lines")
     lines = scratch.save(found.select("h", "doc_id", "line"), "places")
     fresh = found.where("text is not null")
 
+    texts_met: DataFrame
+    steps = 0
+
+    def ready(ids: DataFrame) -> None:
+        """Keeps (h, n, text), a row for each line that shares a key; the texts of the others are deleted."""
+        nonlocal texts_met
+        texts_met = scratch.save(among(fresh.select("h", "n", "text"), ids.select(F.col("id").alias("h")), "h").dropDuplicates(["h"]), "member-texts")
+        scratch.drop(found)
+
     def text_of(hs: DataFrame) -> DataFrame:
         """(h, n, text), a row for each line of ``hs``."""
-        return among(fresh.select("h", "n", "text"), hs, "h").dropDuplicates(["h"])
+        return among(texts_met, hs, "h")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
-        wanted = scratch.save(text_of(ends), "texts")
+        nonlocal steps
+        steps += 1
+        wanted = texts_met
+        if steps > 1:  # the first candidates are of all lines that share a key
+            pairs = scratch.save(pairs, "pairs")
+            ends = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
+            wanted = scratch.save(text_of(ends), "texts")
         side = lambda s: wanted.select(F.col("h").alias(s), F.col("n").alias(f"n{s}"), F.col("text").alias(f"t{s}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         return both.select("a", "b", "ta", "tb").mapInArrow(tidied(_confirmed(percent)), "u long, v long")
@@ -249,26 +265,29 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORD
     def texts_of(ids: DataFrame) -> DataFrame:
         return text_of(ids.select(F.col("id").alias("h"))).select(F.col("h").alias("id"), "text")
 
-    linked = links(fresh.select(F.col("h").alias("id"), "keys"), confirm, texts_of, _elements, percent, scratch)
-    scratch.drop(found)
-    first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.count("*").alias("copies"))
+    linked = links(fresh.select(F.col("h").alias("id"), "keys"), confirm, texts_of, _elements, percent, scratch, ready, BLOCK)
+    first = lines.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     known = first.join(linked.select(F.col("id").alias("h"), "component"), "h", "left").where("copies > 1 or component is not null")
-    known = scratch.save(known.select("h", "place", F.coalesce("component", "h").alias("c")), "repeated")
-    keeper = scratch.save(known.groupBy("c").agg(F.min("place").alias("keep")), "keepers")
-    known = scratch.save(known.join(keeper, "c").select("h", "keep"), "kept-places")
-    gone = lines.join(known, "h").where("struct(doc_id, line) <> keep")
+    known = scratch.save(known.select("h", "first", F.coalesce("component", "h").alias("c")), "repeated")
+    keeper = scratch.save(known.groupBy("c").agg(F.min("first").alias("keeper")), "keepers")
+    known = scratch.save(known.join(keeper, "c").select("h", "c", "keeper"), "kept-places")
+    places = among(lines, known, "h").repartition("doc_id").withColumn("first", F.min("line").over(Window.partitionBy("doc_id", "c")))
+    gone = places.where("doc_id <> keeper or line <> first")
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 def deduplicate(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the kept lines as ``text``, and _lines, _removed: each row's count of lines and of dropped ones."""
-    gone = repeated_lines(docs, percent, min_words).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_gone"))
+    scratch = Scratch(docs.sparkSession)
+    gone = scratch.save(repeated_lines(docs, percent, min_words).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_gone")), "gone")
+    near, far = parted(docs, docs["doc_id"].cast("long"), gone, "_id")
+    size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(1 + F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))))
     parts = F.split("text", "\n", -1)
-    joined = docs.join(gone, docs["doc_id"] == F.col("_id"), "left")
-    size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts))
+    joined = near.join(gone.hint("shuffle_hash"), near["doc_id"] == F.col("_id"), "left")
     removed = F.when(F.col("text").isNull() | F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone"))
     numbers = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone")
     # within a lambda the text is cut once, not once for each line
     kept = F.transform(F.array(parts), lambda p: F.array_join(F.transform(numbers, lambda i: F.get(p, i)), "\n"))[0]
     text = F.when(removed == 0, F.col("text")).otherwise(kept)
-    return joined.withColumns({"_lines": size.cast("long"), "_removed": removed.cast("long")}).withColumn("text", text).drop("_id", "_gone")
+    cut = joined.withColumns({"_lines": size.cast("long"), "_removed": removed.cast("long")}).withColumn("text", text).drop("_id", "_gone")
+    return cut.unionAll(far.withColumns({"_lines": size.cast("long"), "_removed": F.lit(0).cast("long")}))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bands import band_keys, few_filled, first_elements, links
+from .bands import band_keys, few_filled, first_elements, links, packed
 from .common import Scratch, among, as_long, distinct_per_row, mix, shingles, text_bytes, text_chunks, tidied, word_hashes
 from .graph import components
 
@@ -89,13 +89,13 @@ def sketch(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 few = few_filled(regs, n, EMPTY, BANDS, percent)
                 at, keys = (np.concatenate(x) for x in zip(band_keys(regs, n, EMPTY, BANDS, percent), first_elements(h, rows, few, percent), strict=True))
                 order = np.argsort(at, kind="stable")
-                cuts = np.r_[0, np.cumsum(np.bincount(at, minlength=k))].astype(np.int32)
+                cuts = np.r_[0, np.cumsum(np.bincount(at, minlength=k))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("uid").slice(first, k), batch.column("doc_id").slice(first, k), pa.array(n, pa.int64()), *map(pa.array, sums), pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(np.arange(0, (k + 1) * 2 * M, 2 * M, dtype=np.int32)), pa.py_buffer(regs)]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(as_long(keys[order])))],
+                    [batch.column("uid").slice(first, k), batch.column("doc_id").slice(first, k), pa.array(n, pa.int64()), *map(pa.array, sums), pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(np.arange(0, (k + 1) * 2 * M, 2 * M, dtype=np.int32)), pa.py_buffer(regs)]), packed(keys[order], cuts)],
                     ["uid", "doc_id", "n", "s1", "s2", "regs", "keys"],
                 )
 
-    return docs.mapInArrow(tidied(run), "uid long, doc_id long, n long, s1 long, s2 long, regs binary, keys array<long>")
+    return docs.mapInArrow(tidied(run), "uid long, doc_id long, n long, s1 long, s2 long, regs binary, keys binary")
 
 
 def _regs(column: pa.Array) -> np.ndarray:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fabula.llm import bands, bpe, decontaminate, html_text, langid, line_dedup, media, near_dup, pii, ppm, queries, toxicity
+from fabula.llm import bands, bpe, common, decontaminate, graph, html_text, langid, line_dedup, media, near_dup, pii, ppm, queries, toxicity
 from fabula.llm.common import text_chunks
 
 KIND = "doc_id long, text string, id string, key int"
@@ -317,3 +317,38 @@ def test_quoted_terms_are_summed_apart(spark):
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     f = toxicity.features(data, np.cumsum([0, *map(len, texts)]), m, toxicity.Lookup(m.reports))
     assert f[0, 0] > 0 == f[0, 1] and f[1, 1] > 0 == f[1, 0] and not f[2:].any()
+
+
+def test_keys_of_several_sets_are_found_in_eight_bytes_a_pair():
+    r = np.random.default_rng(9)
+    ids = r.integers(-(1 << 63), 1 << 63, 3000)
+    keys = r.integers(0, 1 << 64, 9000, np.uint64)[r.integers(0, 9000, 12_000)] & np.uint64(0xFFFFFFFFFF000000)
+    rows = np.r_[np.arange(3000), r.integers(0, 3000, 500)]  # some sets twice
+    batch = pa.record_batch({"id": pa.array(ids[rows]), "keys": bands.packed(keys, np.arange(0, 12_001, 4)).take(pa.array(rows))})
+    dealt = pa.Table.from_batches(bands._dealt(512)(iter([batch]))).sort_by("bucket").combine_chunks()
+    got = np.concatenate([b.column("key").to_numpy() for b in bands._shared(512)(iter(dealt.to_batches()))]).view(np.uint64)
+    of = {}
+    for k, i in zip(keys.tolist(), np.repeat(ids, 4).tolist(), strict=True):
+        of.setdefault(k, set()).add(i)
+    assert sorted(got.tolist()) == sorted(k for k, v in of.items() if len(v) > 1)
+    assert sum(map(len, dealt.column("rest").to_pylist())) == 8 * sum(min(2, len(v)) for v in of.values())
+
+
+def test_further_links_unite_whole_components(spark):
+    scratch, schema = common.Scratch(spark), "u long, v long"
+    old, new = [(5, 2), (7, 5), (9, 8), (30, 31)], [(7, 9), (40, 41), (41, 30), (2, 5)]
+    first = graph.components(spark.createDataFrame(old, schema), scratch)
+    got = {tuple(x) for x in bands._joined(first, spark.createDataFrame(new, schema), scratch).collect()}
+    assert got == {tuple(x) for x in graph.components(spark.createDataFrame(old + new, schema), scratch).collect()}
+
+
+def test_only_texts_that_lose_lines_are_shuffled(spark):
+    line = "the quick brown fox jumps over the lazy dog while the sun goes down behind the hills"
+    rows = spark.createDataFrame([(1, line), (2, line), (None, line), *((i, f"own words {i * 7919} of text {i * 104729} alone") for i in range(3, 60))], "doc_id long, text string")
+    gone = spark.createDataFrame([(2, [0])], "_id long, _gone array<int>")
+    near, far = common.parted(rows, F.col("doc_id"), gone, "_id")
+    assert [x["doc_id"] for x in near.collect()] == [2] and far.count() == 59
+    plan = line_dedup.deduplicate(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
+    got = {x["doc_id"]: (x["text"], x["_lines"], x["_removed"]) for x in line_dedup.deduplicate(rows).collect()}
+    assert got[1] == (line, 1, 0) and got[2] == ("", 1, 1) and got[None] == (line, 1, 0) and len(got) == 60
