@@ -45,6 +45,23 @@ def test_rows_are_those_of_sql(spark, db, name):
     assert sorted(map(repr, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(repr, want.fetchall()))
 
 
+def test_legends_of_characters_have_the_service_token(spark, db, monkeypatch):
+    """It is read and dropped from the roles; with fewer service tokens it is a role."""
+    rows = lambda: sorted(map(repr, (tuple(r) for r in script_queries.QUERIES["legend_characters"](spark, FOLDER).collect())))
+    want = db.execute(script_sql.SQL["legend_characters"]).fetchall()
+    assert rows() == sorted(map(repr, want))
+    monkeypatch.setattr(legend.L, "SERVICE_TOKENS", ("m", "f"))
+    assert rows() == sorted(repr((d, g, n, "головний герой|" * hero + roles, gender, hero)) for d, g, n, roles, gender, hero in want)
+
+
+def test_the_hero_is_told_by_all_roles_without_service_tokens(spark):
+    text = "#g2 - Мама (F, мати)\n#g3 - Той (M, головний герой, друг)\n#g4 - Ада (F, головна героїня)\n#g5 - Ян (M, головний, друг, герой)\n#g6 - Ор (M, герой)\n#g7 - Ні"
+    chars = legend.characters(legend.parse_legend(spark.createDataFrame([(1, text), (2, text[: text.index("\n#g4")]), (3, "#g3 - Ян (M, головний, герой)\n#g2 - Мама")], "doc_id long, text string")))
+    got = {r["gid"]: ("|".join(r["roles"]), r["first_person"]) for r in chars.where("doc_id = 1").collect()}
+    assert got == {"#g2": ("мати", False), "#g3": ("друг", False), "#g4": ("головна героїня", True), "#g5": ("головний|друг|герой", True), "#g6": ("герой", False), "#g7": ("", False)}
+    assert {r["doc_id"]: r["first_person_gid"] for r in legend.first_person(chars).collect()} == {1: "#g4", 2: "#g2", 3: "#g3"}
+
+
 @pytest.fixture(scope="module")
 def cast(spark):
     return legend.cast(legend.parse_legend(spark.createDataFrame([(1, queries.LEGEND)], "doc_id long, text string")))
